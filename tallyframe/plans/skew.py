@@ -47,36 +47,47 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sums: dict[str, Column],
+    sums: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Add inclusive running sums of `sums` per key, in the given (total) order."""
-    biggest = largest_group(df, keys)
-    if biggest <= group_rows:
+    """Add inclusive running sums and running maxima per key, in the given (total) order."""
+    sums, maxes = sums or {}, maxes or {}
+    exprs = {**sums, **maxes}
+
+    def total_of(n: str) -> Column:
+        return F.sum(n) if n in sums else F.max(n)
+
+    work = df.select("*", *[c.alias(n) for n, c in exprs.items()])
+    if largest_group(df, keys) <= group_rows:
         by = [F.col(k) for k in keys] or [F.lit(0)]
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    total = df.count()
-    work = chunked(df.select("*", *[c.alias(n) for n, c in sums.items()]), keys, order, group_rows, total)
-    totals = work.groupBy(*keys, CHUNK).agg(*[F.sum(n).alias(n) for n in sums])
+        return work.select(*df.columns, *[total_of(n).over(w).alias(n) for n in exprs])
+    work = chunked(work, keys, order, group_rows, df.count())
+    totals = work.groupBy(*keys, CHUNK).agg(*[total_of(n).alias(n) for n in exprs])
     before = _borders(totals, keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(CHUNK).alias("_c"),
         F.count(F.lit(1)).over(before).alias("_prev"),
-        *[F.sum(n).over(before).alias(f"_o_{n}") for n in sums],
+        *[total_of(n).over(before).alias(f"_o_{n}") for n in exprs],
     ).where("_prev > 0")
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = work.select(*[c for c in work.columns if c not in sums], *[F.sum(n).over(w).alias(n) for n in sums])
+    local = work.select(*df.columns, CHUNK, *[total_of(n).over(w).alias(n) for n in exprs])
+
+    def joined(n: str) -> Column:
+        if n in sums:
+            return F.coalesce(local[n], F.lit(0)) + F.coalesce(offsets[f"_o_{n}"], F.lit(0))
+        return F.greatest(local[n], offsets[f"_o_{n}"])
+
     return local.join(F.broadcast(offsets), _on(keys, local, offsets), "left").select(
-        *[local[c] for c in df.columns],
-        *[(local[n] + F.coalesce(offsets[f"_o_{n}"], F.lit(0))).alias(n) for n in sums],
+        *[local[c] for c in df.columns], *[joined(n).alias(n) for n in exprs]
     )
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", group_rows: int = GROUP_ROWS) -> DataFrame:
     """row_number per key (1-based) that also works for hot keys and for no key at all."""
-    return running(df, keys, order, {name: F.lit(1).cast("long")}, group_rows)
+    return running(df, keys, order, {name: F.lit(1).cast("long")}, group_rows=group_rows)
 
 
 def lookback(
@@ -153,4 +164,4 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, weights: dic
     table, so ties never travel as single rows.
     """
     counts = df.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
-    return running(counts, keys, [value], {f"cum_{n}": F.col(n) for n in weights}, group_rows)
+    return running(counts, keys, [value], {f"cum_{n}": F.col(n) for n in weights}, group_rows=group_rows)
