@@ -76,15 +76,27 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def array_moments(a: Column) -> Column:
+    """struct(n, mean, m2) of a numeric array in one pass; m2 is the sum of squared deviations."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s, x):
+        n, d = s["n"] + 1.0, x.cast("double") - s["mean"]
+        mean = s["mean"] + d / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + d * (x.cast("double") - mean)).alias("m2"))
+
+    return F.aggregate(a, start, step)
+
+
 def array_mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, array_sum(a) / F.size(a))
 
 
 def array_std(a: Column, ddof: int = 0) -> Column:
     """Standard deviation of an array; 0 where it has too few elements."""
-    m = array_mean(a)
-    ss = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-    return F.when(F.size(a) > ddof, F.sqrt(ss / (F.size(a) - ddof))).otherwise(0.0)
+    return F.aggregate(
+        F.array(array_moments(a)), F.lit(0.0), lambda _, m: F.when(m["n"] > ddof, F.sqrt(m["m2"] / F.greatest(m["n"] - ddof, F.lit(1.0)))).otherwise(0.0)
+    )
 
 
 def dot(a: Column, b: Column) -> Column:

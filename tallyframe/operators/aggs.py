@@ -283,7 +283,7 @@ def element_coverage(df: DataFrame, col: str, ns: Sequence[int]) -> DataFrame:
 
 def interval_distribution(df: DataFrame, col: str) -> DataFrame:
     """Moments and quantiles of all elements of a numeric list column."""
-    u = df.select(F.explode(col).cast("double").alias("d"))
+    u = df.select(F.explode(F.col(col).cast("array<double>")).alias("d"))
     q = exact_quantiles(u, ["d"], [0.1, 0.5, 0.9, 0.99])["d"]
     out = u.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max"))
     return out.select("*", *[F.lit(v).alias(p) for p, v in zip(("p10", "p50", "p90", "p99"), q)])

@@ -137,7 +137,7 @@ def standard_scale(df: DataFrame, fit: dict[str, tuple[float, float]], clip: flo
     """z-scores (population deviation), optionally clipped to +-clip."""
     def z(c: str, m: float, s: float) -> Column:
         x = (F.col(c) - m) / s
-        return F.greatest(F.least(x, F.lit(clip)), F.lit(-clip)) if clip else x
+        return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(clip)), F.lit(-clip))) if clip else x
 
     return df.withColumns({c: z(c, *ms) for c, ms in fit.items()})
 
@@ -179,7 +179,7 @@ def quantile_transform(df: DataFrame, grids: dict[str, list[float]], normal: boo
     if not normal:
         return out
     eps = 1e-7
-    return out.withColumns({c: norm_ppf(F.greatest(F.least(F.col(c), F.lit(1 - eps)), F.lit(eps))) for c in grids})
+    return out.withColumns({c: F.when(F.col(c).isNotNull(), norm_ppf(F.greatest(F.least(F.col(c), F.lit(1 - eps)), F.lit(eps)))) for c in grids})
 
 
 def fit_null_fill(df: DataFrame, how: dict[str, str | float]) -> dict[str, float]:
