@@ -110,7 +110,7 @@ def _(spark, sf):
 #: Standard normal distribution function in SQL: power series through the log-gamma function.
 def phi(z: str) -> str:
     return (
-        f"(0.5 + exp(-({z}) ** 2 / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(160), lambda k: "
+        f"(0.5 + exp(-(({z}) * ({z})) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(160), lambda k: "
         f"exp((2 * k + 1) * ln(greatest({z}, 1e-12)) - ((k + 1) * ln(2) + lgamma(k + 1.5) - 0.5 * ln(pi()))))))"
     )
 
@@ -305,11 +305,11 @@ def incidents(spark, sf):
 @query(
     "incident_table",
     "M19",
-    f"""WITH {INC} SELECT period, incident_severity, count(*) AS total, count(*) FILTER (status IN ('resolved', 'closed')) AS resolved, count(*) FILTER (status = 'open') AS open, round(avg(resolution_hours) FILTER (status IN ('resolved', 'closed')), 6) AS avg_resolution_hours
+    f"""WITH {INC} SELECT period, incident_severity, count(*) AS total, count(*) FILTER (status IN ('resolved', 'closed')) AS resolved, count(*) FILTER (status = 'open') AS open, round(avg(resolution_hours) FILTER (status IN ('resolved', 'closed')), 9) AS avg_resolution_hours
         FROM ci GROUP BY GROUPING SETS ((period, incident_severity), (period))""",
 )
 def _(spark, sf):
-    return rounded(m.incident_table(incidents(spark, sf), "period"), "avg_resolution_hours")
+    return rounded(m.incident_table(incidents(spark, sf), "period"), "avg_resolution_hours", digits=9)
 
 
 @query(
