@@ -347,7 +347,7 @@ _FEATS = ["recency", "frequency", "monetary", "avg_amount", "n_categories", "ent
 )
 def _(spark, sf):
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
-    t = transactions(spark, sf, part=True)
+    t = written(transactions(spark, sf, part=True).select("user_id", "amount", "day", "merchant", "channel", "status", "mcc"))
     s = a.txn_summary(t, "user_id", "amount", "day", "merchant", "channel", F.col("status") == "F")
     base = a.rfm(users, s, "user_id", "2002-01-01")
     feats = j.glue([base, rounded(a.diversity(t, "user_id", "mcc", "amount"), "entropy", "hhi", "top3_share")], "user_id", check=False)

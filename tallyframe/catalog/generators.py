@@ -78,7 +78,7 @@ L2 = lambda: F.when(F.col("mcc") <= 40, F.floor((F.col("mcc") - 1) / 5)).otherwi
           round(least(greatest(gini, 0), 1), 6) AS spend_gini, round(least(greatest(((l1_x * l2_x + l1_y * l2_y) / ((sqrt(l1_x ** 2 + l1_y ** 2) + 1e-8) * (sqrt(l2_x ** 2 + l2_y ** 2) + 1e-8)) + 1) / 2, 0), 1), 5) AS coherence, round(sp1, 6) AS spread_1, round(sp2, 6) AS spread_2, round(sp3, 6) AS spread_3, round(sp4, 6) AS spread_4 FROM s""",
 )
 def _(spark, sf):
-    t = transactions(spark, sf, part=True).withColumn("d", F.datediff("day", F.lit("1995-01-01").cast("date")))
+    t = written(transactions(spark, sf, part=True).select("user_id", "mcc", "amount", "day")).withColumn("d", F.datediff("day", F.lit("1995-01-01").cast("date")))
     out = g.merchant_hierarchy(t, "user_id", "mcc", "amount", "d", L1(), L2(), PARENTS, 5)
     cols = [c for c in out.columns if c not in ("user_id", "l1_angle", "l2_angle", "l2_radius")]
     out = out.select("user_id", *[(F.round(c, 5 if c == "coherence" else 6) + 0.0).alias(c) for c in cols])

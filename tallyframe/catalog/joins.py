@@ -110,11 +110,17 @@ _FACTS = """facts AS (SELECT o_orderkey AS fact_id, o_custkey AS entity_id, o_or
 def _facts(spark, sf):
     from pyspark.sql import Window
 
-    o = table(spark, sf, "orders")
-    nxt = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    from tallyframe.plans.skew import lookback
+
+    o = table(spark, sf, "orders").withColumns({"_d": -F.unix_micros(F.col("o_orderdate").cast("timestamp")), "_k": -F.col("o_orderkey")})
+
+    def build(f, by):  # newest first, so the next order's date is one row back
+        return f.withColumn("nxt", F.lag("o_orderdate").over(Window.partitionBy(*by).orderBy("_d", "_k")))
+
+    o = lookback(o, ["o_custkey"], ["_d", "_k"], 1, build)
     return o.select(
         F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("entity_id"), F.lit("priority").alias("attribute"), F.col("o_orderpriority").alias("value"),
-        F.col("o_orderdate").cast("timestamp").alias("valid_from"), nxt.cast("timestamp").alias("valid_to"),
+        F.col("o_orderdate").cast("timestamp").alias("valid_from"), F.col("nxt").cast("timestamp").alias("valid_to"),
     )
 
 

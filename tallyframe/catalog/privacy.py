@@ -185,11 +185,17 @@ def audit_log(spark, sf):
     """A signed, chained log per user with some entries altered afterwards."""
     from pyspark.sql import Window
 
+    from tallyframe.plans.skew import lookback
+
     e = table(spark, sf, "events").select("user_id", "event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("body"))
     e = e.withColumn("sig", x.hmac_sha256(F.col("body"), b"k3y"))
     e = e.withColumn("entry", F.concat_ws("|", "body", "sig"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = e.withColumn("prev", F.coalesce(F.lag(F.sha2(F.col("entry").cast("binary"), 256)).over(w), F.lit("GENESIS")))
+
+    def build(f, by):
+        w = Window.partitionBy(*by).orderBy("event_id")
+        return f.withColumn("prev", F.coalesce(F.lag(F.sha2(F.col("entry").cast("binary"), 256)).over(w), F.lit("GENESIS")))
+
+    e = lookback(e, ["user_id"], ["event_id"], 1, build)
     forged = F.col("event_id") % 997 == 5
     e = e.withColumn("body", F.when(forged, F.concat("body", F.lit(" "))).otherwise(F.col("body")))
     return e.withColumn("entry", F.concat_ws("|", "body", "sig"))

@@ -7,7 +7,7 @@ from tallyframe.catalog.registry import query, table, unit
 from tallyframe.functions.stats import md5_unit
 from tallyframe.operators import recommend as r
 from tallyframe.operators import search as s
-from tallyframe.plans.session import written
+from tallyframe.plans.session import spread, written
 
 #: Candidates: every order line is one (customer, item) offer with context derived from its keys.
 _K = "l_orderkey || ':' || l_partkey || ':' || l_linenumber"
@@ -19,7 +19,7 @@ CAND = f"""cand AS (SELECT o_custkey AS customer_id, l_partkey AS item_id, l_ord
 
 
 def candidates(spark, sf):
-    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    li, o = spread(table(spark, sf, "lineitem")), table(spark, sf, "orders")
     d = li.join(o, li.l_orderkey == o.o_orderkey)
     cust, part, sup = F.col("o_custkey"), F.col("l_partkey"), F.col("l_suppkey")
     base = F.concat_ws(":", F.col("l_orderkey").cast("string"), part.cast("string"), F.col("l_linenumber").cast("string"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.plans.session import tune
+from tallyframe.plans.session import spread, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,13 +30,18 @@ def query(name: str, covers: str, sql: str | None = None):
     return add
 
 
+#: Tables whose rows are expensive to work on: long texts and vectors.
+HEAVY = ("documents", "conversations", "pages", "embeddings")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def transactions(spark: SparkSession, sf: str, part: bool = False) -> DataFrame:
     """Card-like transactions: one row per order line."""
-    lines = table(spark, sf, "lineitem")
+    lines = spread(table(spark, sf, "lineitem"))
     orders = table(spark, sf, "orders")
     out = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     if part:

@@ -9,6 +9,7 @@ from tallyframe.operators import aggs as a
 from tallyframe.operators import labels as lb
 from tallyframe.operators import prep as p
 from tallyframe.operators import sequences as s
+from tallyframe.plans.session import written
 
 ORDER = ["day", "amount", "order_id", "line", "item"]
 HIST = f"""{TXN}, h AS (SELECT user_id, list(amount ORDER BY day, amount, order_id, line, item) AS amounts, list(mcc ORDER BY day, amount, order_id, line, item) AS codes,
@@ -294,7 +295,8 @@ def _(spark, sf):
     c = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 50 != 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")
     )
-    out = lb.derive_labels(c.join(history(spark, sf).select("user_id", "codes"), "user_id", "left"), LABELS)
+    frame = written(c.join(history(spark, sf).select("user_id", "codes"), "user_id", "left"))  # fitted rules read it again
+    out = lb.derive_labels(frame, LABELS)
     out = out.withColumns({"l_direct": F.round(F.coalesce("l_direct", F.lit(0.0)), 2), "l_log": F.coalesce("l_log", F.lit(0.0)), "l_sum": F.round("l_sum", 4)})
     return rounded(out, "l_norm", "l_trend", "l_log").select("user_id", *LABELS)
 
@@ -386,7 +388,7 @@ _MAJOR = {0: range(1, 11), 1: range(11, 26), 2: range(26, 41)}
 )
 def _(spark, sf):
     u = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") * 2 + 18).alias("age"), (F.abs("c_acctbal") * 100).alias("credit_limit"))
-    t = transactions(spark, sf, part=True).withColumns({"slot": (F.col("line") % 8).cast("int"), "fraud": (F.col("status") == "F").cast("int")})
+    t = written(transactions(spark, sf, part=True)).withColumns({"slot": (F.col("line") % 8).cast("int"), "fraud": (F.col("status") == "F").cast("int")})
     out = lb.card_labels(u, t, "2001-11-04", ["A", "N", "R"], ["Brand#1", "Brand#2", "Brand#3"], {k: list(v) for k, v in _MAJOR.items()})
     return rounded(out, "label_ltv", "label_balance_util", "label_engagement", "label_spending_amount", "label_merchant_affinity")
 

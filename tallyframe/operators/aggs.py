@@ -7,6 +7,7 @@ its reducer as one partial row per task. Windows run only on tables that are alr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.stats import safe_div
 from tallyframe.plans.quantiles import exact_quantiles
-from tallyframe.plans.skew import lookback
 
 FLOOR = 1e-8
 
@@ -111,29 +111,38 @@ def time_predicates(ts: str, hour_bins: int = 6) -> dict[str, Column]:
     return out
 
 
-def shares_by(txn: DataFrame, user: str, cat: str, amount: str) -> DataFrame:
-    """(user, cat, amt, cnt, p): p is the category's share of the user's positive-floored total."""
-    per = txn.groupBy(user, cat).agg(F.sum(amount).alias("amt"), F.count(F.lit(1)).alias("cnt"))
-    total = F.sum("amt").over(Window.partitionBy(user))
-    return per.withColumn("p", F.col("amt") / F.greatest(total, F.lit(FLOOR)))
+def category_totals(txn: DataFrame, user: str, cat: str, amount: str) -> DataFrame:
+    """(user, cat, amt, cnt): the table all concentration measures start from."""
+    return txn.groupBy(user, cat).agg(F.sum(amount).alias("amt"), F.count(F.lit(1)).alias("cnt"))
 
 
 def diversity(txn: DataFrame, user: str, cat: str, amount: str) -> DataFrame:
-    """Distinct categories, entropy, concentration and the share of the three largest."""
-    per = shares_by(txn, user, cat, amount)
-    rank = F.row_number().over(Window.partitionBy(user).orderBy(F.desc("p"), cat))
-    p = F.col("p")
-    return per.withColumn("_r", rank).groupBy(user).agg(
+    """Distinct categories, entropy -sum(p ln max(p, 1e-15)), concentration and the share of the three largest.
+
+    With p = a / T the sums over p are sums over a, so one grouped pass is enough and a user with very
+    many categories stays a partial sum per task; only the three largest are ranked, and Spark cuts
+    to three per task before the shuffle.
+    """
+    per = category_totals(txn, user, cat, amount)
+    a, total = F.col("amt"), F.greatest(F.sum("amt"), F.lit(FLOOR))
+    pos = a > 0
+    up, down = F.sum(F.when(pos, a).otherwise(0.0)), F.sum(F.when(pos, 0.0).otherwise(a))
+    log_sum = F.sum(F.when(pos, a * F.ln(F.when(pos, a))).otherwise(0.0))
+    main = per.groupBy(user).agg(
         F.count(cat).alias("n_categories"),
-        (-F.sum(p * F.ln(F.greatest(p, F.lit(1e-15))))).alias("entropy"),
-        F.sum(p * p).alias("hhi"),
-        F.sum(F.when(F.col("_r") <= 3, p).otherwise(0.0)).alias("top3_share"),
+        (-(log_sum - up * F.ln(total) + down * math.log(1e-15)) / total).alias("entropy"),
+        (F.sum(a * a) / (total * total)).alias("hhi"),
+        total.alias("_t"),
     )
+    rank = F.row_number().over(Window.partitionBy(user).orderBy(F.desc("amt"), cat))
+    top = per.withColumn("_r", rank).where(F.col("_r") <= 3).groupBy(user).agg(F.sum("amt").alias("_top"))
+    return main.join(top, user).select(user, "n_categories", "entropy", "hhi", (F.col("_top") / F.col("_t")).alias("top3_share"))
 
 
 def hhi(txn: DataFrame, user: str, cat: str, amount: str) -> DataFrame:
     """Sum of squared spend shares."""
-    return shares_by(txn, user, cat, amount).groupBy(user).agg(F.sum(F.col("p") * F.col("p")).alias("hhi"))
+    total = F.greatest(F.sum("amt"), F.lit(FLOOR))
+    return category_totals(txn, user, cat, amount).groupBy(user).agg((F.sum(F.col("amt") * F.col("amt")) / (total * total)).alias("hhi"))
 
 
 def hierarchy_counts(txn: DataFrame, user: str, groups: dict[str, Column], channel: str, channels: Sequence[str], brand: str, n_cross: int = 7) -> DataFrame:
@@ -195,6 +204,19 @@ def mode_per_group(df: DataFrame, key: str, col: str, name: str | None = None) -
     return per.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.v").alias(name or f"{col}_mode"))
 
 
+def modes_per_group(df: DataFrame, key: str, cols: dict[str, str]) -> DataFrame:
+    """Most frequent value of several columns per key in one pass, `cols` maps a column to its result name.
+
+    Every row contributes one (column, value) pair per column; the pairs are counted map-side, so
+    the input is read once however many columns there are.
+    """
+    types = dict(df.dtypes)
+    pairs = F.array(*[F.struct(F.lit(i).alias("d"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    per = df.select(key, F.explode(pairs).alias("p")).where("p.v IS NOT NULL").groupBy(key, "p.d", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    best = [F.min(F.when(F.col("d") == i, F.struct((-F.col("n")).alias("n"), F.col("v").cast(types[c]).alias("v"))))["v"].alias(out) for i, (c, out) in enumerate(cols.items())]
+    return per.groupBy(key).agg(*best)
+
+
 def top1(df: DataFrame, key: str, cat: str) -> DataFrame:
     """(key, cat, cnt) of the most frequent category."""
     per = df.groupBy(key, cat).agg(F.count(F.lit(1)).alias("cnt"))
@@ -210,11 +232,9 @@ def median_gap(txn: DataFrame, user: str, date: str) -> DataFrame:
     """
     days = txn.groupBy(user, date).agg(F.count(F.lit(1)).alias("n"))
 
-    def gaps(f: DataFrame, by: list[str]) -> DataFrame:
-        prev = F.lag(date).over(Window.partitionBy(*by).orderBy(date))
-        return f.withColumn("gap", F.datediff(date, prev))
-
-    g = lookback(days, [user], [date], 1, gaps)
+    # at most one row per calendar day and user is ordered here
+    prev = F.lag(date).over(Window.partitionBy(user).orderBy(date))
+    g = days.withColumn("gap", F.datediff(date, prev))
     weights = g.select(user, F.explode(F.array(F.struct(F.col("gap"), F.lit(1).cast("long").alias("w")), F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).alias("w")))).alias("e"))
     weights = weights.where("e.gap IS NOT NULL AND e.w > 0").select(user, "e.gap", "e.w")
     return weights.groupBy(user, "gap").agg(F.sum("w").alias("w")).groupBy(user).agg(F.percentile(F.col("gap"), F.lit(0.5), F.col("w")).alias("median_gap"))

@@ -14,7 +14,7 @@ from tallyframe.functions.stats import array_mean, array_std, array_sum, dot, sa
 from tallyframe.operators.joins import band_lookup
 from tallyframe.operators.ranks import gini
 from tallyframe.plans.session import GROUP_ROWS
-from tallyframe.plans.skew import value_positions, with_group
+from tallyframe.plans.skew import value_positions
 
 
 def _vals(cols: Sequence[str]) -> Column:
@@ -97,25 +97,31 @@ def merchant_hierarchy(txn: DataFrame, user: str, code: str, amount: str, day: s
         return F.get(F.array(*[F.lit(float(v)) for v in values]), i.cast("int"))
 
     angle = [2 * math.pi * i / max(n_l1, 1) for i in range(n_l1)]
-    base = with_group(txn.select(F.col(user).alias("u"), F.col(code).alias("c"), F.greatest(F.col(amount).cast("double"), F.lit(0.0)).alias("spend"), F.col(day).cast("double").alias("d"), l1.cast("int").alias("a"), l2.cast("int").alias("b")), ["u"], F.max("d").alias("top"))
-    base = base.withColumn("w0", F.col("spend") * F.exp(-(F.col("top") - F.col("d")) / half_life))
-    base = with_group(base, ["u"], F.sum("w0").alias("w0_sum"))
-    base = base.withColumn("w", F.when(F.col("w0_sum") < 1e-10, 1.0).otherwise(F.col("w0")))
+    # The weight spend * exp(-(own newest day - day) / half_life) enters ratios only, so the own newest
+    # day cancels and the table's newest day can stand in for it: no join back to the events.
+    newest = txn.agg(F.max(F.col(day).cast("double"))).first()[0] or 0.0
+    base = txn.select(F.col(user).alias("u"), F.col(code).alias("c"), F.greatest(F.col(amount).cast("double"), F.lit(0.0)).alias("spend"), F.col(day).cast("double").alias("d"), l1.cast("int").alias("a"), l2.cast("int").alias("b"))
     q = max(n_l1 // 4, 1)
     in1, in2 = F.col("a") >= 0, F.col("b") >= 0
     x1, y1 = table([radius1 * math.cos(t) for t in angle], F.col("a")), table([radius1 * math.sin(t) for t in angle], F.col("a"))
     x2, y2 = table([radius2 * math.cos(angle[p]) for p in parents], F.col("b")), table([radius2 * math.sin(angle[p]) for p in parents], F.col("b"))
-    quarter = F.least(F.floor(F.col("a") / q), F.lit(3))
-
-    def s(v: Column, cond: Column) -> Column:
-        return F.sum(F.when(cond, v).otherwise(0.0))
-
-    w = F.col("w")
-    quads = [e for i in range(4) for e in (s(w, in1 & (quarter == i)).alias(f"q{i}"), s(w * x1, in1 & (quarter == i)).alias(f"qx{i}"), s(w * y1, in1 & (quarter == i)).alias(f"qy{i}"))]
-    g = base.groupBy("u").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("c").alias("nc"), F.sum("w").alias("wt"), F.max("d").alias("top"),
-        s(w, in1).alias("w1"), s(w * x1, in1).alias("sx1"), s(w * y1, in1).alias("sy1"), s(w, in2).alias("w2"), s(w * x2, in2).alias("sx2"), s(w * y2, in2).alias("sy2"), *quads,
-    )
+    base = base.select("*", (F.col("spend") * F.exp((F.col("d") - newest) / half_life)).alias("w"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.least(F.floor(F.col("a") / q), F.lit(3)).alias("qq"))
+
+    def sums(w: Column, tag: str) -> list[Column]:
+        def s(v: Column, cond: Column, name: str) -> Column:
+            return F.sum(F.when(cond, v).otherwise(0.0)).alias(f"{tag}_{name}")
+
+        out = [F.sum(w).alias(f"{tag}_wt"), s(w, in1, "w1"), s(w * F.col("x1"), in1, "sx1"), s(w * F.col("y1"), in1, "sy1"), s(w, in2, "w2"), s(w * F.col("x2"), in2, "sx2"), s(w * F.col("y2"), in2, "sy2")]
+        for i in range(4):
+            here = in1 & (F.col("qq") == i)
+            out += [s(w, here, f"q{i}"), s(w * F.col("x1"), here, f"qx{i}"), s(w * F.col("y1"), here, f"qy{i}")]
+        return out
+
+    g = base.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c").alias("nc"), F.max("d").alias("top"), *sums(F.col("w"), "s"), *sums(F.lit(1.0), "e"))
+    # an entity without any weight counts every event alike
+    none = F.col("s_wt") * F.exp((newest - F.col("top")) / half_life) < 1e-10
+    names = ["wt", "w1", "sx1", "sy1", "w2", "sx2", "sy2", *[f"{p}{i}" for i in range(4) for p in ("q", "qx", "qy")]]
+    g = g.select("u", "n", "nc", *[F.when(none, F.col(f"e_{c}")).otherwise(F.col(f"s_{c}")).alias(c) for c in names])
     g = g.join(gini(base.select("u", "spend"), ["u"], "spend", "gini", group_rows), "u")
     g = g.withColumns({"l1_x": safe_div(F.col("sx1"), F.col("w1")), "l1_y": safe_div(F.col("sy1"), F.col("w1")), "l2_x": safe_div(F.col("sx2"), F.col("w2")), "l2_y": safe_div(F.col("sy2"), F.col("w2"))})
     r1, r2 = F.hypot("l1_x", "l1_y"), F.hypot("l2_x", "l2_y")

@@ -13,6 +13,7 @@ from tallyframe.functions.stats import array_moments
 from tallyframe.operators import aggs
 from tallyframe.operators.joins import interval_join, new_elements
 from tallyframe.plans.quantiles import exact_quantiles
+from tallyframe.plans.session import written
 
 Rule = dict[str, Any]
 
@@ -178,12 +179,9 @@ def card_labels(users: DataFrame, txn: DataFrame, ref_date: str, channels: Seque
     median = exact_quantiles(core, ["fraud_rate"], [0.5])["fraud_rate"][0]
     parts = [
         core,
-        aggs.mode_per_group(txn, user, "channel", "top_channel"),
-        aggs.mode_per_group(txn, user, "slot", "top_slot"),
-        aggs.top1(txn, user, "mcc").drop("cnt"),
+        aggs.modes_per_group(txn, user, {"channel": "top_channel", "slot": "top_slot", "mcc": "mcc", "brand": "top_brand"}),
         aggs.median_gap(txn, user, "day"),
         aggs.hhi(txn, user, "merchant", "amount"),
-        aggs.mode_per_group(txn, user, "brand", "top_brand"),
     ]
     out = users
     for p in parts:
@@ -219,6 +217,7 @@ def card_labels(users: DataFrame, txn: DataFrame, ref_date: str, channels: Seque
         F.coalesce(F.col("hhi"), F.lit(0.0)).alias("label_merchant_affinity"),
         code("top_brand", brands).alias("label_brand"),
     )
+    out = written(out)  # one row per user; the cut points and the final projection read it back
     cuts = exact_quantiles(out, ["label_ltv", "label_spending_amount"], [0.995])
     return out.withColumns({c: F.when(F.col(c).isNotNull(), F.log1p(F.least(F.col(c), F.lit(q[0])))) for c, q in cuts.items()})
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.stats import norm_cdf, safe_div
 from tallyframe.plans.quantiles import exact_quantiles
-from tallyframe.plans.skew import value_positions
+from tallyframe.plans.session import GROUP_ROWS
+from tallyframe.plans.skew import lookback, value_positions
 
 
 def two_proportion_p(s1: Column, n1: Column, s0: Column, n0: Column) -> Column:
@@ -123,10 +124,13 @@ def risk_score(df: DataFrame, weights: dict[str, float], levels: Sequence[tuple[
     return out.withColumn(f"{name}_level", risk_level(F.col(f"{name}_total"), levels, lowest))
 
 
-def grade_history(df: DataFrame, key: str, order: str, level: str) -> DataFrame:
+def grade_history(df: DataFrame, key: str, order: str, level: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Previous grade of the same model and whether it changed; one row per assessment."""
-    prev = F.lag(level).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("prev_level", prev).withColumn("level_change", F.coalesce((prev != F.col(level)).cast("int"), F.lit(0)))
+    def build(f: DataFrame, by: list[str]) -> DataFrame:
+        return f.withColumn("prev_level", F.lag(level).over(Window.partitionBy(*by).orderBy(order)))
+
+    out = lookback(df, [key], [order], 1, build, group_rows)
+    return out.withColumn("level_change", F.coalesce((F.col("prev_level") != F.col(level)).cast("int"), F.lit(0)))
 
 
 def _unit(c: Column) -> Column:

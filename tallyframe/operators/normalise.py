@@ -37,39 +37,47 @@ class Normaliser:
     logs: list[str] = field(default_factory=list)
 
 
+def _class_of(c: str, numeric: bool, binary: bool, cfg: NormaliserConfig) -> str:
+    if binary:
+        return "binary"
+    if c.endswith(tuple(cfg.id_suffixes)) or (cfg.id_prefixes and c.startswith(tuple(cfg.id_prefixes))):
+        return "categorical"
+    if c.startswith(tuple(cfg.prob_prefixes)) or "_prob_" in c:
+        return "probability"
+    return "continuous" if numeric else "other"
+
+
+def _is_binary(c: str) -> Column:
+    return F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(True))
+
+
 def classify_columns(df: DataFrame, cols: Sequence[str], cfg: NormaliserConfig = NormaliserConfig()) -> dict[str, str]:
     """binary / categorical / probability / continuous / other per column, from one aggregate."""
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in cols if is_numeric(types[c])]
     flags: dict[str, bool] = {}
     for at in range(0, len(numeric), BATCH):
-        part = numeric[at : at + BATCH]
-        row = df.agg(*[F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(True)).alias(c) for c in part]).first()
-        flags.update(row.asDict())
-    out = {}
-    for c in cols:
-        if flags.get(c):
-            out[c] = "binary"
-        elif c.endswith(tuple(cfg.id_suffixes)) or (cfg.id_prefixes and c.startswith(tuple(cfg.id_prefixes))):
-            out[c] = "categorical"
-        elif c.startswith(tuple(cfg.prob_prefixes)) or "_prob_" in c:
-            out[c] = "probability"
-        else:
-            out[c] = "continuous" if c in numeric else "other"
-    return out
+        flags.update(df.agg(*[_is_binary(c).alias(c) for c in numeric[at : at + BATCH]]).first().asDict())
+    return {c: _class_of(c, c in numeric, flags.get(c, False), cfg) for c in cols}
+
+
+def _shape(c: str) -> dict[str, Column]:
+    return {"n": F.count(c).cast("double"), "g1": F.skewness(c), "g2": F.kurtosis(c), "min": F.min(F.col(c).cast("double"))}
+
+
+def _corrected(df: DataFrame) -> dict[str, Column]:
+    """Bias-corrected skewness and excess kurtosis from the population forms."""
+    n = F.col("n")
+    return {
+        "skew": F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("g1")),
+        "kurt": F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)),
+    }
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, n, skew, kurt, min): bias-corrected skewness and excess kurtosis."""
-    raw = per_column(
-        df,
-        list(cols),
-        lambda c: {"n": F.count(c).cast("double"), "g1": F.skewness(c), "g2": F.kurtosis(c), "min": F.min(F.col(c).cast("double"))},
-    )
-    n = F.col("n")
-    skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("g1"))
-    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return raw.select("column", "n", skew.alias("skew"), kurt.alias("kurt"), "min")
+    raw = per_column(df, list(cols), _shape)
+    return raw.withColumns(_corrected(raw)).select("column", "n", "skew", "kurt", "min")
 
 
 def loglog_r2(df: DataFrame, col: str, min_samples: int = 50) -> float:
@@ -85,35 +93,56 @@ def loglog_r2(df: DataFrame, col: str, min_samples: int = 50) -> float:
     return 0.0 if not row["s"] or row["s"] < 1e-10 else row["r"] ** 2
 
 
-def detect_power_law(df: DataFrame, cols: Sequence[str], cfg: NormaliserConfig = NormaliserConfig()) -> list[str]:
-    """Columns with a heavy right tail. Cheap moment tests first; only survivors are ranked."""
-    first = moments(df, cols).where(f"abs(skew) > {SKEW_MIN} AND kurt > {KURT_MIN} AND min >= 0").collect()
+def _heavy(shape: DataFrame) -> list[str]:
+    return [r["column"] for r in shape.where(f"abs(skew) > {SKEW_MIN} AND kurt > {KURT_MIN} AND min >= 0").collect()]
+
+
+def _confirmed(df: DataFrame, candidates: Sequence[str], cfg: NormaliserConfig) -> list[str]:
+    """Candidates with enough distinct values whose rank plot is close to a line."""
     out = []
-    for c in (r["column"] for r in first):
+    for c in candidates:
         if df.select(c).where(F.col(c).isNotNull()).distinct().count() > cfg.min_nunique and loglog_r2(df, c, cfg.min_samples) >= R2_MIN:
             out.append(c)
-    return [c for c in cols if c in out]
+    return out
+
+
+def detect_power_law(df: DataFrame, cols: Sequence[str], cfg: NormaliserConfig = NormaliserConfig()) -> list[str]:
+    """Columns with a heavy right tail. Cheap moment tests first; only survivors are ranked."""
+    found = _confirmed(df, _heavy(moments(df, cols)), cfg)
+    return [c for c in cols if c in found]
 
 
 def normalize_fit(df: DataFrame, cols: Sequence[str], train: str | Column | None = None, cfg: NormaliserConfig = NormaliserConfig()) -> Normaliser:
-    """Learn from training rows only. NULL counts as 0 in the mean and the deviation."""
+    """Learn from training rows only. NULL counts as 0 in the mean and the deviation.
+
+    Column class, mean, deviation and the moments of the tail test come from the same scan; only
+    columns with a heavy tail are looked at again.
+    """
     rows = df.where(train) if train is not None else df
-    classes = classify_columns(rows, cols, cfg)
-    cont = [c for c in cols if classes[c] == "continuous"]
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    numeric = [c for c in cols if is_numeric(types[c])]
+
+    def stats(c: str) -> dict[str, Column]:
+        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        return {"binary": _is_binary(c), "mean": F.avg(x), "std": F.stddev_samp(x), **_shape(c)}
+
     mean: dict[str, float] = {}
     std: dict[str, float] = {}
-    for at in range(0, len(cont), BATCH // 2):
-        part = cont[at : at + BATCH // 2]
-        filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in part]
-        row = rows.agg(
-            *[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)],
-            *[F.stddev_samp(x).alias(f"s{i}") for i, x in enumerate(filled)],
-        ).first()
-        for i, c in enumerate(part):
-            mean[c] = row[f"m{i}"] or 0.0
-            s = row[f"s{i}"]
-            std[c] = s if s is not None and s > STD_FLOOR else 1.0
-    return Normaliser(list(cols), classes, mean, std, detect_power_law(rows, cont, cfg) if cont else [])
+    binary: dict[str, bool] = {}
+    heavy: list[str] = []
+    if numeric:
+        raw = per_column(rows, numeric, stats)
+        for r in raw.withColumns(_corrected(raw)).collect():  # one row per column
+            c = r["column"]
+            binary[c] = r["binary"]
+            mean[c] = r["mean"] or 0.0
+            std[c] = r["std"] if r["std"] is not None and r["std"] > STD_FLOOR else 1.0
+            if r["skew"] is not None and r["kurt"] is not None and abs(r["skew"]) > SKEW_MIN and r["kurt"] > KURT_MIN and r["min"] >= 0:
+                heavy.append(c)
+    classes = {c: _class_of(c, c in numeric, binary.get(c, False), cfg) for c in cols}
+    cont = [c for c in cols if classes[c] == "continuous"]
+    logs = _confirmed(rows, [c for c in cont if c in heavy], cfg)
+    return Normaliser(list(cols), classes, {c: mean[c] for c in cont}, {c: std[c] for c in cont}, logs)
 
 
 def normalize_transform(df: DataFrame, fit: Normaliser, keep: Sequence[str] = ()) -> DataFrame:

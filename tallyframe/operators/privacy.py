@@ -116,7 +116,12 @@ def scrub_text(df: DataFrame, col: str, name: str = "scrubbed") -> DataFrame:
     """
     out = df.withColumn(name, F.col(col)).withColumn("_n", F.lit(0))
     for label, rx in SCRUB_PATTERNS.items():
-        out = out.select(*[c for c in out.columns if c not in (name, "_n")], (F.col("_n") + F.regexp_count(name, F.lit(rx))).alias("_n"), F.regexp_replace(name, rx, f"[{label}]").alias(name))
+        # the address pattern walks every word; a text without "@" cannot match it
+        maybe = F.contains(F.col(name), F.lit("@")) if "@" in rx else F.col(name).rlike(rx)
+        out = out.select("*", F.coalesce(maybe, F.lit(False)).alias("_maybe"))
+        n = F.when(F.col("_maybe"), F.regexp_count(name, F.lit(rx))).otherwise(0)
+        text = F.when(F.col("_maybe"), F.regexp_replace(name, rx, f"[{label}]")).otherwise(F.col(name))
+        out = out.select(*[c for c in out.columns if c not in (name, "_n", "_maybe")], (F.col("_n") + n).alias("_n"), text.alias(name))
     nums = F.regexp_extract_all(name, F.lit(NUMBER_WITH_UNIT), F.lit(1))
     units = F.regexp_extract_all(name, F.lit(NUMBER_WITH_UNIT), F.lit(2))
     out = out.select("*", F.split(name, NUMBER_WITH_UNIT, -1).alias("_gaps"), F.arrays_zip(nums.alias("v"), units.alias("u")).alias("_hits"))

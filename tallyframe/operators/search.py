@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.stats import cosine
+from tallyframe.functions.stats import dot
+from tallyframe.plans.session import written
 from tallyframe.plans.skew import position
 
 
@@ -24,7 +25,11 @@ def mmr(df: DataFrame, key: str, item: str, score: str, vec: str, k: int, lam: f
     rows = df if min_score is None else df.where(F.col(score) >= min_score)
     span = rows.groupBy(key).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     rel = F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(F.col(score) - F.col("_lo"))
-    base = rows.join(span, key).select(key, F.col(item).alias("_i"), F.col(score).cast("double").alias("_s"), F.transform(vec, lambda x: x.cast("double")).alias("_v"), rel.alias("_rel"))
+    unit = F.transform(vec, lambda x: x.cast("double"))
+    base = rows.join(span, key).select(key, F.col(item).alias("_i"), F.col(score).cast("double").alias("_s"), unit.alias("_v"), rel.alias("_rel"))
+    size = F.sqrt(dot(F.col("_v"), F.col("_v")))
+    base = base.withColumn("_z", size).withColumn("_v", F.when(F.col("_z") > 0, F.transform("_v", lambda x: x / F.col("_z")))).drop("_z")
+    base = written(base)  # read once per round, with vectors already of unit length
     types = {f.name: f.dataType for f in base.schema.fields}
     # field names have to survive inside the aggregate buffer, so the struct is cast once by name
     pick = T.StructType([T.StructField(n, t) for n, t in (("neg", T.DoubleType()), ("negs", T.DoubleType()), ("i", types["_i"]), ("v", types["_v"]))])
@@ -34,7 +39,7 @@ def mmr(df: DataFrame, key: str, item: str, score: str, vec: str, k: int, lam: f
             cand = base.withColumn("_c", F.array().cast(T.ArrayType(pick)))
         else:
             cand = base.join(chosen, key)
-        sims = F.transform("_c", lambda c: F.coalesce(cosine(F.col("_v"), c["v"]), F.lit(0.0)))
+        sims = F.transform("_c", lambda c: F.coalesce(dot(F.col("_v"), c["v"]), F.lit(0.0)))
         worst = F.greatest(F.coalesce(F.array_max(sims), F.lit(0.0)), F.lit(0.0))
         val = lam * F.col("_rel") - (1.0 - lam) * worst
         taken = F.exists("_c", lambda c: c["i"] == F.col("_i"))

@@ -46,3 +46,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that arrives in fewer input splits than there are cores.
+
+    Only for row-wise work that costs much more than moving the rows (regular expressions over long
+    texts, vector products). A table with enough splits, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
