@@ -130,15 +130,17 @@ def match_donors(targets: DataFrame, pool: DataFrame, target: str, donor: str, l
     left, done = targets, []
     for i, cols in enumerate(levels, 1):
         cols = list(cols)
-        by = cols or ["_all"]
-        p = pool.withColumn("_all", F.lit(1))
-        indexed = pool_index(p.select(*by, donor), by, [donor])
-        sizes = indexed.groupBy(*by).agg(F.max("pool_size").alias("_size"))
-        t = left.withColumn("_all", F.lit(1)).join(sizes, by)
-        t = t.withColumn("pool_idx", F.pmod(md5_int(F.concat(F.col(target).cast("string"), F.lit(f":{seed}"))), F.col("_size")))
-        hit = t.join(indexed.drop("pool_size"), [*by, "pool_idx"])
+        p = pool.select(*cols, donor)
+        indexed = position(p, cols, [donor], "pool_idx").withColumn("pool_idx", F.col("pool_idx") - 1)
+        sizes = p.groupBy(*cols).agg(F.count(F.lit(1)).alias("_size"))
+        t = left.join(sizes, cols) if cols else left.withColumn("_size", sizes.scalar())
+        draw = md5_int(F.concat(F.col(target).cast("string"), F.lit(f":{seed}")))
+        t = t.where(F.col("_size") > 0).withColumn("pool_idx", F.pmod(draw, F.col("_size")))
+        hit = t.join(indexed, [*cols, "pool_idx"])
         done.append(hit.select(target, donor, F.lit(i).alias("match_level")))
-        left = left.join(sizes.select(*cols), cols, "left_anti") if cols else left.limit(0)
+        if not cols:
+            break  # everybody left has been matched against the whole pool
+        left = left.join(sizes.select(*cols), cols, "left_anti")
     return reduce(DataFrame.unionByName, done)
 
 
