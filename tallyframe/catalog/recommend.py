@@ -342,7 +342,24 @@ def _(spark, sf):
     return rounded(s.mmr(offers(spark, sf), "customer_id", "item_id", "score", "embedding", 3), "score", "mmr")
 
 
-@query("diverse_offers_dpp", "O5")
+def _det3(a, b, c, x, y, z):
+    """Determinant of a symmetric 3 x 3 matrix with diagonal a, b, c and off-diagonal x (ab), y (ac), z (bc)."""
+    return f"({a} * ({b} * {c} - {z} * {z}) - {x} * ({x} * {c} - {z} * {y}) + {y} * ({x} * {z} - {b} * {y}))"
+
+
+_DPP = f"""{_OFFERS.format(u=unit("customer_id || ':' || item_id"))}, p AS (SELECT *, row_number() OVER w AS r, 0.7 * score / (max(score) OVER (PARTITION BY customer_id) + 1e-12) + (1 - 0.7) AS q FROM sc WINDOW w AS (PARTITION BY customer_id ORDER BY score DESC, item_id) QUALIFY r <= 15),
+  a1 AS (SELECT * FROM p WHERE r = 1),
+  g2 AS (SELECT p.*, a1.q * p.q * {_cos('a1.v', 'p.v')} AS k1, a1.q * a1.q + 1e-8 AS d1 FROM p JOIN a1 USING (customer_id) WHERE p.r > 1),
+  a2 AS (SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d1 * (q * q + 1e-8) - k1 * k1 DESC, r) = 1),
+  g3 AS (SELECT g2.*, {_det3('g2.d1', '(a2.q * a2.q + 1e-8)', '(g2.q * g2.q + 1e-8)', 'a2.k1', 'g2.k1', f"(a2.q * g2.q * {_cos('a2.v', 'g2.v')})")} AS det FROM g2 JOIN a2 USING (customer_id) WHERE g2.r <> a2.r),
+  a3 AS (SELECT * FROM g3 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY det DESC, r) = 1)"""
+
+
+@query(
+    "diverse_offers_dpp",
+    "O5",
+    f"WITH {_DPP} SELECT customer_id, item_id, round(score, 6) AS score, 1 AS rank FROM a1 UNION ALL SELECT customer_id, item_id, round(score, 6), 2 FROM a2 UNION ALL SELECT customer_id, item_id, round(score, 6), 3 FROM a3",
+)
 def _(spark, sf):
     return rounded(s.dpp(offers(spark, sf), "customer_id", "item_id", "score", "embedding", 3), "score")
 

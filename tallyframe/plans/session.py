@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows one task may hold of one group before the chunked plans take over.
@@ -12,7 +14,11 @@ GROUP_ROWS = 2_000_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings the plans rely on: adaptive execution with skew splitting, UTC."""
+    """Runtime settings the plans rely on: adaptive execution with skew splitting, UTC.
+
+    The package's functions travel to the Python workers by value, so executors need no copy of it.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["tallyframe"])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
