@@ -25,22 +25,25 @@ def summary(spark, sf):
 @query(
     "txn_summary",
     "A1",
-    f"""WITH {TXN}, {_SUMMARY} SELECT user_id, txn_count, round(txn_total, 4) AS txn_total, round(txn_mean, 4) AS txn_mean, round(txn_std, 4) AS txn_std, txn_max, txn_min,
+    f"""WITH {TXN}, {_SUMMARY} SELECT user_id, txn_count, round(txn_total, 4) AS txn_total, round(txn_mean * txn_count, 2) AS mean_times_n, round(txn_std, 4) AS txn_std, txn_max, txn_min,
        CAST(last_date AS VARCHAR) AS last_date, n_merchants, n_states, round(error_rate, 6) AS error_rate FROM s""",
 )
 def _(spark, sf):
-    return rounded(rounded(summary(spark, sf), "txn_total", "txn_mean", "txn_std", digits=4), "error_rate").withColumn("last_date", F.col("last_date").cast("string"))
+    out = rounded(rounded(summary(spark, sf), "txn_total", "txn_std", digits=4), "error_rate").withColumn("last_date", F.col("last_date").cast("string"))
+    # a mean of cent amounts is compared as mean * count, which has no rounding ties
+    return out.withColumn("mean_times_n", F.round(F.col("txn_mean") * F.col("txn_count"), 2)).drop("txn_mean")
 
 
 @query(
     "rfm_block",
     "A2",
     f"""WITH {TXN}, {_SUMMARY} SELECT c_custkey AS user_id, c_mktsegment, coalesce(date_diff('day', last_date, DATE '2002-01-01'), 9999)::INTEGER AS recency, coalesce(txn_count, 0) AS frequency,
-       round(coalesce(txn_total, 0), 4) AS monetary, round(coalesce(txn_mean, 0), 4) AS avg_amount FROM customer LEFT JOIN s ON user_id = c_custkey""",
+       round(coalesce(txn_total, 0), 4) AS monetary, round(coalesce(txn_mean * txn_count, 0), 2) AS mean_times_n FROM customer LEFT JOIN s ON user_id = c_custkey""",
 )
 def _(spark, sf):
     users = table(spark, sf, "customer").withColumnRenamed("c_custkey", "user_id")
-    return rounded(a.rfm(users, summary(spark, sf), "user_id", "2002-01-01", ["c_mktsegment"]), "monetary", "avg_amount", digits=4)
+    out = rounded(a.rfm(users, summary(spark, sf), "user_id", "2002-01-01", ["c_mktsegment"]), "monetary", digits=4)
+    return out.withColumn("mean_times_n", F.round(F.col("avg_amount") * F.col("frequency"), 2)).drop("avg_amount")
 
 
 _TOPS = "tops AS (SELECT mcc, row_number() OVER (ORDER BY count(*) DESC, mcc) AS r FROM txn GROUP BY 1)"
