@@ -146,12 +146,12 @@ def _(spark, sf):
 @query(
     "fact_timeline_expire",
     "J11",
-    f"""WITH {_FACTS} SELECT fact_id, entity_id, value, epoch(valid_from)::BIGINT AS f, coalesce(epoch(CASE WHEN value = '5-LOW' AND valid_to IS NULL THEN TIMESTAMP '2002-01-01' ELSE valid_to END)::BIGINT, -1) AS t FROM facts WHERE entity_id = 605""",
+    f"""WITH {_FACTS} SELECT fact_id, entity_id, value, epoch(valid_from)::BIGINT AS f, coalesce(epoch(CASE WHEN value = '5-LOW' AND valid_to IS NULL THEN TIMESTAMP '2002-01-01' ELSE valid_to END)::BIGINT, -1) AS t FROM facts""",
 )
 def _(spark, sf):
     facts = _facts(spark, sf)
     out = j.expire(facts, facts.where("value = '5-LOW'"), "2002-01-01")
-    out = j.timeline(out, ("entity_id", 605), "priority")
+    out = j.timeline(out, attribute="priority")
     return out.select("fact_id", "entity_id", "value", F.unix_seconds("valid_from").alias("f"), F.coalesce(F.unix_seconds("valid_to"), F.lit(-1)).alias("t"))
 
 

@@ -97,13 +97,18 @@ def _(spark, sf):
     return rounded(r.pass_rates(r.apply_filters(r.composite_score(candidates(spark, sf), CFG), chain())), "share")
 
 
-@query("filter_owned_anti_join", "R6", "SELECT c_custkey AS customer_id, p_partkey AS item_id FROM customer JOIN part ON p_partkey % 40 = c_custkey % 40 WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_partkey = p_partkey)")
+@query(
+    "filter_owned_anti_join",
+    "R6",
+    """WITH l AS (SELECT o_custkey AS customer_id, l_partkey AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT DISTINCT customer_id, (item_id * 7 + 3) % (SELECT count(*) FROM part) AS item_id FROM l)
+       SELECT customer_id, item_id FROM c WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.customer_id = c.customer_id AND l.item_id = c.item_id)""",
+)
 def _(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     owned = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("customer_id"), F.col("l_partkey").alias("item_id"))
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), (F.col("c_custkey") % 40).alias("g"))
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 40).alias("g"))
-    return c.join(p, "g").drop("g").join(owned, ["customer_id", "item_id"], "left_anti")
+    n = table(spark, sf, "part").count()
+    offered = owned.select("customer_id", ((F.col("item_id") * 7 + 3) % n).alias("item_id")).distinct()
+    return offered.join(owned, ["customer_id", "item_id"], "left_anti")
 
 
 @query(
@@ -298,7 +303,7 @@ def _(spark, sf):
 @query(
     "case_search_decayed",
     "R14 G8",
-    """WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE label = 3), c AS (SELECT vec_id, embedding AS v, exp(-(vec_id % 200) * ln(2) / 90) AS w FROM embeddings),
+    """WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings), c AS (SELECT vec_id, embedding AS v, exp(-(vec_id % 200) * ln(2) / 90) AS w FROM embeddings),
        p AS (SELECT qid, vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) / sqrt(list_dot_product(q.v::DOUBLE[], q.v::DOUBLE[]) * list_dot_product(c.v::DOUBLE[], c.v::DOUBLE[])) * w AS s FROM q CROSS JOIN c WHERE qid <> vec_id)
        SELECT qid, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 5""",
 )
@@ -306,7 +311,7 @@ def _(spark, sf):
     e = table(spark, sf, "embeddings")
     day = F.date_sub(F.lit("2024-06-01").cast("date"), F.col("vec_id").cast("int") % 200).cast("timestamp")
     corpus = s.age_decay(e.withColumn("at", day), "at", "2024-06-01", 90.0)
-    out = s.knn(e.where("label = 3").select(F.col("vec_id").alias("qid"), "embedding"), corpus, "qid", "vec_id", "embedding", 5, "decay")
+    out = s.knn(e.select(F.col("vec_id").alias("qid"), "embedding"), corpus, "qid", "vec_id", "embedding", 5, "decay")
     return rounded(out, "similarity")
 
 

@@ -98,14 +98,14 @@ def asof_join(left: DataFrame, facts: DataFrame, keys: Sequence[str], ts: str, l
     return out.select("_row.*", F.when(ok, F.col("_last.lo")).alias(lo), *[F.when(ok, F.col(f"_last.{v}")).alias(v) for v in values])
 
 
-def timeline(facts: DataFrame, entity: tuple[str, object] | None = None, attribute: str | None = None) -> DataFrame:
-    """Facts of one entity and attribute in order of validity."""
+def timeline(facts: DataFrame, entity: tuple[str, object] | None = None, attribute: str | None = None, key: str = "entity_id") -> DataFrame:
+    """Facts in order of validity within each entity, optionally of one entity (column, value) or attribute."""
     out = facts
     if entity:
         out = out.where(F.col(entity[0]) == entity[1])
     if attribute:
         out = out.where(F.col("attribute") == attribute)
-    return out.orderBy("valid_from")
+    return out.orderBy(key, "attribute", "valid_from")
 
 
 def expire(facts: DataFrame, ids: DataFrame, t: str, key: str = "fact_id") -> DataFrame:
