@@ -26,6 +26,7 @@ class NormaliserConfig:
     prob_prefixes: Sequence[str] = ("prob_",)
     min_nunique: int = 20
     min_samples: int = 50
+    log_copies: bool = True
 
 
 @dataclass(frozen=True)
@@ -141,7 +142,7 @@ def normalize_fit(df: DataFrame, cols: Sequence[str], train: str | Column | None
                 heavy.append(c)
     classes = {c: _class_of(c, c in numeric, binary.get(c, False), cfg) for c in cols}
     cont = [c for c in cols if classes[c] == "continuous"]
-    logs = _confirmed(rows, [c for c in cont if c in heavy], cfg)
+    logs = _confirmed(rows, [c for c in cont if c in heavy], cfg) if cfg.log_copies else []
     return Normaliser(list(cols), classes, {c: mean[c] for c in cont}, {c: std[c] for c in cont}, logs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows one task may hold of one group before the chunked plans take over.
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = int(os.environ.get("TALLYFRAME_GROUP_ROWS", 2_000_000))
 
 
 def tune(spark: SparkSession) -> SparkSession:
