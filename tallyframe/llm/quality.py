@@ -7,125 +7,103 @@ logarithms, so 0 means equal and 1 disjoint.
 
 Defined results: a NULL or empty text has no words and zero counts and fails the base rules; a NULL
 language, or one with too small a share of all words, is compared with the reference of all texts; an
-empty table gives an empty result; ties among common words go to the smaller word; columns of
-the same name as a result column give way to it.
+empty table gives an empty result; ties among common words go to the smaller word; input columns
+named like a result column give way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.base import replaced
+from tallyframe.plans.session import written
 
 BLANK = r"[\x20\x09-\x0D]+"
 CLASSES = ("lower", "upper", "space", "digit", "symbol", "other")
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+Refs = dict[str | None, dict[str, list]]
 
 
-def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
+def _total(values: Column | str) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add `words` and the base counts of a text: see `base_counts`, and the character classes.
+def counted(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """`row` (the other input columns), `lang`, `text`, `words`, `n_dup_lines`, `chars` and a count per character class.
 
     Classes are counted by removing one class after the other, so each step scans less text.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = df.withColumns({"_t": t, "words": word_list(F.col(text))})
-    rest = "_t"
-    for name, pattern in (("lower", r"\p{Ll}+"), ("space", BLANK), ("upper", r"\p{Lu}+"), ("digit", r"[0-9]+"), ("symbol", r"[#*$%&|<>]+")):
-        d = d.withColumn(f"_{name}", F.regexp_replace(rest, pattern, ""))
-        d = d.withColumn(name, (F.length(rest) - F.length(f"_{name}")).cast("long"))
-        rest = f"_{name}"
-    return d.withColumn("other", F.length(rest).cast("long")).drop(*[f"_{n}" for n in CLASSES if n != "other"])
-
-
-def repeated_words(words: Column, n: int = 5) -> Column:
-    """Words that lie in an n-word window which the text holds twice or more.
-
-    Windows are compared by their 64-bit hashes. Most texts repeat none, which one distinct count
-    shows; the others sort (hash, position) pairs and add up what their repeated windows cover.
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() != text.lower()]
+    d = df.select(F.struct(*others).alias("row"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    lines = F.filter(F.split("body", "\n"), lambda x: F.regexp_replace(x, BLANK, "") != "")
+    d = d.withColumn("lines", lines).withColumn("r1", F.regexp_replace("body", "[a-z]+", ""))
+    d = d.withColumn("r2", F.regexp_replace("r1", BLANK, ""))
+    d = d.withColumn("r3", F.regexp_replace("r2", "[A-Z]+", ""))
+    d = d.withColumn("r4", F.regexp_replace("r3", "[0-9]+", ""))
+    d = d.withColumn("r5", F.regexp_replace("r4", r"[#*$%&|<>]+", ""))
+    steps = {"lower": ("body", "r1"), "space": ("r1", "r2"), "upper": ("r2", "r3"), "digit": ("r3", "r4"), "symbol": ("r4", "r5")}
+    sizes = {n: (F.length(a) - F.length(b)).cast("long").alias(n) for n, (a, b) in steps.items()}
+    sizes["other"] = F.length("r5").cast("long").alias("other")
+    dups = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines")
+    return d.select("row", "lang", "text", F.filter(F.split("body", BLANK), lambda w: w != "").alias("words"), dups, F.length("body").cast("long").alias("chars"), *[sizes[c] for c in CLASSES])
+
+
+def with_repeats(d: DataFrame) -> DataFrame:
+    """Add `n_repeat_words`: words that lie in a 5-word window which the text holds twice or more.
+
+    Windows are compared by their 64-bit hashes, built from those of 2 and 4 words. Most texts
+    repeat no window, which one distinct count shows; the others sort (hash, position) pairs and add
+    up what their repeated windows cover.
     """
-    size = F.size(words)
-    codes = F.transform(words, lambda w: F.xxhash64(w))
-    last = F.greatest(size - n, F.lit(-1))
-    hashes = F.when(
-        size < n, F.array().cast("array<bigint>")
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_codes"), i + j) for j in range(n)])))
-    return codes, hashes
-
-
-def with_repeats(df: DataFrame, n: int = 5) -> DataFrame:
-    """Add `n_repeat_words` to a frame with a `words` column."""
-    codes, hashes = repeated_words(F.col("words"), n)
-    d = df.withColumn("_codes", codes).withColumn("_hashes", hashes)
-    pairs = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    cut = lambda c, by, n: F.slice(c, by + 1, F.greatest(F.size("words") - n, F.lit(0)))
+    pair = lambda a, b: F.xxhash64(a, b)
+    d = d.withColumn("two", F.zip_with(cut("words", 0, 1), cut("words", 1, 1), pair))
+    d = d.withColumn("five", F.zip_with(F.zip_with(cut("two", 0, 4), cut("two", 2, 4), pair), cut("words", 4, 4), pair))
+    pairs = F.sort_array(F.transform("five", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    d = d.withColumn("_pairs", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), pairs).otherwise(none))
-    same = lambda a, b: F.get(F.col("_pairs"), a)["h"] == F.get(F.col("_pairs"), b)["h"]
-    found = F.filter("_pairs", lambda p, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
-    d = d.withColumn("_at", F.sort_array(F.transform(found, lambda p: p["i"])))
-    covered = F.aggregate(
-        F.transform("_at", lambda p, i: F.least(F.lit(n), F.coalesce(F.get(F.col("_at"), i + 1) - p, F.lit(n)))),
-        F.lit(0).cast("long"),
-        lambda s, x: s + x,
-    )
-    return d.withColumn("n_repeat_words", covered).drop("_codes", "_hashes", "_pairs", "_at")
+    d = d.withColumn("pairs", F.when(F.size(F.array_distinct("five")) < F.size("five"), pairs).otherwise(none)).drop("two", "five")
+    same = lambda a, b: F.coalesce(F.get(F.col("pairs"), a)["h"] == F.get(F.col("pairs"), b)["h"], F.lit(False))
+    found = F.filter("pairs", lambda p, i: same(i, i - 1) | same(i, i + 1))
+    d = d.withColumn("at", F.sort_array(F.transform(found, lambda p: p["i"])))
+    ends = F.transform("at", lambda p, i: F.least(F.lit(5), F.coalesce(F.get(F.col("at"), i + 1) - p, F.lit(5))).cast("long"))
+    return d.withColumn("n_repeat_words", F.aggregate(ends, F.lit(0).cast("long"), lambda s, x: s + x)).drop("pairs", "at")
 
 
-def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Append `n_words`, `word_chars`, `n_symbols`, `n_dup_lines` and `n_repeat_words` (long)."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.regexp_replace(x, BLANK, "") != "")
-    d = with_repeats(with_counts(df, text)).withColumn("_lines", lines)
-    return d.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "word_chars": (F.length("_t") - F.col("space")).cast("long"),
-        "n_symbols": F.col("symbol"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-    }).drop("_lines")
-
-
-def references(df: DataFrame, text: str = "text", lang: str = "lang", bins: int = 20, max_chars: int = 5, min_share: float = 0.001) -> dict[str | None, dict]:
+def references(df: DataFrame, text: str = "text", lang: str = "lang", bins: int = 10, max_chars: int = 5, min_share: float = 0.001) -> Refs:
     """Class shares and common words of every language, and of all texts under None.
 
-    Counts cover every text. Common words are the `bins` commonest of at most `max_chars`
-    characters. Only languages with `min_share` of all words have a reference of their own, so there
-    are at most 1 / min_share of them, which bounds what the driver receives and what becomes part
-    of the plan.
+    All texts are counted. The `bins` commonest words of at most `max_chars` characters are the
+    common words. Only languages with `min_share` of all words have a
+    reference of their own, so there are at most 1 / min_share, which bounds what the driver
+    receives and what becomes part of the plan.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(F.col(lang).alias("lang"), t.alias("text"))
-    counted = with_counts(base).select("lang", "words", *CLASSES)
-    sums = counted.groupBy("lang").agg(F.sum(F.size("words")).alias("n"), *[F.sum(c).alias(c) for c in CLASSES])
-    total = sums.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASSES]).first()
-    if not total["n"]:
+    body = F.coalesce(F.col(text), F.lit(""))
+    each = df.select(F.col(lang).alias("lang"), F.explode(F.split(body, BLANK)).alias("w")).where(F.col("w") != "")
+    # Longer words only count towards the total; they share the empty name.
+    named = each.select("lang", F.when(F.length("w") <= max_chars, F.col("w")).otherwise(F.lit("")).alias("w"))
+    counts = written(named.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")))
+    chars = written(counted(df, text, lang).groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES]))
+    total = counts.agg(F.sum("c")).first()[0]
+    if not total:
         return {}
-    own = sums.where(F.col("lang").isNotNull() & (F.col("n") >= min_share * total["n"])).collect()
-    names = [r["lang"] for r in own]
-    group = F.when(F.col("lang").isin(*names), F.col("lang")) if names else F.lit(None).cast("string")
-    short = base.select(
-        group.alias("lang"),
-        F.explode(F.filter(F.split(F.lower("text"), BLANK), lambda w: (w != "") & (F.length(w) <= max_chars))).alias("word"),
-    )
-    counts = short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
-    best: dict[str | None, list] = {}
-    for name in [*names, None]:
-        mine = counts.where(F.col("lang") == name) if name is not None else counts.groupBy("word").agg(F.sum("c").alias("c"))
-        best[name] = mine
-    ranked = None
-    for name, mine in best.items():
-        top = mine.orderBy(F.desc("c"), "word").limit(bins).select(F.lit(name).cast("string").alias("lang"), "word", "c")
-        ranked = top if ranked is None else ranked.union(top)
-    words: dict[str | None, list] = {}
-    for r in ranked.collect():
-        words.setdefault(r["lang"], []).append((r["word"], r["c"]))
-    out = {}
-    for r, name in [(r, r["lang"]) for r in own] + [(total, None)]:
-        chars = sum(r[c] for c in CLASSES)
-        top = sorted(words.get(name, []), key=lambda x: (-x[1], x[0]))
-        shares = [c / r["n"] for _, c in top]
-        out[name] = {"classes": [r[c] / chars for c in CLASSES], "words": [w for w, _ in top], "shares": [*shares, max(0.0, 1 - sum(shares))]}
+    sums = counts.groupBy("lang").agg(F.sum("c").alias("n"))
+    words = {r["lang"]: r["n"] for r in sums.where(F.col("lang").isNotNull() & (F.col("n") >= min_share * total)).collect()}
+    own = list(words)
+    words[None] = total
+    pooled = counts.groupBy("w").agg(F.sum("c").alias("c")).select(F.lit(None).cast("string").alias("lang"), "w", "c")
+    groups = (counts.where(F.col("lang").isin(*own)).unionByName(pooled) if own else pooled).where("w <> ''")
+    ranked = groups.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w")))
+    best = ranked.where(F.col("r") <= bins).collect()
+    classes = {r["lang"]: r for r in chars.where(F.col("lang").isin(*own)).collect()} if own else {}
+    classes[None] = chars.agg(*[F.sum(c).alias(c) for c in CLASSES]).first()
+    out: Refs = {}
+    for name in [*own, None]:
+        top = sorted((-r["c"], r["w"]) for r in best if r["lang"] == name)
+        every = sum(classes[name][c] for c in CLASSES)
+        shares = [-c / words[name] for c, _ in top]
+        out[name] = {"classes": [classes[name][c] / every for c in CLASSES], "words": [w for _, w in top], "shares": [*shares, max(0.0, 1 - sum(shares))]}
     return out
 
 
@@ -135,17 +113,16 @@ def js_distance(p: Column, q: Column) -> Column:
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
-    both = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    return F.sqrt(F.greatest(_total(F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))) / 2, F.lit(0.0)))
 
 
 def divergence(
     df: DataFrame,
-    refs: dict[str | None, dict],
+    refs: Refs,
     text: str = "text",
     lang: str = "lang",
-    max_classes: float = 0.5,
-    max_words: float = 0.75,
+    max_classes: float = 0.25,
+    max_words: float = 0.45,
     min_chars: int = 200,
     min_words: int = 200,
 ) -> DataFrame:
@@ -156,33 +133,39 @@ def divergence(
     `min_chars` and `min_words` leave short texts, whose histograms are too coarse, to the base
     rules: their distances are NULL.
     """
-    d = base_counts(df, text)
-
-    def lit(values: list) -> Column:
-        kind = "array<string>" if values and isinstance(values[0], str) else "array<double>"
-        return F.array(*[F.lit(v) for v in values]).cast(kind)
-
-    def chosen(field: str) -> Column:
-        out = None
-        for name, ref in refs.items():
-            if name is not None:
-                out = (F.when if out is None else out.when)(F.col(lang) == name, lit(ref[field]))
-        rest = lit(refs[None][field]) if refs else lit([])
-        return rest if out is None else out.otherwise(rest)
-
-    chars = F.length("_t")
-    d = d.withColumns({"_rc": chosen("classes"), "_rw": chosen("words"), "_rs": chosen("shares")})
-    # Two blanks between words keep the occurrences of " word " apart, so lengths count them.
-    d = d.withColumn("_norm", F.when(F.col("n_words") >= min_words, F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" "))))
-    d = d.withColumn("_hits", F.transform("_rw", lambda w: (F.length("_norm") - F.length(F.replace(F.col("_norm"), F.concat(F.lit(" "), w, F.lit(" "))))) / (F.length(w) + 2)))
-    d = d.withColumn("_rest", F.col("n_words") - F.aggregate("_hits", F.lit(0.0), lambda s, x: s + x))
-    word_shares = F.transform(F.concat("_hits", F.array("_rest")), lambda x: x / F.col("n_words"))
-    class_shares = F.array(*[F.col(c) / chars for c in CLASSES])
-    known = F.size("_rc") > 0
+    d = with_repeats(counted(df, text, lang))
+
+    def chosen(field: str, kind: str) -> Column:
+        lit = lambda ref: F.array(*[F.lit(v) for v in ref[field]]).cast(f"array<{kind}>")
+        rest = lit(refs[None]) if refs else F.array().cast(f"array<{kind}>")
+        cases = [(F.col("lang") == n, lit(r)) for n, r in refs.items() if n is not None]
+        return reduce(lambda out, c: F.when(c[0], c[1]).otherwise(out), cases, rest)
+
+    d = d.withColumns({"n_words": F.size("words").cast("long"), "rc": chosen("classes", "double"), "rw": chosen("words", "string"), "rs": chosen("shares", "double")})
+    longest = max((len(w.encode()) for r in refs.values() for w in r["words"]), default=0)
+    bins = max((len(r["words"]) for r in refs.values()), default=0)
+    d = d.withColumn("short", F.when(F.col("n_words") >= min_words, F.filter("words", lambda w: F.octet_length(w) <= longest)))
+    # One expression per bin: `short` is then used several times, so Spark computes it once.
+    found = [F.size(F.filter("short", lambda w, i=i: w == F.get(F.col("rw"), F.lit(i)))).cast("double") for i in range(bins)]
+    d = d.withColumn("hits", F.slice(F.array(*found).cast("array<double>"), F.lit(1), F.size("rw")))
+    word_shares = F.transform(F.concat("hits", F.array(F.col("n_words") - _total("hits"))), lambda x: x / F.col("n_words"))
+    class_shares = F.array(*[F.col(c) / F.col("chars") for c in CLASSES])
+    known = F.size("rc") > 0
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     d = d.withColumns({
-        "class_distance": F.when(known & (chars >= min_chars), js_distance(class_shares, F.col("_rc"))),
-        "word_distance": F.when(known & (F.col("n_words") >= min_words), js_distance(word_shares, F.col("_rs"))),
-        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+        "class_distance": F.when(known & (F.col("chars") >= min_chars) & (F.col("chars") > 0), js_distance(class_shares, F.col("rc"))),
+        "word_distance": F.when(known & (F.col("n_words") >= min_words) & (F.col("n_words") > 0), js_distance(word_shares, F.col("rs"))),
     })
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= max_classes) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= max_words)
-    return d.withColumn("kept", kept).drop("_t", "_rc", "_rw", "_rs", "_norm", "_hits", "_rest", "words", *CLASSES)
+    near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= max_classes) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= max_words)
+    return d.select(
+        *[F.col("text").alias(c) if c.lower() == text.lower() else F.col(f"row.`{c}`") for c in df.columns if c.lower() not in RESULT],
+        "n_words",
+        (F.col("chars") - F.col("space")).alias("word_chars"),
+        F.col("symbol").alias("n_symbols"),
+        "n_dup_lines",
+        "n_repeat_words",
+        "class_distance",
+        "word_distance",
+        failed.alias("base_failed"),
+        (~failed & near).alias("kept"),
+    )
