@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check import TABLES, norm  # noqa: E402
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from tallyframe.catalog.registry import QUERIES, SQL  # noqa: E402  filled by the entry module
 
 
 @pytest.fixture(scope="module")
