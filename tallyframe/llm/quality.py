@@ -146,7 +146,8 @@ def divergence(
     bins = max((len(r["words"]) for r in refs.values()), default=0)
     d = d.withColumn("short", F.when(F.col("n_words") >= min_words, F.filter("words", lambda w: F.octet_length(w) <= longest)))
     # One expression per bin: `short` is then used several times, so Spark computes it once.
-    found = [F.size(F.filter("short", lambda w, i=i: w == F.get(F.col("rw"), F.lit(i)))).cast("double") for i in range(bins)]
+    occurs = lambda i: F.size(F.filter("short", lambda w: w == F.get(F.col("rw"), F.lit(i)))).cast("double")
+    found = [occurs(i) for i in range(bins)]
     d = d.withColumn("hits", F.slice(F.array(*found).cast("array<double>"), F.lit(1), F.size("rw")))
     word_shares = F.transform(F.concat("hits", F.array(F.col("n_words") - _total("hits"))), lambda x: x / F.col("n_words"))
     class_shares = F.array(*[F.col(c) / F.col("chars") for c in CLASSES])
