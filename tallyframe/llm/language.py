@@ -172,7 +172,7 @@ def learn(
 
 def _slots(key: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     for j in range(1, HASHES + 1):
-        yield (mix(key + U64(j) * STEP) % U64(slots)).astype(np.int64)
+        yield (mix(key + U64(j * int(STEP) % 2**64)) % U64(slots)).astype(np.int64)
 
 
 def scorer(model: Filter) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import language, pii
+from tallyframe.llm import decontaminate, language, pii, toxicity
 from tallyframe.llm.base import fold, query
 
 
@@ -25,3 +25,21 @@ def op8_pii_anchors(spark, sf):
     count = lambda kind: F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("s", lambda s: s["kind"].isin(*pii.BASE))
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("s")).alias("spans"))
+
+
+@query("op4_spaced_seeds")
+def op4_spaced_seeds(spark, sf):
+    """Every overlap of a document with a benchmark item, positions in words."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return out.where(F.size("overlap") > 0).select("doc_id", F.explode("overlap").alias("o")).select("doc_id", "o.*")
+
+
+@query("op7_toxicity_cnn")
+def op7_toxicity_cnn(spark, sf):
+    """Toxicity of every document, learned from labels of four fifths of them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    out = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity.score(model).alias("score"))
+    return out.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
