@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import jaccard
-from tallyframe.llm.base import query
+from pyspark.sql import functions as F
+
+from tallyframe.llm import interpolation, jaccard
+from tallyframe.llm.base import fold, query
+
+
+@query("op1_deleted_interpolation")
+def op1_deleted_interpolation(spark, sf):
+    """Log10 probability of every document under the interpolated bigram model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = interpolation.score(docs, fold("doc_id", 10))
+    return out.select("doc_id", (F.col("part") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @query("op6_parity_join")

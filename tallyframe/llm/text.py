@@ -151,3 +151,18 @@ def unpack(block: bytes) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
         at += size * kind.itemsize
     return out
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches joined and cut so that their texts hold about `limit` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in slices(batches, column, limit):
+        off = flat(b.column(b.schema.get_field_index(column)))[1]
+        if held and size + off[-1] > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(b)
+        size += int(off[-1])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
