@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import interpolation, jaccard
+from tallyframe.llm import interpolation, jaccard, suffixes
 from tallyframe.llm.base import fold, query
 
 
@@ -20,3 +20,10 @@ def op1_deleted_interpolation(spark, sf):
 def op6_parity_join(spark, sf):
     """The near-duplicate component of every document."""
     return jaccard.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf):
+    """What repeated 400-byte strings leave of every document."""
+    out = suffixes.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
