@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType
 
 from tallyframe.llm.components import components
 from tallyframe.llm.text import STEP, U64, flat, grams, mix, owners, pack, ranges, slices, unpack, words
@@ -230,12 +231,12 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(blocks)
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def _near(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
     return pa.array([9 * hamming(x.as_py(), y.as_py()) <= t.as_py() for x, y, t in zip(a, b, n)], pa.bool_())
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a, b):
@@ -322,13 +323,43 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(ra, "a", "left").join(rb, "b", "left").where(far).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest key reachable by links, itself included."""
+@F.arrow_udf(LongType())
+def class_key(text: pa.Array) -> pa.Array:
+    """Hash of a text's shingle set; 0 for the empty set."""
+    out = [np.zeros(0, U64)]
+    for b in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), limit=BLOCK):
+        out.append(set_keys(*shingles(*flat(b["text"]))))
+    return pa.array(np.concatenate(out).view(np.int64))
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n, key, low, root) of every text with words: its class, the class's smallest doc_id, its component."""
     members, roots = link_classes(docs, key, text)
     own = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     named = written(own.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "low", F.coalesce("root", "key").alias("root")))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = named.join(lowest, "root").select("key", "component_id")
-    some = members.where("n > 0").join(final, "key")
-    out = some.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return members.join(named, "key", "left")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest key reachable by links, itself included."""
+    rows = grouped(docs, key, text)
+    lowest = rows.where("n > 0").groupBy(F.col("root")).agg(F.min("low").alias("component_id"))
+    some = rows.where("n > 0").join(lowest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of every component: the one with the smallest key (of equal ones the smallest class).
+
+    Texts without words belong to no component and stay.
+    """
+    rows = grouped(docs, key, text)
+    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
+    best = best.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    twice = not rows.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    marked = docs.withColumn("_class", class_key(F.col(text)))
+    out = marked.join(best, marked[key].cast("long").eqNullSafe(best["_id"]) & (marked["_class"] == best["_key"]), "left_semi")
+    if twice:
+        empty = out.where("_class = 0")
+        out = out.where("_class <> 0").dropDuplicates([key, "_class"]).unionByName(empty)
+    return out.drop("_class")

@@ -219,6 +219,12 @@ def predict(model: Filter, text: str = "text") -> Column:
     return run(F.col(text))
 
 
+def letters(text: str = "text") -> Column:
+    """The struct of `predict` where there is no language to learn from: score 1 if the text has a letter."""
+    has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    return F.struct(F.when(has, F.lit("any")).otherwise(F.lit("und")).alias("lang_pred"), has.cast("double").alias("score"))
+
+
 def identify(df: DataFrame, model: Filter, text: str = "text") -> DataFrame:
     """Append `lang_pred` and `score`."""
     out = replaced(df, _language=predict(model, text))

@@ -25,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -296,10 +297,10 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
     return out
 
 
-FORM = "key long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"
+HEAD = "key long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, "
 
 
-def _encode(model: Model, k: int, theta: float, seed: int, block: int):
+def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in gathered(batches, 8 * block):
             points, at, _ = chunks(*flat(big["text"]))
@@ -319,12 +320,12 @@ def _encode(model: Model, k: int, theta: float, seed: int, block: int):
                 keys = b["key"].fill_null(0).to_numpy()
                 null = b["key"].is_null().to_numpy(zero_copy_only=False)
                 seeds = mix(keys.view(U64) * STEP + U64(seed) + null.astype(U64) * U64(7919))
-                yield _rows(b["key"], sample(lat, kinds, first, seeds, k), lat, k)
+                yield _rows(b["key"], sample(lat, kinds, first, seeds, k), lat, decoder(model) if digest else None)
 
     return run
 
 
-def _rows(keys: pa.Array, drawn: list, lat: Lattices, k: int) -> pa.RecordBatch:
+def _rows(keys: pa.Array, drawn: list, lat: Lattices, back) -> pa.RecordBatch:
     row, num, logp, value, incl, ids = [], [], [], [], [], []
     for i, found in enumerate(drawn):
         whole = [x for x in found if x[2] is not None]
@@ -335,21 +336,38 @@ def _rows(keys: pa.Array, drawn: list, lat: Lattices, k: int) -> pa.RecordBatch:
             logp.append(f)
             value.append(g)
             x = f - bound
-            incl.append(0.0 if x > 40 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
+            incl.append(0.0 if x > 4 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))) + 0.0)
             ids.append(lat.ids[ranges(lat.ids_off[path], lat.ids_off[path + 1] - lat.ids_off[path])])
     sizes = np.array([x.size for x in ids], np.int32)
+    columns = [keys.take(pa.array(row, pa.int64())), pa.array(num, pa.int32()), pa.array(sizes), pa.array(logp), pa.array(value), pa.array(incl)]
+    names = ["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion"]
+    if back:
+        told = [[hashlib.sha256(x.tobytes()).hexdigest() for x in ids], [hashlib.sha256(back(x)).hexdigest() for x in ids]]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(t, pa.string()) for t in told)], [*names, "ids_sha256", "text_sha256"])
     flat_ids = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat_ids)
-    return pa.RecordBatch.from_arrays(
-        [keys.take(pa.array(row, pa.int64())), pa.array(num, pa.int32()), pa.array(sizes), pa.array(logp), pa.array(value), pa.array(incl), lists],
-        ["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids"],
-    )
-
-
-def encode(docs: DataFrame, model: Model, k: int = 3, theta: float = 1.0, seed: int = 1, key: str = "doc_id", text: str = "text", block: int = 1 << 20) -> DataFrame:
-    """Up to k distinct segmentations per row: `key`, sample (1 is the best), n_pieces, log_prob, perturbed, log_inclusion, ids."""
+    return pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
+
+
+def encode(
+    docs: DataFrame,
+    model: Model,
+    k: int = 3,
+    theta: float = 1.0,
+    seed: int = 1,
+    key: str = "doc_id",
+    text: str = "text",
+    digest: bool = False,
+    block: int = 1 << 20,
+) -> DataFrame:
+    """Up to k distinct segmentations per row: `key`, sample (1 is the best), n_pieces, log_prob, perturbed, log_inclusion, ids.
+
+    With `digest`, ids_sha256 (of the ids as 4-byte little-endian numbers) and text_sha256 (of the
+    text decoded from them) stand in place of the ids.
+    """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(_encode(model, k, theta, seed, block), FORM).withColumnRenamed("key", key)
+    last = "ids_sha256 string, text_sha256 string" if digest else "ids array<int>"
+    return rows.mapInArrow(_encode(model, k, theta, seed, block, digest), HEAD + last).withColumnRenamed("key", key)
 
 
 def decoder(model: Model):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, language, pii, toxicity
+from tallyframe.llm import decontaminate, language, lattice, pii, toxicity
 from tallyframe.llm.base import fold, query
 
 
@@ -26,6 +26,14 @@ def op8_pii_anchors(spark, sf):
     base = F.filter("s", lambda s: s["kind"].isin(*pii.BASE))
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("s")).alias("spans"))
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op2_sampled_pieces")
+def op2_sampled_pieces(spark, sf):
+    """Three distinct segmentations of every document, with digests of the ids and of the decoded text."""
+    return lattice.encode(spark.read.parquet(f"{sf}/documents.parquet"), lattice.load(PIECES), k=3, digest=True)
+
 
 @query("op4_spaced_seeds")
 def op4_spaced_seeds(spark, sf):

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tallyframe.llm.text import STEP, U64, flat, gathered, mix, pack, ranges, slices, unpack
 from tallyframe.plans.session import written
@@ -349,7 +350,7 @@ def covered(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     return texts, copies.unionByName(borders).unionByName(crowded)
 
 
-@F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>")
+@F.arrow_udf(StructType([*(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())]))
 def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for body, mine in zip(text, spans):
