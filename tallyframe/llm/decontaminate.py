@@ -3,8 +3,8 @@
 A mask is a fixed pattern of kept and ignored word positions. Every window of a benchmark item and
 of a text is hashed under each mask from its kept words only, so a window still matches when words at
 ignored positions were substituted. Equal hashes place the item beside the text on one diagonal;
-there all words are compared, and the best segment, in which at least four of five words agree, must
-reach `MIN_WORDS` words, or the whole item if that is shorter.
+there all words are compared, and the longest segment in which at least four of five words agree must
+have `MIN_WORDS` words, or all words of a shorter item.
 
 Any 13 aligned words with up to two substitutions are hit by one of the masks at least (a test tries
 all cases). Items with fewer words than a mask are hashed whole; items under 5 words are ignored.
@@ -56,6 +56,16 @@ def windows(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def longest_alike(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the longest (then first) segment in which four of five entries hold at least."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+    low = np.minimum.accumulate(total)
+    start = np.searchsorted(-low, -total)  # the first place that is no higher than each end
+    size = np.arange(total.size) - start
+    end = int(np.argmax(size))
+    return int(start[end]), end
+
+
 def build(ids: list[int], texts: list[str]) -> Seeds:
     h, off = words(*flat(pa.array(texts, pa.large_string())))
     lens = np.diff(off)
@@ -101,10 +111,7 @@ def matcher(seeds: Seeds):
             a, b = int(seeds.off[item]), int(seeds.off[item + 1])
             lo, hi = max(0, int(first[run]) - diagonal), min(b - a, int(first[run + 1]) - diagonal)
             equal = h[diagonal + lo : diagonal + hi] == seeds.words[a + lo : a + hi]
-            total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
-            low = np.minimum.accumulate(total)
-            end = int(np.argmax(total - low))
-            begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
+            begin, end = longest_alike(equal)
             if end - begin >= min(MIN_WORDS, b - a):
                 row = (int(equal[begin:end].sum()), -(diagonal + lo + begin - int(first[run])), end - begin, lo + begin)
                 if row > best.get((run, item), (0,)):

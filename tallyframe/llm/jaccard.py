@@ -9,11 +9,14 @@ two sketches differ never exceed the sets' symmetric difference.
 2. Pigeonhole join. Sets of one size band (powers of two; a set near its band's end also joins the next
    band) share a number of 64-bit cells. As at most a quarter of n cells can differ, classes that
    link agree in a cell among the first n/4 + 1 non-empty ones of any common order; cells of many
-   shingles come first, since unrelated texts rarely share those. SPARE further cells are kept.
+   shingles come first, since unrelated texts rarely share those. With `spare(n)` further cells, linked
+   classes agree in spare + 1 of the chosen cells at least.
 3. Tasks of one bucket of cells see which classes share a cell and report pairs. Where more than
-   CROWD classes share a cell, only pairs with the smallest class are reported. A class of which more
-   than SPARE cells are crowded could lose links by that; for those classes the crowded cells
-   are joined in full among classes that are still in different components (step 5).
+   CROWD classes share a cell, only pairs with the smallest class are reported. Linked classes that
+   these steps miss share spare + 1 crowded cells. Such a class is looked up, in step 5, by its crowded cells
+   without its `spare` commonest ones (a prefix filter once more), among classes that are still in other
+   components. Passages that many texts share thereby fall out, and what is left is compared by its bit
+   sketches inside tasks, in tiles.
 4. Bit sketches (one bit per shingle, about two bits a shingle) reject a pair when their Hamming
    distance exceeds (n1 + n2) / 9, the largest symmetric difference of linked sets.
 5. Surviving pairs are verified on the exact sets, those first that could connect two components;
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
@@ -41,12 +44,16 @@ from tallyframe.llm.components import components
 from tallyframe.llm.text import STEP, U64, flat, grams, mix, owners, pack, ranges, slices, unpack, words
 from tallyframe.plans.session import written
 
-SPARE = 8
 CROWD = 8
-SINGLE = 64
+PART = 1500
 BLOCK = 12 << 20
 
 
+def spare(n):
+    """Cells kept beyond those that the pigeonhole needs, for numbers and for columns."""
+    return n // 8 + 8 if not isinstance(n, Column) else F.floor(n / 8) + 8
+
+
 def shingles(data: np.ndarray, off: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, and n + 1 offsets."""
     h, first = words(data, off)
@@ -114,7 +121,7 @@ def _cells(g: np.ndarray, off: np.ndarray, band: np.ndarray) -> tuple[np.ndarray
     own, sig = own[order], sig[order]
     start = np.searchsorted(own, np.arange(n.size))
     total = np.diff(np.append(start, own.size))
-    want = n // 4 + 1 + SPARE
+    want = n // 4 + 1 + spare(n)
     first = np.arange(own.size) - start[own] < want[own]
     sig, mine = sig[first], own[first]
     lacking = np.flatnonzero((total < n // 4 + 1) & (band >= 6) & (n > 0))
@@ -298,16 +305,83 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
 
     links, roots = settle(plausible(found.where("not crowded").select("a", "b").distinct()), spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long"))
     crowded = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("cell")).distinct()
-    # Classes whose crowded cells leave too few others to be sure of every link.
-    unsure = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPARE).select("key")
-    short = classes.where(F.col("n") < 4 * SINGLE).select("key")
-    open_ = written(_open_cells(crowded.join(unsure.union(short).distinct(), "key", "left_semi"), roots))
+    open_ = written(_open_cells(_needed_cells(crowded, classes), roots))
     if not open_.isEmpty():
-        x, y = open_.select("cell", F.col("key").alias("a"), F.col("root").alias("ra")), open_.select("cell", F.col("key").alias("b"), F.col("root").alias("rb"))
-        links, roots = settle(plausible(x.join(y, "cell").where("a < b and ra <> rb").select("a", "b").distinct()), links, roots)
+        links, roots = settle(written(_compare_open(open_, classes)), links, roots)
     return members, roots
 
 
+def _compare_open(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes from different components, joined by open cells, whose sketches are near.
+
+    Components that meet in an open cell form a group. Its members are dealt into parts of about PART,
+    every two parts meet in one task, and only pairs within the Hamming bound leave it.
+    """
+    meet = Window.partitionBy("cell")
+    edges = open_.select(F.min("root").over(meet).alias("a"), F.col("root").alias("b")).distinct()
+    group = components(edges)
+    member = open_.select("key", "root").distinct().join(group.select(F.col("node").alias("root"), F.col("root").alias("group")), "root")
+    parts = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = member.join(parts, "group").join(classes.select("key", "n", "sketch"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    each = dealt.select("group", "key", "root", "n", "sketch", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = each.select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "root", "n", "sketch")
+    return tiles.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_compare_tiles, "a long, b long").distinct()
+
+
+def _compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, i, j = rows[0][:3]
+        found = []
+        by_size: dict[int, list[tuple]] = {}
+        for r in rows:
+            by_size.setdefault(len(r[7]), []).append(r)
+
+        def table(mine: list[tuple], size: int):
+            words_ = np.stack([np.frombuffer(r[7], U64) for r in mine])
+            if words_.shape[1] > size:
+                words_ = np.bitwise_xor.reduce(words_.reshape(len(mine), -1, size), axis=1)
+            return words_, *(np.array([r[c] for r in mine], np.int64) for c in (3, 4, 5, 6))
+
+        for size, mine in by_size.items():
+            x, xp, xk, xr, xn = table(mine, size // 8)
+            for more in (size, 2 * size):
+                if more in by_size:
+                    y, yp, yk, yr, yn = table(by_size[more], size // 8)
+                    for c in range(len(mine)):
+                        fit = (yr != xr[c]) & (5 * xn[c] >= 4 * yn) & (5 * yn >= 4 * xn[c]) & ((yp != xp[c]) | (i == j))
+                        if more == size:
+                            fit &= yk > xk[c]
+                        fit = np.flatnonzero(fit)
+                        near = 9 * np.bitwise_count(y[fit] ^ x[c]).sum(1, dtype=np.int64) <= xn[c] + yn[fit]
+                        found += [(min(int(xk[c]), k), max(int(xk[c]), k)) for k in yk[fit[near]].tolist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    rows: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b[c].to_pylist() for c in ("group", "i", "j", "part", "key", "root", "n", "sketch"))):
+            if rows and r[:3] != rows[0][:3]:
+                yield from finish(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield from finish(rows)
+
+
+def _needed_cells(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class's crowded cells those that a lost link would need, the rarest ones.
+
+    A partner has four fifths of the shingles at least, hence so many spare cells; sets of under 12
+    shingles have no cells to spare.
+    """
+    often = crowded.groupBy("cell").agg(F.count(F.lit(1)).alias("often"))
+    shared = F.when(F.col("n") < 12, 1).otherwise(F.least(spare(F.floor(F.col("n") * 4 / 5)) + 1, F.col("n") - F.floor(F.col("n") / 4)))
+    many = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).join(classes.select("key", "n"), "key")
+    unsure = many.select("key", (F.col("many") - shared + 1).alias("keep")).where("keep > 0")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("often", "cell"))
+    return crowded.join(unsure, "key").join(often, "cell").withColumn("rank", rank).where("rank <= keep").select("key", "cell")
+
+
 def _open_cells(crowded: DataFrame, roots: DataFrame) -> DataFrame:
     """(cell, key, root) of the crowded cells whose classes lie in several components."""
     named = crowded.join(roots.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
@@ -354,7 +428,7 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     Texts without words belong to no component and stay.
     """
     rows = grouped(docs, key, text)
-    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
+    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
     best = best.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
     twice = not rows.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     marked = docs.withColumn("_class", class_key(F.col(text)))

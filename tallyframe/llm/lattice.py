@@ -225,7 +225,7 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
     out: list[list] = [[] for _ in range(n)]
     agenda: list[list[tuple]] = [[] for _ in range(n)]
     # What to continue: text, chunk, place in the chunk, value, log so far, arcs so far.
-    todo = [(t, int(first[t]), -1, float(-np.log(-np.log(_uniform(seed[t : t + 1], np.zeros(1), 1)[0]))), 0.0, np.zeros(0, np.int64)) for t in range(n)]
+    todo = [(t, int(first[t]), -1, float(-np.log(-np.log(_uniform(mix(seed[t : t + 1] + STEP), np.zeros(1), 1)[0]))), 0.0, np.zeros(0, np.int64)) for t in range(n)]
     arc_from = np.zeros(lat.to.size, np.int64)
     arc_from[ranges(lat.first[lat.count > 0], lat.count[lat.count > 0])] = np.repeat(np.flatnonzero(lat.count > 0), lat.count[lat.count > 0])
     for turn in range(k):
@@ -258,7 +258,7 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
         side += side >= arc[node]
         f = before[node] + lat.log[side]
         begin_here = here[node] - start_of[kind[chunk[row[node]]]]
-        u = _uniform(seed[text[of[node]]] + mix(local[row[node]].astype(U64)), begin_here, rank * 64 + 2 * turn + 1)
+        u = _uniform(seed[text[of[node]]] + mix(local[row[node]].astype(U64) + U64(1)), begin_here, rank * 64 + 2 * turn + 1)
         g = f - np.log(np.exp(f - value[of[node]]) - np.log(u))
         spot = np.searchsorted(of[node], np.arange(text.size + 1))
         want = k - turn

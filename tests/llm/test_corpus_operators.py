@@ -278,17 +278,16 @@ def test_masks_hit_every_double_substitution():
 
 
 def plain_overlaps(text, items):
-    """Items beside every place of the text; the best segment by +1 / -4."""
+    """Items beside every place of the text: the longest stretch with four of five words equal."""
     w, out = WORD.findall(low(text)), set()
     for item, t in items:
         b = WORD.findall(low(t))
         for d in range(-len(b) + 1, len(w)):
-            best = run = size = 0
-            for k in range(max(0, -d), min(len(b), len(w) - d)):
-                run, size = (0, 0) if run + (1 if w[d + k] == b[k] else -4) < 0 else (run + (1 if w[d + k] == b[k] else -4), size + 1)
-                if run > best or (run == best and run):
-                    best, longest = run, size
-            if best and longest >= min(13, len(b)) and len(b) >= 5:
+            same = [w[d + k] == b[k] for k in range(max(0, -d), min(len(b), len(w) - d))]
+            need = min(13, len(b))
+            if len(b) < 5 or 5 * sum(same) < 4 * need:
+                continue
+            if any(5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + need, len(same) + 1)):
                 out.add(item)
     return out
 
