@@ -229,7 +229,7 @@ def _(spark, sf):
 @query(
     "paired_t_test",
     "E16",
-    f"WITH {PRED}, d AS (SELECT task, s2 - s1 + 0.01 AS d FROM pred), g AS (SELECT task, count(*) AS n, avg(d) AS m, avg(d) / stddev_samp(d) * sqrt(count(*)) AS t FROM d GROUP BY 1) SELECT task, n, round(m, 6) AS mean_diff, round(t, 6) AS t, round(2 * (1 - {phi('least(abs(t), 8)')}), 6) AS p_value FROM g",
+    f"WITH {PRED}, d AS (SELECT task, s2 - s1 + 0.01 AS d FROM pred), g AS (SELECT task, count(*) AS n, avg(d) AS m, avg(d) / stddev_samp(d) * sqrt(count(*)) AS t FROM d GROUP BY 1) SELECT task, n, round(m, 6) AS mean_diff, round(t, 6) AS t, round(2 * (1 - {phi('least(z, 8)')}), 6) AS p_value FROM (SELECT *, (((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + 48 * a * a) + y + 3) / (48 * a * a) + 1) * sqrt(y) AS z FROM (SELECT *, n - 1.5 AS a, (n - 1.5) * ln(1 + t * t / (n - 1)) AS y FROM g))",
 )
 def _(spark, sf):
     p = predictions(spark, sf).withColumn("b", F.col("s2") + 0.01)
@@ -432,7 +432,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     d = table(spark, sf, "documents").withColumn("feats", F.array(F.lit("the"), F.col("source"), F.lit("spend_total"), F.col("lang"), F.lit("that")))
-    return rounded(e.explanation_fidelity(d, "text", "feats", {"spend_": ["and", "der"]}), "fidelity").select("doc_id", "fidelity")
+    return rounded(e.explanation_fidelity(d, "text", "feats", 5, {"spend_": ["and", "der"]}), "fidelity").select("doc_id", "fidelity")
 
 
 @query(
@@ -452,4 +452,4 @@ def _(spark, sf):
        SELECT round(avg(i / (s - i)), 6) AS consistency, count(*) AS pairs FROM p""",
 )
 def _(spark, sf):
-    return rounded(e.consistency(table(spark, sf, "documents"), ["lang", "source"], "doc_id", "text"), "consistency")
+    return rounded(e.consistency(table(spark, sf, "documents"), ["lang", "source"], "doc_id", "text", 4), "consistency")

@@ -70,11 +70,11 @@ L2 = lambda: F.when(F.col("mcc") <= 40, F.floor((F.col("mcc") - 1) / 5)).otherwi
     f"""WITH {TXN}, pr AS (SELECT [0, 0, 1, 1, 2, 3, 3, 4] AS p), e AS (SELECT user_id, mcc, amount, date_diff('day', DATE '1995-01-01', day) AS d, CASE WHEN mcc <= 40 THEN (mcc - 1) // 8 END AS a, CASE WHEN mcc <= 40 THEN (mcc - 1) // 5 END AS b FROM txn),
         w AS (SELECT *, amount * exp(-(max(d) OVER (PARTITION BY user_id) - d) / 180.0) AS w, row_number() OVER (PARTITION BY user_id ORDER BY amount) AS rk FROM e),
         x AS (SELECT w.*, 0.8 * cos(2 * pi() * a / 5) AS x1, 0.8 * sin(2 * pi() * a / 5) AS y1, 0.5 * cos(2 * pi() * p[b::INTEGER + 1] / 5) AS x2, 0.5 * sin(2 * pi() * p[b::INTEGER + 1] / 5) AS y2, least(a, 3) AS qq FROM w CROSS JOIN pr),
-        s AS (SELECT user_id, count(*) AS n, count(DISTINCT mcc) AS nc, sum(w) AS wt, coalesce(sum(w * x1) / sum(w) FILTER (a IS NOT NULL), 0) AS l1_x, coalesce(sum(w * y1) / sum(w) FILTER (a IS NOT NULL), 0) AS l1_y, coalesce(sum(w * x2) / sum(w) FILTER (b IS NOT NULL), 0) AS l2_x, coalesce(sum(w * y2) / sum(w) FILTER (b IS NOT NULL), 0) AS l2_y,
+        s AS (SELECT user_id, count(*) AS n, count(DISTINCT mcc) AS nc, max(d) AS top, sum(w) AS wt, coalesce(sum(w * x1) / sum(w) FILTER (a IS NOT NULL), 0) AS l1_x, coalesce(sum(w * y1) / sum(w) FILTER (a IS NOT NULL), 0) AS l1_y, coalesce(sum(w * x2) / sum(w) FILTER (b IS NOT NULL), 0) AS l2_x, coalesce(sum(w * y2) / sum(w) FILTER (b IS NOT NULL), 0) AS l2_y,
           2 * sum(rk * amount) / (count(*) * sum(amount)) - (count(*) + 1) / count(*) AS gini, """
     + ", ".join(f"coalesce(sqrt(pow(sum(w * x1) FILTER (qq = {i}) / sum(w) FILTER (qq = {i}), 2) + pow(sum(w * y1) FILTER (qq = {i}) / sum(w) FILTER (qq = {i}), 2)) * sum(w) FILTER (qq = {i}) / sum(w), 0) AS sp{i + 1}" for i in range(4))
     + """ FROM x GROUP BY 1)
-        SELECT user_id, round(l1_x, 6) AS l1_x, round(l1_y, 6) AS l1_y, round(sqrt(l1_x ** 2 + l1_y ** 2), 6) AS l1_radius, round(l2_x, 6) AS l2_x, round(l2_y, 6) AS l2_y, round(ln(1 + nc) / ln(501), 6) AS code_breadth, round(CASE WHEN n > 1 THEN (n - nc) / (n - 1) ELSE 0 END, 6) AS revisit_rate,
+        SELECT user_id, round(l1_x, 6) AS l1_x, round(l1_y, 6) AS l1_y, round(sqrt(l1_x ** 2 + l1_y ** 2), 6) AS l1_radius, round(l2_x, 6) AS l2_x, round(l2_y, 6) AS l2_y, round(ln(1 + nc) / ln(501), 6) AS code_breadth, round(CASE WHEN n > 1 THEN (n - nc) / (n - 1) ELSE 0 END, 6) AS revisit_rate, round(CASE WHEN top > 0 THEN least(greatest(1 - top / (top + 1e-8), 0), 1) ELSE 0 END, 6) AS recency,
           round(least(greatest(gini, 0), 1), 6) AS spend_gini, round(least(greatest(((l1_x * l2_x + l1_y * l2_y) / ((sqrt(l1_x ** 2 + l1_y ** 2) + 1e-8) * (sqrt(l2_x ** 2 + l2_y ** 2) + 1e-8)) + 1) / 2, 0), 1), 5) AS coherence, round(sp1, 6) AS spread_1, round(sp2, 6) AS spread_2, round(sp3, 6) AS spread_3, round(sp4, 6) AS spread_4 FROM s""",
 )
 def _(spark, sf):

@@ -264,7 +264,7 @@ def _(spark, sf):
     "model_metadata_rollup",
     "M17",
     """WITH k AS (SELECT DISTINCT p_brand FROM part), a AS (SELECT p_brand, avg((p_size % 4 <> 0)::INTEGER) AS pii_ratio FROM part GROUP BY 1),
-       dd AS (SELECT p_brand, p_partkey, CASE WHEN p_size = 13 THEN NULL ELSE p_retailprice / 1000 END AS v FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC, p_partkey::VARCHAR) <= 50),
+       dd AS (SELECT p_brand, p_partkey, CASE WHEN p_size = 13 THEN NULL ELSE p_retailprice / 1000 END AS v FROM part),
        e AS (SELECT p_brand, min(CASE WHEN v > 0 THEN least(v, 1 / v) ELSE 0 END) AS di FROM dd WHERE v IS NOT NULL GROUP BY 1), r AS (SELECT p_brand, count(*) FILTER (p_size > 45) / count(*) AS hr FROM part GROUP BY 1)
        SELECT p_brand, round(CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size = 1) THEN 0.25 ELSE pii_ratio END, 6) AS pii_ratio, round(di, 6) AS disparate_impact_min, round(hr, 6) AS human_review_fraction
        FROM k LEFT JOIN a USING (p_brand) LEFT JOIN e USING (p_brand) LEFT JOIN r USING (p_brand)""",

@@ -218,7 +218,7 @@ def _(spark, sf):
     """WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'web' WHEN 'click' THEN 'App' WHEN 'error' THEN 'branch' ELSE 'x' END AS ch, CASE WHEN user_id % 5 = 0 THEN '0' WHEN user_id % 5 = 1 THEN 'coldstart' END AS seg FROM events),
        p AS (SELECT *, (isodow(ts) - 1) * 4 + hour(ts) // 6 AS slot FROM e), z AS (SELECT sum(exp(-0.5 * pow(least(i, 28 - i) / 3.0, 2))) AS z FROM range(28) t(i))
        SELECT event_id, CASE WHEN seg = '0' THEN 'ANONYMOUS' ELSE 'COLDSTART' END AS class, 0.05::DOUBLE AS pred_ctr, CASE ch WHEN 'web' THEN 0.05 WHEN 'App' THEN 0.9 WHEN 'branch' THEN 0.05 ELSE 0.333333 END::DOUBLE AS pred_app, slot::INTEGER AS slot, round(1 / z, 6) AS at_slot,
-         round(exp(-0.5 * pow(least(abs(3 - slot), 28 - abs(3 - slot)) / 3.0, 2)) / z, 6) AS at_3, 0.22::DOUBLE AS first_action FROM p CROSS JOIN z""",
+         round(exp(-0.5 * pow(least(abs(3 - slot), 28 - abs(3 - slot)) / 3.0, 2)) / z, 6) AS at_3, 0.22::DOUBLE AS first_action, (SELECT string_agg(k::VARCHAR, ',' ORDER BY n DESC, k) FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, k LIMIT 5)) AS popular FROM p CROSS JOIN z""",
 )
 def _(spark, sf):
     t = F.col("event_type")
@@ -229,7 +229,7 @@ def _(spark, sf):
     out = r.cold_start(e.withColumn("class", r.cold_start_class()), "channel", "ts", {"ltv": 12.5}, {"life_stage": 6}, pop)
     slot = (F.weekday("ts") * 4 + F.floor(F.hour("ts") / 6)).cast("int")
     return out.select(
-        "event_id", "class", "pred_ctr", F.get("pred_channel", F.lit(0)).alias("pred_app"), slot.alias("slot"), F.get("pred_timing", slot).alias("at_slot"), F.get("pred_timing", F.lit(3)).alias("at_3"), F.get("pred_nba", F.lit(0)).alias("first_action")
+        "event_id", "class", "pred_ctr", F.get("pred_channel", F.lit(0)).alias("pred_app"), slot.alias("slot"), F.get("pred_timing", slot).alias("at_slot"), F.get("pred_timing", F.lit(3)).alias("at_3"), F.get("pred_nba", F.lit(0)).alias("first_action"), F.array_join("candidates", ",").alias("popular")
     )
 
 
@@ -286,7 +286,7 @@ def _(spark, sf):
     k = F.col("p_partkey") % 3
     f1 = F.concat(F.when(k == 0, "spend_").when(k == 1, "card_").otherwise("x_"), F.col("p_type"))
     p = table(spark, sf, "part").select("p_partkey", F.array(f1, F.concat(F.lit("risk_"), "p_brand"), F.col("p_name")).alias("feats"))
-    return r.template_reasons(p, "feats", TEMPLATES, "Also:", "Chosen from your data.").drop("feats")
+    return r.template_reasons(p, "feats", TEMPLATES, "Also:", "Chosen from your data.", 3).drop("feats")
 
 
 @query(
@@ -315,13 +315,13 @@ def _(spark, sf):
     return rounded(out, "similarity")
 
 
-_OFFERS = """o AS (SELECT DISTINCT o_custkey AS customer_id, l_partkey % 500 AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sc AS (SELECT customer_id, item_id, {u} AS score, embedding::DOUBLE[] AS v FROM o JOIN embeddings ON vec_id = item_id)"""
+_OFFERS = """o AS (SELECT DISTINCT o_custkey AS customer_id, l_partkey % (SELECT count(*) FROM embeddings) AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sc AS (SELECT customer_id, item_id, {u} AS score, embedding::DOUBLE[] AS v FROM o JOIN embeddings ON vec_id = item_id)"""
 
 
 def offers(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    d = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("customer_id"), (F.col("l_partkey") % 500).alias("item_id")).distinct()
     e = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "item_id")
+    d = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("customer_id"), (F.col("l_partkey") % e.count()).alias("item_id")).distinct()
     sc = md5_unit(F.concat_ws(":", F.col("customer_id").cast("string"), F.col("item_id").cast("string")))
     return d.join(e, "item_id").select("customer_id", "item_id", sc.alias("score"), "embedding")
 
@@ -352,7 +352,7 @@ def _det3(a, b, c, x, y, z):
     return f"({a} * ({b} * {c} - {z} * {z}) - {x} * ({x} * {c} - {z} * {y}) + {y} * ({x} * {z} - {b} * {y}))"
 
 
-_DPP = f"""{_OFFERS.format(u=unit("customer_id || ':' || item_id"))}, p AS (SELECT *, row_number() OVER w AS r, 0.7 * score / (max(score) OVER (PARTITION BY customer_id) + 1e-12) + (1 - 0.7) AS q FROM sc WINDOW w AS (PARTITION BY customer_id ORDER BY score DESC, item_id) QUALIFY r <= 15),
+_DPP = f"""{_OFFERS.format(u=unit("customer_id || ':' || item_id"))}, p AS (SELECT *, row_number() OVER w AS r, 0.7 * score / (max(score) OVER (PARTITION BY customer_id) + 1e-12) + (1 - 0.7) AS q FROM sc WINDOW w AS (PARTITION BY customer_id ORDER BY score DESC, item_id)),
   a1 AS (SELECT * FROM p WHERE r = 1),
   g2 AS (SELECT p.*, a1.q * p.q * {_cos('a1.v', 'p.v')} AS k1, a1.q * a1.q + 1e-8 AS d1 FROM p JOIN a1 USING (customer_id) WHERE p.r > 1),
   a2 AS (SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d1 * (q * q + 1e-8) - k1 * k1 DESC, r) = 1),

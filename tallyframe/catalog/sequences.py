@@ -16,10 +16,10 @@ HIST = f"""{TXN}, h AS (SELECT user_id, list(amount ORDER BY day, amount, order_
   list(date_diff('day', DATE '1995-01-01', day) ORDER BY day, amount, order_id, line, item) AS days FROM txn GROUP BY 1)"""
 
 
-def history(spark, sf, segment_rows=s.SEGMENT_ROWS):
+def history(spark, sf, **cut):
     t = transactions(spark, sf, part=True)
     d = F.datediff("day", F.lit("1995-01-01").cast("date"))
-    return s.collect_sequences(t, "user_id", ORDER, {"amounts": "amount", "codes": "mcc", "days": d}, segment_rows)
+    return s.collect_sequences(t, "user_id", ORDER, {"amounts": "amount", "codes": "mcc", "days": d}, **cut)
 
 
 def unfolded(df, col, name="value"):
@@ -42,7 +42,7 @@ def _(spark, sf):
         SELECT user_id, segment, count(*)::INTEGER AS n, round(sum(amount), 2) AS total FROM r GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    h = history(spark, sf, 16)
+    h = history(spark, sf, segment_rows=16)
     total = F.aggregate("amounts", F.lit(0.0), lambda x, y: x + y)
     return h.select("user_id", "segment", F.size("amounts").alias("n"), F.round(total, 2).alias("total"))
 
@@ -54,7 +54,7 @@ def _(spark, sf):
         SELECT user_id, pos, round(coalesce(v[pos + 1], -1), 2) AS value FROM l CROSS JOIN g""",
 )
 def _(spark, sf):
-    out = s.lag_features(history(spark, sf), {"amounts": -1.0}, 60, 1, keep=["user_id"])
+    out = s.lag_features(history(spark, sf, newest=61), {"amounts": -1.0}, 60, 1, keep=["user_id"])
     return rounded(unfolded(out, "lag_amounts"), "value", digits=2)
 
 
@@ -64,10 +64,10 @@ def _(spark, sf):
     f"WITH {HIST} SELECT user_id, " + ", ".join(f"CASE WHEN len(codes) - {6 - i} > 0 THEN codes[len(codes) - {6 - i}] ELSE -1 END AS code_{i:03d}" for i in range(1, 7)) + " FROM h",
 )
 def _(spark, sf):
-    return s.densify(history(spark, sf), [s.Densify("codes", "code", 6, -1, "int")], keep=["user_id"])
+    return s.densify(history(spark, sf, newest=6), [s.Densify("codes", "code", 6, -1, "int")], keep=["user_id"])
 
 
-_E = "e AS (SELECT user_id, list(epoch_us(ts) // 1000000 ORDER BY ts, event_id) AS t FROM events WHERE event_type = 'signup' GROUP BY 1)"
+_E = "e AS (SELECT user_id, list(epoch_us(ts) // 1000000 ORDER BY ts, event_id) AS t FROM events GROUP BY 1)"
 
 
 def _pos(i):
@@ -88,8 +88,8 @@ def _pos(i):
     + " FROM d",
 )
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'signup'").select("user_id", "ts", "event_id")
-    h = s.collect_sequences(e, "user_id", ["ts", "event_id"], {"t": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)})
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id")
+    h = s.collect_sequences(e, "user_id", ["ts", "event_id"], {"t": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)}, newest=4)
     spec = s.Densify("t", "t", 4, 0, "bigint")
     return s.densify_time(s.densify(h, [spec], keep=["user_id"]), spec)
 
@@ -142,7 +142,7 @@ def cells(df, col):
         SELECT user_id, pos, 0 AS feature, coalesce(a[pos + 1], 0) AS value FROM c CROSS JOIN g UNION ALL SELECT user_id, pos, 1, coalesce(k[pos + 1], 0)::DOUBLE FROM c CROSS JOIN g""",
 )
 def _(spark, sf):
-    return cells(s.to_matrix(history(spark, sf), ["amounts", "codes"], 30, 1), "matrix")
+    return cells(s.to_matrix(history(spark, sf, oldest=31), ["amounts", "codes"], 30, 1), "matrix")
 
 
 @query(
@@ -163,7 +163,7 @@ def _(spark, sf):
 
 @query("tail_matrix", "Q8", f"WITH {HIST}, g AS (SELECT unnest(generate_series(0, 9))::INTEGER AS pos), c AS (SELECT user_id, CASE WHEN len(amounts) > 10 THEN amounts[len(amounts) - 9:] ELSE amounts END AS a FROM h) SELECT user_id, pos, 0 AS feature, coalesce(a[pos + 1], 0) AS value FROM c CROSS JOIN g")
 def _(spark, sf):
-    return cells(s.to_matrix_time_based(history(spark, sf), ["amounts"], 10, 90), "matrix")
+    return cells(s.to_matrix_time_based(history(spark, sf, newest=10), ["amounts"], 10, 90), "matrix")
 
 
 @query(

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.stats import dot, norm_cdf, safe_div
+from tallyframe.functions.stats import dot, norm_cdf, safe_div, t_two_sided
 from tallyframe.operators.drift import binary_jsd
 from tallyframe.operators.monitoring import two_proportion_p
 from tallyframe.operators.ranks import auc, average_precision, spearman
@@ -213,10 +213,10 @@ def go_no_go(est: DataFrame, current: float, min_lift: float = 0.02, min_ess_rat
     )
 
 
-def examination(position: str | Column, kind: str = "cascade", rate: float = 0.7, max_positions: int = 20) -> Column:
-    """Probability that a 1-based position is looked at: rate^(k-1), or 1/k^rate for reciprocal."""
+def examination(position: str | Column, kind: str = "cascade", rate: float = 0.7) -> Column:
+    """Probability that a 1-based position is looked at: rate^(k-1), or 1/k^rate for reciprocal; below 1 counts as 1."""
     k = F.col(position) if isinstance(position, str) else position
-    k = F.greatest(F.least(k, F.lit(max_positions)), F.lit(1))
+    k = F.greatest(k, F.lit(1))
     return F.pow(k.cast("double"), F.lit(-rate)) if kind == "reciprocal" else F.pow(F.lit(rate), (k - 1).cast("double"))
 
 
@@ -225,9 +225,9 @@ def adjust_rewards(df: DataFrame, reward: str, position: str, **model) -> DataFr
     return df.withColumns({"exam_prob": e, "reward_adjusted": F.col(reward) / e})
 
 
-def estimate_position_bias(df: DataFrame, click: str, position: str, max_positions: int = 20) -> DataFrame:
+def estimate_position_bias(df: DataFrame, click: str, position: str) -> DataFrame:
     """(position, rate, exam_prob): click rate relative to the first position; unseen positions are 0."""
-    g = df.where(F.col(position).between(1, max_positions)).groupBy(position).agg(F.avg(F.col(click).cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    g = df.where(F.col(position) >= 1).groupBy(position).agg(F.avg(F.col(click).cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"))
     first = g.where(F.col(position) == 1).select("rate").scalar()
     return g.withColumn("_f", first).select(position, "n", "rate", F.when(F.col("_f") > 0, F.col("rate") / F.when(F.col("_f") > 0, F.col("_f"))).otherwise(F.col("rate")).alias("exam_prob"))
 
@@ -301,12 +301,12 @@ def ab_significance(df: DataFrame, variant: str, converted: str, control: str, c
 
 
 def paired_t(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """t statistic of b - a per key with its two-sided normal p-value (the t law's limit at these sizes)."""
+    """t statistic of b - a per key with its two-sided p-value under Student's t law with n - 1 degrees of freedom."""
     d = F.col(b) - F.col(a)
     g = df.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_s"))
     flat = F.coalesce(F.col("_s"), F.lit(0.0)) < 1e-12
     t = F.when(flat, 0.0).otherwise(F.col("mean_diff") / F.when(~flat, F.col("_s")) * F.sqrt("n"))
-    p = F.when((F.col("n") < 2) | (flat & (F.abs("mean_diff") < 1e-12)), 1.0).when(flat, 0.0).otherwise(2 * (1 - norm_cdf(F.abs(t))))
+    p = F.when((F.col("n") < 2) | (flat & (F.abs("mean_diff") < 1e-12)), 1.0).when(flat, 0.0).otherwise(t_two_sided(t, F.col("n") - 1))
     return g.select(*keys, "n", "mean_diff", t.alias("t"), p.alias("p_value"))
 
 
@@ -492,10 +492,10 @@ def stability(df: DataFrame, run1: str, run2: str) -> DataFrame:
     return df.agg(F.round(F.avg(cos), 4).alias("stability"))
 
 
-def explanation_fidelity(df: DataFrame, text: str, feats: str, keywords: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Share of the first five named features that the text mentions by name or by a keyword of their prefix."""
+def explanation_fidelity(df: DataFrame, text: str, feats: str, first: int, keywords: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Share of the `first` named features that the text mentions by name or by a keyword of their prefix."""
     low = F.lower(text)
-    top = F.slice(feats, 1, 5)
+    top = F.slice(feats, 1, first)
 
     def named(f: Column) -> Column:
         hit = F.contains(low, F.lower(f))
@@ -515,8 +515,8 @@ def completeness(df: DataFrame, text: str, items: dict[str, Sequence[str]]) -> D
     return out.withColumn("missing", (F.col("coverage") < 0.5).cast("int"))
 
 
-def consistency(df: DataFrame, group: Sequence[str], order: str, text: str, ahead: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Mean Jaccard similarity of the word sets of texts at most four places apart in the same group."""
+def consistency(df: DataFrame, group: Sequence[str], order: str, text: str, ahead: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Mean Jaccard similarity of the word sets of texts at most `ahead` places apart in the same group."""
     words = df.select(*group, order, F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("_w"))
 
     def build(f: DataFrame, by: list[str]) -> DataFrame:

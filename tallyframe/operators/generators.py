@@ -88,6 +88,9 @@ def cyclical(df: DataFrame, ts: str, periods: Sequence[str] = ("hour", "dayofwee
 def merchant_hierarchy(txn: DataFrame, user: str, code: str, amount: str, day: str, l1: Column, l2: Column, parents: Sequence[int], n_l1: int, half_life: float = 180.0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per entity: weighted midpoints of the code hierarchy on a disk, spreads, loyalty, recency and Gini.
 
+    Recency is 1 - (day of the last event / newest day), of the days as given: offsets that count up to
+    the newest event make it 0, offsets that count days back make it 1.
+
     `l1` and `l2` map a row to its class index (negative = unknown), `parents[l2]` is the l1 class.
     Classes of a level sit at equal radius, so the weighted midpoint is a ratio of grouped sums.
     """
@@ -121,7 +124,7 @@ def merchant_hierarchy(txn: DataFrame, user: str, code: str, amount: str, day: s
     # an entity without any weight counts every event alike
     none = F.col("s_wt") * F.exp((newest - F.col("top")) / half_life) < 1e-10
     names = ["wt", "w1", "sx1", "sy1", "w2", "sx2", "sy2", *[f"{p}{i}" for i in range(4) for p in ("q", "qx", "qy")]]
-    g = g.select("u", "n", "nc", *[F.when(none, F.col(f"e_{c}")).otherwise(F.col(f"s_{c}")).alias(c) for c in names])
+    g = g.select("u", "n", "nc", "top", *[F.when(none, F.col(f"e_{c}")).otherwise(F.col(f"s_{c}")).alias(c) for c in names])
     g = g.join(gini(base.select("u", "spend"), ["u"], "spend", "gini", group_rows), "u")
     g = g.withColumns({"l1_x": safe_div(F.col("sx1"), F.col("w1")), "l1_y": safe_div(F.col("sy1"), F.col("w1")), "l2_x": safe_div(F.col("sx2"), F.col("w2")), "l2_y": safe_div(F.col("sy2"), F.col("w2"))})
     r1, r2 = F.hypot("l1_x", "l1_y"), F.hypot("l2_x", "l2_y")
@@ -132,6 +135,7 @@ def merchant_hierarchy(txn: DataFrame, user: str, code: str, amount: str, day: s
         F.col("u").alias(user), "l1_x", "l1_y", r1.alias("l1_radius"), (F.atan2("l1_y", "l1_x") / math.pi).alias("l1_angle"), "l2_x", "l2_y", r2.alias("l2_radius"), (F.atan2("l2_y", "l2_x") / math.pi).alias("l2_angle"),
         clip(F.log1p(F.col("nc").cast("double")) / math.log1p(500)).alias("code_breadth"),
         F.when(F.col("n") > 1, clip((F.col("n") - F.col("nc")) / F.when(F.col("n") > 1, F.col("n") - 1))).otherwise(0.0).alias("revisit_rate"),
+        F.when(F.col("top") > 0, clip(1.0 - F.col("top") / (F.col("top") + 1e-8))).otherwise(0.0).alias("recency"),
         clip(F.col("gini")).alias("spend_gini"), clip((cohere + 1) / 2).alias("coherence"), *spread,
     )
 

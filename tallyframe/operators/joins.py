@@ -46,18 +46,21 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return top.select(*[F.col(k) if c in keys else F.col(f"r.{c}") for c in df.columns for k in [c]])
 
 
-def interval_join(events: DataFrame, windows: DataFrame, ts: str, lo: str, hi: str, keys: Sequence[str] = (), bucket: int = 30) -> DataFrame:
+def interval_join(events: DataFrame, windows: DataFrame, ts: str, lo: str, hi: str, keys: Sequence[str] = (), bucket: int = 30, salts: int | None = None) -> DataFrame:
     """Events whose date lies in [lo, hi] of a window.
 
     Dates are cut into buckets of `bucket` days. Each window appears once per bucket it touches, so
-    the join is an equi-join on (keys, bucket) and the exact bounds are a cheap residual filter.
+    the join is an equi-join on (keys, bucket, salt) and the exact bounds are a cheap residual filter.
+    Without keys a bucket holds all events of its days, so they are dealt over `salts` places (16 then,
+    1 with keys) and each window stands in all of them.
     """
+    salts = salts or (1 if keys else 16)
     day = F.unix_date(F.col(ts).cast("date"))
-    e = events.withColumn("_b", F.floor(day / bucket))
+    e = events.withColumn("_b", F.floor(day / bucket)).withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
     first = F.floor(F.unix_date(F.col(lo).cast("date")) / bucket)
     last = F.floor(F.unix_date(F.col(hi).cast("date")) / bucket)
-    w = windows.withColumn("_b", F.explode(F.sequence(first, last)))
-    return e.join(w, [*keys, "_b"]).where(F.col(ts).cast("date").between(F.col(lo), F.col(hi))).drop("_b")
+    w = windows.withColumn("_b", F.explode(F.sequence(first, last))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return e.join(w, [*keys, "_b", "_salt"]).where(F.col(ts).cast("date").between(F.col(lo), F.col(hi))).drop("_b", "_salt")
 
 
 def dense_panel(entities: DataFrame, facts: DataFrame, key: str, slot: str, slots: Column, fill: dict[str, float]) -> DataFrame:

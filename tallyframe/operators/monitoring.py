@@ -233,11 +233,10 @@ def lineage_metadata(fields: DataFrame, key: str) -> DataFrame:
     return fields.groupBy(key).agg(F.avg((~F.coalesce(F.col("pseudonymized"), F.lit(False))).cast("double")).alias("pii_ratio"))
 
 
-def fairness_metadata(archive: DataFrame, key: str, limit: int = 50) -> DataFrame:
-    """Most skewed disparate impact of the newest `limit` entries per version, folded to [0, 1]."""
-    w = Window.partitionBy(key).orderBy(F.col("recorded_at").desc(), F.col("attribute"))
+def fairness_metadata(archive: DataFrame, key: str) -> DataFrame:
+    """Most skewed disparate impact of all entries per version, folded to [0, 1]."""
     v = F.col("disparate_impact")
-    last = archive.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= limit) & v.isNotNull() & ~F.isnan(v))
+    last = archive.where(v.isNotNull() & ~F.isnan(v))
     folded = F.when(v > 0, F.least(v, 1.0 / F.when(v > 0, v))).otherwise(0.0)
     return last.groupBy(key).agg(_unit(F.min(folded)).alias("disparate_impact_min"))
 

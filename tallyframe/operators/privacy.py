@@ -140,16 +140,19 @@ HIGH_PATTERNS = (
     r"세그먼트\s*[:=]?\s*\d+", r"cluster[_\s]*(id|prob)\s*[:=]?\s*\d+", r"rfm[_\s]*\d+\s*[:=]?\s*[0-9.]+", r"feature[_\s]*\d+\s*[:=]?\s*[0-9.]+",
 )
 MEDIUM_PATTERNS = (r"(높|중|낮)(음|은|은\s*수준)", r"(상위|하위)\s*\d+%", r"평균\s*(대비|이상|이하)", r"등급\s*[:=]?\s*[A-F가-힣]")
+# Patterns of attempts to change a model's instructions.
 INJECTION_PATTERNS = (
     r"(?i)ignore\s+(all\s+)?previous\s+instructions", r"(?i)disregard\s+(all\s+)?above", r"(?i)forget\s+(your|all|everything)\s+(rules|instructions|prompt)", r"(?i)\byou\s+are\s+now\s+(?:a|an)\s+\w+",
-    r"(?i)pretend\s+(you\s+are|to\s+be)\s+", r"(?i)\bjailbreak\b", r"(?i)\bDAN\s+(mode|prompt)\b", r"(?i)do\s+anything\s+now", r"(?i)respond\s+as\s+(?:if\s+you\s+)?(?:have\s+no|without)\s+restrictions",
+    r"(?i)pretend\s+(you\s+are|to\s+be)\s+", r"(?i)\bdeveloper\s+mode\b", r"(?i)\bjailbreak\b", r"(?i)\bDAN\s+(mode|prompt)\b", r"(?i)do\s+anything\s+now", r"(?i)respond\s+as\s+(?:if\s+you\s+)?(?:have\s+no|without)\s+restrictions",
     r"(?i)reveal\s+(your|the)\s+(system|initial)\s+prompt", r"(?i)show\s+me\s+(your|the)\s+(instructions|system\s+prompt)", r"(?i)output\s+(your|the)\s+(instructions|prompt|rules)", r"(?i)base64\s*:\s*[A-Za-z0-9+/=]{20,}",
     r"(?i)\bcall\s+(?:the|any)\s+(?:tool|function)\s+(?:named|called)\b", r"(?i)<\s*tool[_\s]*call\s*>",
 )
+# Patterns of answers that give away instructions or personal numbers.
 LEAK_PATTERNS = (
     r"(?i)system\s+prompt\s*[:=]", r"(?i)my\s+(?:original\s+)?instructions?\s+(?:were|are)\s*[:=]", r"(?i)the\s+rules?\s+i\s+(?:was\s+)?given\s*[:=]", r"(?i)i\s+am\s+(?:actually|really)\s+(?:a|an)\s+\w+\s+(?:AI|model|assistant)",
     r"(?i)as\s+(?:a|an)\s+\w+\s+(?:without\s+restrictions|in\s+developer\s+mode)", r"\b\d{6}[-\s]?\d{7}\b", r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
 )
+# Terms of art, and vague words.
 JARGON = (r"IG\s*기여도", "PSI", "AUC", "logit", "sigmoid", "softmax", "attribution", "perturbation")
 VAGUE = (r"어느\s*정도", "다소", "약간", "상당히", r"매우\s*다양")
 
@@ -163,11 +166,11 @@ def classify_text(df: DataFrame, col: str, high: Sequence[str] = HIGH_PATTERNS,
     return df.withColumn("sensitivity", F.when(_any(F.col(col), high, "(?i)"), "HIGH").when(_any(F.col(col), medium, "(?i)"), "MEDIUM").otherwise("LOW"))
 
 
-def scan_text(df: DataFrame, col: str, patterns: Sequence[str], layer: str, severity: str = "high", limit: int = 10) -> DataFrame:
-    """`findings` (at most `limit`, in pattern order) and whether the text must be blocked."""
+def scan_text(df: DataFrame, col: str, patterns: Sequence[str], layer: str, severity: str = "high") -> DataFrame:
+    """`findings`, one per pattern that matches, in pattern order and with the whole match, and whether the text must be blocked."""
     c = F.col(col)
-    hits = F.array(*[F.when(c.rlike(p), F.struct(F.lit(layer).alias("layer"), F.lit(p).alias("rule"), F.substring(F.regexp_substr(c, F.lit(p)), 1, 80).alias("preview"), F.lit(severity).alias("severity"))) for p in patterns])
-    found = F.slice(F.filter(hits, lambda x: x.isNotNull()), 1, limit)
+    hits = F.array(*[F.when(c.rlike(p), F.struct(F.lit(layer).alias("layer"), F.lit(p).alias("rule"), F.regexp_substr(c, F.lit(p)).alias("preview"), F.lit(severity).alias("severity"))) for p in patterns])
+    found = F.filter(hits, lambda x: x.isNotNull())
     out = df.withColumn("findings", F.coalesce(found, F.array().cast(found_type())))
     return out.withColumn("blocked", ((F.size("findings") > 0) & F.lit(severity in ("high", "critical"))).cast("int"))
 

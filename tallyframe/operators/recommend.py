@@ -422,9 +422,9 @@ def feature_category(f: Column) -> Column:
     return out.otherwise(F.get(F.array(*[F.lit(c) for c in CATEGORIES]), hash_code(f, len(CATEGORIES)).cast("int")))
 
 
-def template_reasons(df: DataFrame, feats: str, templates: dict[str, str], auxiliary: str, empty: str) -> DataFrame:
-    """Reason text from the first three features: the first one's template, then the other categories."""
-    cats = F.transform(F.slice(feats, 1, 3), feature_category)
+def template_reasons(df: DataFrame, feats: str, templates: dict[str, str], auxiliary: str, empty: str, first: int) -> DataFrame:
+    """Reason text from the `first` features: the first one's template, then the other categories."""
+    cats = F.transform(F.slice(feats, 1, first), feature_category)
     texts = F.create_map(*[F.lit(x) for kv in templates.items() for x in kv])
     out = df.withColumn("_cats", cats).withColumn("category", F.get("_cats", F.lit(0)))
     aux = F.array_except(F.array_distinct("_cats"), F.array("category"))

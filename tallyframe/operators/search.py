@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.stats import dot
 from tallyframe.plans.session import written
-from tallyframe.plans.skew import position
 
 
 def mmr(df: DataFrame, key: str, item: str, score: str, vec: str, k: int, lam: float = 0.7, min_score: float | None = None) -> DataFrame:
@@ -50,111 +47,92 @@ def mmr(df: DataFrame, key: str, item: str, score: str, vec: str, k: int, lam: f
     return out.select(key, F.col("c.i").alias(item), (-F.col("c.negs")).alias(score), (F.col("p") + 1).alias("rank"), (-F.col("c.neg")).alias("mmr"))
 
 
-def _greedy_det(scores: np.ndarray, vecs: list, k: int, lam: float) -> list[int]:
-    """Positions chosen one by one so that the kernel's determinant is largest."""
-    n = len(scores)
-    if sum(v is not None for v in vecs) < 2:
-        return list(range(min(k, n)))
-    sim = np.eye(n)
-    have = [i for i, v in enumerate(vecs) if v is not None]
-    m = np.array([vecs[i] for i in have], dtype="float64")
-    norm = np.linalg.norm(m, axis=1)
-    m = m / np.where(norm > 0, norm, 1.0)[:, None]
-    sim[np.ix_(have, have)] = m @ m.T
-    sim[np.arange(n), np.arange(n)] = 1.0
-    q = lam * scores / (scores.max() + 1e-12) + (1 - lam)
-    kernel = np.outer(q, q) * sim
-    picked: list[int] = []
-    for _ in range(min(k, n)):
-        rest = [i for i in range(n) if i not in picked]
-        gains = [np.linalg.det(kernel[np.ix_(picked + [i], picked + [i])] + 1e-8 * np.eye(len(picked) + 1)) for i in rest]
-        picked.append(rest[int(np.argmax(gains))])
-    return picked
-
-
 def dpp(df: DataFrame, key: str, item: str, score: str, vec: str, k: int, lam: float = 0.7) -> DataFrame:
-    """Greedy determinantal re-ranking of the 5k best candidates per key: (key, item, score, rank).
-
-    The pool of 5k is part of the method; it is cut by a ranked window before anything is collected,
-    so a key's list never has more than 5k entries.
+    """Greedy determinantal ranking of all candidates of a key: (key, item, score, rank).
+
+    The kernel of two items is the product of their qualities (a blend of the score's share of the
+    key's best score and 1) times their cosine; 1e-8 is added to its diagonal. Adding an item
+    multiplies the determinant by what is left of its diagonal entry after projecting on the chosen
+    items, so each round takes the item with the most left. The projections are rows of the
+    Cholesky factor, computed for all candidates from the chosen items alone: a round is one combined
+    aggregate, and no key's candidates meet in one task. Ties go to the higher score, then the smaller
+    item; a missing vector is unlike every other.
     """
-    w = Window.partitionBy(key).orderBy(F.desc(score), F.asc(item))
-    pool = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 5 * k)
-    lists = pool.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", F.col(item).alias("i"), F.col(score).cast("double").alias("s"), F.col(vec).cast("array<double>").alias("v")))).alias("p"))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    out = T.StructType([T.StructField(key, types[key]), T.StructField(item, types[item]), T.StructField(score, T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    top = df.groupBy(key).agg(F.max(score).cast("double").alias("_top"))
+    v = F.transform(vec, lambda x: x.cast("double"))
+    size = F.sqrt(dot(F.col("_v"), F.col("_v")))
+    quality = lam * F.col("_s") / (F.col("_top") + 1e-12) + (1.0 - lam)
+    base = df.select(key, F.col(item).alias("_i"), F.col(score).cast("double").alias("_s"), v.alias("_v")).join(top, key)
+    base = base.withColumn("_n", size).withColumn("_v", F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n")))).withColumn("_q", quality)
+    base = written(base.select(key, "_i", "_s", "_v", "_q"))
+    kinds = {f.name: f.dataType for f in base.schema.fields}
+    numbers = T.ArrayType(T.DoubleType())
+    pick = T.StructType(
+        [T.StructField("left", T.DoubleType()), T.StructField("negs", T.DoubleType()), T.StructField("i", kinds["_i"]), T.StructField("v", kinds["_v"]), T.StructField("q", T.DoubleType()), T.StructField("row", numbers)]
+    )
+    chosen = base.select(key).distinct().withColumn("_c", F.array().cast(T.ArrayType(pick)))
+    for _ in range(k):
+        cand = base.join(chosen, key)
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for who, p in zip(pdf[key], pdf["p"]):
-                order = _greedy_det(np.array([x["s"] for x in p]), [x["v"] for x in p], k, lam)
-                rows += [(who, p[i]["i"], p[i]["s"], r + 1) for r, i in enumerate(order)]
-            yield pd.DataFrame(rows, columns=[key, item, score, "rank"])
+        def project(row: Column, c: Column) -> Column:
+            kernel = F.col("_q") * c["q"] * F.coalesce(dot(F.col("_v"), c["v"]), F.lit(0.0))
+            return F.array_append(row, (kernel - dot(row, F.slice(c["row"], 1, F.size(row)))) / F.sqrt(-c["left"]))
 
-    return lists.mapInPandas(choose, out)
+        row = F.aggregate("_c", F.array().cast(numbers), project)
+        cand = cand.withColumn("_row", row)
+        left = F.col("_q") * F.col("_q") + 1e-8 - F.coalesce(dot(F.col("_row"), F.col("_row")), F.lit(0.0))
+        taken = F.exists("_c", lambda c: c["i"] == F.col("_i"))
+        best = F.min(F.when(~taken, F.struct((-F.greatest(left, F.lit(1e-300))).alias("left"), (-F.col("_s")).alias("negs"), F.col("_i").alias("i"), F.col("_v").alias("v"), F.col("_q").alias("q"), F.col("_row").alias("row"))))
+        chosen = cand.groupBy(key).agg(F.first("_c").alias("_c"), best.alias("_b"))
+        chosen = chosen.select(key, F.when(F.col("_b").isNull(), F.col("_c")).otherwise(F.concat("_c", F.array(F.col("_b")))).alias("_c"))
+    out = chosen.select(key, F.posexplode("_c").alias("p", "c"))
+    return out.select(key, F.col("c.i").alias(item), (-F.col("c.negs")).alias(score), (F.col("p") + 1).alias("rank"))
 
 
-#: Queries that are compared with the corpus in one pass.
-QUERY_BLOCK = 4096
+#: Queries or corpus rows that meet in one task.
+BLOCK = 4096
 
 
-def knn(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec: str, k: int, weight: str | None = None, exclude_same: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec: str, k: int, weight: str | None = None, exclude_same: bool = True, block: int = BLOCK) -> DataFrame:
     """Exact k nearest corpus rows by cosine for every query: (qid, cid, similarity, rank).
 
-    Queries go out in blocks of fixed size; every task multiplies its part of the corpus with the
-    block and keeps the k best per query, so what is shuffled is k rows per query and task instead
-    of all pairs. `weight` (for instance an age decay) multiplies the similarity. Ties rank by id.
+    Queries and corpus are dealt by hash into parts of about `block` rows; each part of one meets each
+    part of the other in a task, which multiplies the two blocks and keeps the k best per query. So
+    the driver sees two counts only, a task holds two blocks, and what is ranked in the end is
+    k rows per query and part instead of all pairs. `weight` (for instance an age decay) multiplies
+    the similarity. Ties rank by id.
     """
-    n = queries.count()
-    numbered = queries.select(F.col(qid).alias("q"), F.col(vec).cast("array<double>").alias("v"))
-    ordered = position(numbered, [], ["q"], "_p") if n > block else numbered.withColumn("_p", F.lit(1))
-    ctype = corpus.schema[cid].dataType
-    qtype = queries.schema[qid].dataType
-    out = T.StructType([T.StructField("q", qtype), T.StructField("c", ctype), T.StructField("s", T.DoubleType())])
-    cols = [F.col(cid).alias("c"), F.col(vec).cast("array<double>").alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
-    source = corpus.select(*cols)
-    parts = []
-    for b in range(max(1, -(-n // block))):
-        part = ordered.where((F.col("_p") > b * block) & (F.col("_p") <= (b + 1) * block)) if n > block else ordered
-        rows = part.select("q", "v").collect()  # at most `block` vectors
-        ids = [r["q"] for r in rows]
-        mat = np.array([r["v"] for r in rows], dtype="float64")
-        norm = np.linalg.norm(mat, axis=1) if len(rows) else np.ones(0)
-        mat = mat / np.where(norm > 0, norm, 1.0)[:, None] if len(rows) else mat
-        parts.append(source.mapInPandas(_nearest(ids, mat, k, exclude_same), out))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    w = Window.partitionBy("q").orderBy(F.desc("s"), F.asc("c"))
-    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    sides = {
+        "q": queries.select(F.col(qid).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.lit(1.0).alias("w")),
+        "c": corpus.select(F.col(cid).alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")),
+    }
+    parts = {n: max(1, -(-d.count() // block)) for n, d in sides.items()}
+
+    def dealt(name: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("id"), F.lit(parts[name])).cast("int").alias(name)
+        return sides[name].select("*", own, F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other))
+
+    out = T.StructType([T.StructField("q", queries.schema[qid].dataType), T.StructField("c", corpus.schema[cid].dataType), T.StructField("s", T.DoubleType())])
+
+    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"q": [], "c": [], "s": []})
+        c = c.sort_values("id")  # with a stable sort below, equal similarities keep id order
+        x, y = (np.array(d["v"].tolist(), dtype="float64") for d in (q, c))
+        x, y = (m / np.where((n := np.linalg.norm(m, axis=1)) > 0, n, 1.0)[:, None] for m in (x, y))
+        sims = x @ y.T * c["w"].to_numpy()[None, :]
+        ids, match = q["id"].to_numpy(), c["id"].to_numpy()
+        if exclude_same:
+            sims[ids[:, None] == match[None, :]] = -np.inf
+        at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        found = pd.DataFrame({"q": np.repeat(ids, at.shape[1]), "c": match[at].ravel(), "s": np.take_along_axis(sims, at, 1).ravel()})
+        return found[np.isfinite(found["s"])]
+
+    met = dealt("q", "c").groupBy("q", "c").cogroup(dealt("c", "q").groupBy("q", "c")).applyInPandas(nearest, out)
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), F.asc("c")))).where(F.col("rank") <= k)
     return best.select(F.col("q").alias(qid), F.col("c").alias(f"{cid}_match" if cid == qid else cid), F.col("s").alias("similarity"), "rank")
 
 
-def _nearest(ids: list, mat: np.ndarray, k: int, exclude_same: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            if pdf.empty or not ids:
-                continue
-            pdf = pdf.sort_values("c")  # with a stable sort below, equal similarities keep id order
-            x = np.array(pdf["v"].tolist(), dtype="float64")
-            norm = np.linalg.norm(x, axis=1)
-            sims = mat @ (x / np.where(norm > 0, norm, 1.0)[:, None]).T * pdf["w"].to_numpy()[None, :]
-            c = pdf["c"].to_numpy()
-            if exclude_same:
-                sims[np.asarray(ids)[:, None] == c[None, :]] = -np.inf
-            at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            here = pd.DataFrame({"q": np.repeat(np.arange(len(ids)), at.shape[1]), "c": c[at].ravel(), "s": np.take_along_axis(sims, at, 1).ravel()})
-            here = here[np.isfinite(here["s"])]
-            best = here if best is None else pd.concat([best, here])
-            best = best.sort_values(["q", "s", "c"], ascending=[True, False, True]).groupby("q").head(k)
-        if best is not None and len(best):
-            yield pd.DataFrame({"q": [ids[i] for i in best["q"]], "c": best["c"].tolist(), "s": best["s"].to_numpy()})
-
-    return run
-
-
 def age_decay(df: DataFrame, ts: str, now: str, half_life_days: float, name: str = "decay") -> DataFrame:
     """0.5 ^ (age / half-life); rows without a time do not decay."""
     age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))) / 86400.0

@@ -14,19 +14,20 @@ from tallyframe.operators.aggs import top_values
 from tallyframe.operators.windows import recent_k
 from tallyframe.plans.skew import largest_group, position
 
-#: Longest list one output row may hold.
-SEGMENT_ROWS = 100_000
-
-
-def collect_sequences(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str | Column], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def collect_sequences(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str | Column], segment_rows: int | None = None, newest: int | None = None, oldest: int | None = None) -> DataFrame:
     """One ordered list per column and entity: (key, segment, lists...), oldest first.
 
-    An entity with more events than one row may hold gets several rows; segment 0 is the newest.
-    No event is dropped, and no task collects more than `segment_rows` events of one entity.
+    An entity is one row, whatever its length. An operator that uses a fixed number of events passes
+    `newest` or `oldest`: the others are cut by rank before anything is collected, so a list has at
+    most that many entries. Only a caller that asks for `segment_rows` gets segments: rows of at most
+    that many events, segment 0 the newest; no event is dropped.
     """
     work = df.select(key, *order, *[(F.col(c) if isinstance(c, str) else c).alias(f"_s_{n}") for n, c in cols.items()])
-    biggest = largest_group(df, [key])
-    if biggest <= segment_rows:
+    if newest is not None:
+        work = recent_k(work, [key], order, newest, "_rank").drop("_rank")
+    if oldest is not None:
+        work = recent_k(work, [key], order, oldest, "_rank", newest=False).drop("_rank")
+    if segment_rows is None or largest_group(df, [key]) <= segment_rows:
         work = work.withColumn("segment", F.lit(0).cast("long"))
     else:
         ordered = position(work, [key], order, "_pos")

@@ -20,14 +20,14 @@ from tallyframe.plans.session import GROUP_ROWS
 from tallyframe.plans.skew import lookback, with_group
 
 
-def recent_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, rank: str = "recency") -> DataFrame:
-    """The k newest rows per key, rank 1 = newest.
+def recent_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, rank: str = "recency", newest: bool = True) -> DataFrame:
+    """The k newest (or oldest) rows per key, rank 1 = newest (oldest).
 
     Spark cuts every task's rows to k per key before the shuffle when k is within
     `spark.sql.optimizer.windowGroupLimitThreshold`; for larger k the same cut is made here on
     salted sub-groups, so that a hot key never reaches one task as a whole.
     """
-    desc = [F.col(o).desc() for o in order]
+    desc = [F.col(o).desc() if newest else F.col(o).asc() for o in order]
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > limit:
         salt = F.pmod(F.xxhash64(*order), F.lit(64))
@@ -108,6 +108,9 @@ def _decayed(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
     keep = max(math.ceil(math.log(1e-18) / math.log(1 - d)) for d in decays.values())
 
     def build(f: DataFrame, by: list[str]) -> DataFrame:
+        # One number per entity stands for its keys in Python, where NULL keys would not equal each other.
+        names = f.columns
+        f = f.withColumn("_entity", F.xxhash64(*[x for b in by for x in (F.col(b).isNull(), F.col(b))]))
         out = T.StructType(f.schema.fields + [T.StructField(n, T.DoubleType()) for n in decays])
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,9 +118,9 @@ def _decayed(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
             for pdf in batches:
                 if pdf.empty:
                     continue
-                ids = list(zip(*[pdf[b] for b in by]))
-                same = np.fromiter((i == last for i in ids), bool, len(ids)) if last is not None else np.zeros(len(ids), bool)
-                codes = np.concatenate(([0], np.cumsum([a != b for a, b in zip(ids[1:], ids[:-1])])))
+                ids = pdf["_entity"].to_numpy()
+                codes = np.concatenate(([0], np.cumsum(ids[1:] != ids[:-1])))
+                same = (codes == 0) & (ids == last) if last is not None else np.zeros(len(ids), bool)
                 x = pdf[col].fillna(0.0).astype("float64").reset_index(drop=True)
                 step = x.groupby(codes).cumcount().to_numpy()
                 new = {}
@@ -138,7 +141,7 @@ def _decayed(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
                 last = ids[-1]
                 yield pdf.assign(**new)
 
-        return f.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(scan, out)
+        return f.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(scan, out).select(*names, *decays)
 
     return lookback(df, keys, order, keep, build, group_rows)
 

@@ -8,87 +8,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.plans.session import GROUP_ROWS
+from tallyframe.plans.session import GROUP_ROWS, written
+from tallyframe.plans.skew import running
 
-BINS = 4096
 
-
-def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], direct_rows: int = GROUP_ROWS
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], group_rows: int = GROUP_ROWS) -> dict[str, list[float | None]]:
     """`{column: [quantile per probability]}`, NULLs ignored, same rule as `percentile`.
 
-    Small columns use `percentile`. Larger ones narrow a bracket around each wanted order
-    statistic: one counting pass splits every bracket into 4096 bins, and the loop ends when the
-    bracket holds one distinct value. Each pass is a scan with a fixed-size aggregate; the driver
-    only sees counts.
+    One method at every size, for all columns at once: the values are counted (one row per column and
+    distinct value, combined map-side), counts are summed up in value order, and the rows that hold
+    the wanted order statistics are returned. NaN counts as the largest value, after Infinity; an
+    interpolation between -Infinity and Infinity is NaN. The driver sees two values per probability.
     """
     cols = list(cols)
     if not cols:
         return {}
-    num = {c: F.col(c).cast("double") for c in cols}
-    head = df.agg(
-        *[F.count(num[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.min(num[c]).alias(f"a{i}") for i, c in enumerate(cols)],
-        *[F.max(num[c]).alias(f"b{i}") for i, c in enumerate(cols)],
-    ).first()
-    if max(head[f"n{i}"] for i in range(len(cols))) <= direct_rows:
-        grid = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(num[c], grid).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(cols):
-        n, lo, hi = head[f"n{i}"], head[f"a{i}"], head[f"b{i}"]
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
-        spots = [p * (n - 1) for p in probs]
-        ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-        found = _order_statistics(df.select(num[c].alias("v")).where(F.col("v").isNotNull()), ranks, lo, hi)
-        out[c] = [
-            found[math.floor(s)] + (s - math.floor(s)) * (found[math.ceil(s)] - found[math.floor(s)]) for s in spots
-        ]
-    return out
-
-
-def _order_statistics(values: DataFrame, ranks: Sequence[int], lo: float, hi: float) -> dict[int, float]:
-    """Values at the given 0-based ranks, by repeated counting in shrinking brackets."""
-    done: dict[int, float] = {}
-    open_: dict[tuple[float, float], list[tuple[int, int]]] = {(lo, hi): [(r, r) for r in ranks]}
-    while open_:
-        brackets = list(open_)
-        marks = []
-        for b, (x, y) in enumerate(brackets):
-            step = (y - x) / BINS
-            if step <= 0:
-                bin_ = F.lit(0)
-            else:
-                bin_ = F.least(F.floor((F.col("v") - x) / step), F.lit(BINS - 1)).cast("int")
-            inside = (F.col("v") >= x) & (F.col("v") <= y)
-            marks.append(F.when(inside, F.struct(F.lit(b).alias("b"), bin_.alias("i"))))
-        rows = (
-            values.select("v", F.explode(F.array(*marks)).alias("m"))
-            .where(F.col("m").isNotNull())
-            .groupBy("m.b", "m.i")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("x"), F.max("v").alias("y"))
-            .orderBy("b", "i")
-            .collect()
-        )
-        nxt: dict[tuple[float, float], list[tuple[int, int]]] = {}
-        for b, key in enumerate(brackets):
-            cells = [r for r in rows if r["b"] == b]
-            for rank, left in open_[key]:
-                for r in cells:
-                    if left < r["n"]:
-                        if r["x"] == r["y"]:
-                            done[rank] = r["x"]
-                        elif left == 0:
-                            done[rank] = r["x"]
-                        elif left == r["n"] - 1:
-                            done[rank] = r["y"]
-                        else:
-                            nxt.setdefault((r["x"], r["y"]), []).append((rank, left))
-                        break
-                    left -= r["n"]
-        open_ = nxt
-    return done
+    cell = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    cells = df.select(F.explode(cell).alias("x")).select("x.*").where("v IS NOT NULL")
+    counts = written(cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    totals = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return {c: [None] * len(probs) for c in cols}
+    spots = {i: [p * (n - 1) for p in probs] for i, n in totals.items()}
+    ranks = {i: sorted({r for s in x for r in (math.floor(s), math.ceil(s))}) for i, x in spots.items()}
+    wanted = F.element_at(F.create_map(*[F.lit(x) for i, r in ranks.items() for x in (i, r)]), F.col("c"))
+    summed = running(counts, ["c"], ["v"], {"upto": F.col("n")}, group_rows=group_rows)
+    hits = F.filter(wanted, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    found = {(r["c"], r["r"]): r["v"] for r in summed.select("c", "v", F.explode(hits).alias("r")).collect()}
+
+    def at(i: int, spot: float) -> float:
+        lo, hi = found[i, math.floor(spot)], found[i, math.ceil(spot)]
+        share = spot - math.floor(spot)
+        return lo if share == 0 or lo == hi else (1 - share) * lo + share * hi
+
+    return {c: [at(i, s) for s in spots[i]] if i in spots else [None] * len(probs) for i, c in enumerate(cols)}

@@ -55,11 +55,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table in fewer input splits than this is small enough to be dealt out anew.
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that arrives in fewer input splits than there are cores.
+    """Deal out a small table that arrives in a handful of input splits, as one local file does.
 
     Only for row-wise work that costs much more than moving the rows (regular expressions over long
-    texts, vector products). A table with enough splits, as any large one has, is returned as it is.
+    texts, vector products). A table of FEW_SPLITS splits or more is returned as it is, however many
+    cores there are; there `spark.sql.files.maxPartitionBytes` sets the grain.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -101,11 +102,10 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd", partition
     writer.parquet(path)
 
 
-def append_partitioned(df: DataFrame, path: str, dt_col: str, files_per_day: int = 4) -> None:
-    """Append under `dt=` folders. Rows of a day are spread over a few files, so a heavy day is not one task."""
+def append_partitioned(df: DataFrame, path: str, dt_col: str) -> None:
+    """Append under `dt=` folders. Rows are rebalanced by day: small days share a task, heavy days are split by size."""
     day = df.withColumn("dt", F.date_format(dt_col, "yyyy-MM-dd"))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
-    day.withColumn("_file", spread).repartition("dt", "_file").drop("_file").write.mode("append").partitionBy("dt").parquet(path)
+    day.hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -118,14 +118,20 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return df if df is not None else spark.createDataFrame([], schema)
 
 
-def checkpoint(df: DataFrame, folder: str, stage: str) -> DataFrame:
-    """Write a stage result once and continue from the file; an existing complete one is reused."""
-    path = f"{folder.rstrip('/')}/{stage}"
-    done = read_or_none(df.sparkSession, path)
-    if done is not None and done.schema.simpleString() == df.schema.simpleString():
-        return done
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def checkpoint(df: DataFrame, folder: str, stage: str, parameters: str = "") -> DataFrame:
+    """Write a stage result once and continue from the file; a finished one of the same work is reused.
+
+    The folder's name carries a fingerprint of the plan (inputs and expressions) and of `parameters`,
+    for instance the version of the inputs, so a result of other work is never taken. A
+    result counts as finished when Spark's end mark is there; a stage that broke off is written anew.
+    """
+    spark = df.sparkSession
+    print_ = zlib.crc32(f"{df.semanticHash()}|{df.schema.simpleString()}|{parameters}".encode())
+    path = f"{folder.rstrip('/')}/{stage}-{print_:08x}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach_embeddings(df: DataFrame, emb: DataFrame, key: str, dim: int, vector: str = "embedding") -> DataFrame:

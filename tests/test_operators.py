@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tallyframe.functions import stats
-from tallyframe.operators import aggs, evaluate, fairness, generators, joins, labels, latent, learners, monitoring, normalise, prep, privacy, quality, recommend, search, sequences, splits
+from tallyframe.operators import aggs, evaluate, fairness, generators, joins, labels, latent, learners, monitoring, normalise, prep, privacy, quality, recommend, search, sequences, splits, windows
 from tallyframe.sources import tables
 from tallyframe.sources.tables import Cast
 
@@ -495,8 +495,42 @@ def test_archives(spark, tmp_path):
 
 def test_checkpoint_reuses_a_finished_stage(spark, tmp_path):
     one = tables.checkpoint(spark.range(3).toDF("a"), str(tmp_path), "s")
-    two = tables.checkpoint(spark.range(9).toDF("a"), str(tmp_path), "s")
-    assert one.count() == two.count() == 3
+    before = sorted(tmp_path.glob("s-*/part-*"))
+    two = tables.checkpoint(spark.range(3).toDF("a"), str(tmp_path), "s")
+    assert one.count() == two.count() == 3 and sorted(tmp_path.glob("s-*/part-*")) == before
+    assert tables.checkpoint(spark.range(9).toDF("a"), str(tmp_path), "s").count() == 9
+    assert tables.checkpoint(spark.range(3).toDF("a"), str(tmp_path), "s", "v2").count() == 3
+    for mark in tmp_path.glob("s-*/_SUCCESS"):
+        mark.unlink()  # a stage that broke off
+    tables.checkpoint(spark.range(3).toDF("a"), str(tmp_path), "s")
+    assert sorted(tmp_path.glob("s-*/part-*")) != before
+
+
+def test_paired_t_follows_student(spark):
+    """Against the numerically integrated density, for small and large samples."""
+    def p_value(t, nu):
+        c = math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(nu * math.pi)
+        m, h = 20000, t / 20000
+        f = lambda x: c * (1 + x * x / nu) ** (-(nu + 1) / 2)
+        return 1 - 2 * h / 3 * (f(0) + f(t) + 4 * sum(f((2 * i + 1) * h) for i in range(m // 2)) + 2 * sum(f(2 * i * h) for i in range(1, m // 2)))
+
+    cases = [(nu, t) for nu in (1, 2, 3, 4, 5, 9, 10, 29, 60, 61, 100, 5000) for t in (0.01, 0.7, 2.8, 5.0)]
+    df = spark.createDataFrame([(float(nu), t) for nu, t in cases], "nu double, t double")
+    got = df.select("nu", "t", stats.t_two_sided(F.col("t"), F.col("nu")).alias("p")).collect()
+    for r in got:
+        assert math.isclose(r["p"], p_value(r["t"], r["nu"]), rel_tol=1e-6, abs_tol=1e-9), r
+    five = spark.createDataFrame([(1.0, 1.0 + d) for d in (0.5, 1.5, 1.0, 2.5, 0.2)], "a double, b double")
+    x = [0.5, 1.5, 1.0, 2.5, 0.2]
+    m = sum(x) / 5
+    t = m / math.sqrt(sum((v - m) ** 2 for v in x) / 4) * math.sqrt(5)
+    assert math.isclose(evaluate.paired_t(five, "a", "b").first()["p_value"], p_value(t, 4), rel_tol=1e-6)
+
+
+def test_ema_of_null_keys(spark):
+    df = spark.createDataFrame([(k, i, float(i)) for k in (None, 5) for i in (1, 2, 3)], "k long, t int, x double")
+    got = {(r["k"], r["t"]): r["x_ema_h"] for r in windows.ema(df, ["k"], ["t"], "x", {"h": 0.5}).collect()}
+    for k in (None, 5):
+        assert [got[k, t] for t in (1, 2, 3)] == [1.0, 1.5, 2.25]
 
 
 def test_persona_mode_ties(spark):

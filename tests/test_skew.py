@@ -144,19 +144,46 @@ def test_spearman_matches_rank_correlation(events):
 
 
 @pytest.mark.parametrize("col", ["x", "t"])
-def test_exact_quantiles_by_bracketing(events, col, monkeypatch):
-    monkeypatch.setattr(quantiles, "BINS", 8)
+def test_exact_quantiles_of_chunked_columns(events, col):
     probs = [0.0, 0.013, 0.25, 0.5, 0.77, 0.995, 1.0]
     direct = quantiles.exact_quantiles(events, [col], probs)[col]
-    bracketed = quantiles.exact_quantiles(events, [col], probs, direct_rows=0)[col]
-    assert np.allclose(direct, bracketed, atol=1e-12)
+    chunked = quantiles.exact_quantiles(events, [col], probs, group_rows=SMALL)[col]
+    assert np.allclose(direct, chunked, atol=1e-12)
     assert np.allclose(direct, np.quantile(events.toPandas()[col], probs), atol=1e-9)
 
 
 def test_exact_quantiles_of_empty_column(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles.exact_quantiles(df, ["v"], [0.5]) == {"v": [None]}
-    assert quantiles.exact_quantiles(df, ["v"], [0.5], direct_rows=-1) == {"v": [None]}
+    assert quantiles.exact_quantiles(df, ["v"], [0.5], group_rows=0) == {"v": [None]}
+
+
+def test_exact_quantiles_of_odd_values(spark):
+    """Infinity, NaN, NULL, constants and denormals, all columns in one call, plain and chunked."""
+    inf, nan = math.inf, math.nan
+    cols = {
+        "inf": [float(i) for i in range(198)] + [inf, -inf],
+        "nan": [float(i) for i in range(199)] + [nan],
+        "flat": [7.0] * 200,
+        "tiny": [i * 5e-324 for i in range(200)],
+        "some": [None if i % 3 else float(i) for i in range(200)],
+        "gone": [None] * 200,
+        "ends": [inf] * 100 + [-inf] * 100,
+    }
+    df = spark.createDataFrame([(i, *(v[i] for v in cols.values())) for i in range(200)], "id int, " + ", ".join(f"{c} double" for c in cols))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for rows_ in (1_000_000, 10):
+        got = quantiles.exact_quantiles(df, list(cols), probs, group_rows=rows_)
+        for c, v in cols.items():
+            here = sorted((x for x in v if x is not None), key=lambda x: (x != x, x))
+            for p, g in zip(probs, got[c]):
+                if not here:
+                    assert g is None
+                    continue
+                s = p * (len(here) - 1)
+                lo, hi = here[math.floor(s)], here[math.ceil(s)]
+                want = lo if lo == hi or s == math.floor(s) else (1 - s % 1) * lo + (s % 1) * hi
+                assert (g != g and want != want) or g == want or math.isclose(g, want, rel_tol=1e-12), (c, p)
 
 
 def test_grouped_quantiles(events):
@@ -168,7 +195,7 @@ def test_grouped_quantiles(events):
 
 def test_segmented_sequences_keep_every_event(events):
     one = sequences.collect_sequences(events, "k", ["t", "id"], {"ids": "id"}).collect()
-    many = sequences.collect_sequences(events, "k", ["t", "id"], {"ids": "id"}, 10).collect()
+    many = sequences.collect_sequences(events, "k", ["t", "id"], {"ids": "id"}, segment_rows=10).collect()
     assert all(len(r["ids"]) <= 10 for r in many)
     for r in one:
         parts = sorted((q["segment"], q["ids"]) for q in many if q["k"] == r["k"])
@@ -176,6 +203,15 @@ def test_segmented_sequences_keep_every_event(events):
         assert all(len(ids) == 10 for _, ids in parts[:-1])
 
 
+def test_histories_are_one_row_per_entity(events):
+    """Cut lists hold exactly the newest or oldest events; no cut changes the grain."""
+    whole = {r["k"]: r["ids"] for r in sequences.collect_sequences(events, "k", ["t", "id"], {"ids": "id"}).collect()}
+    new = sequences.collect_sequences(events, "k", ["t", "id"], {"ids": "id"}, newest=3).collect()
+    old = sequences.collect_sequences(events, "k", ["t", "id"], {"ids": "id"}, oldest=3).collect()
+    assert len(new) == len(old) == len(whole)
+    assert all(r["ids"] == whole[r["k"]][-3:] for r in new) and all(r["ids"] == whole[r["k"]][:3] for r in old)
+
+
 def test_recent_k_beyond_the_window_limit(spark, events):
     a = windows.recent_k(events, ["k"], ["t", "id"], 30).select("k", "id", "recency")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
@@ -209,7 +245,7 @@ def test_qini_by_hand(spark):
 
 def test_consistency_chunked(spark, events):
     df = events.withColumn("text", F.concat_ws(" ", F.lit("a"), (F.col("id") % 5).cast("string"), (F.col("t") % 3).cast("string")))
-    same(evaluate.consistency(df, ["k"], "id", "text"), evaluate.consistency(df, ["k"], "id", "text", group_rows=SMALL))
+    same(evaluate.consistency(df, ["k"], "id", "text", 4), evaluate.consistency(df, ["k"], "id", "text", 4, group_rows=SMALL))
 
 
 def test_median_gap_counts_same_day_pairs(spark):
