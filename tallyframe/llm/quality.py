@@ -121,7 +121,7 @@ def divergence(
     refs: Refs,
     text: str = "text",
     lang: str = "lang",
-    max_classes: float = 0.25,
+    max_classes: float = 0.3,
     max_words: float = 0.45,
     min_chars: int = 200,
     min_words: int = 200,
