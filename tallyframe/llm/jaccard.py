@@ -19,8 +19,7 @@ two sketches differ never exceed the sets' symmetric difference.
    sketches inside tasks, in tiles.
 4. Bit sketches (one bit per shingle, about two bits a shingle) reject a pair when their Hamming
    distance exceeds (n1 + n2) / 9, the largest symmetric difference of linked sets.
-5. Surviving pairs are verified on the exact sets, those first that could connect two components;
-   pairs inside one component need no check.
+5. Surviving pairs are verified on the exact sets, and the links make the components.
 
 Shingles, sets and classes are compared by 64-bit hashes.
 
@@ -40,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
-from tallyframe.llm.components import components
+from tallyframe.llm.components import components, joined
 from tallyframe.llm.text import STEP, U64, flat, grams, mix, owners, pack, ranges, slices, unpack, words
 from tallyframe.plans.session import written
 
@@ -285,29 +284,18 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         mine = rows.join(ids, rows.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(_sets, "key long, set binary")
         return written(mine.join(need, "key", "left_semi").dropDuplicates(["key"]))
 
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs)
         one = sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
         two = sets.select(F.col("key").alias("a"), F.col("set").alias("x"))
-        return pairs.join(one, "b").join(two, "a").where(_linked("x", "y")).select("a", "b")
+        return written(pairs.join(one, "b").join(two, "a").where(_linked("x", "y")).select("a", "b"))
 
-    def settle(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Verify what could still connect components: each class with its smallest candidate, then the rest."""
-        if pairs.isEmpty():
-            return links, roots
-        sets = sets_of(pairs)
-        links = links.union(written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets)))
-        roots = written(components(links))
-        rest = written(_apart(pairs, roots))
-        if not rest.isEmpty():
-            links = links.union(written(verified(rest, sets)))
-            roots = written(components(links))
-        return links, roots
-
-    links, roots = settle(plausible(found.where("not crowded").select("a", "b").distinct()), spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long"))
+    roots = written(components(verified(plausible(found.where("not crowded").select("a", "b").distinct()))))
     crowded = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("cell")).distinct()
     open_ = written(_open_cells(_needed_cells(crowded, classes), roots))
     if not open_.isEmpty():
-        links, roots = settle(written(_compare_open(open_, classes)), links, roots)
+        more = verified(written(_compare_open(open_, classes)))
+        roots = written(joined(roots, more))
     return members, roots
 
 
@@ -389,14 +377,6 @@ def _open_cells(crowded: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(mixed, "cell", "left_semi")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    far = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-    return pairs.join(ra, "a", "left").join(rb, "b", "left").where(far).select("a", "b")
-
-
 @F.arrow_udf(LongType())
 def class_key(text: pa.Array) -> pa.Array:
     """Hash of a text's shingle set; 0 for the empty set."""
