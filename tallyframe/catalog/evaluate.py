@@ -264,13 +264,13 @@ def _(spark, sf):
 @query(
     "run_parameter_diff",
     "E17",
-    """WITH a AS (SELECT p_name AS param, max(p_size) AS a FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_name AS param, max(p_size) AS b FROM part WHERE p_partkey % 2 = 1 AND p_size < 45 GROUP BY 1)
+    """WITH a AS (SELECT p_name AS param, max(p_size) AS a FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_name AS param, max(p_size) AS b FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
        SELECT param, coalesce(a, -1) AS a, coalesce(b, -1) AS b FROM a FULL JOIN b USING (param) WHERE a IS DISTINCT FROM b""",
 )
 def _(spark, sf):
     p = table(spark, sf, "part")
     one = lambda d: d.groupBy(F.col("p_name").alias("param")).agg(F.max("p_size").alias("value"))
-    out = e.param_diff(one(p.where("p_partkey % 2 = 0")), one(p.where("p_partkey % 2 = 1 AND p_size < 45")))
+    out = e.param_diff(one(p.where("p_partkey % 2 = 0")), one(p.where("p_partkey % 2 = 1")))
     return out.select("param", F.coalesce("a", F.lit(-1)).alias("a"), F.coalesce("b", F.lit(-1)).alias("b"))
 
 

@@ -87,8 +87,8 @@ def _(spark, sf):
 
 @query("merchant_class_embedding", "G3")
 def _(spark, sf):
-    t = transactions(spark, sf, part=True).where("mcc <= 40").withColumn("cls", F.floor((F.col("mcc") - 1) / 5).cast("int"))
-    return lt.merchant_svd(t.groupBy("user_id", "cls").agg(F.sum("amount").alias("w")), "user_id", "cls", "w", 8, 4)
+    t = transactions(spark, sf, part=True).withColumn("cls", F.floor((F.col("mcc") - 1) / 5).cast("int"))
+    return lt.merchant_svd(t.groupBy("user_id", "cls").agg(F.sum("amount").alias("w")), "user_id", "cls", "w", 10, 4)
 
 
 @query(
@@ -117,7 +117,7 @@ def _(spark, sf):
 @query("gmm_soft_clusters", "G6")
 def _(spark, sf):
     p = pivot(spark, sf)
-    cols = MONTHS[:4]
+    cols = MONTHS
     return ln.gmm_transform(p, cols, ln.gmm_fit(p, cols, 3), 3).select("user_id", "cluster", "probs", "entropy")
 
 
@@ -284,3 +284,19 @@ def _(spark, sf):
     m, s = n.fit_standard(e, ["value"])["value"]
     out = g.sir_scores(e, "value", m, s).drop("value", "sir_r0", "sir_duration")
     return rounded(out, "sir_infected", "sir_recovered", "sir_susceptible", "sir_peak_time")
+
+
+@query(
+    "feature_group_ranges",
+    "G18",
+    f"""WITH {TXN}, {_PIV} SELECT 'winter' AS name, 0 AS first, 3 AS last, round(sum(amt_12 + amt_01 + amt_02), 2) AS total FROM piv UNION ALL SELECT 'summer', 3, 6, round(sum(amt_06 + amt_07 + amt_08), 2) FROM piv""",
+)
+def _(spark, sf):
+    p = pivot(spark, sf).drop("user_id")
+    groups = {"winter": ["amt_12", "amt_01", "amt_02"], "summer": ["amt_06", "amt_07", "amt_08"]}
+    columns = g.order_by_group(p.columns, groups)
+    ranges = g.group_ranges(columns, groups)
+    sums = p.select(columns).agg(*[F.sum(c).alias(c) for c in columns])
+    total = lambda lo, hi: F.round(sum((F.col(c) for c in columns[lo + 1 : hi]), F.col(columns[lo])), 2)
+    rows = [F.struct(F.lit(k).alias("name"), F.lit(lo).alias("first"), F.lit(hi).alias("last"), total(lo, hi).alias("total")) for k, (lo, hi) in ranges.items()]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

@@ -9,7 +9,7 @@ from tallyframe.operators import joins as j
 @query(
     "join_kinds",
     "J1",
-    """WITH s AS (SELECT s_nationkey AS k, count(*) AS ns FROM supplier GROUP BY 1), c AS (SELECT c_nationkey AS k, count(*) AS nc FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+    """WITH s AS (SELECT s_nationkey AS k, count(*) AS ns FROM supplier GROUP BY 1), c AS (SELECT c_nationkey + 3 AS k, count(*) AS nc FROM customer GROUP BY 1)
        SELECT 'inner' AS how, count(*) AS n, sum(ns + nc)::BIGINT AS total FROM s JOIN c USING (k)
        UNION ALL SELECT 'left', count(*), sum(ns + coalesce(nc, 0))::BIGINT FROM s LEFT JOIN c USING (k)
        UNION ALL SELECT 'right', count(*), sum(coalesce(ns, 0) + nc)::BIGINT FROM s RIGHT JOIN c USING (k)
@@ -17,7 +17,7 @@ from tallyframe.operators import joins as j
 )
 def _(spark, sf):
     s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("ns"))
-    c = table(spark, sf, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("nc"))
+    c = table(spark, sf, "customer").groupBy((F.col("c_nationkey") + 3).alias("k")).agg(F.count("*").alias("nc"))
     out = None
     for how in ("inner", "left", "right", "outer"):
         r = s.join(c, "k", how).agg(F.count("*").alias("n"), F.sum(F.coalesce("ns", F.lit(0)) + F.coalesce("nc", F.lit(0))).alias("total"))
@@ -72,13 +72,15 @@ def _(spark, sf):
 @query(
     "dense_month_panel",
     "J6",
-    """WITH m AS (SELECT generate_series AS ym FROM generate_series(0, 11)), f AS (SELECT o_custkey, month(o_orderdate) - 1 AS ym, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1, 2)
+    """WITH f AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS ym, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2), m AS (SELECT unnest(generate_series((SELECT min(ym) FROM f), (SELECT max(ym) FROM f))) AS ym)
        SELECT c_custkey, m.ym::INTEGER AS ym, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM customer CROSS JOIN m LEFT JOIN f ON f.o_custkey = c_custkey AND f.ym = m.ym""",
 )
 def _(spark, sf):
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") == 1998)
-    f = o.groupBy(F.col("o_custkey").alias("c_custkey"), (F.month("o_orderdate") - 1).alias("ym")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return j.dense_panel(table(spark, sf, "customer"), f, "c_custkey", "ym", F.sequence(F.lit(0), F.lit(11)), {"n": 0, "total": 0.0})
+    o = table(spark, sf, "orders")
+    ym = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
+    lo, hi = o.agg(F.min(ym), F.max(ym)).first()
+    f = o.groupBy(F.col("o_custkey").alias("c_custkey"), ym.alias("ym")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return j.dense_panel(table(spark, sf, "customer"), f, "c_custkey", "ym", F.sequence(F.lit(lo), F.lit(hi)), {"n": 0, "total": 0.0})
 
 
 @query(

@@ -304,3 +304,17 @@ def _(spark, sf):
     psi = rounded(d.psi_width(*ref_cur(spark, sf), ["l_quantity", "l_extendedprice"]), "psi")
     full = q.gate(checks, psi).select(F.lit("all").alias("scope"), "*")
     return full.unionByName(q.gate(checks.where("column <> 'value'"), psi).select(F.lit("nullable").alias("scope"), "*"))
+
+
+@query(
+    "feature_label_overlap",
+    "U3",
+    "SELECT 'l_discount' AS shared, count(l_discount) AS n FROM lineitem UNION ALL SELECT 'l_quantity', count(l_quantity) FROM lineitem",
+)
+def _(spark, sf):
+    li = table(spark, sf, "lineitem")
+    features = li.select("l_orderkey", "l_quantity", "l_discount", "l_tax")
+    labels = li.select("l_orderkey", "l_discount", "l_quantity", "l_returnflag")
+    shared = sp.column_overlap(features, labels, "l_orderkey")
+    counted = features.agg(*[F.count(c).alias(c) for c in shared])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("shared"), F.col(c).alias("n")) for c in shared])).alias("x")).select("x.*")

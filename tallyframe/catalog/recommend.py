@@ -198,12 +198,12 @@ def _(spark, sf):
     "layer_routing",
     "R10",
     """WITH t AS (SELECT p_partkey AS task, CASE p_partkey % 3 WHEN 0 THEN 'binary' WHEN 1 THEN 'multiclass' ELSE 'regression' END AS tt, p_size > 5 AS m FROM part),
-       c AS (SELECT l_partkey AS task, bool_and(CASE WHEN l_returnflag = 'A' THEN l_discount <= 0.07 ELSE l_quantity >= 10 END) AS a, bool_or(CASE WHEN l_returnflag = 'A' THEN l_discount <= 0.07 ELSE l_quantity >= 10 END) AS o FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_quantity > 45 GROUP BY 1)
+       c AS (SELECT l_partkey AS task, bool_and(CASE WHEN l_returnflag = 'A' THEN l_discount <= 0.07 ELSE l_quantity >= 10 END) AS a, bool_or(CASE WHEN l_returnflag = 'A' THEN l_discount <= 0.07 ELSE l_quantity >= 10 END) AS o FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1)
        SELECT task, tt AS task_type, m AS has_model, CASE WHEN m AND p_retailprice / 1500 >= CASE tt WHEN 'binary' THEN 0.6 WHEN 'multiclass' THEN 2.0 ELSE 0.05 END AND coalesce(a, FALSE) THEN 1 WHEN m AND coalesce(o, TRUE) THEN 2 WHEN task IN (1, 2, 3, 40) THEN 3 ELSE 4 END AS layer
        FROM t JOIN part ON p_partkey = task LEFT JOIN c USING (task)""",
 )
 def _(spark, sf):
-    p, li = table(spark, sf, "part"), table(spark, sf, "lineitem").where("l_quantity > 45")
+    p, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
     k = F.col("p_partkey") % 3
     tasks = p.select(F.col("p_partkey").alias("task"), F.when(k == 0, "binary").when(k == 1, "multiclass").otherwise("regression").alias("task_type"), (F.col("p_size") > 5).alias("has_model"))
     gap = F.col("l_returnflag") == "A"

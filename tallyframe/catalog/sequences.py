@@ -396,12 +396,13 @@ def _(spark, sf):
 @query(
     "future_window_labels",
     "L17 J5 J9 A13",
-    f"""WITH {TXN}, w AS (SELECT i AS win_id, DATE '1997-01-01' + (i * 90)::INTEGER AS ws, DATE '1997-01-01' + (i * 90 + 179)::INTEGER AS we FROM range(8) r(i)),
+    f"""WITH {TXN}, w AS (SELECT i AS win_id, (SELECT min(day) FROM txn) + (i * 90)::INTEGER AS ws, (SELECT min(day) FROM txn) + (i * 90 + 179)::INTEGER AS we FROM (SELECT unnest(range((SELECT date_diff('day', min(day), max(day)) // 90 + 1 FROM txn))) AS i) r),
        past AS (SELECT DISTINCT user_id, win_id, mcc FROM txn JOIN w ON day BETWEEN ws AND we), f AS (SELECT user_id, win_id, mcc, sum(amount) AS s, count(*) AS n FROM txn JOIN w ON day BETWEEN we + 1 AND we + 30 GROUP BY 1, 2, 3)
        SELECT user_id, win_id, round(sum(s), 2) AS label_spend, sum(n)::BIGINT AS label_txn_count, arg_max(mcc, (n, -mcc)) AS label_top, max(CASE WHEN (user_id, win_id, mcc) IN (SELECT (user_id, win_id, mcc) FROM past) THEN 0 ELSE 1 END) AS has_new FROM f GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    w = spark.range(8).select(F.col("id").alias("win_id"), F.date_add(F.lit("1997-01-01").cast("date"), (F.col("id") * 90).cast("int")).alias("win_start"))
-    w = w.withColumn("win_end", F.date_add("win_start", 179))
     t = transactions(spark, sf, part=True).select("user_id", "day", "amount", "mcc")
+    first, last = t.agg(F.min("day"), F.max("day")).first()
+    w = spark.range((last - first).days // 90 + 1).select(F.col("id").alias("win_id"), F.date_add(F.lit(first), (F.col("id") * 90).cast("int")).alias("win_start"))
+    w = w.withColumn("win_end", F.date_add("win_start", 179))
     return rounded(lb.future_labels(t, w), "label_spend", digits=2)
