@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.text import STEP, U64, flat, gathered, mix, ranges, slices
 
 BLANK, SPELLED = 0x2581, 0x110000
+#: More than -log(-log(u)) can be for the largest u drawn.
+MARGIN = 40.0
 
 
 class Model(NamedTuple):
@@ -70,7 +72,7 @@ def load(path: str) -> Model:
             if "▁" in piece[1:] and piece.strip("▁"):
                 raise ValueError("a piece holds a blank after its start")
             points = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
-            keys.append(int(_hashes(points, points.size)[0]))
+            keys.append(_piece_hash(points))
             ids.append(i)
             rank[i] = len(ids)
             longest = max(longest, points.size)
@@ -83,16 +85,33 @@ def load(path: str) -> Model:
     return Model(np.array(keys, U64)[order], np.array(ids)[order], w, longest, first_byte, b"".join(out), np.cumsum([0, *map(len, out)]))
 
 
-def _hashes(points: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n code points from every position."""
-    size = points.size - n + 1
-    if size < 1:
-        return np.zeros(0, U64)
-    p = points.astype(U64)
-    out = np.full(size, n, U64)
-    for j in range(n):
-        out = out * STEP + p[j : j + size]
-    return mix(out)
+def _piece_hash(points: np.ndarray) -> int:
+    """Hash of a piece: its code points as digits, see `_pieces_at`."""
+    h = 1
+    for p in points.tolist():
+        h = (h * int(STEP) + p) % 2**64
+    return h * int(STEP) % 2**64
+
+
+def _pieces_at(points: np.ndarray, left: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, length, id) of every piece that fits; lengths rise, and only positions with room go on."""
+    near = np.zeros(1 << 20, bool)
+    near[(model.keys >> U64(44)).astype(np.int64)] = True
+    digits = points.astype(U64)
+    at, h = np.arange(points.size), np.ones(points.size, U64)
+    out: list[tuple[np.ndarray, ...]] = []
+    for n in range(1, model.longest + 1):
+        if n > 1:
+            room = left[at] >= n
+            at, h = at[room], h[room]
+        h = h * STEP + digits[at + n - 1]
+        key = h * STEP
+        maybe = np.flatnonzero(near[(key >> U64(44)).astype(np.int64)])
+        i = np.minimum(np.searchsorted(model.keys, key[maybe]), model.keys.size - 1)
+        ok = model.keys[i] == key[maybe]
+        found = at[maybe[ok]]
+        out.append((found, np.full(found.size, n), model.ids[i[ok]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 class Lattices(NamedTuple):
@@ -100,6 +119,7 @@ class Lattices(NamedTuple):
 
     first: np.ndarray
     count: np.ndarray
+    of: np.ndarray
     to: np.ndarray
     log: np.ndarray
     upto: np.ndarray
@@ -114,23 +134,12 @@ def build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> La
     slots = off[:-1] + np.arange(lens.size)  # the first position of each chunk
     run = np.repeat(np.arange(lens.size), lens)
     left = off[1:][run] - np.arange(points.size)
-    near = np.zeros(1 << 20, bool)
-    near[(model.keys >> U64(44)).astype(np.int64)] = True
-    at, size, piece = [], [], []
-    for n in range(1, model.longest + 1):
-        h = _hashes(points, n)
-        maybe = np.flatnonzero(near[(h >> U64(44)).astype(np.int64)] & (left[: h.size] >= n))
-        i = np.minimum(np.searchsorted(model.keys, h[maybe]), model.keys.size - 1)
-        ok = model.keys[i] == h[maybe]
-        at.append(maybe[ok])
-        size.append(np.full(int(ok.sum()), n))
-        piece.append(model.ids[i[ok]])
+    at, size, piece = _pieces_at(points, left, model)
     known = np.zeros(points.size, bool)
-    known[at[0]] = True
+    known[at[size == 1]] = True
     plain = np.flatnonzero(~known)
     code = np.where(points[plain] == SPELLED, BLANK, points[plain]).astype(np.int64)
-    at, size = np.concatenate([*at, plain]), np.concatenate([*size, np.ones(plain.size, np.int64)])
-    piece = np.concatenate([*piece, -1 - code])
+    at, size, piece = np.concatenate([at, plain]), np.concatenate([size, np.ones(plain.size, np.int64)]), np.concatenate([piece, -1 - code])
     order = np.argsort(at, kind="stable")
     at, size, piece = at[order], size[order], piece[order]
     lone = piece < 0
@@ -167,7 +176,7 @@ def build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> La
             low = (c >> (6 * (n - 1 - j))) & 0x3F
             byte = c if n == 1 else (low | 0x80 if j else (c >> (6 * (n - 1))) | (0xC0, 0xE0, 0xF0)[n - 2])
             ids[ids_off[sel] + j] = model.first_byte + byte
-    return Lattices(first, count, to, log, upto, slots, ids, ids_off)
+    return Lattices(first, count, place[at], to, log, upto, slots, ids, ids_off)
 
 
 def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,8 +235,6 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
     agenda: list[list[tuple]] = [[] for _ in range(n)]
     # What to continue: text, chunk, place in the chunk, value, log so far, arcs so far.
     todo = [(t, int(first[t]), -1, float(-np.log(-np.log(_uniform(mix(seed[t : t + 1] + STEP), np.zeros(1), 1)[0]))), 0.0, np.zeros(0, np.int64)) for t in range(n)]
-    arc_from = np.zeros(lat.to.size, np.int64)
-    arc_from[ranges(lat.first[lat.count > 0], lat.count[lat.count > 0])] = np.repeat(np.flatnonzero(lat.count > 0), lat.count[lat.count > 0])
     for turn in range(k):
         text = np.array([x[0] for x in todo], np.int64)
         if not text.size:
@@ -249,32 +256,49 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
         logs = lat.log[arc]
         cum = np.concatenate([[0.0], np.cumsum(logs)])
         before = so_far[of] + cum[:-1] - cum[cut[:-1]][of]
-        # Every arc not taken is a partial split of its own, with a value below the one taken.
-        here = arc_from[arc]
-        others = lat.count[here] - 1
-        node = np.repeat(np.arange(arc.size), others)
-        rank = ranges(np.zeros(arc.size, np.int64), others)
-        side = lat.first[here][node] + rank
-        side += side >= arc[node]
-        f = before[node] + lat.log[side]
-        begin_here = here[node] - start_of[kind[chunk[row[node]]]]
-        u = _uniform(seed[text[of[node]]] + mix(local[row[node]].astype(U64) + U64(1)), begin_here, rank * 64 + 2 * turn + 1)
-        g = f - np.log(np.exp(f - value[of[node]]) - np.log(u))
-        spot = np.searchsorted(of[node], np.arange(text.size + 1))
         want = k - turn
-        left = g.copy()
-        full = np.flatnonzero(np.diff(spot) > 0)
-        for _ in range(want):
-            if not full.size:
-                break
-            top = np.maximum.reduceat(left, spot[full])
-            keep = top > -np.inf
-            for i, m in zip(full[keep], top[keep]):
-                j = spot[i] + int(np.argmax(left[spot[i] : spot[i + 1]]))
-                e = int(node[j])
-                agenda[text[i]].append((float(m), int(chunk[row[e]]), int(lat.to[side[j]]), float(f[j]), i, e - int(cut[i]), int(side[j]), turn))
-                left[j] = -np.inf
-            full = full[keep]
+        here = lat.of[arc]
+        others = lat.count[here] - 1
+
+        def offer(nodes: np.ndarray) -> np.ndarray:
+            """Put each text's `want` best partial splits on its agenda: arcs not taken at these nodes of the path.
+
+            Each carries the largest perturbed value of its completions, drawn below the one taken.
+            Returns for each text the last value that was put there.
+            """
+            node = np.repeat(nodes, others[nodes])
+            rank = ranges(np.zeros(nodes.size, np.int64), others[nodes])
+            side = lat.first[here[node]] + rank
+            side += side >= arc[node]
+            f = before[node] + lat.log[side]
+            u = _uniform(seed[text[of[node]]] + mix(local[row[node]].astype(U64) + U64(1)), here[node] - start_of[kind[chunk[row[node]]]], rank * 64 + 2 * turn + 1)
+            left = f - np.log(np.exp(f - value[of[node]]) - np.log(u))
+            spot = np.searchsorted(of[node], np.arange(text.size + 1))
+            worst = np.full(text.size, -np.inf)
+            full = np.flatnonzero(np.diff(spot) > 0)
+            for step in range(want):
+                if not full.size:
+                    break
+                top = np.maximum.reduceat(left, spot[full])
+                full = full[top > -np.inf]
+                for i, m in zip(full, top[top > -np.inf]):
+                    j = spot[i] + int(np.argmax(left[spot[i] : spot[i + 1]]))
+                    e = int(node[j])
+                    agenda[text[i]].append((float(m), int(chunk[row[e]]), int(lat.to[side[j]]), float(f[j]), i, e - int(cut[i]), int(side[j]), turn))
+                    left[j] = -np.inf
+                    if step == want - 1:
+                        worst[i] = m
+            return worst
+
+        # A value exceeds its log-probability by less than MARGIN, so arcs far down the path, whose
+        # prefix has become unlikely, need no draw where better ones fill the agenda.
+        low = value - 2 * MARGIN
+        worst = offer(np.flatnonzero((others > 0) & (before > low[of])))
+        again = (worst <= low + MARGIN) & (np.bincount(of[(others > 0) & (before <= low[of])], minlength=text.size) > 0)
+        if again.any():
+            for i in np.flatnonzero(again):
+                agenda[text[i]] = [a for a in agenda[text[i]] if len(a) < 8 or a[7] != turn]
+            offer(np.flatnonzero((others > 0) & again[of]))
         nxt = []
         for i, x in enumerate(todo):
             t = x[0]
