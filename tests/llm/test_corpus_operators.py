@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import ls, odd  # noqa: F401
 from tallyframe.llm import decontaminate, interpolation, jaccard, lattice, suffixes, toxicity
 from tallyframe.llm.components import components
 from tallyframe.llm.queries import QUERIES

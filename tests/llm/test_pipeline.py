@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline as cp
+from llm_fixtures import ls, odd  # noqa: F401
 from tallyframe.llm import pii
 from test_corpus_operators import low, plain_components, plain_overlaps, WORD  # noqa: F401
 

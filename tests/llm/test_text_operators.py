@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import ls, odd  # noqa: F401
 from tallyframe.llm import chat, language, pii, quality
 from tallyframe.llm.queries import QUERIES, SQL
 
