@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.text import STEP, U64, flat, gathered, mix, pack, unpack, words
 from tallyframe.plans.session import written
 
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 END, START = U64(0x5EED0E4D), U64(0x5EED57A7)
 QUARTERS = 4
 LOWEST = 40

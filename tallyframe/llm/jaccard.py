@@ -45,7 +45,7 @@ from tallyframe.plans.session import written
 
 CROWD = 8
 PART = 1500
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 
 
 def spare(n):
