@@ -19,10 +19,15 @@ from tallyframe.plans.session import GROUP_ROWS, written
 CHUNK = "_chunk"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group; the count is combined map-side."""
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Row counts of the biggest group and of the table, in one pass that combines map-side."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    biggest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return biggest or 0, total or 0
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    return group_sizes(df, keys)[0]
 
 
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, total: int) -> DataFrame:
@@ -59,11 +64,12 @@ def running(
         return F.sum(n) if n in sums else F.max(n)
 
     work = df.select("*", *[c.alias(n) for n, c in exprs.items()])
-    if largest_group(df, keys) <= group_rows:
+    biggest, total = group_sizes(df, keys)
+    if biggest <= group_rows:
         by = [F.col(k) for k in keys] or [F.lit(0)]
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return work.select(*df.columns, *[total_of(n).over(w).alias(n) for n in exprs])
-    work = chunked(work, keys, order, group_rows, df.count())
+    work = chunked(work, keys, order, group_rows, total)
     totals = work.groupBy(*keys, CHUNK).agg(*[total_of(n).alias(n) for n in exprs])
     before = _borders(totals, keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -104,10 +110,9 @@ def lookback(
     bounded window sees the same rows as it would over the whole key; halo rows are dropped at the
     end. `build` must keep the columns it is given.
     """
-    biggest = largest_group(df, keys)
+    biggest, total = group_sizes(df, keys)
     if biggest <= group_rows:
         return build(df, list(keys))
-    total = df.count()
     work = chunked(df, keys, order, group_rows, total)
     parts = work.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     by_chunk = _borders(parts, keys)
