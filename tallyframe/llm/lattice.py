@@ -37,14 +37,20 @@ from pyspark.sql import functions as F
 from tallyframe.llm.text import STEP, U64, flat, gathered, mix, ranges, slices
 
 BLANK, SPELLED = 0x2581, 0x110000
+#: A second odd multiplier, for counters.
+STRIDE = np.array(0xD1342543DE82EF95, U64)
 #: More than -log(-log(u)) can be for the largest u drawn.
 MARGIN = 40.0
 
 
 class Model(NamedTuple):
-    """Vocabulary: sorted code-point hashes of the pieces with their ids, log weights, and the bytes of all ids."""
+    """Vocabulary: sorted code-point hashes of the pieces with their ids, log weights, and the bytes of all ids.
+
+    `begin` tells where the hashes with the same upper 18 bits begin.
+    """
 
     keys: np.ndarray
+    begin: np.ndarray
     ids: np.ndarray
     weight: np.ndarray
     longest: int
@@ -82,7 +88,9 @@ def load(path: str) -> Model:
     order = np.argsort(np.array(keys, U64))
     w = -np.log(rank + 1.0)
     w -= np.log(np.exp(w).sum())
-    return Model(np.array(keys, U64)[order], np.array(ids)[order], w, longest, first_byte, b"".join(out), np.cumsum([0, *map(len, out)]))
+    sorted_keys = np.array(keys, U64)[order]
+    begin = np.searchsorted(sorted_keys >> U64(46), np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
+    return Model(sorted_keys, begin, np.array(ids, np.int32)[order], w, longest, first_byte, b"".join(out), np.cumsum([0, *map(len, out)]))
 
 
 def _piece_hash(points: np.ndarray) -> int:
@@ -95,10 +103,9 @@ def _piece_hash(points: np.ndarray) -> int:
 
 def _pieces_at(points: np.ndarray, left: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, length, id) of every piece that fits; lengths rise, and only positions with room go on."""
-    near = np.zeros(1 << 20, bool)
-    near[(model.keys >> U64(44)).astype(np.int64)] = True
+    begin = model.begin
     digits = points.astype(U64)
-    at, h = np.arange(points.size), np.ones(points.size, U64)
+    at, h = np.arange(points.size, dtype=np.int32), np.ones(points.size, U64)
     out: list[tuple[np.ndarray, ...]] = []
     for n in range(1, model.longest + 1):
         if n > 1:
@@ -106,11 +113,18 @@ def _pieces_at(points: np.ndarray, left: np.ndarray, model: Model) -> tuple[np.n
             at, h = at[room], h[room]
         h = h * STEP + digits[at + n - 1]
         key = h * STEP
-        maybe = np.flatnonzero(near[(key >> U64(44)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(model.keys, key[maybe]), model.keys.size - 1)
-        ok = model.keys[i] == key[maybe]
-        found = at[maybe[ok]]
-        out.append((found, np.full(found.size, n), model.ids[i[ok]]))
+        top = (key >> U64(46)).astype(np.int32)
+        here, end = begin[top], begin[top + 1]
+        maybe = np.flatnonzero(here < end)
+        here, end, key = here[maybe], end[maybe], key[maybe]
+        while maybe.size:
+            same = model.keys[here] == key
+            out.append((at[maybe[same]], np.full(int(same.sum()), n, np.int32), model.ids[here[same]]))
+            here += 1
+            more = np.flatnonzero(~same & (here < end))
+            maybe, here, end, key = maybe[more], here[more], end[more], key[more]
+    if not out:
+        return (np.zeros(0, np.int32),) * 3
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -128,25 +142,42 @@ class Lattices(NamedTuple):
     ids_off: np.ndarray
 
 
-def build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> Lattices:
-    """Lattices of chunks given as code points; every chunk has one more position, its end."""
+def build(points: np.ndarray, off: np.ndarray, model: Model, theta: float, part: int = 1 << 15) -> Lattices:
+    """Lattices of chunks given as code points; every chunk has one more position, its end.
+
+    They are built some chunks at a time, so that the working arrays stay in the processor's cache.
+    """
+    parts, at, places, arcs, ids = [], 0, 0, 0, 0
+    while at < off.size - 1 or not parts:
+        to = max(min(at + 1, off.size - 1), int(np.searchsorted(off, off[at] + part, "right")) - 1)
+        lat = _build(points[off[at] : off[to]], off[at : to + 1] - off[at], model, theta)
+        parts.append(lat._replace(first=lat.first + arcs, of=lat.of + places, to=lat.to + places, start=lat.start + places, ids_off=lat.ids_off[:-1] + ids))
+        places, arcs, ids, at = places + lat.first.size, arcs + lat.to.size, ids + lat.ids.size, to
+    joined = Lattices(*(np.concatenate(x) for x in zip(*parts)))
+    return joined._replace(ids_off=np.append(joined.ids_off, ids))
+
+
+def _build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> Lattices:
     lens = np.diff(off)
     slots = off[:-1] + np.arange(lens.size)  # the first position of each chunk
-    run = np.repeat(np.arange(lens.size), lens)
-    left = off[1:][run] - np.arange(points.size)
+    run = np.repeat(np.arange(lens.size, dtype=np.int32), lens)
+    left = (off[1:][run] - np.arange(points.size)).astype(np.int32)
     at, size, piece = _pieces_at(points, left, model)
     known = np.zeros(points.size, bool)
     known[at[size == 1]] = True
     plain = np.flatnonzero(~known)
     code = np.where(points[plain] == SPELLED, BLANK, points[plain]).astype(np.int64)
-    at, size, piece = np.concatenate([at, plain]), np.concatenate([size, np.ones(plain.size, np.int64)]), np.concatenate([piece, -1 - code])
+    at = np.concatenate([at, plain.astype(np.int32)])
+    size = np.concatenate([size, np.ones(plain.size, np.int32)])
+    piece = np.concatenate([piece, (-1 - code).astype(np.int32)])
     order = np.argsort(at, kind="stable")
     at, size, piece = at[order], size[order], piece[order]
     lone = piece < 0
-    utf8 = np.where(lone, 1 + (-1 - piece > 0x7F) + (-1 - piece > 0x7FF) + (-1 - piece > 0xFFFF), 1)
+    utf8 = np.ones(piece.size, np.int8)
+    utf8[lone] = 1 + (-1 - piece[lone] > 0x7F) + (-1 - piece[lone] > 0x7FF) + (-1 - piece[lone] > 0xFFFF)
     w = theta * np.where(lone, utf8 * model.weight[model.first_byte], model.weight[np.maximum(piece, 0)])
     # Log mass of all completions, from the chunks' ends backwards.
-    place = np.arange(points.size) + run
+    place = np.arange(points.size, dtype=np.int32) + run
     total = np.zeros(points.size + lens.size)
     begin = np.searchsorted(at, np.arange(points.size + 1))
     by_left = np.argsort(left, kind="stable")
@@ -166,7 +197,7 @@ def build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> La
     upto = running - np.repeat((running - p)[begin[:-1]], np.diff(begin)) if at.size else p
     first, count = np.zeros(total.size, np.int64), np.zeros(total.size, np.int64)
     first[place], count[place] = begin[:-1], np.diff(begin)
-    ids_off = np.concatenate([[0], np.cumsum(utf8)])
+    ids_off = np.concatenate([[0], np.cumsum(utf8, dtype=np.int64)]).astype(np.int32)
     ids = np.empty(ids_off[-1], np.int32)
     ids[ids_off[:-1][~lone]] = piece[~lone]
     for n in (1, 2, 3, 4):
@@ -195,7 +226,7 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _uniform(seed: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) from counters."""
-    h = mix(seed + mix(a.astype(U64) * STEP + np.asarray(b).astype(U64)))
+    h = mix(seed + a.astype(U64) * STEP + np.asarray(b).astype(U64) * STRIDE)
     return ((h >> U64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
@@ -292,7 +323,7 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
 
         # A value exceeds its log-probability by less than MARGIN, so arcs far down the path, whose
         # prefix has become unlikely, need no draw where better ones fill the agenda.
-        low = value - 2 * MARGIN
+        low = value - MARGIN - 10
         worst = offer(np.flatnonzero((others > 0) & (before > low[of])))
         again = (worst <= low + MARGIN) & (np.bincount(of[(others > 0) & (before <= low[of])], minlength=text.size) > 0)
         if again.any():
@@ -326,13 +357,14 @@ HEAD = "key long, sample int, n_pieces int, log_prob double, perturbed double, l
 
 def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in gathered(batches, 8 * block):
+        for big in gathered(batches, 3 * block):
             points, at, _ = chunks(*flat(big["text"]))
             held = np.zeros(at.size - 1, U64)
             if held.size:
                 lens = np.diff(at)
                 pos = np.arange(points.size) - np.repeat(at[:-1], lens)
-                held = mix(np.add.reduceat(mix(points.astype(U64) * STEP + mix(pos.astype(U64))), at[:-1]) + lens.astype(U64))
+                power = np.cumprod(np.full(int(lens.max()), STEP, U64), dtype=U64)
+                held = mix(np.add.reduceat(mix(points.astype(U64)) * power[pos], at[:-1]) + lens.astype(U64))
             _, one, kind = np.unique(held, return_index=True, return_inverse=True)
             size = np.diff(at)[one] if one.size else np.zeros(0, np.int64)
             lat = build(points[ranges(at[one], size)], np.concatenate([[0], np.cumsum(size)]), model, theta)
