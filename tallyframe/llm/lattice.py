@@ -355,7 +355,7 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
 HEAD = "key long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, "
 
 
-def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: bool = False):
+def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: bool = False, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in gathered(batches, 3 * block):
             points, at, _ = chunks(*flat(big["text"]))
@@ -376,12 +376,12 @@ def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: b
                 keys = b["key"].fill_null(0).to_numpy()
                 null = b["key"].is_null().to_numpy(zero_copy_only=False)
                 seeds = mix(keys.view(U64) * STEP + U64(seed) + null.astype(U64) * U64(7919))
-                yield _rows(b["key"], sample(lat, kinds, first, seeds, k), lat, decoder(model) if digest else None)
+                yield _rows(b["key"], sample(lat, kinds, first, seeds, k), lat, decoder(model) if digest or decoded else None, digest)
 
     return run
 
 
-def _rows(keys: pa.Array, drawn: list, lat: Lattices, back) -> pa.RecordBatch:
+def _rows(keys: pa.Array, drawn: list, lat: Lattices, back, digest: bool) -> pa.RecordBatch:
     row, num, logp, value, incl, ids = [], [], [], [], [], []
     for i, found in enumerate(drawn):
         whole = [x for x in found if x[2] is not None]
@@ -397,11 +397,14 @@ def _rows(keys: pa.Array, drawn: list, lat: Lattices, back) -> pa.RecordBatch:
     sizes = np.array([x.size for x in ids], np.int32)
     columns = [keys.take(pa.array(row, pa.int64())), pa.array(num, pa.int32()), pa.array(sizes), pa.array(logp), pa.array(value), pa.array(incl)]
     names = ["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion"]
-    if back:
+    if digest:
         told = [[hashlib.sha256(x.tobytes()).hexdigest() for x in ids], [hashlib.sha256(back(x)).hexdigest() for x in ids]]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(t, pa.string()) for t in told)], [*names, "ids_sha256", "text_sha256"])
     flat_ids = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat_ids)
+    if back:
+        text = pa.array([back(x).decode("utf-8", "replace") for x in ids], pa.string())
+        return pa.RecordBatch.from_arrays([*columns, lists, text], [*names, "ids", "text"])
     return pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
 
 
@@ -414,16 +417,18 @@ def encode(
     key: str = "doc_id",
     text: str = "text",
     digest: bool = False,
+    decoded: bool = False,
     block: int = 1 << 20,
 ) -> DataFrame:
     """Up to k distinct segmentations per row: `key`, sample (1 is the best), n_pieces, log_prob, perturbed, log_inclusion, ids.
 
     With `digest`, ids_sha256 (of the ids as 4-byte little-endian numbers) and text_sha256 (of the
-    text decoded from them) stand in place of the ids.
+    text decoded from them) stand in place of the ids. With `decoded`, a column text holds what the
+    ids decode to, made by the same task.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    last = "ids_sha256 string, text_sha256 string" if digest else "ids array<int>"
-    return rows.mapInArrow(_encode(model, k, theta, seed, block, digest), HEAD + last).withColumnRenamed("key", key)
+    last = "ids_sha256 string, text_sha256 string" if digest else "ids array<int>" + ", text string" * decoded
+    return rows.mapInArrow(_encode(model, k, theta, seed, block, digest, decoded), HEAD + last).withColumnRenamed("key", key)
 
 
 def decoder(model: Model):
