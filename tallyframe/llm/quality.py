@@ -3,7 +3,9 @@
 A text is compared with a reference of its language by two histograms: character classes (lower
 case, upper case, space, digit, symbol, other) and the language's commonest short words (one bin
 each, and one for all other words). Both comparisons use the Jensen-Shannon distance with base-2
-logarithms, so 0 means equal and 1 disjoint.
+logarithms, so 0 means equal and 1 disjoint. A histogram of n words differs from the one it was drawn
+from by a squared distance of about bins / (8 ln 2 n); below `full_words` words the limit of the word
+distance grows by what that exceeds its value at `full_words`, so texts of every length are judged.
 
 Defined results: a NULL or empty text has no words and zero counts and fails the base rules; a NULL
 language, or one with too small a share of all words, is compared with the reference of all texts; an
@@ -13,6 +15,7 @@ named like a result column give way to it.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,7 +74,7 @@ def with_repeats(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.aggregate(ends, F.lit(0).cast("long"), lambda s, x: s + x)).drop("pairs", "at")
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang", bins: int = 10, max_chars: int = 5, min_share: float = 0.001) -> Refs:
+def references(df: DataFrame, text: str = "text", lang: str = "lang", bins: int = 20, max_chars: int = 5, min_share: float = 0.001) -> Refs:
     """Class shares and common words of every language, and of all texts under None.
 
     All texts are counted. The `bins` commonest words of at most `max_chars` characters are the
@@ -124,14 +127,14 @@ def divergence(
     max_classes: float = 0.3,
     max_words: float = 0.45,
     min_chars: int = 200,
-    min_words: int = 200,
+    full_words: int = 30,
 ) -> DataFrame:
     """Append the base counts, `class_distance`, `word_distance`, `base_failed` and `kept`.
 
     `base_failed`: fewer than 10 words, or more than a fifth of the words lie in repeated 5-word
-    windows. A text is kept if it passes and neither distance exceeds its limit. The guards
-    `min_chars` and `min_words` leave short texts, whose histograms are too coarse, to the base
-    rules: their distances are NULL.
+    windows. A text is kept if it passes and neither distance exceeds its limit, which for words is
+    `max_words` from `full_words` words on and grows below. Texts under `min_chars` characters have no
+    class distance (NULL).
     """
     d = with_repeats(counted(df, text, lang))
 
@@ -144,7 +147,7 @@ def divergence(
     d = d.withColumns({"n_words": F.size("words").cast("long"), "rc": chosen("classes", "double"), "rw": chosen("words", "string"), "rs": chosen("shares", "double")})
     longest = max((len(w.encode()) for r in refs.values() for w in r["words"]), default=0)
     bins = max((len(r["words"]) for r in refs.values()), default=0)
-    d = d.withColumn("short", F.when(F.col("n_words") >= min_words, F.filter("words", lambda w: F.octet_length(w) <= longest)))
+    d = d.withColumn("short", F.filter("words", lambda w: F.octet_length(w) <= longest))
     # One expression per bin: `short` is then used several times, so Spark computes it once.
     occurs = lambda i: F.size(F.filter("short", lambda w: w == F.get(F.col("rw"), F.lit(i)))).cast("double")
     found = [occurs(i) for i in range(bins)]
@@ -155,9 +158,10 @@ def divergence(
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     d = d.withColumns({
         "class_distance": F.when(known & (F.col("chars") >= min_chars) & (F.col("chars") > 0), js_distance(class_shares, F.col("rc"))),
-        "word_distance": F.when(known & (F.col("n_words") >= min_words) & (F.col("n_words") > 0), js_distance(word_shares, F.col("rs"))),
+        "word_distance": F.when(known & (F.col("n_words") > 0), js_distance(word_shares, F.col("rs"))),
     })
-    near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= max_classes) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= max_words)
+    coarse = F.size("rw") / (8 * math.log(2)) * F.greatest(1 / F.col("n_words") - 1 / full_words, F.lit(0.0))
+    near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= max_classes) & F.coalesce(F.col("word_distance") <= F.sqrt(max_words**2 + coarse), F.lit(True))
     return d.select(
         *[F.col("text").alias(c) if c.lower() == text.lower() else F.col(f"row.`{c}`") for c in df.columns if c.lower() not in RESULT],
         "n_words",

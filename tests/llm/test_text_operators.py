@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -199,3 +200,19 @@ def test_divergence_verdict(ls):
     got = {r["doc_id"]: r for r in quality.divergence(df, quality.references(df.where("doc_id < 40"))).collect()}
     assert not got[99]["kept"] and not got[99]["base_failed"]
     assert all(got[i]["kept"] for i in range(40))
+
+
+def test_op10_short_junk_is_judged(ls):
+    """Junk of 10 to 199 words by its word distance alone; clean texts of the same lengths stay."""
+    rng = random.Random(7)
+    common = "the of and to in is was for it on as at by he be his that with from this".split()
+    clean = lambda n: " ".join(rng.choice(common) if rng.random() < 0.25 else f"word{chr(97 + rng.randrange(26))}{rng.randrange(999)}" for _ in range(n))
+    lengths = [10, 15, 20, 30, 50, 100, 199]
+    base = [(i, clean(300), "en") for i in range(40)]
+    good = [(100 + i, clean(n), "en") for i, n in enumerate(lengths * 20)]
+    junk = [(1000 + i, " ".join("for" if j % 4 else f"odd{j}" for j in range(n)), "en") for i, n in enumerate(lengths)]
+    df = ls.createDataFrame([*base, *good, *junk], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.divergence(df, quality.references(df.where("doc_id < 100"))).collect()}
+    assert all(r["word_distance"] is not None for r in got.values())
+    assert all(got[g[0]]["kept"] for g in good)
+    assert all(not got[j[0]]["kept"] and not got[j[0]]["base_failed"] for j in junk)
