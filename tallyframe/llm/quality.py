@@ -7,9 +7,11 @@ logarithms, so 0 means equal and 1 disjoint. A histogram of n words differs from
 from by a squared distance of about bins / (8 ln 2 n); below `full_words` words the limit of the word
 distance grows by what that exceeds its value at `full_words`, so texts of every length are judged.
 
-Defined results: a NULL or empty text has no words and zero counts and fails the base rules; a NULL
-language, or one with too small a share of all words, is compared with the reference of all texts; an
-empty table gives an empty result; ties among common words go to the smaller word; input columns
+Every language has its own reference, whatever its share of the corpus; the references are a table.
+
+Defined results: a NULL or empty text has no words and zero counts and fails the base rules; a language
+of too few words for a reference leaves the distances of its texts NULL; a NULL language is compared
+with the reference of all texts; an empty table gives an empty result; ties among common words go to the smaller word; input columns
 named like a result column give way to it.
 """
 
@@ -26,7 +28,6 @@ from tallyframe.plans.session import written
 BLANK = r"[\x20\x09-\x0D]+"
 CLASSES = ("lower", "upper", "space", "digit", "symbol", "other")
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
-Refs = dict[str | None, dict[str, list]]
 
 
 def _total(values: Column | str) -> Column:
@@ -74,13 +75,12 @@ def with_repeats(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.aggregate(ends, F.lit(0).cast("long"), lambda s, x: s + x)).drop("pairs", "at")
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang", bins: int = 20, max_chars: int = 5, min_share: float = 0.001) -> Refs:
-    """Class shares and common words of every language, and of all texts under None.
+def references(df: DataFrame, text: str = "text", lang: str = "lang", bins: int = 20, max_chars: int = 5, ref_words: int = 1000) -> DataFrame:
+    """A written table (lang, classes, words, shares, longest): a row per language, and one of all texts under NULL.
 
     All texts are counted. The `bins` commonest words of at most `max_chars` characters are the
-    common words. Only languages with `min_share` of all words have a
-    reference of their own, so there are at most 1 / min_share, which bounds what the driver
-    receives and what becomes part of the plan.
+    common words, `shares` ends with the share of all others, `longest` is the most bytes of a common
+    word. Languages of fewer than `ref_words` words have no row: their own histogram would be coarse.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     each = df.select(F.col(lang).alias("lang"), F.explode(F.split(body, BLANK)).alias("w")).where(F.col("w") != "")
@@ -88,26 +88,26 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", bins: int
     named = each.select("lang", F.when(F.length("w") <= max_chars, F.col("w")).otherwise(F.lit("")).alias("w"))
     counts = written(named.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")))
     chars = written(counted(df, text, lang).groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES]))
-    total = counts.agg(F.sum("c")).first()[0]
-    if not total:
-        return {}
-    sums = counts.groupBy("lang").agg(F.sum("c").alias("n"))
-    words = {r["lang"]: r["n"] for r in sums.where(F.col("lang").isNotNull() & (F.col("n") >= min_share * total)).collect()}
-    own = list(words)
-    words[None] = total
-    pooled = counts.groupBy("w").agg(F.sum("c").alias("c")).select(F.lit(None).cast("string").alias("lang"), "w", "c")
-    groups = (counts.where(F.col("lang").isin(*own)).unionByName(pooled) if own else pooled).where("w <> ''")
+    none = F.lit(None).cast("string").alias("lang")
+    sums = counts.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("c").alias("n")).where(F.col("n") >= ref_words)
+    sums = sums.unionByName(counts.agg(F.sum("c").alias("n")).where("n > 0").select(none, "n"))
+    classes = chars.where("lang IS NOT NULL").unionByName(chars.agg(*[F.sum(c).alias(c) for c in CLASSES]).select(none, *CLASSES))
+    pooled = counts.groupBy("w").agg(F.sum("c").alias("c")).select(none, "w", "c")
+    groups = counts.where("lang IS NOT NULL").unionByName(pooled).where("w <> ''")
     ranked = groups.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w")))
-    best = ranked.where(F.col("r") <= bins).collect()
-    classes = {r["lang"]: r for r in chars.where(F.col("lang").isin(*own)).collect()} if own else {}
-    classes[None] = chars.agg(*[F.sum(c).alias(c) for c in CLASSES]).first()
-    out: Refs = {}
-    for name in [*own, None]:
-        top = sorted((-r["c"], r["w"]) for r in best if r["lang"] == name)
-        every = sum(classes[name][c] for c in CLASSES)
-        shares = [-c / words[name] for c, _ in top]
-        out[name] = {"classes": [classes[name][c] / every for c in CLASSES], "words": [w for _, w in top], "shares": [*shares, max(0.0, 1 - sum(shares))]}
-    return out
+    best = ranked.where(F.col("r") <= bins).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "c"))).alias("best"))
+
+    def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnRenamed("lang", "other_lang")
+        return left.join(right, F.col("lang").eqNullSafe(F.col("other_lang")), how).drop("other_lang")
+
+    out = beside(beside(sums, classes, "inner"), best, "left")
+    every = reduce(lambda a, b: a + b, [F.col(c) for c in CLASSES])
+    shares = F.transform(F.coalesce("best", F.array()), lambda b: b["c"] / F.col("n"))
+    out = out.select("lang", F.array(*[F.col(c) / every for c in CLASSES]).alias("classes"), F.coalesce(F.col("best.w"), F.array().cast("array<string>")).alias("words"), shares.alias("s"))
+    rest = F.greatest(F.lit(0.0), 1 - _total("s"))
+    longest = F.coalesce(F.array_max(F.transform("words", lambda w: F.octet_length(w))), F.lit(0))
+    return written(out.select("lang", "classes", "words", F.concat("s", F.array(rest)).alias("shares"), longest.alias("longest")))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -121,40 +121,34 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def divergence(
     df: DataFrame,
-    refs: Refs,
+    refs: DataFrame,
     text: str = "text",
     lang: str = "lang",
     max_classes: float = 0.3,
     max_words: float = 0.45,
     min_chars: int = 200,
     full_words: int = 30,
+    bins: int = 20,
 ) -> DataFrame:
     """Append the base counts, `class_distance`, `word_distance`, `base_failed` and `kept`.
 
     `base_failed`: fewer than 10 words, or more than a fifth of the words lie in repeated 5-word
     windows. A text is kept if it passes and neither distance exceeds its limit, which for words is
     `max_words` from `full_words` words on and grows below. Texts under `min_chars` characters have no
-    class distance (NULL).
+    class distance (NULL). `bins` is that of the references, which are joined by language.
     """
-    d = with_repeats(counted(df, text, lang))
-
-    def chosen(field: str, kind: str) -> Column:
-        lit = lambda ref: F.array(*[F.lit(v) for v in ref[field]]).cast(f"array<{kind}>")
-        rest = lit(refs[None]) if refs else F.array().cast(f"array<{kind}>")
-        cases = [(F.col("lang") == n, lit(r)) for n, r in refs.items() if n is not None]
-        return reduce(lambda out, c: F.when(c[0], c[1]).otherwise(out), cases, rest)
-
-    d = d.withColumns({"n_words": F.size("words").cast("long"), "rc": chosen("classes", "double"), "rw": chosen("words", "string"), "rs": chosen("shares", "double")})
-    longest = max((len(w.encode()) for r in refs.values() for w in r["words"]), default=0)
-    bins = max((len(r["words"]) for r in refs.values()), default=0)
-    d = d.withColumn("short", F.filter("words", lambda w: F.octet_length(w) <= longest))
+    own = refs.select(F.col("lang").alias("_lang"), F.struct("classes", "words", "shares", "longest").alias("_ref"))
+    d = with_repeats(counted(df.join(own, df[lang].eqNullSafe(F.col("_lang")), "left").drop("_lang"), text, lang))
+    ref = F.col("row._ref")
+    d = d.withColumns({"n_words": F.size("words").cast("long"), "rc": ref["classes"], "rw": ref["words"], "rs": ref["shares"], "longest": ref["longest"]})
+    d = d.withColumn("short", F.filter("words", lambda w: F.octet_length(w) <= F.col("longest")))
     # One expression per bin: `short` is then used several times, so Spark computes it once.
     occurs = lambda i: F.size(F.filter("short", lambda w: w == F.get(F.col("rw"), F.lit(i)))).cast("double")
     found = [occurs(i) for i in range(bins)]
     d = d.withColumn("hits", F.slice(F.array(*found).cast("array<double>"), F.lit(1), F.size("rw")))
     word_shares = F.transform(F.concat("hits", F.array(F.col("n_words") - _total("hits"))), lambda x: x / F.col("n_words"))
     class_shares = F.array(*[F.col(c) / F.col("chars") for c in CLASSES])
-    known = F.size("rc") > 0
+    known = F.col("rc").isNotNull()
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     d = d.withColumns({
         "class_distance": F.when(known & (F.col("chars") >= min_chars) & (F.col("chars") > 0), js_distance(class_shares, F.col("rc"))),

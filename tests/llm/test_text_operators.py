@@ -216,3 +216,22 @@ def test_op10_short_junk_is_judged(ls):
     assert all(r["word_distance"] is not None for r in got.values())
     assert all(got[g[0]]["kept"] for g in good)
     assert all(not got[j[0]]["kept"] and not got[j[0]]["base_failed"] for j in junk)
+
+
+def test_op10_small_languages_have_their_own_reference(ls):
+    """Clean texts of a non-Latin language of a thousandth of a thousandth of the words stay; one too small for a reference is not judged."""
+    rng = random.Random(8)
+    latin = [(i, " ".join(rng.choice(["the", "of", "and", f"word{rng.randrange(99)}x"]) for _ in range(5000)), "en") for i in range(300)]
+    letters = [chr(0x4E00 + i) for i in range(60)]
+    foreign = [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(120)), "zh") for i in range(12)]
+    few = [(2000, " ".join(letters * 3), "xx"), (2001, " ".join(rng.choice(letters) + "a" for _ in range(150)), None)]
+    junk = (1999, " ".join(f"#{j}$%&*#" for j in range(120)), "zh")
+    df = ls.createDataFrame([*latin, *foreign, *few, junk], "doc_id long, text string, lang string")
+    refs = quality.references(df)
+    assert {r["lang"] for r in refs.collect()} == {"en", "zh", None}
+    got = {r["doc_id"]: r for r in quality.divergence(df, refs).collect()}
+    assert len(got) == df.count()
+    assert all(got[f[0]]["kept"] and got[f[0]]["class_distance"] < 0.3 for f in foreign)
+    assert not got[1999]["kept"] and not got[1999]["base_failed"]
+    assert got[2000]["class_distance"] is None and got[2000]["word_distance"] is None
+    assert got[2001]["word_distance"] is not None
