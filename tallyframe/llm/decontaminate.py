@@ -3,11 +3,13 @@
 A mask is a fixed pattern of kept and ignored word positions. Every window of a benchmark item and
 of a text is hashed under each mask from its kept words only, so a window still matches when words at
 ignored positions were substituted. Equal hashes place the item beside the text on one diagonal;
-there all words are compared, and the longest segment in which at least four of five words agree must
-have `MIN_WORDS` words, or all words of a shorter item.
+there all words are compared. Every segment in which at least four of five words agree, and which is
+part of no longer such segment, is returned if it has `MIN_WORDS` words, or all words of a shorter item.
 
-Any 13 aligned words with up to two substitutions are hit by one of the masks at least (a test tries
-all cases). Items with fewer words than a mask are hashed whole; items under 5 words are ignored.
+The masks hit any 13 to 25 aligned words of which up to a fifth is substituted (a test tries all cases).
+A longer segment has a part of 13 to 25 words of which no larger share is substituted. Items of 5 to 12
+words have further masks by length (`SHORT`), as far as the benchmark has such items; items under 5
+words are ignored.
 
 Defined results: NULL and empty texts and items match nothing; equal items count as one, named by
 the smallest item id; every row is answered by itself, so repeated rows repeat their answer; texts of
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.text import STEP, U64, flat, mix, owners, ranges, slices, words
 
-MASKS = ("11010010101", "110101101", "11100111")
+MASKS = ("11010010101", "110101101", "11100111", "110100011001")
+#: Further masks for items of (from, to) words.
+SHORT = {(5, 7): ("1111", "11011", "11101", "10111"), (8, 9): ("11111",), (10, 12): ("110111", "111101")}
 MIN_WORDS = 13
 SHORTEST = 5
 PIECE = 1 << 19
@@ -56,30 +60,30 @@ def windows(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def longest_alike(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the longest (then first) segment in which four of five entries hold at least."""
+def alike(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Start and end of every segment of `least` entries or more in which four of five hold, without those inside a longer one."""
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
     low = np.minimum.accumulate(total)
     start = np.searchsorted(-low, -total)  # the first place that is no higher than each end
-    size = np.arange(total.size) - start
-    end = int(np.argmax(size))
-    return int(start[end]), end
+    later = np.append(np.minimum.accumulate(start[::-1])[::-1][1:], total.size)
+    end = np.flatnonzero((start < later) & (np.arange(total.size) - start >= least))
+    return list(zip(start[end].tolist(), end.tolist()))
 
 
 def build(ids: list[int], texts: list[str]) -> Seeds:
     h, off = words(*flat(pa.array(texts, pa.large_string())))
     lens = np.diff(off)
-    short = sorted({int(n) for n in lens if SHORTEST <= n < max(map(len, MASKS))})
+    short = {m: span for span, ms in SHORT.items() if ((lens >= span[0]) & (lens <= span[1])).any() for m in ms}
     keys, at = [], []
-    for mask in (*MASKS, *("1" * n for n in short)):
+    for mask in (*MASKS, *short):
         pos, run = owners(off, len(mask))
-        if mask not in MASKS:
-            pos = pos[lens[run] == len(mask)]
+        lo, hi = short.get(mask, (SHORTEST, h.size))
+        pos = pos[(lens[run] >= lo) & (lens[run] <= hi)]
         keys.append(windows(h, mask)[pos])
         at.append(pos)
     key, pos = np.concatenate(keys), np.concatenate(at)
     order = np.argsort(key, kind="stable")
-    return Seeds(np.array(ids, np.int64), h, off, key[order], pos[order], (*MASKS, *("1" * n for n in short if "1" * n not in MASKS)))
+    return Seeds(np.array(ids, np.int64), h, off, key[order], pos[order], (*MASKS, *short))
 
 
 def matcher(seeds: Seeds):
@@ -106,17 +110,26 @@ def matcher(seeds: Seeds):
                 found.append(np.stack([run, item, pos - (hit - seeds.off[item])]))
         if not found or not sum(f.shape[1] for f in found):
             return []
-        best: dict[tuple[int, int], tuple[int, ...]] = {}
-        for run, item, diagonal in np.unique(np.concatenate(found, 1), axis=1).T.tolist():
-            a, b = int(seeds.off[item]), int(seeds.off[item + 1])
-            lo, hi = max(0, int(first[run]) - diagonal), min(b - a, int(first[run + 1]) - diagonal)
-            equal = h[diagonal + lo : diagonal + hi] == seeds.words[a + lo : a + hi]
-            begin, end = longest_alike(equal)
-            if end - begin >= min(MIN_WORDS, b - a):
-                row = (int(equal[begin:end].sum()), -(diagonal + lo + begin - int(first[run])), end - begin, lo + begin)
-                if row > best.get((run, item), (0,)):
-                    best[run, item] = row
-        return [(run, item, -start, -start + size, at, n) for (run, item), (n, start, size, at) in sorted(best.items())]
+        run, item, diagonal = np.unique(np.concatenate(found, 1), axis=1)
+        n = np.diff(seeds.off)[item]
+        out = []
+        # All words of a short item have to lie in the text; they are compared at once.
+        whole = np.flatnonzero((n < MIN_WORDS) & (diagonal >= first[run]) & (diagonal + n <= first[run + 1]))
+        if whole.size:
+            size = n[whole]
+            equal = h[ranges(diagonal[whole], size)] == seeds.words[ranges(seeds.off[item[whole]], size)]
+            same = np.add.reduceat(equal.astype(np.int64), np.cumsum(size) - size)
+            ok = 5 * same >= 4 * size
+            begin = (diagonal - first[run])[whole]
+            out += [(r, i, b, b + k, 0, e) for r, i, b, k, e in np.stack([run[whole], item[whole], begin, size, same])[:, ok].T.tolist()]
+        long = n >= MIN_WORDS
+        for r, i, d in np.stack([run, item, diagonal])[:, long].T.tolist():
+            a, b = int(seeds.off[i]), int(seeds.off[i + 1])
+            lo, hi = max(0, int(first[r]) - d), min(b - a, int(first[r + 1]) - d)
+            equal = h[d + lo : d + hi] == seeds.words[a + lo : a + hi]
+            at = d + lo - int(first[r])
+            out += [(r, i, at + begin, at + end, lo + begin, int(equal[begin:end].sum())) for begin, end in alike(equal, MIN_WORDS)]
+        return sorted(out)
 
     return match
 

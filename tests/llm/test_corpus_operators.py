@@ -325,6 +325,51 @@ def test_op4_finds_planted_passages(ls, odd):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_masks_hit_every_allowed_substitution():
+    """All patterns with a fifth of 5 to 25 words substituted; fewer substitutions leave more hits."""
+    import itertools
+
+    for n in range(5, 26):
+        masks = [*decontaminate.MASKS, *(m for (a, b), ms in decontaminate.SHORT.items() if a <= n <= b for m in ms)]
+        gone = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)])
+        hit = np.zeros(gone.size, bool)
+        for m in masks:
+            for i in range(n - len(m) + 1):
+                hit |= gone & (int(m[::-1], 2) << i) == 0
+        assert hit.all(), n
+
+
+def found(texts, items):
+    return decontaminate.matcher(decontaminate.build(list(range(len(items))), items))(*flat(pa.array(texts)))
+
+
+def test_op4_finds_items_of_every_length_and_every_segment():
+    rng = random.Random(9)
+    make = lambda n, p: [f"{p}{rng.randrange(10**6)}" for _ in range(n)]
+    for n in range(5, 26):
+        items = [make(n, "i") for _ in range(30)]
+        texts = []
+        for x in items:
+            y = list(x)
+            for at in rng.sample(range(n), n // 5):
+                y[at] = "other"
+            texts.append(" ".join(make(3, "t") + y + make(3, "t")))
+        got = found(texts, [" ".join(x) for x in items])
+        assert {(r, i) for r, i, *_ in got} == {(i, i) for i in range(30)}, n
+        if n < 13:
+            assert all((s, e, at, k) == (3, 3 + n, 0, n - n // 5) for _, _, s, e, at, k in got)
+    x, y = make(40, "i"), make(6, "j")
+    text = make(9, "t") + x + make(30, "t") + x + make(5, "t") + y + y + x[:14]
+    got = found([" ".join(text)], [" ".join(x), " ".join(y)])
+    assert {g[1:5] for g in got if g[1] == 1} == {(1, 84 + 40, 130, 0), (1, 130, 136, 0)}
+    assert {(9, 49, 0), (79, 119, 0), (136, 150, 0)} == {g[2:5] for g in got if g[1] == 0}
+    # Segments of a diagonal: all that are part of no longer one.
+    for _ in range(200):
+        equal = np.array([rng.random() < 0.8 for _ in range(40)])
+        good = [(a, b) for a in range(40) for b in range(a + 13, 41) if 5 * equal[a:b].sum() >= 4 * (b - a)]
+        assert decontaminate.alike(equal, 13) == sorted(g for g in good if not any(o != g and o[0] <= g[0] and g[1] <= o[1] for o in good))
+
+
 def test_op4_blocks_of_a_large_benchmark(ls):
     b = ls.read.parquet(f"{SF}/benchmark.parquet")
     d = ls.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
