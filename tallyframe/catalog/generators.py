@@ -165,7 +165,7 @@ def _(spark, sf):
 
 @query("population_persistence", "G10")
 def _(spark, sf):
-    return lt.global_h0(cloud(spark, sf), "user_id", ["x", "y", "z"], 200)
+    return lt.global_h0(cloud(spark, sf), "user_id", ["x", "y", "z"])
 
 
 @query(

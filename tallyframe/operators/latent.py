@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.stats import array_sum
 from tallyframe.operators.search import knn
+from tallyframe.plans.session import GROUP_ROWS, written
 
 
 @dataclass(frozen=True)
@@ -147,20 +148,22 @@ def hmm_decode(seqs: DataFrame, keys: Sequence[str], steps: str, m: HmmModel, pr
     })
 
 
-def _tree_edges(x: np.ndarray) -> np.ndarray:
-    """Edge lengths of the minimum spanning tree: the death times of connected components."""
+def _tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning tree of points: both ends and the length of its edges, the death times of components."""
     n = len(x)
     dist = np.linalg.norm(x - x[0], axis=1)
-    dist[0] = np.inf
+    near = np.zeros(n, np.int64)
     seen = np.zeros(n, bool)
     seen[0] = True
-    out = []
-    for _ in range(n - 1):
+    to, out = np.zeros(n - 1, np.int64), np.zeros(n - 1)
+    for e in range(n - 1):
         i = int(np.argmin(np.where(seen, np.inf, dist)))
-        out.append(dist[i])
+        to[e], out[e] = i, dist[i]
         seen[i] = True
-        dist = np.minimum(dist, np.linalg.norm(x - x[i], axis=1))
-    return np.array(out)
+        new = np.linalg.norm(x - x[i], axis=1)
+        closer = ~seen & (new < dist)
+        dist[closer], near[closer] = new[closer], i
+    return near[to], to, out
 
 
 H0_STATS = ("num_features", "mean_lifetime", "max_lifetime", "std_lifetime", "entropy", "total_persistence", "mean_birth", "mean_death")
@@ -170,39 +173,116 @@ def _h0(points: np.ndarray) -> list[float]:
     x = points[~np.isnan(points).any(axis=1)] if len(points) else points
     if len(x) < 2:
         return [0.0] * len(H0_STATS)
-    d = _tree_edges(x)
+    d = _tree(x)[2]
     total = d.sum()
     p = d / total if total > 0 else d
     ent = float(-(p * np.log(p + 1e-12)).sum()) if total > 0 else 0.0
     return [float(len(d)), float(d.mean()), float(d.max()), float(d.std()) if len(d) > 1 else 0.0, ent, float(total), 0.0, float(d.mean())]
 
 
-def h0_persistence(df: DataFrame, key: str, dims: Sequence[str], order: Sequence[str], max_points: int = 200, prefix: str = "h0") -> DataFrame:
-    """Component-lifetime statistics of each entity's point cloud.
+#: Points of one part of a cloud; clouds up to this size are worked on in one row.
+PART = 2048
+
 
-    The method works on at most max_points points; larger clouds are represented by a hash sample,
-    cut by a ranked window before any list is built.
+def h0_persistence(df: DataFrame, key: str, dims: Sequence[str], order: Sequence[str], prefix: str = "h0") -> DataFrame:
+    """Component-lifetime statistics of each entity's point cloud, over all its points.
+
+    The lifetimes are the edge lengths of the cloud's minimum spanning tree. A cloud of more than PART
+    points is dealt by a hash of `order` into parts, and every two parts meet in a task that keeps the tree
+    of their points: what it leaves out is the longest edge of a cycle, so the trees together hold a
+    minimum spanning tree of the whole. The work is the square of a cloud's points.
     """
-    w = Window.partitionBy(key).orderBy(F.xxhash64(*order), *order)
-    cut = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_points)
-    clouds = cut.groupBy(key).agg(F.collect_list(F.array(*[F.col(d).cast("double") for d in dims])).alias("_pts"))
-    out = T.StructType([T.StructField(key, df.schema[key].dataType), *[T.StructField(f"{prefix}_{s}", T.DoubleType()) for s in H0_STATS]])
+    kind = df.schema[key].dataType
+    v = F.array(*[F.col(d).cast("double") for d in dims])
+    full = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    points = df.select(F.col(key).alias("k"), v.alias("v"), F.xxhash64(*order).alias("h")).withColumn("v", F.when(full, F.col("v")))
+    points = written(points.withColumn("id", F.monotonically_increasing_id()))
+    large = written(points.groupBy("k").agg(F.count("v").alias("n")).where(F.col("n") > PART).select(F.col("k").alias("_k"), F.ceil(F.col("n") / PART).alias("p")))
+    same = F.col("k").eqNullSafe(F.col("_k"))
+    clouds = points.join(large, same, "left_anti").groupBy("k").agg(F.collect_list("v").alias("_pts"))
+    names = [f"{prefix}_{s}" for s in H0_STATS]
+    out = T.StructType([T.StructField(key, kind), *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [_h0(np.array([list(q) for q in pts], dtype="float64")) for pts in pdf["_pts"]]
-            res = pd.DataFrame(rows, columns=[f"{prefix}_{s}" for s in H0_STATS])
-            res.insert(0, key, pdf[key].to_numpy())
+            res = pd.DataFrame(rows, columns=names)
+            res.insert(0, key, pdf["k"].to_numpy())
             yield res
 
-    return clouds.mapInPandas(run, out)
+    small = clouds.mapInPandas(run, out)
+    if large.isEmpty():
+        return small
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1))
+    dealt = points.where("v IS NOT NULL").join(large, same).withColumn("a", F.pmod("h", "p")).withColumn("o", other).where("o <> a")
+    met = dealt.groupBy("k", F.least("a", "o").alias("i"), F.greatest("a", "o").alias("j")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    edge = T.StructType([T.StructField("k", kind), T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("d", T.DoubleType())])
+
+    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at, (ids, vs) in enumerate(zip(pdf["ids"], pdf["vs"])):
+                a, b, d = _tree(np.array([list(q) for q in vs], dtype="float64"))
+                ids = np.asarray(ids, np.int64)
+                yield pd.DataFrame({"k": pdf["k"].iloc[[at]].repeat(len(d)).to_numpy(), "u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "d": d})
+
+    lives = written(_lifetimes(met.select("k", "ids", "vs").mapInPandas(trees, edge), kind))
+    total = lives.groupBy(F.col("k").alias("_k")).agg(F.sum("d").alias("_t"))
+    p = F.col("d") / F.col("_t")
+    mean = F.avg("d")
+    stats = [F.count("d").cast("double"), mean, F.max("d"), F.stddev_pop("d"), F.coalesce(-F.sum(F.when(F.col("_t") > 0, p * F.log(p + 1e-12))), F.lit(0.0)), F.sum("d"), F.lit(0.0), mean]
+    return small.unionByName(lives.join(total, same).groupBy(F.col("k").alias(key)).agg(*[s.alias(n) for s, n in zip(stats, names)]))
 
 
-def global_h0(df: DataFrame, key: str, dims: Sequence[str], sample: int = 500, prefix: str = "pop") -> DataFrame:
-    """The same statistics of one cloud of entity means (at most `sample` entities), on every entity's row."""
-    means = df.groupBy(key).agg(*[F.avg(d).alias(d) for d in dims])
-    picked = means.orderBy(F.xxhash64(key), key).limit(sample).withColumn("_one", F.lit(1))
-    stats = h0_persistence(picked, "_one", dims, [key], sample, prefix).drop("_one")
+def _lifetimes(edges: DataFrame, kind: T.DataType) -> DataFrame:
+    """(k, d): edge lengths of each key's minimum spanning tree, from edges (k, u, v, d) that connect its points.
+
+    While a key has more edges than a task should hold, every component takes its least edge, and the
+    components that these join become one (Boruvka); the rest is one pass over the sorted edges per key.
+    Equal lengths are told apart by their ends, so no round closes a cycle.
+    """
+    now = edges.groupBy("k", F.col("u").alias("a"), F.col("v").alias("b")).agg(F.min(F.struct("d", "u", "v")).alias("e"))
+    now = written(now)
+    taken = []
+    while (now.groupBy("k").count().agg(F.max("count")).first()[0] or 0) > GROUP_ROWS:
+        both = now.unionByName(now.select("k", F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+        best = written(both.groupBy("k", "a").agg(F.min(F.struct("e", "b")).alias("m")).select("k", "a", "m.*"))
+        taken.append(best.select("k", "e").distinct().select("k", "e.d"))
+        back = best.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        up = written(best.join(back, "b").select("a", F.when(F.col("c") == F.col("a"), F.least("a", "b")).otherwise(F.col("b")).alias("r")))
+        while True:
+            jumped = written(up.join(up.select(F.col("a").alias("r"), F.col("r").alias("to")), "r").select("a", F.col("to").alias("r"), (F.col("r") != F.col("to")).alias("moved")))
+            up = jumped.select("a", "r")
+            if jumped.where("moved").isEmpty():
+                break
+        joined = now.join(up.withColumnRenamed("r", "ra"), "a").join(up.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b").where("ra <> rb")
+        now = written(joined.groupBy("k", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e")))
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["d", "u", "v"])
+        over: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in over:
+                over[x] = x = over.get(over[x], over[x])
+            return x
+
+        keep = np.zeros(len(pdf), bool)
+        for at, (a, b) in enumerate(zip(pdf["a"].tolist(), pdf["b"].tolist())):
+            a, b = root(a), root(b)
+            if a != b:
+                over[a], keep[at] = b, True
+        return pdf.loc[keep, ["k", "d"]]
+
+    rest = now.select("k", "a", "b", "e.*").groupBy("k").applyInPandas(last, T.StructType([T.StructField("k", kind), T.StructField("d", T.DoubleType())]))
+    for t in taken:
+        rest = rest.unionByName(t)
+    return rest
+
+
+def global_h0(df: DataFrame, key: str, dims: Sequence[str], prefix: str = "pop") -> DataFrame:
+    """The same statistics of the cloud of all entities' means, on every entity's row."""
+    means = written(df.groupBy(key).agg(*[F.avg(d).alias(d) for d in dims]))
+    stats = h0_persistence(means.withColumn("_one", F.lit(1)), "_one", dims, [key], prefix).drop("_one")
     return means.select(key).withColumn("_s", stats.select(F.struct("*")).scalar()).select(key, "_s.*")
 
 

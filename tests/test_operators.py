@@ -407,6 +407,40 @@ def test_persistence_against_brute_force(spark):
     assert r["one"]["h0_num_features"] == 0
 
 
+@pytest.mark.parametrize("part, group", [(2048, 2_000_000), (64, 2_000_000), (64, 20)])
+def test_persistence_of_all_points(spark, monkeypatch, part, group):
+    """More than 200 points and entities, with equal distances: in one row, in parts, and with Boruvka rounds."""
+    monkeypatch.setattr(latent, "PART", part)
+    monkeypatch.setattr(latent, "GROUP_ROWS", group)
+    rng = np.random.default_rng(7)
+    clouds = {"a": rng.normal(size=(320, 2)), "b": rng.integers(0, 12, (250, 2)).astype(float), "c": rng.normal(size=(30, 2)), "d": np.ones((70, 2))}
+    rows = [(k, i, *p) for k, ps in clouds.items() for i, p in enumerate(ps.tolist())] + [("a", 999, float("nan"), 1.0), ("e", 1, None, 0.0)]
+    df = spark.createDataFrame(rows, "k string, id int, x double, y double")
+
+    def plain(p):
+        comp, out = list(range(len(p))), []
+        gaps = np.linalg.norm(p[:, None] - p[None], axis=2)
+        i, j = np.triu_indices(len(p), 1)
+        for e in np.argsort(gaps[i, j], kind="stable"):
+            a, b = comp[i[e]], comp[j[e]]
+            if a != b:
+                out.append(gaps[i[e], j[e]])
+                comp = [b if c == a else c for c in comp]
+        return np.array(out)
+
+    def close(row, prefix, d):
+        p = d / d.sum() if d.sum() else d
+        want = [len(d), d.mean(), d.max(), d.std(), -(p * np.log(p + 1e-12)).sum() if d.sum() else 0.0, d.sum(), 0.0, d.mean()]
+        return np.allclose([row[f"{prefix}_{s}"] for s in latent.H0_STATS], want, rtol=1e-9, atol=1e-9)
+
+    got = {r["k"]: r for r in latent.h0_persistence(df, "k", ["x", "y"], ["id"]).collect()}
+    assert set(got) == {*clouds, "e"} and got["e"]["h0_num_features"] == 0
+    for k, p in clouds.items():
+        assert close(got[k], "h0", plain(p)), k
+    many = latent.global_h0(df.where("k = 'a' AND id < 320").select("id", "x", "y"), "id", ["x", "y"]).collect()
+    assert len(many) == 320 and all(close(r, "pop", plain(clouds["a"])) for r in many)
+
+
 def test_hmm_posteriors_sum_over_all_paths():
     m = latent.HmmModel(np.array([0.6, 0.4]), np.array([[0.8, 0.2], [0.3, 0.7]]), np.array([[0.0], [2.0]]), np.array([[1.0], [0.5]]))
     seqs = [np.array([[0.1], [1.9], [2.2]]), np.array([[1.0]]), np.array([[0.0], [0.2], [2.5], [1.0]])]
