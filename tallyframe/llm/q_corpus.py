@@ -10,9 +10,9 @@ from tallyframe.llm.base import fold, query
 
 @query("op1_deleted_interpolation")
 def op1_deleted_interpolation(spark, sf):
-    """Log10 probability of every document under the interpolated bigram model."""
+    """Log10 probability of every document under the interpolated trigram model."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    out = interpolation.score(docs, fold("doc_id", 10))
+    out = interpolation.score(docs, fold("doc_id", 10), order=3)
     return out.select("doc_id", (F.col("part") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -100,6 +100,14 @@ def test_interpolation_equals_plain_mixture(ls, order, monkeypatch):
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_op1_query_is_a_trigram_model(ls):
+    rows = ls.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    want = {r["doc_id"]: r["score"] for r in interpolation.score(rows, part, order=3).collect()}
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op1_deleted_interpolation"](ls, SF).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_em_finds_the_likelier_source():
     cells = np.array([[3, -4, -40], [3, 1, -8]])
     w = interpolation.expectation_maximisation(cells, np.array([90.0, 10.0]), 1e-6).table
