@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, quality
+from tallyframe.llm import chat, quality, urls
 from tallyframe.llm.base import query
 
 _TURNS = """turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -46,3 +46,18 @@ def op10_quality_divergence(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
     out = quality.divergence(docs, quality.references(docs))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Fixed rules of the query.
+RULES = [
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+@query("op12_url_trees")
+def op12_url_trees(spark, sf):
+    """The verdict on the address of every page."""
+    return urls.filter_urls(spark.read.parquet(f"{sf}/pages.parquet"), RULES)
