@@ -16,7 +16,9 @@ two sketches differ never exceed the sets' symmetric difference.
    these steps miss share spare + 1 crowded cells. Such a class is looked up, in step 5, by its crowded cells
    without its `spare` commonest ones (a prefix filter once more), among classes that are still in other
    components. Passages that many texts share thereby fall out, and what is left is compared by its bit
-   sketches inside tasks, in tiles.
+   sketches inside tasks, in tiles. Classes with a near one in another component come back with their
+   sets; a tile then verifies pairs of different components only, joins the two when a pair links, and
+   so gives fewer links than it has components, however many pairs are near.
 4. Bit sketches (one bit per shingle, about two bits a shingle) reject a pair when their Hamming
    distance exceeds (n1 + n2) / 9, the largest symmetric difference of linked sets.
 5. Surviving pairs are verified on the exact sets, and the links make the components.
@@ -31,7 +33,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,9 @@ from tallyframe.llm.text import STEP, U64, flat, grams, mix, owners, pack, range
 from tallyframe.plans.session import written
 
 CROWD = 8
-PART = 1500
-BLOCK = 8 << 20
+#: Classes and shingles of one part of a group that is compared in tiles, and bytes of text in a block.
+PART, PART_SHINGLES = 1500, 1 << 20
+BLOCK = 4 << 20
 
 
 def spare(n):
@@ -278,14 +281,13 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         both = pairs.join(left, "a").join(right, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
         return written(both.where(_near("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    def sets_of(need: DataFrame) -> DataFrame:
         ids = classes.join(need, "key", "left_semi").select(F.col("doc_id").alias("id"))
         mine = rows.join(ids, rows.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(_sets, "key long, set binary")
         return written(mine.join(need, "key", "left_semi").dropDuplicates(["key"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(pairs)
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         one = sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
         two = sets.select(F.col("key").alias("a"), F.col("set").alias("x"))
         return written(pairs.join(one, "b").join(two, "a").where(_linked("x", "y")).select("a", "b"))
@@ -294,66 +296,113 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     crowded = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("cell")).distinct()
     open_ = written(_open_cells(_needed_cells(crowded, classes), roots))
     if not open_.isEmpty():
-        more = verified(written(_compare_open(open_, classes)))
-        roots = written(joined(roots, more))
+        roots = written(joined(roots, written(_compare_open(open_, classes, sets_of))))
     return members, roots
 
 
-def _compare_open(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes from different components, joined by open cells, whose sketches are near.
-
-    Components that meet in an open cell form a group. Its members are dealt into parts of about PART,
-    every two parts meet in one task, and only pairs within the Hamming bound leave it.
-    """
-    meet = Window.partitionBy("cell")
-    edges = open_.select(F.min("root").over(meet).alias("a"), F.col("root").alias("b")).distinct()
-    group = components(edges)
+def _compare_open(open_: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that join the components which meet in open cells, directly or through others."""
+    least = open_.groupBy("cell").agg(F.min("root").alias("a"))
+    group = components(open_.join(least, "cell").select("a", F.col("root").alias("b")).distinct())
     member = open_.select("key", "root").distinct().join(group.select(F.col("node").alias("root"), F.col("root").alias("group")), "root")
-    parts = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    dealt = member.join(parts, "group").join(classes.select("key", "n", "sketch"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    each = dealt.select("group", "key", "root", "n", "sketch", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = each.select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "root", "n", "sketch")
-    return tiles.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_compare_tiles, "a long, b long").distinct()
-
-
-def _compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, i, j = rows[0][:3]
-        found = []
-        by_size: dict[int, list[tuple]] = {}
-        for r in rows:
-            by_size.setdefault(len(r[7]), []).append(r)
-
-        def table(mine: list[tuple], size: int):
-            words_ = np.stack([np.frombuffer(r[7], U64) for r in mine])
-            if words_.shape[1] > size:
-                words_ = np.bitwise_xor.reduce(words_.reshape(len(mine), -1, size), axis=1)
-            return words_, *(np.array([r[c] for r in mine], np.int64) for c in (3, 4, 5, 6))
-
-        for size, mine in by_size.items():
-            x, xp, xk, xr, xn = table(mine, size // 8)
-            for more in (size, 2 * size):
-                if more in by_size:
-                    y, yp, yk, yr, yn = table(by_size[more], size // 8)
-                    for c in range(len(mine)):
-                        fit = (yr != xr[c]) & (5 * xn[c] >= 4 * yn) & (5 * yn >= 4 * xn[c]) & ((yp != xp[c]) | (i == j))
-                        if more == size:
-                            fit &= yk > xk[c]
-                        fit = np.flatnonzero(fit)
-                        near = 9 * np.bitwise_count(y[fit] ^ x[c]).sum(1, dtype=np.int64) <= xn[c] + yn[fit]
-                        found += [(min(int(xk[c]), k), max(int(xk[c]), k)) for k in yk[fit[near]].tolist()]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
-
-    rows: list[tuple] = []
+    member = written(member.join(classes.select("key", "n", "sketch"), "key"))
+    near = written(_tiles(member).mapInArrow(_near_classes, "key long").distinct())
+    some = written(member.join(near, "key", "left_semi"))
+    return _tiles(some.join(sets_of(near), "key")).mapInArrow(_tile_links, "a long, b long").distinct()
+
+
+def _tiles(member: DataFrame) -> DataFrame:
+    """Members of a group dealt into parts; every two parts of it meet in one task, as tile (group, i, j)."""
+    size = F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / PART_SHINGLES)
+    parts = member.groupBy("group").agg(F.ceil(size).cast("int").alias("parts"))
+    dealt = member.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = each.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
+    return tiles.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
-        for r in zip(*(b[c].to_pylist() for c in ("group", "i", "j", "part", "key", "root", "n", "sketch"))):
-            if rows and r[:3] != rows[0][:3]:
-                yield from finish(rows)
-                rows = []
-            rows.append(r)
-    if rows:
-        yield from finish(rows)
+        ids = np.stack([b[c].to_numpy() for c in ("group", "i", "j")], axis=1)
+        cut = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+        for start, end in zip([0, *cut], [*cut, b.num_rows]) if b.num_rows else ():
+            now = tuple(ids[start])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(start, end - start))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_pairs(tile: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a tile whose sizes and sketches allow a link and whose labels differ, every pair once.
+
+    `label` is read anew for every row, so that the caller may join components meanwhile.
+    """
+    n, part, key = (tile[c].to_numpy() for c in ("n", "part", "key"))
+    one = tile["i"][0].as_py() == tile["j"][0].as_py()
+    sketch = tile["sketch"].to_pylist()
+    size = np.array([len(x) // 8 for x in sketch])
+
+    def table(mine: np.ndarray, words_: int) -> np.ndarray:
+        bits = np.stack([np.frombuffer(sketch[r], U64) for r in mine])
+        return bits if bits.shape[1] == words_ else np.bitwise_xor.reduce(bits.reshape(mine.size, -1, words_), axis=1)
+
+    for words_ in np.unique(size).tolist():
+        mine = np.flatnonzero(size == words_)
+        x = table(mine, words_)
+        for more in (words_, 2 * words_):
+            others = np.flatnonzero(size == more)
+            if not others.size:
+                continue
+            y = x if more == words_ else table(others, words_)
+            for c, r in enumerate(mine.tolist()):
+                fit = (label[others] != label[r]) & (5 * n[r] >= 4 * n[others]) & (5 * n[others] >= 4 * n[r]) & ((part[others] != part[r]) | one)
+                if more == words_:
+                    fit &= key[others] > key[r]
+                fit = np.flatnonzero(fit)
+                near = 9 * np.bitwise_count(y[fit] ^ x[c]).sum(1, dtype=np.int64) <= n[r] + n[others[fit]]
+                if near.any():
+                    yield r, others[fit[near]]
+
+
+def _near_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the classes that are near one of another component."""
+    for tile in _by_tile(batches):
+        seen = np.zeros(tile.num_rows, bool)
+        for r, others in _near_pairs(tile, tile["root"].to_numpy()):
+            seen[r] = True
+            seen[others] = True
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(tile["key"].to_numpy()[seen]))], ["key"])
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links of a tile, each between two components that no earlier one has joined."""
+    for tile in _by_tile(batches):
+        sets = [np.frombuffer(x, U64) for x in tile["set"].to_pylist()]
+        key, label = tile["key"].to_numpy(), tile["root"].to_numpy().copy()
+        a, b = [], []
+        for r, others in _near_pairs(tile, label):
+            others = others[label[others] != label[r]]
+            if not others.size:
+                continue
+            mine, theirs = sets[r], [sets[o] for o in others.tolist()]
+            size = np.array([t.size for t in theirs])
+            every = np.concatenate(theirs)
+            at = np.minimum(np.searchsorted(mine, every), mine.size - 1)
+            common = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(size) - size)
+            for o in others[100 * common >= 80 * (mine.size + size - common)].tolist():
+                if label[o] != label[r]:
+                    a.append(min(key[r], key[o]))
+                    b.append(max(key[r], key[o]))
+                    label[label == label[o]] = label[r]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _needed_cells(crowded: DataFrame, classes: DataFrame) -> DataFrame:
@@ -411,9 +460,10 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
     best = best.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
     twice = not rows.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
-    marked = docs.withColumn("_class", class_key(F.col(text)))
-    out = marked.join(best, marked[key].cast("long").eqNullSafe(best["_id"]) & (marked["_class"] == best["_key"]), "left_semi")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(own, F.col(f"`{key}`").cast("long").alias("_doc"), class_key(F.col(f"`{text}`")).alias("_class"))
+    out = marked.join(best, marked["_doc"].eqNullSafe(best["_id"]) & (marked["_class"] == best["_key"]), "left_semi")
     if twice:
         empty = out.where("_class = 0")
-        out = out.where("_class <> 0").dropDuplicates([key, "_class"]).unionByName(empty)
-    return out.drop("_class")
+        out = out.where("_class <> 0").dropDuplicates(["_doc", "_class"]).unionByName(empty)
+    return out.select("row.*")
