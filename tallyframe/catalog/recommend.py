@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyframe.catalog.aggs import rounded
 from tallyframe.catalog.registry import query, table, unit
 from tallyframe.functions.stats import md5_unit
+from tallyframe.operators import neighbours as nb
 from tallyframe.operators import recommend as r
 from tallyframe.operators import search as s
 from tallyframe.plans.session import spread, written
@@ -315,6 +316,36 @@ def _(spark, sf):
     return rounded(out, "similarity")
 
 
+_NEAR = """SELECT q.vec_id, c.vec_id AS match, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS s
+       FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0"""
+
+
+@query(
+    "indexed_neighbours_all_cells",
+    "R14 G8",
+    f"""SELECT vec_id, match, round(s, 6) AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, match)::INTEGER AS rank FROM ({_NEAR}) QUALIFY rank <= 10""",
+)
+def _(spark, sf):
+    """Looking into all cells, the index answers exactly."""
+    e = table(spark, sf, "embeddings")
+    index = nb.build(e, "vec_id", "embedding")
+    return rounded(nb.search(index, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, len(index.centres)), "similarity")
+
+
+@query(
+    "neighbour_index_recall",
+    "R14 G8",
+    f"""SELECT count(DISTINCT vec_id) AS queries, count(*) AS links, true AS recall_reached FROM (SELECT vec_id, match FROM ({_NEAR}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, match) <= 10)""",
+)
+def _(spark, sf):
+    """Recall of the tuned index against the exact search, 0.9 or more, for every twentieth row against all rows."""
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    exact = written(s.knn(q, e, "qid", "vec_id", "embedding", 10))
+    told = nb.recall(nb.indexed_knn(q, e, "qid", "vec_id", "embedding", 10), exact, "qid", "vec_id")
+    return told.select("queries", "links", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 _OFFERS = """o AS (SELECT DISTINCT o_custkey AS customer_id, l_partkey % (SELECT count(*) FROM embeddings) AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sc AS (SELECT customer_id, item_id, {u} AS score, embedding::DOUBLE[] AS v FROM o JOIN embeddings ON vec_id = item_id)"""
 
 

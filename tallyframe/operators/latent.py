@@ -6,7 +6,7 @@ Sequences and point clouds reach Python one bounded list per row; Spark partitio
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -286,9 +286,12 @@ def global_h0(df: DataFrame, key: str, dims: Sequence[str], prefix: str = "pop")
     return means.select(key).withColumn("_s", stats.select(F.struct("*")).scalar()).select(key, "_s.*")
 
 
-def knn_graph(vectors: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """Symmetric cosine neighbour graph with self loops, weighted D^-1/2 A D^-1/2: (src, dst, w)."""
-    near = knn(vectors.select(F.col(key).alias("src"), vec), vectors.select(F.col(key).alias("dst"), vec), "src", "dst", vec, k).select("src", "dst")
+def knn_graph(vectors: DataFrame, key: str, vec: str, k: int, find: Callable[..., DataFrame] = knn) -> DataFrame:
+    """Symmetric cosine neighbour graph with self loops, weighted D^-1/2 A D^-1/2: (src, dst, w).
+
+    `find` is the exact search, whose work is the square of the rows, or `neighbours.indexed_knn` for large tables.
+    """
+    near = find(vectors.select(F.col(key).alias("src"), vec), vectors.select(F.col(key).alias("dst"), vec), "src", "dst", vec, k).select("src", "dst")
     both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(vectors.select(F.col(key).alias("src"), F.col(key).alias("dst"))).distinct()
     deg = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     j = both.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst")
