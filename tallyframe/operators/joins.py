@@ -46,21 +46,29 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return top.select(*[F.col(k) if c in keys else F.col(f"r.{c}") for c in df.columns for k in [c]])
 
 
-def interval_join(events: DataFrame, windows: DataFrame, ts: str, lo: str, hi: str, keys: Sequence[str] = (), bucket: int = 30, salts: int | None = None) -> DataFrame:
-    """Events whose date lies in [lo, hi] of a window.
+#: Days beyond any date, and the level whose pieces span them.
+FAR_DAY, TOP = 1 << 23, 24
 
-    Dates are cut into buckets of `bucket` days. Each window appears once per bucket it touches, so
-    the join is an equi-join on (keys, bucket, salt) and the exact bounds are a cheap residual filter.
-    Without keys a bucket holds all events of its days, so they are dealt over `salts` places (16 then,
-    1 with keys) and each window stands in all of them.
+
+def interval_join(events: DataFrame, windows: DataFrame, ts: str, lo: str, hi: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Events whose date lies in [lo, hi] of a window; a NULL bound is open, a window that ends before it starts is empty.
+
+    Days form dyadic pieces: piece n of level l is the days whose number shifted right by l is n. A window of up to
+    2^l days touches one or two pieces of level l, and stands in these alone; an event stands in its piece of every level
+    that some window has (a level per size class of the windows, TOP + 1 at most). So the join is an equi-join on
+    (keys, level, piece), at least a quarter of whose rows on average pass the exact bounds, and no row is copied more
+    often the longer a window is. Hot pieces are left to the skew splitting of adaptive execution.
     """
-    salts = salts or (1 if keys else 16)
     day = F.unix_date(F.col(ts).cast("date"))
-    e = events.withColumn("_b", F.floor(day / bucket)).withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
-    first = F.floor(F.unix_date(F.col(lo).cast("date")) / bucket)
-    last = F.floor(F.unix_date(F.col(hi).cast("date")) / bucket)
-    w = windows.withColumn("_b", F.explode(F.sequence(first, last))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return e.join(w, [*keys, "_b", "_salt"]).where(F.col(ts).cast("date").between(F.col(lo), F.col(hi))).drop("_b", "_salt")
+    start = F.coalesce(F.unix_date(F.col(lo).cast("date")), F.lit(-FAR_DAY))
+    end = F.coalesce(F.unix_date(F.col(hi).cast("date")), F.lit(FAR_DAY))
+    w = windows.withColumn("_lo", start).withColumn("_hi", end).where("_lo <= _hi")
+    w = w.withColumn("_l", F.when(F.col("_lo") == F.col("_hi"), 0).otherwise(F.length(F.bin(F.col("_hi") - F.col("_lo")))))
+    levels = sorted(r["_l"] for r in w.select("_l").distinct().collect())
+    piece = lambda d: F.call_function("shiftright", d, F.col("_l"))
+    w = w.withColumn("_n", F.explode(F.array_distinct(F.array(piece(F.col("_lo")), piece(F.col("_hi"))))))
+    e = events.withColumn("_day", day).withColumn("_l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_n", piece(F.col("_day")))
+    return e.join(w, [*keys, "_l", "_n"]).where("_day BETWEEN _lo AND _hi").drop("_l", "_n", "_day", "_lo", "_hi")
 
 
 def dense_panel(entities: DataFrame, facts: DataFrame, key: str, slot: str, slots: Column, fill: dict[str, float]) -> DataFrame:

@@ -7,17 +7,14 @@ entity with very many rows is cut into chunks that overlap by exactly the rows a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe.functions.stats import array_mean
 from tallyframe.plans.session import GROUP_ROWS
-from tallyframe.plans.skew import lookback, with_group
+from tallyframe.plans.skew import largest_group, lookback, position, with_group
 
 
 def recent_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, rank: str = "recency", newest: bool = True) -> DataFrame:
@@ -103,47 +100,59 @@ def step_velocity(df: DataFrame, keys: Sequence[str], order: Sequence[str], col:
     return lookback(df, keys, order, max(steps), build, group_rows)
 
 
-def _decayed(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, decays: dict[str, float], adjust: bool, group_rows: int) -> DataFrame:
-    """Exponential averages by one sorted pass; state crosses Arrow batches, never a whole entity."""
-    keep = max(math.ceil(math.log(1e-18) / math.log(1 - d)) for d in decays.values())
+#: A weight below exp(-UNDERFLOW) is 0 as a double; powers up to exp(SPAN) are safe to multiply a double by.
+UNDERFLOW, SPAN, SEGMENT = 745.2, 345.0, 100_000
 
-    def build(f: DataFrame, by: list[str]) -> DataFrame:
-        # One number per entity stands for its keys in Python, where NULL keys would not equal each other.
-        names = f.columns
-        f = f.withColumn("_entity", F.xxhash64(*[x for b in by for x in (F.col(b).isNull(), F.col(b))]))
-        out = T.StructType(f.schema.fields + [T.StructField(n, T.DoubleType()) for n in decays])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last, carry, seen = None, {}, 0
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                ids = pdf["_entity"].to_numpy()
-                codes = np.concatenate(([0], np.cumsum(ids[1:] != ids[:-1])))
-                same = (codes == 0) & (ids == last) if last is not None else np.zeros(len(ids), bool)
-                x = pdf[col].fillna(0.0).astype("float64").reset_index(drop=True)
-                step = x.groupby(codes).cumcount().to_numpy()
-                new = {}
-                for n, d in decays.items():
-                    a = 1 - d
-                    e = x.groupby(codes).ewm(alpha=d, adjust=adjust).mean().to_numpy()
-                    if same[0]:
-                        m = int(same.sum())
-                        p = a ** (step[:m] + 1.0)
-                        if adjust:  # join the weighted sums of both parts
-                            w0, w1 = (1 - a**seen) / d, (1 - p) / d
-                            e[:m] = (carry[n] * w0 * p + e[:m] * w1) / (w0 * p + w1)
-                        else:
-                            e[:m] += p * (carry[n] - x[0])
-                    carry[n] = e[-1]
-                    new[n] = e
-                seen = int(step[-1]) + 1 + (seen if ids[-1] == last else 0)
-                last = ids[-1]
-                yield pdf.assign(**new)
-
-        return f.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(scan, out).select(*names, *decays)
-
-    return lookback(df, keys, order, keep, build, group_rows)
+
+def _carried(df: DataFrame, keys: Sequence[str], pos: str, x: str, log_a: float, largest: int, name: str, group_rows: int) -> DataFrame:
+    """Add `name`, the sum of a^(p - i) x_i over all rows i up to a row's own position p, per key.
+
+    A segment of positions acts on the sum as an affine map: slope a^length, offset its own weighted sum. Offsets of
+    rows are running sums inside segments short enough that powers of a neither overflow nor vanish; the
+    segments' maps are composed by the same function, one level up, and every row adds what its segment is handed.
+    No weight that a double can hold is left out (values beyond 1e150 would overflow), and no segment is longer than SEGMENT or `group_rows`.
+    """
+    reach = math.ceil(UNDERFLOW / -log_a)
+    if reach <= 8:  # so few rows back count at all
+
+        def build(f: DataFrame, by: list[str]) -> DataFrame:
+            w = Window.partitionBy(*by).orderBy(pos)
+            return f.withColumn(name, sum((F.coalesce(F.lag(x, i).over(w), F.lit(0.0)) * math.exp(i * log_a) for i in range(1, reach + 1)), F.col(x)))
+
+        return lookback(df, keys, [pos], reach, build, group_rows)
+    length = max(2, min(int(SPAN / -log_a), SEGMENT, group_rows))
+    inside = F.pmod(F.col(pos), F.lit(length))
+    rows = df.withColumn("_seg", F.floor(F.col(pos) / length))
+    w = Window.partitionBy(*keys, "_seg").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.exp(inside * log_a) * F.sum(F.col(x) * F.exp(inside * -log_a)).over(w))
+    if largest <= length:
+        return rows.drop("_seg")
+    ends = rows.where(inside == length - 1).select(*keys, F.col("_seg").alias("_at"), F.col(name).alias("_offset"))
+    handed = _carried(ends, keys, "_at", "_offset", log_a * length, -(-largest // length), "_carry", group_rows)
+    handed = handed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_at") + 1).alias("_next"), F.col("_carry").alias("_handed"))
+    same = rows["_seg"] == handed["_next"]
+    for k in keys:
+        same = same & rows[k].eqNullSafe(handed[f"_k_{k}"])
+    full = rows.join(handed, same, "left")
+    return full.select(*df.columns, (F.col(name) + F.coalesce(F.exp((inside + 1) * log_a) * F.col("_handed"), F.lit(0.0))).alias(name))
+
+
+def _decayed(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, decays: dict[str, float], adjust: bool, group_rows: int) -> DataFrame:
+    """Exponential averages from weighted sums carried over segments; with `adjust` divided by the sum of the weights."""
+    largest = largest_group(df, keys)
+    x = F.coalesce(F.col(col).cast("double"), F.lit(0.0))
+    out = position(df, keys, order, "_pos", group_rows).withColumn("_pos", F.col("_pos") - 1).withColumn("_x", x)
+    for n, d in decays.items():
+        if d >= 1:
+            out = out.withColumn(n, F.col("_x"))
+            continue
+        log_a = math.log1p(-d)
+        # without adjustment the first value starts the recursion, as if it had been there forever
+        out = out.withColumn("_w", F.col("_x") if adjust else F.when(F.col("_pos") == 0, F.col("_x") / d).otherwise(F.col("_x")))
+        out = _carried(out, keys, "_pos", "_w", log_a, largest, n, group_rows).drop("_w")
+        weights = -F.call_function("expm1", (F.col("_pos") + 1) * log_a) if adjust else F.lit(1.0)
+        out = out.withColumn(n, F.col(n) * d / weights)
+    return out.drop("_pos", "_x")
 
 
 def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, decays: dict[str, float], group_rows: int = GROUP_ROWS) -> DataFrame:
