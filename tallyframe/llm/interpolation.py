@@ -14,7 +14,9 @@ however often it occurs there, hot words put no more on a task than there are bl
 tables grow with the corpus without ever being in one place. The buckets are as many as the session's
 shuffle partitions.
 
-n-grams are compared by 64-bit hashes. Tokens: words and one end after each text.
+Tokens are compared by 64-bit hashes, longer n-grams by 56 bits; of N distinct ones a share of about
+N / 2**56 is mistaken for another. Tokens: words and one end after each text. EM runs on counts of held-out
+tokens by context bucket and by estimates rounded to quarter powers of two. Ties do not occur: nothing is ranked.
 
 Defined results: a NULL or empty text is the end token alone; repeated rows count as often as they
 occur; a NULL key counts as the empty text in the fold rule of the query; without training text every
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 from tallyframe.llm.text import STEP, U64, flat, gathered, mix, pack, unpack, words
 from tallyframe.plans.session import written
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 END, START = U64(0x5EED0E4D), U64(0x5EED57A7)
+#: The bits of an n-gram's hash that count from two tokens on: 56, so that keys are sent in a byte less.
+KEPT_BITS = U64(0xFFFFFFFFFFFFFF00)
 QUARTERS = 4
 LOWEST = 40
 
@@ -57,7 +61,7 @@ def _levels(tokens: np.ndarray, off: np.ndarray, order: int) -> list[np.ndarray]
         before[1:] = last[:-1]
         before[starts] = START + U64(k)
         last = mix(before * STEP + tokens)
-        out.append(last)
+        out.append(last & KEPT_BITS)
     return out
 
 
@@ -114,8 +118,10 @@ def _answers(order: int):
             if k == 0:
                 sums = [int(every.sum()), int((every > 0).sum()), int(dev.sum()), int((every > dev).sum())]
             cuts = np.cumsum(sizes)[:-1]
-            for r, a, d in zip(replies, np.split(every[inv], cuts), np.split(dev[inv], cuts)):
-                r += [a.astype(np.uint64), d.astype(np.uint64)]
+            small = np.uint32 if every.max(initial=0) < 1 << 32 else np.uint64
+            for r, a, d, (_, held_out, _) in zip(replies, np.split(every.astype(small)[inv], cuts), np.split(dev.astype(small)[inv], cuts), asked):
+                r += [a, d] if held_out else [a]
+            del key, own, held, u, inv, every, dev
         n = len(asked)
         yield pa.RecordBatch.from_arrays(
             [pa.array([*(a[0] for a in asked), None], pa.int64()), pa.array([*(a[1] for a in asked), None], pa.bool_()), pa.array([bucket] * (n + 1), pa.int32()), pa.array([*(pack(*r) for r in replies), None], pa.binary()), pa.array([*[None] * n, sums], pa.list_(pa.int64()))],
@@ -147,16 +153,28 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([dev]), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["block", "dev", "bucket", "data"])
 
 
-def _joined(order: int, use):
-    """Feed `use` with a block's (state arrays, level keys' counts) once all its answers are there."""
+def _joined(order: int, use, held_out: bool):
+    """Feed `use` with a block's state arrays, offsets and, level by level, the counts of its tokens' n-grams.
+
+    Blocks of held-out texts are told the held-out counts besides; with `held_out`, these are taken off.
+    """
 
     def finish(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
         state, replies = unpack(rows[0]), [unpack(r) for r in rows[1:]]
+        rows.clear()
         u, inv, off = np.cumsum(state[0], dtype=U64), state[1], state[2]
-        counts = []
-        for k, keys in enumerate(_levels(u[inv], off, order)):
-            at = inv if k == 0 else np.unique(keys, return_inverse=True)[1]
-            counts.append(tuple(np.concatenate([r[2 * k + j] for r in replies]).astype(np.float64)[at] for j in (0, 1)))
+        width = len(replies[0]) // order
+        counts, levels = [], _levels(u[inv], off, order)
+        for k in range(order):
+            at = inv if k == 0 else np.unique(levels[k], return_inverse=True)[1]
+            levels[k] = None
+            told = np.concatenate([r[width * k] for r in replies])
+            if held_out:
+                told = told - np.concatenate([r[width * k + 1] for r in replies])
+            for r in replies:
+                r[width * k : width * (k + 1)] = [None] * width
+            counts.append(told[at])
+        del replies, levels
         yield from use(state, off, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +198,9 @@ def _estimates(counts: list[np.ndarray], off: np.ndarray, total: float, kinds: f
     p = np.zeros((len(counts) + 1, counts[0].size))
     p[0] = 1 / (kinds + 1)
     p[1] = counts[0] / max(1.0, total)
-    context = np.full(counts[0].size, total)
+    context = np.full(counts[0].size, float(total))
     for k in range(1, len(counts)):
-        context = np.empty_like(counts[0])
+        context = np.empty(counts[0].size)
         context[1:] = counts[k - 1][:-1]
         # A start mark precedes every training text, as often as the end token follows one.
         context[starts] = counts[0][ends]
@@ -194,8 +212,7 @@ def _grid(order: int, total: int, kinds: int):
     """Held-out tokens counted by context bucket and by each estimate in quarter powers of two."""
 
     def use(state, off, counts) -> Iterator[pa.RecordBatch]:
-        rest = [c - d for c, d in counts]
-        bucket, p = _estimates(rest, off, total, kinds)
+        bucket, p = _estimates(counts, off, total, kinds)
         cells = [bucket]
         for row in p[1:]:
             with np.errstate(divide="ignore"):
@@ -204,7 +221,7 @@ def _grid(order: int, total: int, kinds: int):
         held, n = np.unique(np.stack(cells), axis=1, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(held.T.tolist(), pa.list_(pa.int64())), pa.array(n)], ["cell", "n"])
 
-    return _joined(order, use)
+    return _joined(order, use, True)
 
 
 def expectation_maximisation(cells: np.ndarray, n: np.ndarray, uniform: float, rounds: int = 100) -> Weights:
@@ -234,10 +251,12 @@ def expectation_maximisation(cells: np.ndarray, n: np.ndarray, uniform: float, r
 
 def _scores(order: int, total: int, kinds: int, weights: Weights):
     def use(state, off, counts) -> Iterator[pa.RecordBatch]:
-        every = [c for c, _ in counts]
-        bucket, p = _estimates(every, off, total, kinds)
-        mixed = np.einsum("kn,nk->n", p, weights.table[bucket])
-        base = np.log10((every[0] + 0.1) / (total + 0.1 * (kinds + 1)))
+        bucket, p = _estimates(counts, off, total, kinds)
+        mixed = np.zeros(p.shape[1])
+        for k, row in enumerate(p):
+            mixed += row * weights.table[bucket, k]
+        del p
+        base = np.log10((counts[0] + 0.1) / (total + 0.1 * (kinds + 1)))
         add = lambda x: np.add.reduceat(x, off[:-1])
         n = off.size - 1
         yield pa.RecordBatch.from_arrays(
@@ -245,7 +264,7 @@ def _scores(order: int, total: int, kinds: int, weights: Weights):
                 pa.array(state[3], pa.int64(), mask=state[4] == 0),
                 pa.array(state[5].astype(np.int32)),
                 pa.array(np.diff(off)),
-                pa.array(add((every[0] > 0).astype(np.int64))),
+                pa.array(add((counts[0] > 0).astype(np.int64))),
                 pa.array(np.full(n, total, np.int64)),
                 pa.array(add(base)),
                 pa.array(add(np.log10(mixed))),
@@ -253,7 +272,7 @@ def _scores(order: int, total: int, kinds: int, weights: Weights):
             ["key", "part", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return _joined(order, use)
+    return _joined(order, use, False)
 
 
 def score(docs: DataFrame, part: Column, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
