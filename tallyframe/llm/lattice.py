@@ -376,13 +376,14 @@ def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: b
                 keys = b["key"].fill_null(0).to_numpy()
                 null = b["key"].is_null().to_numpy(zero_copy_only=False)
                 seeds = mix(keys.view(U64) * STEP + U64(seed) + null.astype(U64) * U64(7919))
-                yield _rows(b["key"], sample(lat, kinds, first, seeds, k), lat, decoder(model) if digest or decoded else None, digest)
+                yield _rows(b["key"], sample(lat, kinds, first, seeds, k), lat, model if digest or decoded else None, digest)
 
     return run
 
 
-def _rows(keys: pa.Array, drawn: list, lat: Lattices, back, digest: bool) -> pa.RecordBatch:
-    row, num, logp, value, incl, ids = [], [], [], [], [], []
+def _rows(keys: pa.Array, drawn: list, lat: Lattices, model: Model | None, digest: bool) -> pa.RecordBatch:
+    """The drawn splits as rows; the ids of all of them, and the bytes of these, are looked up in one go."""
+    row, num, logp, value, incl, paths = [], [], [], [], [], [np.zeros(0, np.int64)]
     for i, found in enumerate(drawn):
         whole = [x for x in found if x[2] is not None]
         bound = next((x[0] for x in found if x[2] is None), -np.inf)
@@ -393,17 +394,26 @@ def _rows(keys: pa.Array, drawn: list, lat: Lattices, back, digest: bool) -> pa.
             value.append(g)
             x = f - bound
             incl.append(0.0 if x > 4 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))) + 0.0)
-            ids.append(lat.ids[ranges(lat.ids_off[path], lat.ids_off[path + 1] - lat.ids_off[path])])
-    sizes = np.array([x.size for x in ids], np.int32)
-    columns = [keys.take(pa.array(row, pa.int64())), pa.array(num, pa.int32()), pa.array(sizes), pa.array(logp), pa.array(value), pa.array(incl)]
+            paths.append(path)
+    arcs = np.concatenate(paths)
+    width = lat.ids_off[arcs + 1] - lat.ids_off[arcs]
+    ids = lat.ids[ranges(lat.ids_off[arcs], width)].astype(np.int32)
+    at = np.concatenate([[0], np.cumsum(width)])[np.cumsum([x.size for x in paths])]
+    columns = [keys.take(pa.array(row, pa.int64())), pa.array(num, pa.int32()), pa.array(np.diff(at).astype(np.int32)), pa.array(logp), pa.array(value), pa.array(incl)]
     names = ["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion"]
+    texts = []
+    if model is not None:
+        table, off = np.frombuffer(model.spelled, np.uint8), model.spelled_off
+        size = off[ids + 1] - off[ids]
+        spelled = table[ranges(off[ids], size)].tobytes()
+        cut = np.concatenate([[0], np.cumsum(size)])[at].tolist()
+        texts = [spelled[i + 1 : j] for i, j in zip(cut[:-1], cut[1:])]  # without the blank before every text
     if digest:
-        told = [[hashlib.sha256(x.tobytes()).hexdigest() for x in ids], [hashlib.sha256(back(x)).hexdigest() for x in ids]]
+        told = [[hashlib.sha256(ids[i:j]).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist())], [hashlib.sha256(x).hexdigest() for x in texts]]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(t, pa.string()) for t in told)], [*names, "ids_sha256", "text_sha256"])
-    flat_ids = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat_ids)
-    if back:
-        text = pa.array([back(x).decode("utf-8", "replace") for x in ids], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+    if model is not None:
+        text = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())
         return pa.RecordBatch.from_arrays([*columns, lists, text], [*names, "ids", "text"])
     return pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
 
@@ -418,7 +428,7 @@ def encode(
     text: str = "text",
     digest: bool = False,
     decoded: bool = False,
-    block: int = 1 << 20,
+    block: int = 1 << 19,
 ) -> DataFrame:
     """Up to k distinct segmentations per row: `key`, sample (1 is the best), n_pieces, log_prob, perturbed, log_inclusion, ids.
 
