@@ -1,11 +1,14 @@
 """Queries: ordered per-entity features."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyframe.catalog.aggs import _V, rounded, verdicts
 from tallyframe.catalog.registry import TXN, query, table, transactions
 from tallyframe.operators import aggs as a
+from tallyframe.operators import hidden
 from tallyframe.operators import windows as w
+from tallyframe.operators.latent import HmmModel
 
 ORD = ["ts", "event_id"]
 W = "(PARTITION BY user_id ORDER BY ts, event_id)"
@@ -170,3 +173,26 @@ def _(spark, sf):
 def _(spark, sf):
     out = w.sliding_windows(events(spark, sf), "ts", 7, 3).groupBy("user_id", "win_id", F.col("win_start").cast("string").alias("win_start"))
     return rounded(out.agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)
+
+
+#: A fixed two-state model: start, transitions, means and variances.
+_HMM = HmmModel(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([[20.0], [60.0]]), np.array([[900.0], [2500.0]]))
+_DENSITY = "exp(-0.5 * (value - {0}) * (value - {0}) / {1}) / sqrt({1})"
+
+
+@query(
+    "hidden_state_posteriors",
+    "G7",
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n,
+         coalesce({_DENSITY.format(20.0, 900.0)}, 1) AS b0, coalesce({_DENSITY.format(60.0, 2500.0)}, 1) AS b1 FROM events),
+       f(user_id, pos, p) AS (SELECT user_id, pos, 0.6::DOUBLE * b0 / (0.6 * b0 + 0.4 * b1) FROM s WHERE pos = 0
+         UNION ALL SELECT s.user_id, s.pos, (f.p * 0.9 + (1 - f.p) * 0.3) * b0 / ((f.p * 0.9 + (1 - f.p) * 0.3) * b0 + (f.p * 0.1 + (1 - f.p) * 0.7) * b1) FROM f JOIN s ON s.user_id = f.user_id AND s.pos = f.pos + 1),
+       r(user_id, pos, q) AS (SELECT user_id, pos, 0.5::DOUBLE FROM s WHERE pos = n - 1
+         UNION ALL SELECT s.user_id, s.pos - 1, (0.9 * b0 * r.q + 0.1 * b1 * (1 - r.q)) / (0.9 * b0 * r.q + 0.1 * b1 * (1 - r.q) + 0.3 * b0 * r.q + 0.7 * b1 * (1 - r.q)) FROM r JOIN s ON s.user_id = r.user_id AND s.pos = r.pos WHERE s.pos > 0)
+       SELECT user_id, pos, round(p * q / (p * q + (1 - p) * (1 - q)), 6) AS first_state FROM f JOIN r USING (user_id, pos)""",
+)
+def _(spark, sf):
+    """Probability of the first state at every event of every user, histories cut into segments of 7 steps."""
+    segs = hidden.segments(events(spark, sf), ["user_id"], ORD, ["value"], 7)
+    out = hidden.posteriors(segs, _HMM, fan=4)
+    return out.select("user_id", "pos", F.round(F.get("probs", F.lit(0)), 6).alias("first_state"))

@@ -3,10 +3,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import joins, windows
+from tallyframe.operators import hidden, joins, latent, windows
 
 
 def plain_ema(xs, d):
@@ -97,3 +98,52 @@ def test_interval_join_copies_no_row_by_length(spark):
     assert plan.count() == 1000 + 367
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "explode([9,23])" in text and "Cartesian" not in text
+
+
+def hidden_rows(spark, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(k, t, None if rng.random() < 0.05 else float(rng.normal(4 * ((t // 9) % 2), 1)), float(rng.normal())) for k, n in (("a", 61), ("b", 1), (None, 30), ("c", 7)) for t in range(n)]
+    return rows, spark.createDataFrame(rows, "k string, t int, x double, y double").repartition(4)
+
+
+MODEL = latent.HmmModel(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.1, 0.3, 0.6]]), np.array([[0.0, 0.0], [4.0, 0.5], [2.0, -1.0]]), np.array([[1.0, 1.0], [1.5, 0.5], [4.0, 2.0]]))
+
+
+def plain_states(rows, m):
+    """Forward and backward over whole histories in logarithms, and the expected transitions."""
+    out, trans = {}, np.zeros((3, 3))
+    for k in {r[0] for r in rows}:
+        x = np.array([[np.nan if v is None else v for v in r[2:]] for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])], float)
+        d = x[:, None, :] - m.mean
+        lb = np.where(np.isnan(d), 0.0, -0.5 * (d * d / m.var + np.log(2 * np.pi * m.var))).sum(-1)
+        a, b = np.zeros_like(lb), np.zeros_like(lb)
+        a[0] = np.log(m.start) + lb[0]
+        for t in range(1, len(x)):
+            a[t] = np.logaddexp.reduce(a[t - 1][:, None] + np.log(m.trans), axis=0) + lb[t]
+        for t in range(len(x) - 2, -1, -1):
+            b[t] = np.logaddexp.reduce(np.log(m.trans) + lb[t + 1] + b[t + 1], axis=1)
+        total = np.logaddexp.reduce(a[-1])
+        for t in range(len(x)):
+            out[k, t] = np.exp(a[t] + b[t] - total)
+            if t:
+                trans += np.exp(a[t - 1][:, None] + np.log(m.trans) + lb[t] + b[t] - total)
+    return out, trans
+
+
+@pytest.mark.parametrize("length, fan", [(1, 2), (7, 3), (1000, 256)])
+def test_hidden_states_do_not_depend_on_segments(spark, length, fan):
+    rows, df = hidden_rows(spark)
+    want, trans = plain_states(rows, MODEL)
+    segs = hidden.segments(df, ["k"], ["t"], ["x", "y"], length, group_rows=20)
+    got = {(r["k"], r["pos"]): r for r in hidden.posteriors(segs, MODEL, fan).collect()}
+    assert set(got) == set(want)
+    for at, p in want.items():
+        assert np.allclose(got[at]["probs"], p, atol=1e-9) and got[at]["state"] == int(np.argmax(p))
+    new = hidden.improved(segs, MODEL, fan)
+    assert np.allclose(new.trans, (trans + 1e-6) / (trans + 1e-6).sum(1, keepdims=True), atol=1e-9)
+    assert np.allclose(new.start, sum(want[k, 0] for k in ("a", "b", "c", None)) / 4, atol=1e-6)
+    x = np.array([[w, v] for (k, t), w in want.items() for v in [next(r[2] for r in rows if r[:2] == (k, t))] if v is not None], dtype=object)
+    weight, value = np.stack(x[:, 0]), x[:, 1].astype(float)
+    assert np.allclose(new.mean[:, 0], (weight * value[:, None]).sum(0) / weight.sum(0), atol=1e-9)
+    none = hidden.segments(df.limit(0), ["k"], ["t"], ["x", "y"], length)
+    assert hidden.posteriors(none, MODEL, fan).count() == 0
