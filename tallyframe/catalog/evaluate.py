@@ -371,6 +371,23 @@ def _(spark, sf):
     return ln.platt_calibration(predictions(spark, sf), "s1", "y", draw("id", "cal") < 0.2).select("id", "s1", "calibrated")
 
 
+@query(
+    "platt_curve",
+    "E21",
+    f"""WITH RECURSIVE {PRED}, fit AS MATERIALIZED (SELECT s1 AS s, y::DOUBLE AS y FROM pred WHERE {unit("id || ':cal'")} < 0.2),
+       newton(i, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+         UNION ALL SELECT i + 1, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+           SELECT i, any_value(a) AS a, any_value(b) AS b, sum((y - p) * s) AS g1, sum(y - p) AS g2, sum(p * (1 - p) * s * s) AS h11, sum(p * (1 - p) * s) AS h12, sum(p * (1 - p)) AS h22
+           FROM (SELECT i, a, b, s, y, 1 / (1 + exp(-(a * s + b))) AS p FROM newton CROSS JOIN fit) GROUP BY i) WHERE i < 12)
+       SELECT (SELECT count(*) FROM pred) AS n, round(avg(1 / (1 + exp(-(a * s1 + b)))), 3) AS mean_calibrated, round(max(1 / (1 + exp(-(a * s1 + b)))) - min(1 / (1 + exp(-(a * s1 + b)))), 3) AS span FROM pred CROSS JOIN (SELECT a, b FROM newton WHERE i = 12)""",
+)
+def _(spark, sf):
+    """Level and span of the fitted curve over all rows; the SQL finds it by Newton's method."""
+    out = ln.platt_calibration(predictions(spark, sf), "s1", "y", draw("id", "cal") < 0.2)
+    c = F.col("calibrated")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 3).alias("mean_calibrated"), F.round(F.max(c) - F.min(c), 3).alias("span"))
+
+
 @query(
     "feature_selection",
     "E22",
@@ -408,6 +425,23 @@ def _(spark, sf):
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(ln.cca(v, "a", "b", 16, 16, 5))], "component int, correlation double")
 
 
+@query(
+    "canonical_correlation_plane",
+    "E25",
+    """WITH v AS (SELECT embedding[1]::DOUBLE AS a1, embedding[2]::DOUBLE AS a2, embedding[1]::DOUBLE + embedding[3] AS b1, embedding[4]::DOUBLE - embedding[2] AS b2 FROM embeddings),
+       c AS (SELECT var_samp(a1) + 1e-4 AS p, covar_samp(a1, a2) AS q, var_samp(a2) + 1e-4 AS r, var_samp(b1) + 1e-4 AS s, covar_samp(b1, b2) AS t, var_samp(b2) + 1e-4 AS u, covar_samp(a1, b1) AS w, covar_samp(a1, b2) AS x, covar_samp(a2, b1) AS y, covar_samp(a2, b2) AS z FROM v),
+       l AS (SELECT (r * w - q * y) / (p * r - q * q) AS l11, (r * x - q * z) / (p * r - q * q) AS l12, (p * y - q * w) / (p * r - q * q) AS l21, (p * z - q * x) / (p * r - q * q) AS l22,
+               (u * w - t * x) / (s * u - t * t) AS m11, (u * y - t * z) / (s * u - t * t) AS m12, (s * x - t * w) / (s * u - t * t) AS m21, (s * z - t * y) / (s * u - t * t) AS m22 FROM c),
+       e AS (SELECT l11 * m11 + l12 * m21 + l21 * m12 + l22 * m22 AS tr, (l11 * l22 - l12 * l21) * (m11 * m22 - m12 * m21) AS det FROM l)
+       SELECT 1 AS component, round(sqrt(tr / 2 + sqrt(tr * tr / 4 - det)), 6) AS correlation FROM e UNION ALL SELECT 2, round(sqrt(tr / 2 - sqrt(tr * tr / 4 - det)), 6) FROM e""",
+)
+def _(spark, sf):
+    """Two dimensions on either side; the SQL has the closed form."""
+    x = lambda i: F.get("embedding", F.lit(i - 1)).cast("double")
+    v = table(spark, sf, "embeddings").select(F.array(x(1), x(2)).alias("a"), F.array(x(1) + x(3), x(4) - x(2)).alias("b"))
+    return spark.createDataFrame([(i + 1, round(c, 6)) for i, c in enumerate(ln.cca(v, "a", "b", 2, 2, 2))], "component int, correlation double")
+
+
 @query(
     "explanation_faithfulness",
     "E26",

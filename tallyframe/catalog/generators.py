@@ -21,7 +21,7 @@ def pivot(spark, sf):
     return a.monthly_pivot(transactions(spark, sf), "user_id", "day", "amount").select("user_id", *MONTHS)
 
 
-_I = "[" + ", ".join(MONTHS[:6]) + "]"
+_I = "[" + ", ".join(MONTHS) + "]"
 _FFT = "greatest(" + ", ".join(
     f"sqrt(pow(list_sum(list_transform({_I}, lambda x, i: x * cos(2 * pi() * {k} * (i - 1) / 6))), 2) + pow(list_sum(list_transform({_I}, lambda x, i: x * sin(2 * pi() * {k} * (i - 1) / 6))), 2))" for k in (1, 2, 3)
 ) + ")"
@@ -40,7 +40,7 @@ _FFT = "greatest(" + ", ".join(
 )
 def _(spark, sf):
     p = pivot(spark, sf)
-    out = g.economics(p, MONTHS[:6], MONTHS[6:9], [MONTHS[9]], [MONTHS[11]], [MONTHS[9]], [MONTHS[10]], [MONTHS[11]], [MONTHS[9]], MONTHS)
+    out = g.economics(p, MONTHS, MONTHS[6:9], [MONTHS[9]], [MONTHS[11]], [MONTHS[9]], [MONTHS[10]], [MONTHS[11]], [MONTHS[9]], MONTHS)
     out = rounded(out, *[f"eco_{c}" for c in ("salary_stability_index", "income_diversification", "disposable_income_ratio", "savings_rate", "income_growth_rate", "budget_adherence", "financial_stress_index", "investment_propensity", "digital_payment_ratio")])
     out = rounded(rounded(out, "eco_income_trend_slope", "eco_spending_elasticity", digits=4), "eco_income_seasonality", digits=3)
     return out.drop(*MONTHS, "eco_income_volatility", "eco_liquidity_ratio", "eco_debt_service_ratio", "eco_cash_preference_index")
@@ -100,18 +100,18 @@ def _(spark, sf):
     return rounded(ranks.gini(transactions(spark, sf), ["user_id"], "amount"), "gini")
 
 
-_V6 = "[amt_01, amt_02, amt_03, amt_04, amt_05, amt_06]"
+_V12 = "[" + ", ".join(MONTHS) + "]"
 
 
 @query(
     "bandit_row_scores",
     "G5",
-    f"""WITH {TXN}, {_PIV} SELECT user_id, round(len(list_filter({_V6}, lambda x: x <> 0)) / 6, 6) AS bandit_exploration, round(CASE WHEN list_sum({_V6}) > 1e-10 THEN list_max({_V6}) / list_sum({_V6}) ELSE 0 END, 6) AS bandit_exploitation,
-        round(list_avg({_V6}) + list_stddev_pop({_V6}), 3) AS bandit_ucb, round(list_max({_V6}) - list_avg({_V6}), 3) AS bandit_regret FROM piv""",
+    f"""WITH {TXN}, {_PIV} SELECT user_id, round(len(list_filter({_V12}, lambda x: x <> 0)) / 12, 6) AS bandit_exploration, round(CASE WHEN list_sum({_V12}) > 1e-10 THEN list_max({_V12}) / list_sum({_V12}) ELSE 0 END, 6) AS bandit_exploitation,
+        round(list_avg({_V12}) + list_stddev_pop({_V12}), 4) AS bandit_ucb, round(list_max({_V12}) - list_avg({_V12}), 4) AS bandit_regret FROM piv""",
 )
 def _(spark, sf):
-    out = g.bandit_scores(pivot(spark, sf), MONTHS[:6]).drop(*MONTHS)
-    return rounded(rounded(out, "bandit_exploration", "bandit_exploitation"), "bandit_ucb", "bandit_regret", digits=3)
+    out = g.bandit_scores(pivot(spark, sf), MONTHS).drop(*MONTHS)
+    return rounded(rounded(out, "bandit_exploration", "bandit_exploitation"), "bandit_ucb", "bandit_regret", digits=4)
 
 
 @query("gmm_soft_clusters", "G6")
@@ -184,52 +184,53 @@ def _(spark, sf):
 @query(
     "saturation_scores",
     "G12",
-    f"""WITH {TXN}, {_PIV}, s AS (SELECT *, list_avg({_V6}) AS s, list_stddev_pop({_V6}) AS v FROM piv), f AS (SELECT 1 / regr_slope(s / v, s) AS vmax, regr_intercept(s / v, s) / regr_slope(s / v, s) AS km0 FROM s WHERE s > 0 AND v > 0), k AS (SELECT vmax, greatest(km0, 1e-6) AS km FROM f)
+    f"""WITH {TXN}, {_PIV}, s AS (SELECT *, list_avg({_V12}) AS s, list_stddev_pop({_V12}) AS v FROM piv), f AS (SELECT 1 / regr_slope(s / v, s) AS vmax, regr_intercept(s / v, s) / regr_slope(s / v, s) AS km0 FROM s WHERE s > 0 AND v > 0), k AS (SELECT vmax, greatest(km0, 1e-6) AS km FROM f)
         SELECT user_id, round(vmax * s / (km + s + 1e-10), 2) AS kin_adoption_velocity, round(s / (km + s + 1e-10), 6) AS kin_saturation_ratio, round(least(greatest(km / (s + 1e-10), 0), 10), 6) AS kin_half_saturation_time FROM s CROSS JOIN k""",
 )
 def _(spark, sf):
     from tallyframe.functions.stats import array_mean, array_std
 
     p = pivot(spark, sf)
-    v = F.array(*MONTHS[:6])
+    v = F.array(*MONTHS)
     vmax, km = g.saturation_fit(p.select(array_mean(v).alias("s"), array_std(v).alias("v")), "s", "v")
-    out = g.saturation(p, MONTHS[:6], vmax, km).drop(*MONTHS)
+    out = g.saturation(p, MONTHS, vmax, km).drop(*MONTHS)
     return rounded(rounded(out, "kin_adoption_velocity", digits=2), "kin_saturation_ratio", "kin_half_saturation_time")
 
 
-_WV = "[amt_01 / 1000, amt_02 / 1000, amt_03 / 1000, amt_04 / 1000]"
-_FR, _PH = [0.1, 0.25, 0.4, 0.7], [0.0, 0.5, 1.0, 1.5]
+_WV = "[" + ", ".join(f"{m} / 100000" for m in MONTHS) + "]"
+_FR, _PH = [0.1 + 0.15 * i for i in range(12)], [0.5 * i for i in range(12)]
 _RE = " + ".join(f"abs(v[{i + 1}]) * cos({f} * v[{i + 1}] + {p})" for i, (f, p) in enumerate(zip(_FR, _PH)))
 _IM = _RE.replace("cos(", "sin(")
 
 
 def _mag(k):
-    return f"sqrt(pow(list_sum(list_transform(v, lambda x, i: x * cos(2 * pi() * {k} * (i - 1) / 4))), 2) + pow(list_sum(list_transform(v, lambda x, i: x * sin(2 * pi() * {k} * (i - 1) / 4))), 2))"
+    return f"sqrt(pow(list_sum(list_transform(v, lambda x, i: x * cos(2 * pi() * {k} * (i - 1) / 12))), 2) + pow(list_sum(list_transform(v, lambda x, i: x * sin(2 * pi() * {k} * (i - 1) / 12))), 2))"
 
 
 @query(
     "wave_interference",
     "G13",
-    f"""WITH {TXN}, {_PIV}, b AS (SELECT user_id, {_WV} AS v FROM piv), c AS (SELECT user_id, list_sum(v) AS t, {_RE} AS re, {_IM} AS im, {_mag(1)} AS m1, {_mag(2)} AS m2 FROM b), d AS (SELECT *, sqrt(re * re + im * im) AS amp, m1 * m1 + m2 * m2 AS pw FROM c)
-        SELECT user_id, round(amp, 6) AS wave_amplitude, round(CASE WHEN t > 0 THEN amp / t ELSE 0 END, 6) AS wave_constructive, round(CASE WHEN t > 0 THEN 1 - amp / t ELSE 0 END, 6) AS wave_destructive, round(CASE WHEN pw > 0 THEN -(m1 * m1 / pw * ln(m1 * m1 / pw + 1e-12) + m2 * m2 / pw * ln(m2 * m2 / pw + 1e-12)) ELSE 0 END, 5) AS wave_spectral_entropy FROM d""",
+    f"""WITH {TXN}, {_PIV}, b AS (SELECT user_id, {_WV} AS v FROM piv), c AS (SELECT user_id, list_sum(v) AS t, {_RE} AS re, {_IM} AS im, [{', '.join(_mag(k) for k in range(1, 7))}] AS m FROM b), d AS (SELECT *, sqrt(re * re + im * im) AS amp, list_sum(list_transform(m, lambda x: x * x)) AS pw FROM c)
+        SELECT user_id, round(amp, 6) AS wave_amplitude, round(atan2(im, re), 5) AS wave_phase, round(CASE WHEN t > 0 THEN amp / t ELSE 0 END, 6) AS wave_constructive, round(CASE WHEN t > 0 THEN 1 - amp / t ELSE 0 END, 6) AS wave_destructive, round(list_position(list_transform(m, lambda x: round(x, 6)), round(list_max(m), 6)) / 12, 6) AS wave_dominant_frequency,
+          round(CASE WHEN pw > 0 THEN list_sum(list_transform(m, lambda x: -x * x / pw * ln(x * x / pw + 1e-12))) ELSE 0 END, 5) AS wave_spectral_entropy FROM d""",
 )
 def _(spark, sf):
-    p = pivot(spark, sf).select("user_id", *[(F.col(c) / 1000).alias(c) for c in MONTHS[:4]])
-    out = g.interference(p, MONTHS[:4], _FR, _PH).drop(*MONTHS[:4], "wave_phase", "wave_dominant_frequency")
-    out = rounded(rounded(out, "wave_amplitude", "wave_constructive", "wave_destructive"), "wave_spectral_entropy", digits=5)
+    p = pivot(spark, sf).select("user_id", *[(F.col(c) / 100000).alias(c) for c in MONTHS])
+    out = g.interference(p, MONTHS, _FR, _PH).drop(*MONTHS)
+    out = rounded(rounded(out, "wave_amplitude", "wave_constructive", "wave_destructive", "wave_dominant_frequency"), "wave_phase", "wave_spectral_entropy", digits=5)
     return out.select("user_id", *[(F.col(c) + 0.0).alias(c) for c in out.columns if c != "user_id"])
 
 
 @query(
     "repeat_event_scores",
     "G14",
-    f"""WITH {TXN}, {_PIV}, b AS (SELECT user_id, {_V6} AS v, [abs(amt_02 - amt_01), abs(amt_03 - amt_02), abs(amt_04 - amt_03), abs(amt_05 - amt_04), abs(amt_06 - amt_05)] AS d FROM piv),
+    f"""WITH {TXN}, {_PIV}, b AS (SELECT user_id, {_V12} AS v, [{', '.join(f'abs({b} - {a})' for a, b in zip(MONTHS, MONTHS[1:]))}] AS d FROM piv),
         k AS (SELECT user_id, v, d, list_transform(range(50), lambda i: list_min(v) + (list_max(v) - list_min(v)) * i / 49) AS gr FROM b),
-        p AS (SELECT *, list_transform(gr, lambda z: list_sum(list_transform(v, lambda x: exp(-0.5 * pow((z - x) / 20000, 2)))) / (6 * 20000 * sqrt(2 * pi()))) AS dn FROM k)
-        SELECT user_id, round(list_avg(v) / 50000, 9) AS rep_flag, round(list_avg(d) * 1.5, 5) AS rep_boost, round(CASE WHEN list_avg(d) > 0 THEN list_stddev_pop(d) / list_avg(d) ELSE 0 END, 6) AS rep_clustering, round(pow(0.85, 6), 9) AS rep_decay, round(list_max(dn) * 1000, 6) AS rep_peak FROM p""",
+        p AS (SELECT *, list_transform(gr, lambda z: list_sum(list_transform(v, lambda x: exp(-0.5 * pow((z - x) / 20000, 2)))) / (12 * 20000 * sqrt(2 * pi()))) AS dn FROM k)
+        SELECT user_id, round(list_avg(v) / 50000, 9) AS rep_flag, round(list_avg(d) * 1.5, 5) AS rep_boost, round(CASE WHEN list_avg(d) > 0 THEN list_stddev_pop(d) / list_avg(d) ELSE 0 END, 6) AS rep_clustering, round(pow(0.85, 12), 9) AS rep_decay, round(list_max(dn) * 1000, 6) AS rep_peak FROM p""",
 )
 def _(spark, sf):
-    out = g.repeat_event_scores(pivot(spark, sf), MONTHS[:6], 50000.0, 20000.0)
+    out = g.repeat_event_scores(pivot(spark, sf), MONTHS, 50000.0, 20000.0)
     out = out.select("user_id", F.round("rep_flag", 9).alias("rep_flag"), F.round("rep_boost", 5).alias("rep_boost"), F.round("rep_clustering", 6).alias("rep_clustering"), F.round("rep_decay", 9).alias("rep_decay"), F.round(F.col("rep_peak_density") * 1000, 6).alias("rep_peak"))
     return out
 
@@ -237,7 +238,7 @@ def _(spark, sf):
 @query(
     "domain_interpretation",
     "G15 J13",
-    f"""WITH {TXN}, {_PIV}, b AS (SELECT user_id, list_transform({_V6}, lambda x: least(x / 100000, 1)) AS a, list_transform([amt_07, amt_08, amt_09, amt_10, amt_11, amt_12], lambda x: least(x / 200000, 1)) AS b FROM piv)
+    f"""WITH {TXN}, {_PIV}, b AS (SELECT user_id, list_transform({_V12}, lambda x: least(x / 100000, 1)) AS a, list_transform([amt_07, amt_08, amt_09, amt_10, amt_11, amt_12], lambda x: least(x / 200000, 1)) AS b FROM piv)
         SELECT user_id, round(list_avg(a), 4) AS early_score, round(greatest(1 - list_stddev_pop(a), 0), 4) AS early_confidence, CASE WHEN list_avg(a) < 0.3 THEN 'low' WHEN list_avg(a) < 0.6 THEN 'mid' ELSE 'high' END AS early_label,
           round(list_avg(b), 4) AS late_score, round(greatest(1 - list_stddev_pop(b), 0), 4) AS late_confidence, CASE WHEN list_avg(b) < 0.5 THEN 'low' ELSE 'high' END AS late_label FROM b""",
 )
@@ -245,7 +246,7 @@ def _(spark, sf):
     p = pivot(spark, sf)
     p = p.select("user_id", *[F.least(F.col(c) / (100000 if i < 6 else 200000), F.lit(1.0)).alias(c) for i, c in enumerate(MONTHS)])
     bands = {"early": [(0.0, 0.3, "low"), (0.3, 0.6, "mid"), (0.6, 1.0, "high")], "late": [(0.0, 0.5, "low"), (0.5, 1.0, "high")]}
-    return g.interpret_domains(p, {"early": MONTHS[:6], "late": MONTHS[6:]}, bands).drop(*MONTHS)
+    return g.interpret_domains(p, {"early": MONTHS, "late": MONTHS[6:]}, bands).drop(*MONTHS)
 
 
 @query(

@@ -40,10 +40,12 @@ def _(spark, sf):
     return j.glue([table(spark, sf, "customer").select("c_custkey", "c_acctbal"), a, b.select("c_custkey", F.col("o_orderstatus").alias("last_status"))], "c_custkey")
 
 
-@query("unmatched_customers", "J3", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2001-01-01')")
+@query("unmatched_customers", "J3", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey + 40 * c_nationkey)")
 def _(spark, sf):
-    m = table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP_NTZ '2001-01-01'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey", "c_name").join(m, "c_custkey", "left_anti")
+    """All orders count; a customer's key is moved by its nation, so that many keys have no order."""
+    m = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
+    c = table(spark, sf, "customer").withColumn("key", F.col("c_custkey") + 40 * F.col("c_nationkey"))
+    return c.join(m, "key", "left_anti").select("c_custkey", "c_name")
 
 
 @query(
@@ -164,7 +166,7 @@ def _pool_sql(cols):
 @query(
     "donor_matching",
     "J12 W11",
-    f"""WITH pool AS (SELECT s_suppkey, s_nationkey % 6 AS age, (s_acctbal > 5000)::INTEGER AS inc, (s_suppkey % 3)::INTEGER AS act FROM supplier WHERE s_nationkey % 6 < 5),
+    f"""WITH pool AS (SELECT s_suppkey, s_nationkey % 5 AS age, (s_acctbal > 5000)::INTEGER AS inc, (s_suppkey % 3)::INTEGER AS act FROM supplier),
        t AS (SELECT c_custkey, c_nationkey % 6 AS age, (c_acctbal > 5000)::INTEGER AS inc, (c_custkey % 4)::INTEGER AS act, ('0x' || substr(md5(c_custkey || ':42'), 1, 8))::BIGINT AS h FROM customer),
        p1 AS ({_pool_sql(['age', 'inc', 'act'])}), p2 AS ({_pool_sql(['age', 'inc'])}), p3 AS ({_pool_sql(['age'])}), p4 AS ({_pool_sql([])}),
        m1 AS (SELECT c_custkey, s_suppkey, 1 AS match_level FROM t JOIN p1 ON t.age = p1.age AND t.inc = p1.inc AND t.act = p1.act AND h % n = idx),
@@ -174,7 +176,7 @@ def _pool_sql(cols):
        SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3 UNION ALL SELECT * FROM m4""",
 )
 def _(spark, sf):
-    pool = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 6).alias("age"), (F.col("s_acctbal") > 5000).cast("int").alias("inc"), (F.col("s_suppkey") % 3).cast("int").alias("act")).where("age < 5")
+    pool = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("age"), (F.col("s_acctbal") > 5000).cast("int").alias("inc"), (F.col("s_suppkey") % 3).cast("int").alias("act"))
     t = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 6).alias("age"), (F.col("c_acctbal") > 5000).cast("int").alias("inc"), (F.col("c_custkey") % 4).cast("int").alias("act"))
     return j.match_donors(t, pool, "c_custkey", "s_suppkey", [["age", "inc", "act"], ["age", "inc"], ["age"], []])
 

@@ -346,7 +346,7 @@ def _(spark, sf):
     return told.select("queries", "links", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
-_OFFERS = """o AS (SELECT DISTINCT o_custkey AS customer_id, l_partkey % (SELECT count(*) FROM embeddings) AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sc AS (SELECT customer_id, item_id, {u} AS score, embedding::DOUBLE[] AS v FROM o JOIN embeddings ON vec_id = item_id)"""
+_OFFERS = """o AS (SELECT DISTINCT o_custkey AS customer_id, l_partkey % (SELECT count(*) FROM embeddings) AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sc AS (SELECT customer_id, item_id, {u} AS score, v FROM o JOIN (SELECT vec_id, list_transform(e, lambda x: x / z) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS z FROM embeddings)) ON vec_id = item_id)"""
 
 
 def offers(spark, sf):
@@ -358,7 +358,8 @@ def offers(spark, sf):
 
 
 def _cos(x, y):
-    return f"list_dot_product({x}, {y}) / sqrt(list_dot_product({x}, {x}) * list_dot_product({y}, {y}))"
+    """Cosine of two vectors of unit length."""
+    return f"list_dot_product({x}, {y})"
 
 
 _MMR_BASE = f"""{_OFFERS.format(u=unit("customer_id || ':' || item_id"))}, n AS (SELECT *, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS rel FROM sc WINDOW w AS (PARTITION BY customer_id)),
