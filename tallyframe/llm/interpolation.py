@@ -9,13 +9,14 @@ the likelihood of the held-out tokens. Scores use the estimates of all training
 How it runs. Texts are read in blocks of about `BLOCK` bytes. A block asks for the counts of its
 distinct n-grams: one sorted array of hashes, with the block's own counts, per bucket of the hash range. The
 task of a bucket adds the counts of all blocks and answers every block in the order of its question, and the
-block then holds all counts its tokens need. So an n-gram travels once per block that holds it,
+block then holds all counts its tokens need. The tokens themselves are not kept meanwhile but read again;
+a stamp on questions and blocks fails the job if a block should come back with other rows. So an n-gram travels once per block that holds it,
 however often it occurs there, hot words put no more on a task than there are blocks, and count
 tables grow with the corpus without ever being in one place. The buckets are as many as the session's
 shuffle partitions.
 
-Tokens are compared by 64-bit hashes, longer n-grams by 56 bits; of N distinct ones a share of about
-N / 2**56 is mistaken for another. Tokens: words and one end after each text. EM runs on counts of held-out
+Tokens are compared by 64-bit hashes, longer n-grams by 52 bits; of N distinct ones a share of about
+N / 2**52 is mistaken for another. Tokens: words and one end after each text. EM runs on counts of held-out
 tokens by context bucket and by estimates rounded to quarter powers of two. Ties do not occur: nothing is ranked.
 
 Defined results: a NULL or empty text is the end token alone; repeated rows count as often as they
@@ -40,12 +41,17 @@ from tallyframe.plans.session import written
 
 BLOCK = 4 << 20
 END, START = U64(0x5EED0E4D), U64(0x5EED57A7)
-#: The bits of an n-gram's hash that count from two tokens on: 56, so that keys are sent in a byte less.
-KEPT_BITS = U64(0xFFFFFFFFFFFFFF00)
+#: The bits of an n-gram's hash that count from two tokens on: 52, so that keys are sent in fewer bytes.
+KEPT_BITS = U64(0xFFFFFFFFFFFFF000)
 QUARTERS = 4
 LOWEST = 40
 
 
+#: Packed arrays; columns of what travels.
+PACKS = pa.list_(pa.binary())
+NAMES = ["block", "dev", "bucket", "data", "stamp"]
+
+
 class Weights(NamedTuple):
     """Mixture weights per context bucket: one row of (uniform, order 1, order 2, ...)."""
 
@@ -83,34 +89,52 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.R
             number += 1
 
 
+def _gaps(sorted_keys: np.ndarray, level: int) -> tuple[bytes, bytes]:
+    """Gaps of sorted keys without the bits that do not count, lower and upper halves packed apart."""
+    gaps = np.diff(sorted_keys >> U64(12 if level else 0), prepend=U64(0))
+    return pack((gaps & U64(0xFFFFFFFF)).astype(np.uint32)), pack((gaps >> U64(32)).astype(np.uint32))
+
+
+def _keys(low: bytes, high: bytes, level: int) -> np.ndarray:
+    gaps = unpack(low)[0].astype(U64) | unpack(high)[0].astype(U64) << U64(32)
+    return np.cumsum(gaps, dtype=U64) << U64(12 if level else 0)
+
+
+def _stamp(tokens: np.ndarray) -> int:
+    """A sum of a block's tokens, by which a block read twice is known to be the same."""
+    return int(mix(tokens + np.arange(tokens.size, dtype=U64)).sum(dtype=U64).astype(np.int64))
+
+
 def _questions(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, dev, b in _blocks(batches):
             tokens, off = _read(b)
             train = np.repeat(b["part"].to_numpy() != 0, np.diff(off)).astype(np.float64)
-            parts: list[list[np.ndarray]] = [[] for _ in range(buckets)]
-            for keys in _levels(tokens, off, order):
+            parts: list[list[bytes]] = [[] for _ in range(buckets)]
+            for k, keys in enumerate(_levels(tokens, off, order)):
                 u, inv = np.unique(keys, return_inverse=True)
                 c = np.bincount(inv, train).astype(np.uint32)
                 cut = np.searchsorted((u >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
                 for i in range(buckets):
                     s = slice(cut[i], cut[i + 1])
-                    parts[i] += [np.diff(u[s], prepend=U64(0)), c[s]]
-            blocks = [pack(*p) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([number] * buckets), pa.array([dev] * buckets), pa.array(range(buckets), pa.int32()), pa.array(blocks, pa.binary())], ["block", "dev", "bucket", "data"])
+                    parts[i] += [*_gaps(u[s], k), pack(c[s])]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * buckets), pa.array([dev] * buckets), pa.array(range(buckets), pa.int32()), pa.array(parts, PACKS), pa.array([_stamp(tokens)] * buckets)], NAMES)
 
     return run
 
 
 def _answers(order: int):
-    def finish(bucket: int, asked: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(a[2]) for a in asked]
-        replies: list[list[np.ndarray]] = [[] for _ in asked]
+    def finish(bucket: int, asked: list[tuple[int, bool, list, int]]) -> Iterator[pa.RecordBatch]:
+        replies: list[list[bytes]] = [[] for _ in asked]
         sums = []
         for k in range(order):
-            sizes = np.array([p[2 * k].size for p in parts])
-            key = np.concatenate([np.cumsum(p[2 * k], dtype=U64) for p in parts])
-            own = np.concatenate([p[2 * k + 1] for p in parts]).astype(np.float64)
+            keys = [_keys(*a[2][3 * k : 3 * k + 2], k) for a in asked]
+            own = np.concatenate([unpack(a[2][3 * k + 2])[0] for a in asked]).astype(np.float64)
+            for a in asked:
+                a[2][3 * k : 3 * k + 3] = [None] * 3
+            sizes = np.array([x.size for x in keys])
+            key = np.concatenate(keys)
+            del keys
             held = own * np.repeat(np.array([a[1] for a in asked], float), sizes)
             u, inv = np.unique(key, return_inverse=True)
             every = np.bincount(inv, own, u.size).astype(np.int64)
@@ -119,24 +143,24 @@ def _answers(order: int):
                 sums = [int(every.sum()), int((every > 0).sum()), int(dev.sum()), int((every > dev).sum())]
             cuts = np.cumsum(sizes)[:-1]
             small = np.uint32 if every.max(initial=0) < 1 << 32 else np.uint64
-            for r, a, d, (_, held_out, _) in zip(replies, np.split(every.astype(small)[inv], cuts), np.split(dev.astype(small)[inv], cuts), asked):
-                r += [a, d] if held_out else [a]
+            for r, a, d, (_, held_out, _, _) in zip(replies, np.split(every.astype(small)[inv], cuts), np.split(dev.astype(small)[inv], cuts), asked):
+                r.append(pack(*([a, d] if held_out else [a])))
             del key, own, held, u, inv, every, dev
         n = len(asked)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*(a[0] for a in asked), None], pa.int64()), pa.array([*(a[1] for a in asked), None], pa.bool_()), pa.array([bucket] * (n + 1), pa.int32()), pa.array([*(pack(*r) for r in replies), None], pa.binary()), pa.array([*[None] * n, sums], pa.list_(pa.int64()))],
-            ["block", "dev", "bucket", "data", "sums"],
+            [pa.array([*(a[0] for a in asked), None], pa.int64()), pa.array([*(a[1] for a in asked), None], pa.bool_()), pa.array([bucket] * (n + 1), pa.int32()), pa.array([*replies, None], PACKS), pa.array([*(a[3] for a in asked), None], pa.int64()), pa.array([*[None] * n, sums], pa.list_(pa.int64()))],
+            [*NAMES, "sums"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, asked = None, []
         for b in batches:
-            for number, dev, bucket, data in zip(*(b[c].to_pylist() for c in ("block", "dev", "bucket", "data"))):
+            for number, dev, bucket, data, stamp in zip(*(b[c].to_pylist() for c in NAMES)):
                 if bucket != now and asked:
                     yield from finish(now, asked)
                     asked = []
                 now = bucket
-                asked.append((number, dev, data))
+                asked.append((number, dev, data, stamp))
         if asked:
             yield from finish(now, asked)
 
@@ -150,7 +174,7 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, inv = np.unique(tokens, return_inverse=True)
         ids = b["key"].fill_null(0).to_numpy()
         data = pack(np.diff(u, prepend=U64(0)), inv.astype(np.uint32), off, ids, b["key"].is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), b["part"].to_numpy().astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([dev]), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["block", "dev", "bucket", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([dev]), pa.array([-1], pa.int32()), pa.array([[data]], PACKS), pa.array([_stamp(tokens)])], NAMES)
 
 
 def _joined(order: int, use, held_out: bool):
@@ -159,32 +183,33 @@ def _joined(order: int, use, held_out: bool):
     Blocks of held-out texts are told the held-out counts besides; with `held_out`, these are taken off.
     """
 
-    def finish(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
-        state, replies = unpack(rows[0]), [unpack(r) for r in rows[1:]]
-        rows.clear()
+    def finish(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        state = unpack(rows[0][0])
         u, inv, off = np.cumsum(state[0], dtype=U64), state[1], state[2]
-        width = len(replies[0]) // order
         counts, levels = [], _levels(u[inv], off, order)
         for k in range(order):
             at = inv if k == 0 else np.unique(levels[k], return_inverse=True)[1]
+            replies = [unpack(r[k]) for r in rows[1:]]
+            for r in rows[1:]:
+                r[k] = None
             levels[k] = None
-            told = np.concatenate([r[width * k] for r in replies])
+            told = np.concatenate([r[0] for r in replies])
             if held_out:
-                told = told - np.concatenate([r[width * k + 1] for r in replies])
-            for r in replies:
-                r[width * k : width * (k + 1)] = [None] * width
+                told = told - np.concatenate([r[1] for r in replies])
             counts.append(told[at])
-        del replies, levels
+        rows.clear()
         yield from use(state, off, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, stamp, rows = None, None, []
         for b in batches:
-            for number, data in zip(b["block"].to_pylist(), b["data"].to_pylist()):
+            for number, data, mark in zip(*(b[c].to_pylist() for c in ("block", "data", "stamp"))):
                 if number != now and rows:
                     yield from finish(rows)
                     rows = []
-                now = number
+                if number == now and mark != stamp:
+                    raise RuntimeError("a block was read with other rows than before; write the input to a table first")
+                now, stamp = number, mark
                 rows.append(data)
         if rows:
             yield from finish(rows)
@@ -285,13 +310,13 @@ def score(docs: DataFrame, part: Column, key: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), part.cast("int").alias("part"))
-    form = "block long, dev boolean, bucket int, data binary"
-    states = written(rows.mapInArrow(_states, form))
+    form = "block long, dev boolean, bucket int, data array<binary>, stamp long"
+    states = rows.mapInArrow(_states, form)
     asked = rows.mapInArrow(_questions(order, buckets), form).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     told = written(asked.mapInArrow(_answers(order), f"{form}, sums array<long>"))
     sums = told.where("block is null").agg(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4)]).first()
     total, kinds, dev_total, rest_kinds = (int(x) for x in sums)
-    both = states.unionByName(told.where("block is not null").select("block", "dev", "bucket", "data"))
+    both = states.unionByName(told.where("block is not null").select(*NAMES))
 
     def by_block(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "block").sortWithinPartitions("block", "bucket")
