@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
 from tallyframe.llm.components import components, joined
-from tallyframe.llm.text import STEP, U64, flat, grams, mix, owners, pack, ranges, slices, unpack, words
+from tallyframe.llm.text import STEP, U64, flat, grams, mix, owners, pack, ranges, release, slices, unpack, words
 from tallyframe.plans.session import written
 
 CROWD = 8
@@ -186,6 +186,7 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by bucket: report pairs of classes and the members of crowded cells."""
 
     def finish(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        release()
         parts = [unpack(x) for x in blocks]
         sig = np.concatenate([np.cumsum(p[0], dtype=U64) for p in parts])
         key = np.concatenate([p[2][p[1]] for p in parts])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.text import STEP, U64, flat, gathered, mix, ranges, slices
+from tallyframe.llm.text import STEP, U64, flat, gathered, mix, ranges, release, slices
 
 BLANK, SPELLED = 0x2581, 0x110000
 #: A second odd multiplier, for counters.
@@ -357,7 +357,8 @@ HEAD = "key long, sample int, n_pieces int, log_prob double, perturbed double, l
 
 def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: bool = False, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in gathered(batches, 3 * block):
+        for big in gathered(batches, block):
+            release()
             points, at, _ = chunks(*flat(big["text"]))
             held = np.zeros(at.size - 1, U64)
             if held.size:

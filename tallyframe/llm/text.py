@@ -6,6 +6,7 @@ bytes outside space and 0x09-0x0D, A-Z lower-cased; words never cross texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,14 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give back what earlier blocks have freed; Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others return memory by themselves
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold at most `limit` bytes; a longer text stands alone."""
     for b in batches:
