@@ -191,7 +191,7 @@ def _(spark, sf):
     return unfolded(s.even_offsets(history(spark, sf), "amounts").select("user_id", "day_offset"), "day_offset")
 
 
-@query("perturbed_donor_histories", "Q11")
+@query("perturbed_donor_histories", "")
 def _(spark, sf):
     h = history(spark, sf).withColumn("target", (md5_int(F.col("user_id")) % 60 + 5).cast("int"))
     return s.perturb_sequences(h, "user_id", "amounts", "codes", "days", "target").select("user_id", "target", F.size("amounts").alias("n"), "amounts", "codes", "days")
