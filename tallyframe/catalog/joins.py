@@ -204,6 +204,26 @@ def _(spark, sf):
     return j.trace_lineage(f, PREFIXES).drop("source_column", "data_group")
 
 
+_NAMES = "n AS (SELECT p_partkey, p_brand || '_' || p_name || '_' || p_partkey AS feature, p_brand AS source_table FROM part), m AS (SELECT left(feature, 3 + p_partkey % 12) AS prefix, p_partkey AS ord, source_table FROM n WHERE source_table <> 'Brand#11')"
+
+
+@query(
+    "lineage_prefix_table",
+    "J14",
+    f"""WITH {_NAMES}, h AS (SELECT n.p_partkey, min_by(prefix, ord) AS first_prefix, arg_max(prefix, length(prefix)) AS longest_prefix, min_by(m.source_table, ord) AS source_table FROM n JOIN m ON starts_with(n.feature, m.prefix) GROUP BY 1)
+        SELECT p_partkey, first_prefix, h.source_table, longest_prefix, CASE WHEN first_prefix IS NULL THEN 'unmapped' ELSE 'mapped' END AS status FROM n LEFT JOIN h USING (p_partkey)""",
+)
+def _(spark, sf):
+    """A map of prefixes as a table: the first in map order, and the longest."""
+    part = table(spark, sf, "part")
+    n = part.select("p_partkey", F.concat_ws("_", "p_brand", "p_name", F.col("p_partkey").cast("string")).alias("feature"), F.col("p_brand").alias("source_table"))
+    cut = F.expr("left(feature, CAST(3 + p_partkey % 12 AS INT))").alias("prefix")
+    m = n.where("source_table <> 'Brand#11'").select(cut, F.col("p_partkey").alias("ord"), "source_table")
+    first = j.trace_prefixes(n.drop("source_table"), m, ["source_table"]).withColumnRenamed("matched_prefix", "first_prefix")
+    out = j.trace_prefixes(first.withColumnRenamed("status", "s"), m, [], order=None)
+    return out.select("p_partkey", "first_prefix", "source_table", F.col("matched_prefix").alias("longest_prefix"), F.col("s").alias("status"))
+
+
 @query("lineage_coverage", "J14", f"WITH {_LINEAGE} SELECT count(*) AS total, count(matched_prefix) AS mapped, round(count(matched_prefix) / count(*), 4) AS coverage FROM traced")
 def _(spark, sf):
     return j.lineage_coverage(j.trace_lineage(table(spark, sf, "part").select(F.col("p_name").alias("feature")), PREFIXES))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog.aggs import rounded
 from tallyframe.catalog.registry import query, table, unit
+from tallyframe.operators import glossary
 from tallyframe.operators import privacy as x
 from tallyframe.plans.session import shared_dir
 from tallyframe.sources.ingest import Domain, ingest_all
@@ -164,6 +165,37 @@ def _(spark, sf):
     return rounded(x.quality_score(out, "f", "grounding", "c", "r"), "quality").select("doc_id", "grounding", "quality")
 
 
+_TERMS = "g AS (SELECT lower(w) AS term, min('f' || (item_id % 40)) AS feature FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 5 AND 9 GROUP BY 1)"
+_HITS = f"""{_TERMS}, k AS (SELECT DISTINCT length(term) AS l FROM g), p AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z]') AS runs FROM documents),
+  r AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos FROM p), o AS (SELECT doc_id, run, (sum(length(run) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(run) - 1)::BIGINT AS off FROM r),
+  s AS (SELECT doc_id, run, off, unnest(range(1, length(run) - 3)) AS i FROM o WHERE length(run) >= 5), c AS (SELECT doc_id, off + i - 1 AS start, off + i - 1 + l AS "end", substr(run, i, l) AS term FROM s CROSS JOIN k WHERE i + l - 1 <= length(run)),
+  h AS (SELECT c.*, feature FROM c JOIN g USING (term))"""
+
+
+@query("glossary_positions", "X8", f'WITH {_HITS} SELECT doc_id, term, count(*) AS n, min(start) AS first_start, max("end") AS last_end FROM h GROUP BY ALL')
+def _(spark, sf):
+    """Every occurrence of every benchmark word of five to nine letters in every document."""
+    hits = glossary.glossary_hits(table(spark, sf, "documents"), "doc_id", "text", _terms(spark, sf), "term")
+    return hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
+@query(
+    "glossary_grounding",
+    "X8",
+    f"""WITH {_HITS}, w AS (SELECT doc_id, 'f' || unnest([doc_id % 40, doc_id % 7, 41]) AS feature FROM documents), u AS (SELECT DISTINCT * FROM w)
+        SELECT u.doc_id, count(*) AS n_features, count(x.feature) AS n_grounded, round(count(x.feature) / count(*), 6) AS grounding FROM u LEFT JOIN (SELECT DISTINCT doc_id, feature FROM h) x ON x.doc_id = u.doc_id AND x.feature = u.feature GROUP BY 1""",
+)
+def _(spark, sf):
+    f = lambda e: F.concat(F.lit("f"), e.cast("string"))
+    d = table(spark, sf, "documents").withColumn("feats", F.array(f(F.col("doc_id") % 40), f(F.col("doc_id") % 7), F.lit("f41")))
+    return rounded(glossary.glossary_grounding(d, "doc_id", "text", "feats", _terms(spark, sf), "term", "feature"), "grounding")
+
+
+def _terms(spark, sf):
+    words = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) BETWEEN 5 AND 9")
+    return words.groupBy(F.lower("w").alias("term")).agg(F.min(F.concat(F.lit("f"), (F.col("item_id") % 40).cast("string"))).alias("feature"))
+
+
 @query(
     "stratified_reason_sample",
     "X9",

@@ -71,6 +71,24 @@ def _(spark, sf):
     return rounded(sp.leakage_corr(b, _LF, _LY), "corr")
 
 
+_GAPS = "WITH b AS (SELECT CASE WHEN l_linenumber <> 2 THEN l_quantity END AS f1, CASE WHEN l_returnflag <> 'A' THEN l_extendedprice + 1e6 END AS f2, l_discount AS f3, 7.0::DOUBLE AS f4, CASE WHEN l_linestatus = 'O' THEN l_extendedprice END AS y1, CASE WHEN l_linenumber > 1 THEN l_quantity * l_discount END AS y2 FROM lineitem) "
+
+
+@query(
+    "leakage_correlation_gaps",
+    "T5",
+    _GAPS + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{y}' AS label, {'NULL::DOUBLE' if f == 'f4' else f'round(corr({f}, {y}), 6)'} AS corr, count(*) FILTER ({f} IS NOT NULL AND {y} IS NOT NULL) AS n, {0 if f == 'f4' else f'CASE WHEN abs(corr({f}, {y})) >= 0.95 THEN 1 ELSE 0 END'} AS leak FROM b" for y in ("y1", "y2") for f in ("f1", "f2", "f3", "f4")),
+)
+def _(spark, sf):
+    """Columns with gaps of their own, a shifted copy of a label and a constant."""
+    q, price, disc, line = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber"))
+    cols = {
+        "f1": F.when(line != 2, q), "f2": F.when(F.col("l_returnflag") != "A", price + 1e6), "f3": disc, "f4": F.lit(7.0),
+        "y1": F.when(F.col("l_linestatus") == "O", price), "y2": F.when(line > 1, q * disc),
+    }
+    return rounded(sp.leakage_corr(table(spark, sf, "lineitem").withColumns(cols), ["f1", "f2", "f3", "f4"], ["y1", "y2"]), "corr")
+
+
 @query("leakage_sequence_length", "T6", f"WITH {HIST} SELECT 'codes' AS \"column\", max(len(codes))::INTEGER AS max_len, CASE WHEN max(len(codes)) > 16 THEN 1 ELSE 0 END AS leak FROM h")
 def _(spark, sf):
     return sp.leakage_seq_len(history(spark, sf), ["codes"])

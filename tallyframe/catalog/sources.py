@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyframe.catalog.registry import query, table
-from tallyframe.plans.session import shared_dir
+from tallyframe.plans.session import shared_dir, written
 from tallyframe.sources import tables as t
 from tallyframe.sources import versions as v
 
@@ -168,6 +168,27 @@ def _(spark, sf):
     return v.diff_versions(a, b)
 
 
+@query(
+    "version_states",
+    "S10 S11",
+    f"""WITH a AS ({_stats_sql('customer', _CUST, _NUM, 'c_nationkey < 12')}), b AS ({_stats_sql('customer', _CUST, _NUM)})
+    SELECT "column", b.row_count, b.mean, b.std, b.null_pct, 0 AS read_again, b.row_count - a.row_count AS row_count_delta, round(b.mean - a.mean, 6) AS mean_delta FROM a JOIN b USING ("column")""",
+)
+def _(spark, sf):
+    """States of the first version are kept; the second version, with more partitions, is read in these alone."""
+    home = _fresh(spark, "versions")
+    c = table(spark, sf, "customer").withColumn("region", F.floor(F.col("c_nationkey") / 4).cast("int"))
+    c.where("c_nationkey < 12").write.partitionBy("region").parquet(home)
+    first = written(v.refresh_states(spark.read.parquet(home), "region", _CUST))
+    c.where("c_nationkey >= 12").write.partitionBy("region").mode("append").parquet(home)
+    data = spark.read.parquet(home)
+    second = written(v.refresh_states(data, "region", _CUST, first))
+    again = second.join(first.select("region", "column", F.col("files").alias("before")), ["region", "column"]).where("files <> before").groupBy("column").agg(F.count(F.lit(1)).alias("read_again"))
+    a, b = (v.profile_states(s, data, n) for s, n in ((first, "v1"), (second, "v2")))
+    out = b.join(again, "column", "left").join(v.diff_versions(a, b).select("column", "row_count_delta", "mean_delta"), "column")
+    return out.select("column", "row_count", "mean", "std", "null_pct", F.coalesce("read_again", F.lit(0)).cast("int").alias("read_again"), "row_count_delta", "mean_delta")
+
+
 @query(
     "attach_embeddings",
     "S13",

@@ -180,6 +180,27 @@ def trace_lineage(features: DataFrame, prefixes: Sequence[tuple[str, str, str, s
     return out.select(*features.columns, "_hit.*", status.alias("status"))
 
 
+def trace_prefixes(features: DataFrame, prefixes: DataFrame, values: Sequence[str], col: str = "feature", prefix: str = "prefix", order: str | None = "ord") -> DataFrame:
+    """`trace_lineage` for a map of any size, held as a table: `matched_prefix`, the map's `values`, `status`.
+
+    Each distinct name is cut once per length that occurs among the prefixes (the lengths come to the driver, one
+    number each) and the cuts meet the map in one equi-join; of several hits the lowest `order` wins, or the longest
+    prefix where `order` is None, and equal ones by their values. NULL names and prefixes match nothing; an empty prefix
+    matches every name.
+    """
+    m = prefixes.where(F.col(prefix).isNotNull()).withColumn("_len", F.length(prefix))
+    lengths = sorted(r[0] for r in m.select("_len").distinct().collect())
+    rank = F.col(order) if order else -F.col("_len")
+    m = m.select(F.col(prefix).alias("_cut"), F.struct(rank.alias("rank"), F.col(prefix).alias("matched_prefix"), *values).alias("_hit"))
+    m = m.groupBy("_cut").agg(F.min("_hit").alias("_hit"))
+    size = F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))
+    names = features.select(F.col(col).alias("_name")).where("_name IS NOT NULL").distinct().withColumn("_len", size).where(F.length("_name") >= F.col("_len"))
+    best = names.select("_name", F.expr("left(_name, _len)").alias("_cut")).join(m, "_cut").groupBy("_name").agg(F.min("_hit").alias("_hit"))
+    out = features.join(best, F.col(col) == F.col("_name"), "left")
+    status = F.when(F.col("_hit").isNull(), "unmapped").otherwise("mapped")
+    return out.select(*[features[c] for c in features.columns], *[F.col(f"_hit.{c}").alias(c) for c in ["matched_prefix", *values]], status.alias("status"))
+
+
 def lineage_coverage(traced: DataFrame) -> DataFrame:
     mapped = F.sum((F.col("status") == "mapped").cast("long"))
     return traced.agg(F.count(F.lit(1)).alias("total"), mapped.alias("mapped"), F.round(mapped / F.count(F.lit(1)), 4).alias("coverage"))

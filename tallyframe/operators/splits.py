@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import timedelta
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.lists import last_element
-from tallyframe.functions.profile import BATCH, per_column
+from tallyframe.functions.profile import per_column
 from tallyframe.functions.stats import md5_unit
 from tallyframe.plans.quantiles import exact_quantiles
 
@@ -55,23 +56,91 @@ def task_val_mask(df: DataFrame, strategies: dict[str, str], key: str, date: str
     return df.withColumns({f"val_{t}": (u < frac) if s == "random" else (day >= cut) for t, s in strategies.items()})
 
 
+#: Groups that the tasks' moments are merged in before the last merge.
+MERGE_SLOTS = 64
+#: Joint rows, both means, both sums of squared deviations, that of products, and joint rows that are not finite.
+MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy", "bad")
+
+
+def _joint_moments(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Moments of every (label, feature) pair over the rows where both are given; x and y are (values, given, not finite).
+
+    Columns are centred on their own mean first, so that the products lose no digits.
+    """
+    parts = []
+    for values, given, bad in (x, y):
+        ok = given & ~bad
+        mean = np.where(ok, values, 0.0).sum(0) / np.maximum(ok.sum(0), 1)
+        parts.append((np.where(ok, values - mean, 0.0), ok.astype(float), given.astype(float), (given & bad).astype(float), mean))
+    (xc, xm, xg, xb, x0), (yc, ym, yg, yb, y0) = parts
+    n = ym.T @ xm
+    safe = np.maximum(n, 1.0)
+    sx, sy = ym.T @ xc, yc.T @ xm
+    cxx, cyy = ym.T @ (xc * xc) - sx * sx / safe, (yc * yc).T @ xm - sy * sy / safe
+    return [n, x0 + sx / safe, y0[:, None] + sy / safe, cxx, cyy, yc.T @ xc - sx * sy / safe, yg.T @ xb + yb.T @ (xg - xb)]
+
+
+def _merge_moments(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[np.ndarray]:
+    n = a[0] + b[0]
+    safe = np.maximum(n, 1.0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    w = a[0] * b[0] / safe
+    share = b[0] / safe
+    return [n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w, a[6] + b[6]]
+
+
 def leakage_corr(df: DataFrame, feats: Sequence[str], labels: Sequence[str], threshold: float = 0.95, min_rows: int = 10) -> DataFrame:
-    """(feature, label, corr, n, leak) for every pair, in one scan per batch of pairs.
+    """(feature, label, corr, n, leak) for every pair over the rows where both are given, all pairs in one scan.
 
-    A feature name that is also a label name is left to `column_overlap`.
+    A task multiplies blocks of value and mask matrices and keeps the moments of all pairs (seven numbers each); they are
+    merged in MERGE_SLOTS groups and once more. The correlation is NULL where it is not defined: no joint rows, no
+    spread, or a value that is not finite. A feature name that is also a label name is left to `column_overlap`.
     """
-    pairs = [(f, y) for y in labels for f in feats if f != y]
-    out = []
-    for at in range(0, len(pairs), BATCH // 2):
-        part = pairs[at : at + BATCH // 2]
-        wide = df.agg(
-            *[F.corr(F.col(f).cast("double"), F.col(y).cast("double")).alias(f"c{i}") for i, (f, y) in enumerate(part)],
-            *[F.sum((F.col(f).isNotNull() & F.col(y).isNotNull()).cast("long")).alias(f"n{i}") for i, (f, y) in enumerate(part)],
-        )
-        rows = [F.struct(F.lit(f).alias("feature"), F.lit(y).alias("label"), F.col(f"c{i}").alias("corr"), F.col(f"n{i}").alias("n")) for i, (f, y) in enumerate(part)]
-        out.append(wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+    feats, labels = list(feats), list(labels)
+    cols = list(dict.fromkeys([*feats, *labels]))
+    xi, yi = [cols.index(c) for c in feats], [cols.index(c) for c in labels]
+    state = "label int, slot int, " + ", ".join(f"{m} array<double>" for m in MOMENTS)
+    arrow = pa.schema([("label", pa.int32()), ("slot", pa.int32()), *[(m, pa.list_(pa.float64())) for m in MOMENTS]])
+
+    def rows(total: Sequence[np.ndarray], slot: int) -> dict[str, list]:
+        at = {"label": list(range(len(labels))), "slot": [slot] * len(labels)}
+        return at | {m: [v.tolist() for v in total[i]] for i, m in enumerate(MOMENTS)}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            given = np.column_stack([np.asarray(c.is_valid()) for c in b.columns])
+            values = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in b.columns])
+            bad = ~np.isfinite(values)
+            part = _joint_moments(*[(values[:, i], given[:, i], bad[:, i]) for i in (xi, yi)])
+            total = part if total is None else _merge_moments(total, part)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict(rows(total, TaskContext.get().partitionId() % MERGE_SLOTS), schema=arrow)
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for b in table.to_batches(max_chunksize=64):
+            for r in zip(*[b.column(m).to_pylist() for m in MOMENTS]):
+                part = [np.asarray(v) for v in r]
+                total = part if total is None else _merge_moments(total, part)
+        keep = {"label": [table["label"][0].as_py()], "slot": [table["slot"][0].as_py()]}
+        return pa.Table.from_pydict(keep | {m: [v.tolist()] for m, v in zip(MOMENTS, total)}, schema=arrow)
+
+    part = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(measure, state)
+    one = part.groupBy("label", "slot").applyInArrow(merge, state).groupBy("label").applyInArrow(merge, state)
+    pairs = one.select("label", F.posexplode(F.arrays_zip(*MOMENTS)).alias("feature", "m")).select("label", "feature", "m.*")
+    asked = [(y, x) for y, a in enumerate(labels) for x, b in enumerate(feats) if a != b]
+    all_pairs = df.sparkSession.createDataFrame([(y, x, labels[y], feats[x]) for y, x in asked], "_y int, _x int, label string, feature string")
+    spread = F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy"))
+    corr = F.when((F.col("bad") == 0) & (F.col("n") > 1) & (F.col("cxx") > 0) & (F.col("cyy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cxy") / spread)))
+    found = pairs.select(F.col("label").alias("_y"), F.col("feature").alias("_x"), corr.alias("corr"), (F.col("n") + F.col("bad")).cast("long").alias("n"))
+    out = all_pairs.join(found, ["_y", "_x"], "left").select("feature", "label", "corr", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     leak = F.coalesce((F.abs("corr") >= threshold) & (F.col("n") >= min_rows), F.lit(False)).cast("int")
-    return reduce(DataFrame.unionByName, out).withColumn("leak", leak)
+    return out.withColumn("leak", leak)
 
 
 def leakage_seq_len(df: DataFrame, cols: Sequence[str], limit: int = 16) -> DataFrame:
