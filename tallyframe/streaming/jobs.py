@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Seconds after which an unfinished drain is given up.
 DRAIN_SECONDS = 600
@@ -56,38 +57,85 @@ def run_available(query, seconds: int = DRAIN_SECONDS) -> None:
 
 
 BREACH = "request_id long, request_type string, deadline timestamp, processed_at timestamp"
-_STATE = "request_type string, deadline timestamp, processed_at timestamp"
+_OPEN = "request_type string, deadline long, done long"
+#: Transforming with state needs a store that holds more than one value and timers for a key.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def sla_breaches_stream(events: DataFrame, delay: str) -> DataFrame:
+def _later(known: int | None, values: np.ndarray) -> int | None:
+    """The largest of a known time and others, NaN counting as none."""
+    values = values[~np.isnan(values)]
+    new = int(values.max()) if values.size else None
+    return new if known is None else known if new is None else max(known, new)
+
+
+class SlaSweep(StatefulProcessor):
+    """State of one request: its type, deadline and processing time (microseconds), and one timer.
+
+    Batches are folded by their largest values, so the order of arrival does not matter. The timer of
+    a submitted request is its deadline. A request that is processed without having been submitted
+    (or after its breach was told) is forgotten once the watermark is `retain_ms` beyond that time,
+    so the store holds open requests and a bounded stretch of others.
+    """
+
+    def __init__(self, retain_ms: int) -> None:
+        self.retain_ms = retain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("request", _OPEN)
+
+    def _timer(self, deadline: int | None, done: int | None) -> int:
+        return deadline // 1000 if deadline is not None else done // 1000 + self.retain_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.open.get()  # None for a new key; every call to the store costs a round trip
+        kind, deadline, done = known if known is not None else (None, None, None)
+        for pdf in rows:
+            kind = max([x for x in (kind, *pdf["request_type"].dropna()) if x is not None], default=None)
+            deadline = _later(deadline, pdf["deadline"].to_numpy("float64"))
+            done = _later(done, pdf["done"].to_numpy("float64"))
+        now = (kind, deadline, done)
+        over = deadline is not None and done is not None and done <= deadline
+        if known is not None and (over or self._timer(*now[1:]) != self._timer(*known[1:])):
+            self.handle.deleteTimer(self._timer(*known[1:]))
+        if over:
+            if known is not None:
+                self.open.clear()
+        elif (deadline is not None or done is not None) and (known is None or now != tuple(known)):
+            self.open.update(now)
+            if known is None or self._timer(*now[1:]) != self._timer(*known[1:]):
+                self.handle.registerTimer(self._timer(*now[1:]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.open.get()
+        if known is not None:
+            kind, deadline, done = known
+            self.open.clear()
+            if deadline is not None:
+                yield pd.DataFrame({"request_id": [key[0]], "request_type": [kind], "deadline": [deadline], "done": pd.array([done], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def sla_breaches_stream(events: DataFrame, delay: str, retain: str = "30 days") -> DataFrame:
     """One breach per request whose deadline passes while it is unprocessed.
 
     `events` has (request_id, kind, at, request_type, deadline): kind "submitted" opens a request,
-    "processed" closes it. The event-time timer of a request is its deadline, so a breach appears as
-    soon as the watermark is beyond it; processing in time clears the state.
+    "processed" closes it. A breach appears as soon as the watermark is beyond the deadline. Time to
+    live of state runs on the clock only, so events without a submission are dropped by an event-time
+    timer, `retain` after them. Sets the session's state store to the one that this needs.
     """
-    def sweep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, deadline, done = state.get if state.exists else (None, pd.NaT, pd.NaT)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], kind, deadline, done)], columns=["request_id", "request_type", "deadline", "processed_at"])
-            return
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.kind == "submitted":
-                    kind, deadline = r.request_type, r.deadline
-                else:
-                    done = r.at
-        if not pd.isna(deadline) and not pd.isna(done) and done <= deadline:
-            if state.exists:
-                state.remove()
-            return
-        state.update((kind, deadline if not pd.isna(deadline) else None, done if not pd.isna(done) else None))
-        if not pd.isna(deadline):
-            # a deadline already behind the watermark fires with the next batch
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(deadline).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("at", delay).groupBy("request_id").applyInPandasWithState(sweep, BREACH, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    sub = F.col("kind") == "submitted"
+    shaped = events.withWatermark("at", delay).select(
+        "request_id", "at", F.when(sub, F.col("request_type")).alias("request_type"), F.when(sub, F.unix_micros("deadline")).alias("deadline"), F.when(~sub, F.unix_micros("at")).alias("done")
+    )
+    sweep = SlaSweep(int(pd.Timedelta(retain).total_seconds() * 1000))
+    told = shaped.groupBy("request_id").transformWithStateInPandas(sweep, f"request_id long, {_OPEN}", "Append", "EventTime")
+    return told.select("request_id", "request_type", F.timestamp_micros("deadline").alias("deadline"), F.timestamp_micros("done").alias("processed_at"))
 
 
 def sla_breaches_batch(events: DataFrame, delay: str) -> DataFrame:

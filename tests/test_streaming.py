@@ -36,6 +36,26 @@ def test_sla_sweep_over_batches(spark, log):
     assert got.count() > 5
 
 
+def test_sla_sweep_forgets_requests_without_submission(spark, tmp_path):
+    """Requests processed only, or processed after their breach, leave the state; late closing is told with the breach."""
+    rows_in = [
+        (1, "submitted", "2024-01-01", "2024-01-03"), (2, "processed", "2024-01-01", None), (3, "submitted", "2024-01-01", "2024-01-20"),
+        (3, "submitted", "2024-01-02", "2024-02-20"), (4, None, "2024-01-02", None), (5, "submitted", "2024-01-02", None), (6, "processed", "2024-01-02", None),
+        (6, "submitted", "2024-01-01", "2024-01-05"), (9, "submitted", "2024-01-10", "2024-12-01"), (1, "processed", "2024-01-11", None), (9, "processed", "2024-03-10", None),
+    ]
+    df = spark.createDataFrame(rows_in, "request_id long, kind string, at string, deadline string")
+    df = df.select("request_id", "kind", F.to_timestamp("at").alias("at"), F.lit("t").alias("request_type"), F.to_timestamp("deadline").alias("deadline"))
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    for lo, hi in (("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-11"), ("2024-01-11", "2024-02-01"), ("2024-02-01", "2025-01-01")):
+        df.where((F.col("at") >= lo) & (F.col("at") < hi)).coalesce(1).write.mode("append").parquet(src)
+        told = jobs.sla_breaches_stream(spark.readStream.schema(df.schema).parquet(src), "1 day", "20 days")
+        jobs.run_available(told.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start(), 300)
+    got = spark.read.schema(jobs.BREACH).parquet(out)
+    assert rows(got.select("request_id", F.col("deadline").cast("string"))) == [(1, "2024-01-03 00:00:00"), (3, "2024-02-20 00:00:00")]
+    left = spark.read.format("statestore").option("path", cp).option("stateVarName", "request").load()
+    assert [r[0] for r in left.select("key.request_id").collect()] == []
+
+
 def test_metrics_restart(spark, tmp_path):
     df = spark.range(400).select((F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("ts"), F.lit("t").alias("task"), (F.col("id") % 2).cast("string").alias("version"), F.rand(1).alias("score"), F.col("id").cast("double").alias("latency"))
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
