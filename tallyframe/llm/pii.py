@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds all anchors of a text: at-signs, plus signs, digits, `://` and
-identifier cues (words such as `token`, `password` or `iban`). At every anchor a deterministic parser
+identifier cues (words such as `token`, `password` or `iban`, in any case). At every anchor a deterministic parser
 looks at the neighbouring characters only, expands to the span's borders and validates it. Spans are
 (kind, start, end) in code points, end exclusive.
 
@@ -9,8 +9,8 @@ Base kinds: email, ip (4 parts up to 255), card (14 to 19 digits, Luhn), phone (
 Added kinds: login (user and password in a URL), secret (value after a credential cue) and account
 (value after an account cue: IBAN with valid check digits, or 6 and more digits).
 
-Defined results: NULL and empty texts hold nothing; repeated rows are each answered; texts of any
-length are read whole; an empty table gives an empty result; input columns named like a result
+Defined results: NULL and empty texts hold nothing; repeated rows are each answered; spans of one start
+stand in the order of the kinds; texts of any length are read whole; an empty table gives an empty result; input columns named like a result
 column give way to it.
 """
 
@@ -56,21 +56,26 @@ def _octet(part: str) -> bool:
     return len(part) < 4 and int(part or "0") <= 255
 
 
+def lowered(text: str) -> str:
+    """Lower case, so that cues of any spelling are found; every character keeps its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def finder() -> Callable[[str], list[Span]]:
     """A function from a text to its spans (start, kind index, end), sorted."""
     anchors = ahocorasick.Automaton()
     for word in ("@", "+", "://", *"0123456789"):
         anchors.add_word(word, (word, len(word)))
     for cue in (*SECRET_CUES, *ACCOUNT_CUES):
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            anchors.add_word(form, (cue, len(form)))
+        anchors.add_word(cue, (cue, len(cue)))
     anchors.make_automaton()
     accounts = frozenset(ACCOUNT_CUES)
 
     def find(text: str) -> list[Span]:
         out: list[Span] = []
         email_end = number_end = digit_end = phone_end = 0
-        for last, (what, size) in anchors.iter(text):
+        for last, (what, size) in anchors.iter(lowered(text)):
             at = last - size + 1
             if what == "@":
                 start = at

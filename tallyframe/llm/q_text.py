@@ -24,7 +24,7 @@ def op8_pii_anchors(spark, sf):
     found = docs.select("doc_id", pii.spans().alias("s"))
     count = lambda kind: F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("s", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("s")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("s")).alias("spans"), *[count(k) for k in pii.KINDS[len(pii.BASE) :]])
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 

@@ -64,6 +64,16 @@ def test_added_kinds():
     assert {"secret", "login", "account"} <= set(kinds)
 
 
+def test_cues_of_any_spelling():
+    find = pii.finder()
+    for cue in ("Api_Key", "PassWord", "SECRET", "aPI-kEY"):
+        for lead in ("", "İ ß ", "ǅ İİ"):  # lower case of the second text is longer than the text
+            t = f"{lead}{cue}: abcdEFGH1234 end"
+            assert [(pii.KINDS[k], t[a:b]) for a, k, b in find(t)] == [("secret", "abcdEFGH1234")], t
+    t = "IBaN GB82 WEST 1234 5698 7654 32"
+    assert [pii.KINDS[k] for _, k, _ in find(t) if k > 3] == ["account"]
+
+
 def test_op8_rows(ls):
     got = QUERIES["op8_pii_anchors"](ls, SF).collect()
     source = docs(ls)
@@ -74,6 +84,8 @@ def test_op8_rows(ls):
         told = ",".join(f"{pii.BASE[k]}:{a}:{b}" for a, k, b in want)
         assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
         assert set(filter(None, told.split(","))) <= set(r["spans"].split(","))
+        kinds = [s.split(":")[0] for s in r["spans"].split(",") if s]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [kinds.count(k) for k in pii.KINDS]
 
 
 def test_pii_odd_rows(odd):
