@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from llm_fixtures import ls, odd  # noqa: F401
@@ -61,11 +62,14 @@ def test_pieces_decode_to_the_text(stages):
 
 def test_odd_rows_pass_every_stage(ls):
     rows = [(0, None, None, None, None), (1, "", "en", "s", 0), (None, "some words of plain text here", "en", None, 5), (2, "123 456", "en", "s", 7), (2, "the same text twice", None, "s", 3), (2, "the same text twice", "en", "s", 3), (3, "word " * 20000, "en", "s", 1)]
-    df = ls.createDataFrame([(*r, "extra", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _overlap string, score double")
+    df = ls.createDataFrame([(*r, "extra", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _overlap string, score double").withColumns({"_l": F.lit("l"), "_CLASS": F.lit("c"), "_doc": F.lit("d")})
     for make in (lambda: df, lambda: df.limit(0), lambda: df.withColumn("lang", df["lang"].substr(0, 0)).where("lang is null")):
         docs = make()
-        for _, f in cp.STAGES:
+        for _, f in cp.STAGES[:-1]:
             docs = cp.written(f(ls, docs, SF))
+            assert docs.columns == df.columns
+            assert {(r["_overlap"], r["_l"], r["_CLASS"], r["_doc"]) for r in docs.collect()} <= {("extra", "l", "c", "d")}
+        docs = cp.written(cp.STAGES[-1][1](ls, docs, SF))
         assert docs.columns[0] == "doc_id"
     assert {r["doc_id"] for r in cp.near_duplicates(ls, df, SF).collect()} >= {0, 1, 2, 3}
 
