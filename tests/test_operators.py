@@ -365,6 +365,17 @@ def test_dpp_against_determinants(spark):
         assert [r["i"] for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["rank"])] == [pool[i][1] for i in sel]
 
 
+@pytest.mark.parametrize("rank", [search.mmr, search.dpp])
+def test_greedy_rankings_move_vectors_once(spark, rank, capsys):
+    data = [*_pool(3, 9), (None, 1, 0.5, [1.0, 0.0, 0.0, 0.0]), ("c", 1, 0.5, None), ("c", 1, 0.5, None), ("c", 2, None, [0.0] * 4)]
+    df = spark.createDataFrame(data, "k string, i int, s double, v array<double>")
+    few = rank(df, "k", "i", "s", "v", 3)
+    few.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+    every = sorted(map(str, few.collect()))
+    assert every == sorted(map(str, rank(df, "k", "i", "s", "v", 3, candidates=2).collect())) and len(every) == 8
+
+
 def test_knn_in_blocks_with_copies(spark):
     rng = np.random.default_rng(4)
     vecs = [rng.normal(size=5) for _ in range(40)] + [np.ones(5)] * 30  # many identical vectors
