@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.search import BLOCK, knn
+from tallyframe.operators.search import BLOCK, best_matches, knn
 from tallyframe.plans.session import written
 
 #: Cells at most, rows of the sample they are fitted on, sampled queries that `tuned_probes` measures with.
@@ -80,8 +80,14 @@ def nearest_cells(centres: np.ndarray, vec: str, probes: int) -> Column:
     def run(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        sims = np.array(v.tolist(), dtype="float64") @ centres.T
-        return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+        x, out = np.array(v.tolist(), dtype="float64"), []
+        for lo in range(0, len(x), 512):
+            sims = x[lo : lo + 512] @ centres.T
+            if probes == 1:
+                out += list(sims.argmax(1)[:, None].astype(np.int32))
+            else:
+                out += list(np.argsort(-sims, axis=1, kind="stable")[:, :probes].astype(np.int32))
+        return pd.Series(out)
 
     return run(F.col(vec))
 
@@ -101,13 +107,8 @@ def _best(k: int, exclude_same: bool):
         if q.empty or c.empty:
             return pd.DataFrame({"q": [], "c": [], "s": []})
         c = c.sort_values("id")  # equal similarities keep id order
-        sims = np.array(q["v"].tolist()) @ np.array(c["v"].tolist()).T * c["w"].to_numpy()[None, :]
-        ids, match = q["id"].to_numpy(), c["id"].to_numpy()
-        if exclude_same:
-            sims[ids[:, None] == match[None, :]] = -np.inf
-        at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        found = pd.DataFrame({"q": np.repeat(ids, at.shape[1]), "c": match[at].ravel(), "s": np.take_along_axis(sims, at, 1).ravel()})
-        return found[np.isfinite(found["s"])]
+        x, y = (np.array(d["v"].tolist()) for d in (q, c))
+        return best_matches(x, y, c["w"].to_numpy(), q["id"].to_numpy(), c["id"].to_numpy(), k, exclude_same)
 
     return run
 

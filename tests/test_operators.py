@@ -376,6 +376,40 @@ def test_greedy_rankings_move_vectors_once(spark, rank, capsys):
     assert every == sorted(map(str, rank(df, "k", "i", "s", "v", 3, candidates=2).collect())) and len(every) == 8
 
 
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_best_matches_against_sorting(k):
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(330, 4))
+    y[40:200] = y[3]  # copies: ties go to the first
+    y[7] = np.nan
+    w, ids = rng.random(330), np.arange(330)
+    w[40:200] = w[3]
+    got = search.best_matches(y[:50], y, w, ids[:50], ids, k, True, slab=16)
+    sims = y[:50] @ y.T * w
+    sims[ids[:50], ids[:50]] = np.nan
+    want = [(q, c) for q in range(50) for c in sorted(np.flatnonzero(~np.isnan(sims[q])), key=lambda c: (-sims[q, c], c))[:k]]
+    assert list(zip(got["q"], got["c"])) == want
+
+
+def test_segments_of_lists_shuffle_rows_once(spark, capsys):
+    df = spark.createDataFrame([(u, t, (t or 0) % 3) for u in (1, None, 2) for t in [*range(20), None]], "u int, t int, v int")
+    segs = sequences.collect_sequences(df, "u", ["t"], {"t": "t", "v": "v"}, segment_rows=6)
+    segs.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+    hot = sequences.collect_sequences(df, "u", ["t"], {"t": "t", "v": "v"}, segment_rows=6, group_rows=4)
+    assert rows(segs) == rows(hot) and segs.count() == 12
+
+
+def test_histories_are_built_once(spark, sf, capsys):
+    import __spark_entry__ as entry
+
+    entry.QUERIES["time_window_matrix"](spark, sf).explain(True)
+    physical = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert physical.count("/lineitem.parquet") == 1
+    entry.QUERIES["gmm_soft_clusters"](spark, sf).explain(True)
+    assert "/lineitem.parquet" not in capsys.readouterr().out.split("== Physical Plan ==")[1]
+
+
 def test_knn_in_blocks_with_copies(spark):
     rng = np.random.default_rng(4)
     vecs = [rng.normal(size=5) for _ in range(40)] + [np.ones(5)] * 30  # many identical vectors
