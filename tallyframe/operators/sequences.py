@@ -12,9 +12,10 @@ from tallyframe.functions.lists import drop_last, drop_last_if_longer, pad_to, t
 from tallyframe.functions.stats import array_moments
 from tallyframe.operators.aggs import top_values
 from tallyframe.operators.windows import recent_k
+from tallyframe.plans.session import GROUP_ROWS
 from tallyframe.plans.skew import largest_group, position
 
-def collect_sequences(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str | Column], segment_rows: int | None = None, newest: int | None = None, oldest: int | None = None) -> DataFrame:
+def collect_sequences(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str | Column], segment_rows: int | None = None, newest: int | None = None, oldest: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One ordered list per column and entity: (key, segment, lists...), oldest first.
 
     An entity is one row, whatever its length. An operator that uses a fixed number of events passes
@@ -22,21 +23,28 @@ def collect_sequences(df: DataFrame, key: str, order: Sequence[str], cols: dict[
     most that many entries. Only a caller that asks for `segment_rows` gets segments: rows of at most
     that many events, segment 0 the newest; no event is dropped.
     """
-    work = df.select(key, *order, *[(F.col(c) if isinstance(c, str) else c).alias(f"_s_{n}") for n, c in cols.items()])
+    moved = {n: c for n, c in cols.items() if not isinstance(c, str) or c not in order}  # the order's own columns travel once
+    field = {n: f"_s_{n}" if n in moved else c for n, c in cols.items()}
+    work = df.select(key, *order, *[(F.col(c) if isinstance(c, str) else c).alias(f"_s_{n}") for n, c in moved.items()])
     if newest is not None:
         work = recent_k(work, [key], order, newest, "_rank").drop("_rank")
     if oldest is not None:
         work = recent_k(work, [key], order, oldest, "_rank", newest=False).drop("_rank")
-    if segment_rows is None or largest_group(df, [key]) <= segment_rows:
+    biggest = largest_group(df, [key]) if segment_rows is not None else 0
+    if segment_rows is None or biggest <= segment_rows:
         work = work.withColumn("segment", F.lit(0).cast("long"))
+    elif biggest <= group_rows:
+        # newest first in one window; its shuffle by the key also serves the lists
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]))
+        work = work.withColumn("segment", F.floor((rank - 1) / segment_rows).cast("long"))
     else:
-        ordered = position(work, [key], order, "_pos")
+        ordered = position(work, [key], order, "_pos", group_rows)
         sizes = df.groupBy(F.col(key).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
         ordered = ordered.join(sizes, ordered[key].eqNullSafe(sizes["_g"])).drop("_g")
         work = ordered.withColumn("segment", F.floor((F.col("_n") - F.col("_pos")) / segment_rows).cast("long"))
-    packed = F.sort_array(F.collect_list(F.struct(*order, *[f"_s_{n}" for n in cols]))).alias("_l")
+    packed = F.sort_array(F.collect_list(F.struct(*order, *[f"_s_{n}" for n in moved]))).alias("_l")
     out = work.groupBy(key, "segment").agg(packed)
-    return out.select(key, "segment", *[F.col(f"_l._s_{n}").alias(n) for n in cols])
+    return out.select(key, "segment", *[F.col(f"_l.{field[n]}").alias(n) for n in cols])
 
 
 def lag_features(df: DataFrame, seqs: dict[str, float], k: int = 200, truncate_last: int = 0, prefix: str = "lag", as_columns: bool = False, keep: Sequence[str] = ()) -> DataFrame:
