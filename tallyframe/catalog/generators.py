@@ -116,7 +116,7 @@ def _(spark, sf):
 
 @query("gmm_soft_clusters", "G6")
 def _(spark, sf):
-    p = pivot(spark, sf)
+    p = written(pivot(spark, sf))  # read by every pass of the fit
     cols = MONTHS
     return ln.gmm_transform(p, cols, ln.gmm_fit(p, cols, 3), 3).select("user_id", "cluster", "probs", "entropy")
 
