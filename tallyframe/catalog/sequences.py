@@ -130,9 +130,10 @@ def _(spark, sf):
 
 
 
-def cells(df, col):
-    steps = df.select("user_id", F.posexplode(col).alias("pos", "row"))
-    return steps.select("user_id", "pos", F.posexplode("row").alias("feature", "value"))
+def cells(df, col, *keys):
+    keys = keys or ("user_id",)
+    steps = df.select(*keys, F.posexplode(col).alias("pos", "row"))
+    return steps.select(*keys, "pos", F.posexplode("row").alias("feature", "value"))
 
 
 @query(
@@ -154,11 +155,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     h = history(spark, sf).withColumn("dates", F.transform("days", lambda d: F.date_add(F.lit("1995-01-01").cast("date"), d)))
-    out = None
-    for keep in ("last", "first"):
-        m = cells(s.to_matrix_time_based(h, ["amounts"], 8, 400, "dates", keep=keep), "matrix").select("user_id", F.lit(keep).alias("keep"), "pos", "feature", "value")
-        out = m if out is None else out.unionByName(m)
-    return out
+    for keep in ("last", "first"):  # both matrices in one pass over the histories
+        h = s.to_matrix_time_based(h, ["amounts"], 8, 400, "dates", keep=keep, name=keep)
+    both = h.select("user_id", F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.col(k).alias("matrix")) for k in ("last", "first")])).alias("m"))
+    return cells(both.select("user_id", "m.*"), "matrix", "user_id", "keep").select("user_id", "keep", "pos", "feature", "value")
 
 
 @query("tail_matrix", "Q8", f"WITH {HIST}, g AS (SELECT unnest(generate_series(0, 9))::INTEGER AS pos), c AS (SELECT user_id, CASE WHEN len(amounts) > 10 THEN amounts[len(amounts) - 9:] ELSE amounts END AS a FROM h) SELECT user_id, pos, 0 AS feature, coalesce(a[pos + 1], 0) AS value FROM c CROSS JOIN g")
