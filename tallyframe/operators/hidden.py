@@ -183,10 +183,11 @@ def posteriors(segs: DataFrame, m: HmmModel, fan: int = FAN) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at, size, _, g, _ in _finished(pdf, m) if len(pdf) else ():
-                for row, i in enumerate(at):
-                    probs = g[row, : size[row]]
-                    yield pd.DataFrame({"k": [pdf["k"].iloc[i]] * size[row], "pos": [s["pos"] for s in pdf["steps"].iloc[i]], "state": probs.argmax(1).astype(np.int32), "probs": list(probs)})
+            for at, size, x, g, _ in _finished(pdf, m) if len(pdf) else ():
+                probs = g[np.arange(x.shape[1]) < size[:, None]]  # the steps of all segments in order
+                some = pdf.iloc[at]
+                pos = np.concatenate([[s["pos"] for s in steps] for steps in some["steps"]])
+                yield pd.DataFrame({"k": np.repeat(some["k"].to_numpy(object), size), "pos": pos, "state": probs.argmax(1).astype(np.int32), "probs": list(probs)})
 
     return reached(segs, m, fan).mapInPandas(run, out).select("k.*", "pos", "state", "probs")
 
