@@ -61,10 +61,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of every document, and the text decoded from its ids."""
+    """Three distinct sampled segmentations of every document, as the operator's own query draws, and the text decoded from their ids."""
     prepare(spark)
-    out = lattice.encode(docs, lattice.load(PIECES), k=1, decoded=True, block=1 << 19)
-    return out.select("doc_id", "n_pieces", "log_prob", "ids", "text")
+    out = lattice.encode(docs, lattice.load(PIECES), k=3, decoded=True, block=1 << 19)
+    return out.select("doc_id", "sample", "n_pieces", "log_prob", "ids", "text")
 
 
 STAGES = [

@@ -60,6 +60,16 @@ def test_pieces_decode_to_the_text(stages):
     assert {r["doc_id"]: r["text"] for r in after} == {r["doc_id"]: r["text"] for r in before}
 
 
+def test_three_splits_of_every_document(stages):
+    before, after, *_ = stages["pieces"]
+    drawn = {}
+    for r in after:
+        drawn.setdefault(r["doc_id"], {})[r["sample"]] = tuple(r["ids"])
+    assert set(drawn) == {r["doc_id"] for r in before}
+    assert all(len(set(d.values())) == len(d) for d in drawn.values())
+    assert all(set(drawn[r["doc_id"]]) == {1, 2, 3} for r in before if len(r["text"]) > 20)
+
+
 def test_odd_rows_pass_every_stage(ls):
     rows = [(0, None, None, None, None), (1, "", "en", "s", 0), (None, "some words of plain text here", "en", None, 5), (2, "123 456", "en", "s", 7), (2, "the same text twice", None, "s", 3), (2, "the same text twice", "en", "s", 3), (3, "word " * 20000, "en", "s", 1)]
     df = ls.createDataFrame([(*r, "extra", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _overlap string, score double").withColumns({"_l": F.lit("l"), "_CLASS": F.lit("c"), "_doc": F.lit("d")})
