@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -62,11 +61,9 @@ _OPEN = "request_type string, deadline long, done long"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _later(known: int | None, values: np.ndarray) -> int | None:
-    """The largest of a known time and others, NaN counting as none."""
-    values = values[~np.isnan(values)]
-    new = int(values.max()) if values.size else None
-    return new if known is None else known if new is None else max(known, new)
+def _most(*values):
+    """The largest of the values that are known."""
+    return max([v for v in values if v is not None], default=None)
 
 
 class SlaSweep(StatefulProcessor):
@@ -75,7 +72,8 @@ class SlaSweep(StatefulProcessor):
     Batches are folded by their largest values, so the order of arrival does not matter. The timer of
     a submitted request is its deadline. A request that is processed without having been submitted
     (or after its breach was told) is forgotten once the watermark is `retain_ms` beyond that time,
-    so the store holds open requests and a bounded stretch of others.
+    so the store holds open requests and a bounded stretch of others. A request has few rows, so they
+    come as rows: a pandas frame for each request would cost more than its work.
     """
 
     def __init__(self, retain_ms: int) -> None:
@@ -88,13 +86,11 @@ class SlaSweep(StatefulProcessor):
     def _timer(self, deadline: int | None, done: int | None) -> int:
         return deadline // 1000 if deadline is not None else done // 1000 + self.retain_ms
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         known = self.open.get()  # None for a new key; every call to the store costs a round trip
         kind, deadline, done = known if known is not None else (None, None, None)
-        for pdf in rows:
-            kind = max([x for x in (kind, *pdf["request_type"].dropna()) if x is not None], default=None)
-            deadline = _later(deadline, pdf["deadline"].to_numpy("float64"))
-            done = _later(done, pdf["done"].to_numpy("float64"))
+        for r in rows:
+            kind, deadline, done = _most(kind, r["request_type"]), _most(deadline, r["deadline"]), _most(done, r["done"])
         now = (kind, deadline, done)
         over = deadline is not None and done is not None and done <= deadline
         if known is not None and (over or self._timer(*now[1:]) != self._timer(*known[1:])):
@@ -108,13 +104,13 @@ class SlaSweep(StatefulProcessor):
                 self.handle.registerTimer(self._timer(*now[1:]))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.open.get()
         if known is not None:
             kind, deadline, done = known
             self.open.clear()
             if deadline is not None:
-                yield pd.DataFrame({"request_id": [key[0]], "request_type": [kind], "deadline": [deadline], "done": pd.array([done], "Int64")})
+                yield Row(request_id=key[0], request_type=kind, deadline=deadline, done=done)
 
     def close(self) -> None:
         pass
@@ -134,7 +130,7 @@ def sla_breaches_stream(events: DataFrame, delay: str, retain: str = "30 days")
         "request_id", "at", F.when(sub, F.col("request_type")).alias("request_type"), F.when(sub, F.unix_micros("deadline")).alias("deadline"), F.when(~sub, F.unix_micros("at")).alias("done")
     )
     sweep = SlaSweep(int(pd.Timedelta(retain).total_seconds() * 1000))
-    told = shaped.groupBy("request_id").transformWithStateInPandas(sweep, f"request_id long, {_OPEN}", "Append", "EventTime")
+    told = shaped.groupBy("request_id").transformWithState(sweep, f"request_id long, {_OPEN}", "Append", "EventTime")
     return told.select("request_id", "request_type", F.timestamp_micros("deadline").alias("deadline"), F.timestamp_micros("done").alias("processed_at"))
 
 
