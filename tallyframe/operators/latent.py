@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.stats import array_sum
 from tallyframe.operators.search import knn
+from tallyframe.plans.components import components
 from tallyframe.plans.session import GROUP_ROWS, written
 
 
@@ -180,24 +181,248 @@ def _h0(points: np.ndarray) -> list[float]:
     return [float(len(d)), float(d.mean()), float(d.max()), float(d.std()) if len(d) > 1 else 0.0, ent, float(total), 0.0, float(d.mean())]
 
 
-#: Points of one part of a cloud; clouds up to this size are worked on in one row.
+#: Points of one cell of a cloud; clouds up to this size are worked on in one row.
 PART = 2048
+#: Points of a region, which one task deals into cells, and of the sample that places the regions' borders.
+REGION, SAMPLE = 1 << 15, 1 << 16
+EDGE = "k long, u long, v long, d double"
+
+
+def _cuts(x: np.ndarray, p: int, first: int = 0):
+    """Cuts that deal points into p parts of like size: (dimension, cut, left, right), or the number of a part."""
+    if p <= 1 or len(x) < 2 or not np.ptp(x, axis=0).max() > 0:
+        return first
+    dim, left = int(np.argmax(np.ptp(x, axis=0))), p // 2
+    mine = x[:, dim]
+    cut = np.quantile(mine, left / p, method="lower")
+    if cut == mine.max():
+        cut = mine[mine < cut].max()
+    return dim, float(cut), _cuts(x[mine <= cut], left, first), _cuts(x[mine > cut], p - left, first + left)
+
+
+def _part(cuts, x: np.ndarray) -> np.ndarray:
+    """The part of every point."""
+    out, todo = np.zeros(len(x), np.int64), [(cuts, np.arange(len(x)))]
+    while todo:
+        at, rows = todo.pop()
+        if isinstance(at, int):
+            out[rows] = at
+        elif rows.size:
+            low = x[rows, at[0]] <= at[1]
+            todo += [(at[2], rows[low]), (at[3], rows[~low])]
+    return out
+
+
+def _cells(x: np.ndarray) -> np.ndarray:
+    """The cell of every point: the widest dimension is cut at its median until a cell holds PART points at most."""
+    out, todo, n = np.zeros(len(x), np.int64), [np.arange(len(x))], 0
+    while todo:
+        rows = todo.pop()
+        if rows.size <= PART:
+            out[rows], n = n, n + 1
+        else:
+            mine = x[rows, int(np.argmax(np.ptp(x[rows], axis=0)))]
+            order = np.argpartition(mine, rows.size // 2)
+            todo += [rows[order[: rows.size // 2]], rows[order[rows.size // 2 :]]]
+    return out
+
+
+def _stack(vs) -> np.ndarray:
+    return np.array([list(q) for q in vs], dtype="float64")
+
+
+def _placed(spots: DataFrame, large: DataFrame) -> DataFrame:
+    """(g, c, id, v): points (g, id, v) with the cell they lie in. A bounded sample places the regions, which decides only how work is dealt."""
+    many = {r["g"]: -(-r["n"] // REGION) for r in large.where(F.col("n") > REGION).select("g", "n").collect()}
+    total = large.agg(F.sum("n")).first()[0]
+    chosen = spots.where(F.pmod(F.xxhash64("v"), F.lit(max(1, total // SAMPLE))) == 0).join(large.where(F.col("n") > REGION).select("g"), "g")
+    sample = chosen.select("g", "v").limit(2 * SAMPLE).toPandas() if many else pd.DataFrame({"g": [], "v": []})
+    borders = {g: _cuts(_stack(vs), many[g]) for g, vs in sample.groupby("g")["v"]}
+
+    def region(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            part = np.zeros(len(pdf), np.int64)
+            for g, rows in pdf.groupby("g").indices.items():
+                part[rows] = _part(borders.get(g, 0), _stack(pdf["v"].iloc[rows]))
+            yield pdf.assign(p=part)
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(c=pdf["p"] * (1 << 24) + _cells(_stack(pdf["v"])))[["g", "c", "id", "v"]]
+
+    dealt = spots.select("g", "id", "v").mapInPandas(region, "g long, id long, v array<double>, p long")
+    return written(dealt.groupBy("g", "p").applyInPandas(deal, "g long, c long, id long, v array<double>"))
+
+
+def _gap(lo: list, hi: list, low: list, high: list):
+    """Least distance of two boxes."""
+    return F.sqrt(sum((F.pow(F.greatest(c - b, a - d, F.lit(0.0)), 2) for a, b, c, d in zip(lo, hi, low, high)), F.lit(0.0)))
+
+
+def _own_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The radius of every cell: what nine tenths of the edges of its own points' tree do not exceed."""
+    for pdf in batches:
+        q = [float(np.quantile(_tree(_stack(vs))[2], 0.9)) if len(vs) > 1 else math.inf for vs in pdf["vs"]]
+        yield pdf[["g", "c"]].assign(q=q)
+
+
+def _met_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (k, u, v, d, sure) of the tree of every cell's own points and its guests.
+
+    `sees` tells how far from a point the cell knows all points. An edge that joins a component to another
+    is sure to be in the cloud's tree if the component sees as far as the edge is long at all its points.
+    """
+    for pdf in batches:
+        for g, ids, vs, sees in zip(pdf["g"], pdf["ids"], pdf["vs"], pdf["sees"]):
+            a, b, d = _tree(_stack(vs))
+            ids, sure, out, over = np.asarray(ids, np.int64), np.zeros(len(d), bool), list(sees), list(range(len(vs)))
+
+            def root(x: int) -> int:
+                while over[x] != x:
+                    over[x] = x = over[over[x]]
+                return x
+
+            for e in np.lexsort((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), d)).tolist():
+                x, y = root(int(a[e])), root(int(b[e]))
+                sure[e] = d[e] < max(out[x], out[y])
+                over[x], out[y] = y, min(out[x], out[y]) if sure[e] else -1.0
+            yield pd.DataFrame({"k": g, "u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "d": d, "sure": sure})
+
+
+def _reaches(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(g, r, reach, n) of a cloud's components from edges that connect them: the longest edge on the way to the largest one, by a pass over sorted edges."""
+    g, size = pdf["k"].iloc[0], {}
+    for r, n in zip(pdf["a"][pdf["d"].isna()].tolist(), pdf["n"][pdf["d"].isna()].tolist()):
+        size[r] = n
+    top = max(size, key=lambda r: (size[r], r))
+    over, members, reach = {r: r for r in size}, {r: [r] for r in size}, dict.fromkeys(size, math.inf)
+    reach[top] = 0.0
+
+    def root(x: int) -> int:
+        while over[x] != x:
+            over[x] = x = over[over[x]]
+        return x
+
+    edges = pdf[pdf["d"].notna()].sort_values("d")
+    for a, b, d in zip(edges["a"].tolist(), edges["b"].tolist(), edges["d"].tolist()):
+        x, y, t = root(a), root(b), root(top)
+        if x != y:
+            if t in (x, y):
+                for r in members[y if x == t else x]:
+                    reach[r] = d
+            if len(members[x]) > len(members[y]):
+                x, y = y, x
+            over[x] = y
+            members[y] += members.pop(x)
+    return pd.DataFrame({"g": g, "r": list(reach), "reach": list(reach.values())})
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges within the visitors' reach that make a least forest of the components that visit a cell and those of the cell."""
+    for pdf in batches:
+        for row in pdf.itertuples():
+            of = np.asarray(row.of, np.int64)
+            order = np.argsort(of, kind="stable")
+            y, of, theirs = _stack(row.here)[order], of[order], np.asarray(row.others, np.int64)[order]
+            cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            x, mine, ids, far = _stack(row.vs), np.asarray(row.rs, np.int64), np.asarray(row.ids, np.int64), np.asarray(row.bs)
+            out = []
+            for i in range(0, len(x), 256):
+                gaps = np.linalg.norm(x[i : i + 256, None] - y[None], axis=2)
+                low = np.minimum.reduceat(gaps, cut, axis=1)
+                r, j = np.nonzero((low <= far[i : i + 256, None]) & (of[cut][None] != mine[i : i + 256, None]))
+                ends = np.append(cut, of.size)
+                at = np.array([s + int(gaps[p, s:e].argmin()) for p, s, e in zip(r, ends[j], ends[j + 1])], np.int64)
+                out.append(pd.DataFrame({"u": ids[i + r], "v": theirs[at], "d": low[r, j], "a": mine[i + r], "b": of[at]}))
+            best, over, keep = pd.concat(out).sort_values("d").drop_duplicates(["a", "b"]), {}, []
+
+            def root(q: int) -> int:
+                while q in over:
+                    over[q] = q = over.get(over[q], over[q])
+                return q
+
+            for a, b in zip(best["a"].tolist(), best["b"].tolist()):
+                a, b = root(a), root(b)
+                keep.append(a != b)
+                if a != b:
+                    over[a] = b
+            best = best[np.array(keep, bool)]
+            yield pd.DataFrame({"k": row.g, "u": np.minimum(best["u"], best["v"]), "v": np.maximum(best["u"], best["v"]), "d": best["d"]})
+
+
+#: One of so many points is a scout, which also visits the cells farther off.
+SCOUTS = 64
+
+
+def _candidates(spots: DataFrame, large: DataFrame, dims: int) -> DataFrame:
+    """Edges (k, u, v, d) that hold a minimum spanning tree of each cloud's points (g, id, v).
+
+    Points are dealt into cells by place. A cell's own points and those near its box give a tree, whose sure
+    edges make components. The trees and links of neighbouring cells connect these; no edge of a minimum
+    spanning tree between two of them is longer than the longest edge on the way from one of them to the
+    largest, its reach. So every component but the largest visits the cells within its reach.
+    """
+    placed = _placed(spots, large)
+    axis = range(dims)
+    v = [F.get("v", F.lit(i)) for i in axis]
+    lists = placed.groupBy("g", "c").agg(F.collect_list("v").alias("vs")).mapInPandas(_own_trees, "g long, c long, q double")
+    boxes = placed.groupBy("g", "c").agg(F.min("id").alias("one"), *[F.min(x).alias(f"lo{i}") for i, x in enumerate(v)], *[F.max(x).alias(f"hi{i}") for i, x in enumerate(v)])
+    boxes = written(boxes.join(lists, ["g", "c"]))
+    lo, hi, low, high = ([F.col(f"{n}{i}") for i in axis] for n in ("lo", "hi", "to_lo", "to_hi"))
+    to = boxes.select("g", F.col("c").alias("to"), F.col("q").alias("to_q"), *[x.alias(f"to_lo{i}") for i, x in enumerate(lo)], *[x.alias(f"to_hi{i}") for i, x in enumerate(hi)])
+    slack = 1 + 1e-9  # boxes and points round differently
+    near = boxes.join(F.broadcast(to), "g").where((F.col("c") != F.col("to")) & (_gap(lo, hi, low, high) <= F.col("to_q") * slack))
+    near = written(near.select("g", "c", "to", "q", "to_q", *low, *high))
+    # A cell's radius is no larger than that of the cells around, so that a sparse cell asks few points of a dense one.
+    radius = written(boxes.select("g", "c", "q").unionByName(near.select("g", F.col("to").alias("c"), "q")).groupBy("g", "c").agg(F.min("q").alias("t")))
+    near = near.join(radius.withColumnRenamed("c", "to"), ["g", "to"])
+    gap = _gap(v, v, low, high)
+    scout = F.pmod(F.xxhash64("id"), F.lit(SCOUTS)) == 0
+    guests = placed.join(near, ["g", "c"]).withColumn("gap", gap).where((F.col("gap") <= F.col("t")) | (scout & (F.col("gap") <= F.col("to_q"))))
+    met = placed.join(radius, ["g", "c"]).select("g", "c", "id", "v", (F.col("t") / slack).alias("sees")).unionByName(guests.select("g", F.col("to").alias("c"), "id", "v", (F.col("t") / slack - F.col("gap")).alias("sees")))
+    met = met.groupBy("g", "c").agg(*[F.collect_list(x).alias(n) for x, n in (("id", "ids"), ("v", "vs"), ("sees", "sees"))])
+    edges = written(met.mapInPandas(_met_trees, f"{EDGE}, sure boolean"))
+    roots = written(components(edges.where("sure").select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    now = written(placed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("g", "c", "id", "v", F.coalesce("root", "id").alias("r")))
+
+    pair = boxes.select(F.col("g").alias("k"), F.col("one").alias("u"), F.lag("one").over(Window.partitionBy("g").orderBy("c")).alias("v")).where("v IS NOT NULL")
+    spot = placed.join(F.broadcast(boxes.select(F.col("one").alias("id"))), "id").select(F.col("id"), F.col("v").alias("p"))
+    pair = pair.join(spot.select(F.col("id").alias("u"), F.col("p").alias("p")), "u").join(spot.select(F.col("id").alias("v"), F.col("p").alias("o")), "v")
+    length = F.sqrt(F.aggregate(F.zip_with("p", "o", lambda x, y: F.pow(x - y, 2)), F.lit(0.0), lambda s, x: s + x))
+    links = written(pair.select("k", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), length.alias("d")))
+    every = edges.where("NOT sure").drop("sure").unionByName(links)
+    ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("u", "v")]
+    cross = every.join(ends[0], "u", "left").join(ends[1], "v", "left").select("k", F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b"), "d").where("a <> b")
+    cross = cross.groupBy("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+    sizes = now.groupBy(F.col("g").alias("k"), F.col("r").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    told = sizes.select("k", "a", F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("d"), "n").unionByName(cross.withColumn("n", F.lit(None).cast("long")))
+    reach = written(told.groupBy("k").applyInPandas(_reaches, "g long, r long, reach double").where("reach > 0"))
+
+    pure = now.groupBy("g", F.col("c").alias("to")).agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
+    cells = to.join(pure, ["g", "to"])
+    guests = now.join(reach, ["g", "r"])
+    asked = guests.groupBy("g", "c").agg(F.max("reach").alias("t")).join(boxes, ["g", "c"]).join(F.broadcast(cells), "g")
+    asked = asked.where((F.col("c") != F.col("to")) & (_gap(lo, hi, low, high) <= F.col("t") * slack)).select("g", "c", "to", "r0", "r1", *low, *high)
+    came = guests.join(asked, ["g", "c"]).where((F.col("r0") != F.col("r")) | (F.col("r1") != F.col("r"))).where(gap <= F.col("reach") * slack)
+    came = came.groupBy("g", F.col("to").alias("c")).agg(*[F.collect_list(x).alias(n) for x, n in (("id", "ids"), ("v", "vs"), ("r", "rs"), ("reach", "bs"))])
+    own = now.groupBy("g", "c").agg(F.collect_list("id").alias("others"), F.collect_list("v").alias("here"), F.collect_list("r").alias("of"))
+    found = written(came.join(own, ["g", "c"]).mapInPandas(_nearest, EDGE))
+    return edges.drop("sure").unionByName(links).unionByName(found)
 
 
 def h0_persistence(df: DataFrame, key: str, dims: Sequence[str], order: Sequence[str], prefix: str = "h0") -> DataFrame:
     """Component-lifetime statistics of each entity's point cloud, over all its points.
 
-    The lifetimes are the edge lengths of the cloud's minimum spanning tree. A cloud of more than PART
-    points is dealt by a hash of `order` into parts, and every two parts meet in a task that keeps the tree
-    of their points: what it leaves out is the longest edge of a cycle, so the trees together hold a
-    minimum spanning tree of the whole. The work is the square of a cloud's points.
+    The lifetimes are the edge lengths of the cloud's minimum spanning tree, which no order of the points
+    changes (`order` names columns that tell rows apart). Clouds of up to PART points are one row each; the
+    distinct points of larger ones are dealt into cells by place, and a cell meets only what lies as near as a
+    tree's edge can be long. Copies of a point add lifetimes of 0.
     """
     kind = df.schema[key].dataType
     v = F.array(*[F.col(d).cast("double") for d in dims])
     full = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
-    points = df.select(F.col(key).alias("k"), v.alias("v"), F.xxhash64(*order).alias("h")).withColumn("v", F.when(full, F.col("v")))
-    points = written(points.withColumn("id", F.monotonically_increasing_id()))
-    large = written(points.groupBy("k").agg(F.count("v").alias("n")).where(F.col("n") > PART).select(F.col("k").alias("_k"), F.ceil(F.col("n") / PART).alias("p")))
+    points = written(df.select(F.col(key).alias("k"), v.alias("v")).withColumn("v", F.when(full, F.col("v"))))
+    large = points.groupBy("k").agg(F.count("v").alias("n")).where(F.col("n") > PART)
+    large = written(large.select(F.col("k").alias("_k"), "n", F.monotonically_increasing_id().alias("g")))
     same = F.col("k").eqNullSafe(F.col("_k"))
     clouds = points.join(large, same, "left_anti").groupBy("k").agg(F.collect_list("v").alias("_pts"))
     names = [f"{prefix}_{s}" for s in H0_STATS]
@@ -205,7 +430,7 @@ def h0_persistence(df: DataFrame, key: str, dims: Sequence[str], order: Sequence
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [_h0(np.array([list(q) for q in pts], dtype="float64")) for pts in pdf["_pts"]]
+            rows = [_h0(_stack(pts)) for pts in pdf["_pts"]]
             res = pd.DataFrame(rows, columns=names)
             res.insert(0, key, pdf["k"].to_numpy())
             yield res
@@ -213,24 +438,18 @@ def h0_persistence(df: DataFrame, key: str, dims: Sequence[str], order: Sequence
     small = clouds.mapInPandas(run, out)
     if large.isEmpty():
         return small
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1))
-    dealt = points.where("v IS NOT NULL").join(large, same).withColumn("a", F.pmod("h", "p")).withColumn("o", other).where("o <> a")
-    met = dealt.groupBy("k", F.least("a", "o").alias("i"), F.greatest("a", "o").alias("j")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    edge = T.StructType([T.StructField("k", kind), T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("d", T.DoubleType())])
-
-    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at, (ids, vs) in enumerate(zip(pdf["ids"], pdf["vs"])):
-                a, b, d = _tree(np.array([list(q) for q in vs], dtype="float64"))
-                ids = np.asarray(ids, np.int64)
-                yield pd.DataFrame({"k": pdf["k"].iloc[[at]].repeat(len(d)).to_numpy(), "u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "d": d})
-
-    lives = written(_lifetimes(met.select("k", "ids", "vs").mapInPandas(trees, edge), kind))
-    total = lives.groupBy(F.col("k").alias("_k")).agg(F.sum("d").alias("_t"))
+    spots = points.where("v IS NOT NULL").join(large, same).groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
+    spots = written(spots.withColumn("id", F.monotonically_increasing_id()))
+    lives = _lifetimes(_candidates(spots, large, len(dims)), T.LongType()).select(F.col("k").alias("g"), "d", F.lit(1).cast("long").alias("w"))
+    lives = written(lives.unionByName(spots.groupBy("g").agg((F.sum("w") - F.count("w")).alias("w")).select("g", F.lit(0.0).alias("d"), "w")))
+    total = lives.groupBy("g").agg(F.sum(F.col("d") * F.col("w")).alias("_t"), F.sum("w").alias("_n"))
+    w, mean = F.col("w"), F.col("_t") / F.col("_n")
     p = F.col("d") / F.col("_t")
-    mean = F.avg("d")
-    stats = [F.count("d").cast("double"), mean, F.max("d"), F.stddev_pop("d"), F.coalesce(-F.sum(F.when(F.col("_t") > 0, p * F.log(p + 1e-12))), F.lit(0.0)), F.sum("d"), F.lit(0.0), mean]
-    return small.unionByName(lives.join(total, same).groupBy(F.col("k").alias(key)).agg(*[s.alias(n) for s, n in zip(stats, names)]))
+    spread = F.sqrt(F.sum(w * F.pow(F.col("d") - mean, 2)) / F.first("_n"))
+    entropy = F.coalesce(-F.sum(F.when(F.col("_t") > 0, w * p * F.log(p + 1e-12))), F.lit(0.0))
+    stats = [F.first("_n").cast("double"), F.first(mean), F.max("d"), spread, entropy, F.first("_t"), F.lit(0.0), F.first(mean)]
+    rows = lives.join(F.broadcast(total), "g").groupBy("g").agg(*[s.alias(n) for s, n in zip(stats, names)])
+    return small.unionByName(rows.join(large, "g").select(F.col("_k").alias(key), *names))
 
 
 def _lifetimes(edges: DataFrame, kind: T.DataType) -> DataFrame:

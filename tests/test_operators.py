@@ -615,3 +615,21 @@ def test_ema_of_null_keys(spark):
 def test_persona_mode_ties(spark):
     df = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "k string, v string")
     assert dict(rows(aggs.mode_per_group(df, "k", "v"))) == {"a": "x", "b": "z"}
+
+
+def test_persistence_work_grows_with_the_cloud(spark, monkeypatch):
+    """Points far apart or copied: the tree is exact, and the points that cells see do not multiply by the cells."""
+    monkeypatch.setattr(latent, "PART", 32)
+    monkeypatch.setattr(latent, "REGION", 300)
+    tree, edges = latent._tree, []
+    monkeypatch.setattr(latent, "_lifetimes", lambda e, kind, made=latent._lifetimes: edges.append(e.count()) or made(e, kind))
+    rng = np.random.default_rng(3)
+    far = rng.normal(size=(400, 3)) * [1, 5, 20] + [4000, 0, 0]
+    p = np.concatenate([rng.normal(size=(1500, 3)), rng.standard_cauchy((100, 3)) * 30, far, np.repeat(far[:3], 40, axis=0)])
+    df = spark.createDataFrame([("k", i, *x) for i, x in enumerate(p.tolist())] + [(None, i, *x) for i, x in enumerate(p[:200].tolist())], "k string, id int, x double, y double, z double")
+    got = {r["k"]: r for r in latent.h0_persistence(df, "k", ["x", "y", "z"], ["id"]).collect()}
+    for k, q in (("k", p), (None, p[:200])):
+        d = tree(q)[2]
+        assert got[k]["h0_num_features"] == len(q) - 1
+        assert np.allclose([got[k][f"h0_{n}"] for n in ("total_persistence", "max_lifetime", "std_lifetime")], [d.sum(), d.max(), d.std()], rtol=1e-9)
+    assert max(edges) < 30 * len(p)  # the trees of every two parts of 32 points hold more than 60 x as many
