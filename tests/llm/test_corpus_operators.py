@@ -511,6 +511,18 @@ def test_op7_held_out_accuracy(ls):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_op7_learns_from_every_labelled_row(ls):
+    """A word that only the labelled rows with the largest hashes of their class hold, and several parts."""
+    words = np.array("sun rain tree road house river stone bread wind light".split())
+    rng = np.random.default_rng(4)
+    rank = ls.range(6000).selectExpr("id", "id % 2 AS y", "row_number() OVER (PARTITION BY id % 2 ORDER BY xxhash64(id), id) AS r").collect()
+    rows = [(r["id"], " ".join([*rng.choice(words, 12), "blub" if r["r"] <= 2500 else "zork"] if r["y"] else rng.choice(words, 13)), "en", r["y"]) for r in rank]
+    df = ls.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df, df, part_rows=2000)
+    seen = ls.createDataFrame([("a zork on the road",), ("the blub in rain",), ("a river and the road",), (" ".join(words[:7]),)], "text string")
+    assert [r["p"] >= 0.5 for r in seen.select(toxicity.score(model).alias("p")).collect()] == [True, True, False, False]
+
+
 def test_op7_odd(ls, odd):
     docs = ls.read.parquet(f"{SF}/documents.parquet")
     labels = ls.read.parquet(f"{SF}/labels.parquet")
