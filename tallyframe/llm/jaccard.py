@@ -154,6 +154,7 @@ def _map_sets(spark_buckets: int):
         """Per text a row (doc, key, n, sketch); per bucket of cells one block of (cell, class)."""
         names = ["doc_id", "n", "key", "sketch", "bucket", "block"]
         for b in slices(batches, limit=BLOCK):
+            release()
             g, off = shingles(*flat(b["text"]))
             n, key = np.diff(off), set_keys(g, off)
             rows = len(n)
@@ -428,14 +429,19 @@ def _open_cells(crowded: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 @F.arrow_udf(LongType())
-def class_key(text: pa.Array) -> pa.Array:
-    """Hash of a text's shingle set; 0 for the empty set."""
+def _class_key(text: pa.Array) -> pa.Array:
     out = [np.zeros(0, U64)]
     for b in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), limit=BLOCK):
+        release()
         out.append(set_keys(*shingles(*flat(b["text"]))))
     return pa.array(np.concatenate(out).view(np.int64))
 
 
+def class_key(text: Column) -> Column:
+    """Hash of a text's shingle set; 0 for the empty set. No filter on it is pushed below it, which would make it twice."""
+    return _class_key.asNondeterministic()(text)
+
+
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, key, low, root) of every text with words: its class, the class's smallest doc_id, its component."""
     members, roots = link_classes(docs, key, text)

@@ -201,7 +201,11 @@ def scorer(model: Filter) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray
 
 
 def predict(model: Filter, text: str = "text") -> Column:
-    """Struct column (lang_pred, score) computed from the text alone."""
+    """Struct column (lang_pred, score) computed from the text alone.
+
+    The function counts as non-deterministic, so that a filter on its result is not pushed below it, which
+    would read every text twice and hold two Python workers a task.
+    """
     languages = [*model.languages, "und"]
 
     @F.arrow_udf("lang_pred string, score double")
@@ -216,7 +220,7 @@ def predict(model: Filter, text: str = "text") -> Column:
             names = pa.array(languages).take(pa.array(np.concatenate(best) % len(languages)))
             yield pa.StructArray.from_arrays([names, pa.array(np.concatenate(sure))], ["lang_pred", "score"])
 
-    return run(F.col(text))
+    return run.asNondeterministic()(F.col(text))
 
 
 def letters(text: str = "text") -> Column:

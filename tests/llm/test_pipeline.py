@@ -86,3 +86,11 @@ def test_odd_rows_pass_every_stage(ls):
 
 def test_run(ls, stages):
     assert cp.run(ls, SF).count() == len(stages["pieces"][1])
+
+
+def test_texts_are_read_by_one_function_call(ls):
+    """A filter on a Python function's result repeats the call below it, with a second worker a task."""
+    docs = ls.read.parquet(f"{SF}/documents.parquet")
+    for stage in (cp.language_id, cp.near_duplicates):
+        plan = stage(ls, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, plan
