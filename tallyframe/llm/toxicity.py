@@ -234,7 +234,7 @@ def fit(
     learned from the labelled texts' languages.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(known, "key")
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(known), "key")  # twelve bytes a label travel instead of all texts
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
