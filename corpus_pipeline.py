@@ -63,7 +63,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three distinct sampled segmentations of every document, as the operator's own query draws, and the text decoded from their ids."""
     prepare(spark)
-    out = lattice.encode(docs, lattice.load(PIECES), k=3, decoded=True, block=1 << 19)
+    out = lattice.encode(docs, lattice.load(PIECES), k=3, decoded=True, block=1 << 19, shared=1 << 19)
     return out.select("doc_id", "sample", "n_pieces", "log_prob", "ids", "text")
 
 

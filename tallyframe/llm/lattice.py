@@ -10,8 +10,8 @@ second largest, and so on, so no split is drawn twice. Random numbers are a func
 place in the search alone.
 
 Pieces hold blanks only at their start, so a lattice is a chain of independent chunks (blanks and the
-characters up to the next blank). Chunks that occur often share one lattice; what a draw adds to the
-agenda is computed for many texts at once.
+characters up to the next blank). Equal chunks of some blocks of texts share one lattice, frequent ones
+stand first; what a draw adds to the agenda is computed for a block of texts at once.
 
 The inclusion score of a split with log-probability f is the chance that its perturbed value exceeds
 the largest one left over, k: 1 - exp(-exp(f - k)). It is returned as a logarithm.
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.text import STEP, U64, flat, gathered, mix, ranges, release, slices
 
 BLANK, SPELLED = 0x2581, 0x110000
+INVERSE = U64(pow(int(STEP), -1, 1 << 64))
 #: A second odd multiplier, for counters.
 STRIDE = np.array(0xD1342543DE82EF95, U64)
 #: More than -log(-log(u)) can be for the largest u drawn.
@@ -46,11 +47,12 @@ MARGIN = 40.0
 class Model(NamedTuple):
     """Vocabulary: sorted code-point hashes of the pieces with their ids, log weights, and the bytes of all ids.
 
-    `begin` tells where the hashes with the same upper 18 bits begin.
+    `begin` tells where the hashes with the same upper 18 bits begin, `some` whether there are any.
     """
 
     keys: np.ndarray
     begin: np.ndarray
+    some: np.ndarray
     ids: np.ndarray
     weight: np.ndarray
     longest: int
@@ -90,7 +92,7 @@ def load(path: str) -> Model:
     w -= np.log(np.exp(w).sum())
     sorted_keys = np.array(keys, U64)[order]
     begin = np.searchsorted(sorted_keys >> U64(46), np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
-    return Model(sorted_keys, begin, np.array(ids, np.int32)[order], w, longest, first_byte, b"".join(out), np.cumsum([0, *map(len, out)]))
+    return Model(sorted_keys, begin, begin[1:] > begin[:-1], np.array(ids, np.int32)[order], w, longest, first_byte, b"".join(out), np.cumsum([0, *map(len, out)]))
 
 
 def _piece_hash(points: np.ndarray) -> int:
@@ -101,22 +103,28 @@ def _piece_hash(points: np.ndarray) -> int:
     return h * int(STEP) % 2**64
 
 
-def _pieces_at(points: np.ndarray, left: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, length, id) of every piece that fits; lengths rise, and only positions with room go on."""
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 on; numpy counts out those of 16 bits, which is faster."""
+    return np.argsort(x.astype(np.uint16) if int(x.max(initial=0)) < 1 << 16 else x, kind="stable")
+
+
+def _pieces_at(points: np.ndarray, room: np.ndarray, begins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, length, id) of every piece that fits; lengths rise, and only positions with room go on.
+
+    `room` lists the positions by the room they have, `begins` where those with room for n + 1 begin.
+    """
     begin = model.begin
     digits = points.astype(U64)
-    at, h = np.arange(points.size, dtype=np.int32), np.ones(points.size, U64)
+    at, h = room[::-1].astype(np.int32), np.ones(points.size, U64)  # most room first
     out: list[tuple[np.ndarray, ...]] = []
-    for n in range(1, model.longest + 1):
-        if n > 1:
-            room = left[at] >= n
-            at, h = at[room], h[room]
+    for n in range(1, min(model.longest, begins.size - 1) + 1):
+        at, h = at[: points.size - begins[n - 1]], h[: points.size - begins[n - 1]]
         h = h * STEP + digits[at + n - 1]
         key = h * STEP
-        top = (key >> U64(46)).astype(np.int32)
+        top = (key >> U64(46)).view(np.int64)
+        maybe = np.flatnonzero(model.some[top])
+        top, key = top[maybe], key[maybe]
         here, end = begin[top], begin[top + 1]
-        maybe = np.flatnonzero(here < end)
-        here, end, key = here[maybe], end[maybe], key[maybe]
         while maybe.size:
             same = model.keys[here] == key
             out.append((at[maybe[same]], np.full(int(same.sum()), n, np.int32), model.ids[here[same]]))
@@ -129,17 +137,18 @@ def _pieces_at(points: np.ndarray, left: np.ndarray, model: Model) -> tuple[np.n
 
 
 class Lattices(NamedTuple):
-    """Arcs of many chunks, by start position; a position with `end` has nothing to choose any more."""
+    """Arcs of many chunks, by start position; a position without arcs is a chunk's end.
+
+    `out` holds each position's first arc and, in the lower 16 bits, how many it has.
+    An arc's piece is an id, or -1 - the code point of a character to spell in bytes.
+    """
 
-    first: np.ndarray
-    count: np.ndarray
-    of: np.ndarray
+    out: np.ndarray
     to: np.ndarray
     log: np.ndarray
     upto: np.ndarray
     start: np.ndarray
-    ids: np.ndarray
-    ids_off: np.ndarray
+    piece: np.ndarray
 
 
 def build(points: np.ndarray, off: np.ndarray, model: Model, theta: float, part: int = 1 << 15) -> Lattices:
@@ -147,14 +156,13 @@ def build(points: np.ndarray, off: np.ndarray, model: Model, theta: float, part:
 
     They are built some chunks at a time, so that the working arrays stay in the processor's cache.
     """
-    parts, at, places, arcs, ids = [], 0, 0, 0, 0
+    parts, at, places, arcs = [], 0, 0, 0
     while at < off.size - 1 or not parts:
         to = max(min(at + 1, off.size - 1), int(np.searchsorted(off, off[at] + part, "right")) - 1)
         lat = _build(points[off[at] : off[to]], off[at : to + 1] - off[at], model, theta)
-        parts.append(lat._replace(first=lat.first + arcs, of=lat.of + places, to=lat.to + places, start=lat.start + places, ids_off=lat.ids_off[:-1] + ids))
-        places, arcs, ids, at = places + lat.first.size, arcs + lat.to.size, ids + lat.ids.size, to
-    joined = Lattices(*(np.concatenate(x) for x in zip(*parts)))
-    return joined._replace(ids_off=np.append(joined.ids_off, ids))
+        parts.append(lat._replace(out=lat.out + (arcs << 16), to=lat.to + places, start=lat.start + places))
+        places, arcs, at = places + lat.out.size, arcs + lat.to.size, to
+    return Lattices(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def _build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> Lattices:
@@ -162,7 +170,9 @@ def _build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> L
     slots = off[:-1] + np.arange(lens.size)  # the first position of each chunk
     run = np.repeat(np.arange(lens.size, dtype=np.int32), lens)
     left = (off[1:][run] - np.arange(points.size)).astype(np.int32)
-    at, size, piece = _pieces_at(points, left, model)
+    by_left = _sorted(left)
+    steps = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
+    at, size, piece = _pieces_at(points, by_left, steps, model)
     known = np.zeros(points.size, bool)
     known[at[size == 1]] = True
     plain = np.flatnonzero(~known)
@@ -170,44 +180,58 @@ def _build(points: np.ndarray, off: np.ndarray, model: Model, theta: float) -> L
     at = np.concatenate([at, plain.astype(np.int32)])
     size = np.concatenate([size, np.ones(plain.size, np.int32)])
     piece = np.concatenate([piece, (-1 - code).astype(np.int32)])
-    order = np.argsort(at, kind="stable")
+    order = _sorted(at)
     at, size, piece = at[order], size[order], piece[order]
-    lone = piece < 0
-    utf8 = np.ones(piece.size, np.int8)
-    utf8[lone] = 1 + (-1 - piece[lone] > 0x7F) + (-1 - piece[lone] > 0x7FF) + (-1 - piece[lone] > 0xFFFF)
-    w = theta * np.where(lone, utf8 * model.weight[model.first_byte], model.weight[np.maximum(piece, 0)])
+    lone = np.flatnonzero(piece < 0)
+    w = (theta * model.weight)[np.maximum(piece, 0)]
+    w[lone] = theta * (_utf8(-1 - piece[lone]) * model.weight[model.first_byte])
     # Log mass of all completions, from the chunks' ends backwards.
     place = np.arange(points.size, dtype=np.int32) + run
     total = np.zeros(points.size + lens.size)
-    begin = np.searchsorted(at, np.arange(points.size + 1))
-    by_left = np.argsort(left, kind="stable")
-    steps = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
+    degree = np.bincount(at, minlength=points.size)
+    begin = np.concatenate([[0], np.cumsum(degree)])
     to = (at + run[at] + size) if at.size else at
-    for a, b in zip(steps[:-1], steps[1:]):
-        mine = by_left[a:b]
-        n = begin[mine + 1] - begin[mine]
-        arcs = ranges(begin[mine], n)
-        v = w[arcs] + total[to[arcs]]
-        cut = np.cumsum(n) - n
+    n = degree[by_left]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    arcs = ranges(begin[by_left], n)  # in the order in which they are needed
+    w_of, to_of, place_of = w[arcs], to[arcs], place[by_left]
+    for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
+        i, j = ends[a], ends[b]
+        v = w_of[i:j] + total[to_of[i:j]]
+        cut = ends[a:b] - i
         top = np.maximum.reduceat(v, cut)
-        total[place[mine]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, n)), cut))
-    log = w + total[to] - total[place[at]] if at.size else np.zeros(0)
+        total[place_of[a:b]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, n[a:b])), cut))
+    log = w + total[to] - np.repeat(total[place], degree) if at.size else np.zeros(0)
     p = np.exp(log)
     running = np.cumsum(p)
-    upto = running - np.repeat((running - p)[begin[:-1]], np.diff(begin)) if at.size else p
-    first, count = np.zeros(total.size, np.int64), np.zeros(total.size, np.int64)
-    first[place], count[place] = begin[:-1], np.diff(begin)
-    ids_off = np.concatenate([[0], np.cumsum(utf8, dtype=np.int64)]).astype(np.int32)
-    ids = np.empty(ids_off[-1], np.int32)
-    ids[ids_off[:-1][~lone]] = piece[~lone]
+    upto = running - np.repeat((running - p)[begin[:-1]], degree) if at.size else p
+    out = np.zeros(total.size, np.int64)
+    out[place] = (begin[:-1] << 16) + degree
+    return Lattices(out, to, log, upto, slots, piece)
+
+
+def _utf8(code: np.ndarray) -> np.ndarray:
+    """How many bytes characters take."""
+    return 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
+
+
+def _ids(piece: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the arcs' pieces, characters spelled in byte pieces, and the offsets of each arc's ids."""
+    lone = np.flatnonzero(piece < 0)
+    code = -1 - piece[lone]
+    utf8 = _utf8(code)
+    width = np.ones(piece.size, np.int64)
+    width[lone] = utf8
+    off = np.concatenate([[0], np.cumsum(width)])
+    ids = np.repeat(piece, width) if lone.size else piece
     for n in (1, 2, 3, 4):
-        sel = np.flatnonzero(lone & (utf8 == n))
-        c = -1 - piece[sel]
+        sel = np.flatnonzero(utf8 == n)
+        c = code[sel]
         for j in range(n):
             low = (c >> (6 * (n - 1 - j))) & 0x3F
             byte = c if n == 1 else (low | 0x80 if j else (c >> (6 * (n - 1))) | (0xC0, 0xE0, 0xF0)[n - 2])
-            ids[ids_off[sel] + j] = model.first_byte + byte
-    return Lattices(first, count, place[at], to, log, upto, slots, ids, ids_off)
+            ids[off[lone[sel]] + j] = first_byte + byte
+    return ids, off
 
 
 def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +239,9 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     texts = [t.decode("utf-8", "replace") for t in (data[a:b].tobytes() for a, b in zip(off[:-1], off[1:]))]
     lens = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le"), np.uint32)
-    points = np.where(points == BLANK, SPELLED, np.where(points == 32, BLANK, points)).astype(np.uint32)
-    head = points == BLANK
+    head, lower = points == 32, points == BLANK
+    points = points.copy()
+    points[head], points[lower] = BLANK, SPELLED
     head[1:] &= points[:-1] != BLANK
     starts = np.cumsum(lens) - lens
     head[starts[lens > 0]] = True
@@ -224,34 +249,40 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return points, np.append(at, points.size), np.searchsorted(at, np.append(starts, points.size))
 
 
-def _uniform(seed: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """Numbers in (0, 1) from counters."""
-    h = mix(seed + a.astype(U64) * STEP + np.asarray(b).astype(U64) * STRIDE)
+def _uniform(seed: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Numbers in (0, 1) from seeds and counters."""
+    h = mix(seed + np.asarray(b).astype(U64) * STRIDE)
     return ((h >> U64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def _walk(lat: Lattices, seed: np.ndarray, chunk: np.ndarray, text: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
-    """Follow one random completion from `place` in every chunk: (chunk row, arc) in reading order."""
-    rows, arcs, now = [], [], np.arange(chunk.size)
-    step = 0
+def _walk(lat: Lattices, seed: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
+    """Follow one random completion from `place` in every chunk: (chunk row, place, arc) in reading order; a seed per chunk."""
+    taken = []
+    now, here = np.arange(place.size), place
+    steps = np.zeros(place.size, np.int64)
     while now.size:
-        live = lat.count[place[now]] > 0
-        now = now[live]
-        here = place[now]
-        u = _uniform(seed[text[now]], chunk[now], turn * 4_000_000_007 + 2 * step)
-        arc = lat.first[here]
-        last = arc + lat.count[here] - 1
-        more = np.flatnonzero((lat.upto[arc] < u) & (arc < last))
-        while more.size:
-            arc[more] += 1
-            more = more[(lat.upto[arc[more]] < u[more]) & (arc[more] < last[more])]
-        rows.append(now)
-        arcs.append(arc)
-        place[now] = lat.to[arc]
-        step += 1
-    row, arc = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*arcs, np.zeros(0, np.int64)])
-    order = np.argsort(row, kind="stable")
-    return row[order].astype(np.int64), arc[order].astype(np.int64)
+        out = lat.out[here]
+        count = out & 0xFFFF
+        live = np.flatnonzero(count)
+        if live.size < now.size:
+            steps[now[count == 0]] = len(taken)
+            now, here, seed, out, count = now[live], here[live], seed[live], out[live], count[live]
+        u = _uniform(seed, turn * 4_000_000_007 + 2 * len(taken))
+        # The first arc that reaches u; the longest ones are the likeliest, so they are tried first.
+        first = out >> 16
+        arc = first + (count - 1)
+        less = np.flatnonzero(arc > first)
+        while less.size:
+            less = less[lat.upto[arc[less] - 1] >= u[less]]
+            arc[less] -= 1
+            less = less[arc[less] > first[less]]
+        taken.append((now, here, arc))
+        here = lat.to[arc].astype(np.int64)
+    cut = np.cumsum(steps) - steps
+    places, arcs = np.empty(int(steps.sum()), np.int64), np.empty(int(steps.sum()), np.int64)
+    for step, (now, here, arc) in enumerate(taken):
+        places[cut[now] + step], arcs[cut[now] + step] = here, arc
+    return np.repeat(np.arange(steps.size), steps), places, arcs
 
 
 def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
@@ -265,7 +296,7 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
     out: list[list] = [[] for _ in range(n)]
     agenda: list[list[tuple]] = [[] for _ in range(n)]
     # What to continue: text, chunk, place in the chunk, value, log so far, arcs so far.
-    todo = [(t, int(first[t]), -1, float(-np.log(-np.log(_uniform(mix(seed[t : t + 1] + STEP), np.zeros(1), 1)[0]))), 0.0, np.zeros(0, np.int64)) for t in range(n)]
+    todo = [(t, int(first[t]), -1, float(x), 0.0, np.zeros(0, np.int64)) for t, x in enumerate(-np.log(-np.log(_uniform(mix(seed + STEP), 1))))]
     for turn in range(k):
         text = np.array([x[0] for x in todo], np.int64)
         if not text.size:
@@ -274,12 +305,13 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
         span = first[text + 1] - begin
         chunk = ranges(begin, span)
         owner = np.repeat(np.arange(text.size), span)
-        place = start_of[kind[chunk]].copy()
+        origin = start_of[kind[chunk]]
+        place = origin.copy()
         inside = np.array([x[2] for x in todo], np.int64)
         lead = (np.cumsum(span) - span)[(inside >= 0) & (span > 0)]
         place[lead] = inside[(inside >= 0) & (span > 0)]
         local = chunk - first[text][owner]
-        row, arc = _walk(lat, seed, local, text[owner], place, turn)
+        row, here, arc = _walk(lat, seed[text][owner] + local.astype(U64) * STEP, place, turn)
         of = owner[row]
         cut = np.searchsorted(of, np.arange(text.size + 1))
         value = np.array([x[3] for x in todo])
@@ -288,8 +320,7 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
         cum = np.concatenate([[0.0], np.cumsum(logs)])
         before = so_far[of] + cum[:-1] - cum[cut[:-1]][of]
         want = k - turn
-        here = lat.of[arc]
-        others = lat.count[here] - 1
+        others = (lat.out[here] & 0xFFFF) - 1
 
         def offer(nodes: np.ndarray) -> np.ndarray:
             """Put each text's `want` best partial splits on its agenda: arcs not taken at these nodes of the path.
@@ -297,14 +328,18 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
             Each carries the largest perturbed value of its completions, drawn below the one taken.
             Returns for each text the last value that was put there.
             """
-            node = np.repeat(nodes, others[nodes])
-            rank = ranges(np.zeros(nodes.size, np.int64), others[nodes])
-            side = lat.first[here[node]] + rank
-            side += side >= arc[node]
-            f = before[node] + lat.log[side]
-            u = _uniform(seed[text[of[node]]] + mix(local[row[node]].astype(U64) + U64(1)), here[node] - start_of[kind[chunk[row[node]]]], rank * 64 + 2 * turn + 1)
-            left = f - np.log(np.exp(f - value[of[node]]) - np.log(u))
-            spot = np.searchsorted(of[node], np.arange(text.size + 1))
+            times, mine, at = others[nodes], of[nodes], here[nodes]
+            node = np.repeat(nodes, times)
+            ends = np.cumsum(times, dtype=np.int64)
+            rank = np.arange(node.size) - np.repeat(ends - times, times)
+            side = np.repeat(lat.out[at] >> 16, times) + rank
+            side += side >= np.repeat(arc[nodes], times)
+            f = np.repeat(before[nodes], times) + lat.log[side]
+            in_chunk = row[nodes]
+            drawn = seed[text][mine] + mix(local[in_chunk].astype(U64) + U64(1)) + (at - origin[in_chunk]).astype(U64) * STEP
+            u = _uniform(np.repeat(drawn, times), rank * 64 + 2 * turn + 1)
+            left = f - np.log(np.exp(f - np.repeat(value[mine], times)) - np.log(u))
+            spot = np.append(0, ends)[np.searchsorted(mine, np.arange(text.size + 1))]
             worst = np.full(text.size, -np.inf)
             full = np.flatnonzero(np.diff(spot) > 0)
             for step in range(want):
@@ -337,15 +372,15 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
             total = float(x[4] + cum[cut[i + 1]] - cum[cut[i]])
             out[t].append((x[3], total, path))
             base = x[5].size
-            # Entries of this round know their prefix only now.
-            agenda[t] = [(a[0], a[1], a[2], a[3], np.append(path[: base + a[5]], a[6])) if len(a) == 8 and a[7] == turn else a for a in agenda[t]]
+            # Entries of this round know their path only now; what they take of it is copied when they are continued.
+            agenda[t] = [(a[0], a[1], a[2], a[3], path, base + a[5], a[6]) if len(a) == 8 and a[7] == turn else a for a in agenda[t]]
             agenda[t].sort(key=lambda a: -a[0])
             del agenda[t][want:]
             if agenda[t]:
                 best = agenda[t][0]
                 if turn + 1 < k:
                     agenda[t].pop(0)
-                    nxt.append((t, best[1], best[2], best[0], best[3], best[4]))
+                    nxt.append((t, best[1], best[2], best[0], best[3], np.append(best[4][: best[5]], best[6])))
                 else:
                     out[t].append((best[0], best[3], None))
         todo = nxt
@@ -355,34 +390,44 @@ def sample(lat: Lattices, kind: np.ndarray, first: np.ndarray, seed: np.ndarray,
 HEAD = "key long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, "
 
 
-def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: bool = False, decoded: bool = False):
+def _encode(model: Model, k: int, theta: float, seed: int, block: int, digest: bool = False, decoded: bool = False, shared: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in gathered(batches, block):
+        spelled = pa.Array.from_buffers(pa.large_binary(), model.spelled_off.size - 1, [None, pa.py_buffer(model.spelled_off.astype(np.int64)), pa.py_buffer(model.spelled)])
+        for big in gathered(batches, max(block, shared)):
             release()
-            points, at, _ = chunks(*flat(big["text"]))
+            data, off = flat(big["text"])
+            points, at, first = chunks(data, off)
             held = np.zeros(at.size - 1, U64)
             if held.size:
                 lens = np.diff(at)
-                pos = np.arange(points.size) - np.repeat(at[:-1], lens)
-                power = np.cumprod(np.full(int(lens.max()), STEP, U64), dtype=U64)
-                held = mix(np.add.reduceat(mix(points.astype(U64)) * power[pos], at[:-1]) + lens.astype(U64))
-            _, one, kind = np.unique(held, return_index=True, return_inverse=True)
+                # Powers count from the block's start; those of the inverse take each chunk's start off again.
+                power, back = (np.cumprod(np.full(points.size, x, U64), dtype=U64) for x in (STEP, INVERSE))
+                held = mix(np.add.reduceat(mix(points.astype(U64)) * power, at[:-1]) * back[at[:-1]] + lens.astype(U64))
+            told = pa.array(held).dictionary_encode()
+            kind = told.indices.to_numpy().astype(np.int64)
+            one = np.empty(len(told.dictionary), np.int64)
+            one[kind[::-1]] = np.arange(kind.size)[::-1]  # where each kind is first
+            often = np.argsort(-np.bincount(kind, minlength=one.size), kind="stable")  # frequent chunks lie together
+            place = np.empty(often.size, np.int64)
+            place[often] = np.arange(often.size)
+            one, kind = one[often], place[kind]
             size = np.diff(at)[one] if one.size else np.zeros(0, np.int64)
             lat = build(points[ranges(at[one], size)], np.concatenate([[0], np.cumsum(size)]), model, theta)
-            seen = 0
-            for b in slices(iter([big]), limit=block):
-                _, mine, first = chunks(*flat(b["text"]))
-                kinds = kind[seen : seen + mine.size - 1]
-                seen += mine.size - 1
-                keys = b["key"].fill_null(0).to_numpy()
-                null = b["key"].is_null().to_numpy(zero_copy_only=False)
-                seeds = mix(keys.view(U64) * STEP + U64(seed) + null.astype(U64) * U64(7919))
-                yield _rows(b["key"], sample(lat, kinds, first, seeds, k), lat, model if digest or decoded else None, digest)
+            points = at = held = told = power = back = None
+            keys = big["key"].fill_null(0).to_numpy()
+            null = big["key"].is_null().to_numpy(zero_copy_only=False)
+            seeds = mix(keys.view(U64) * STEP + U64(seed) + null.astype(U64) * U64(7919))
+            i = 0
+            while i < big.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + block, "right")) - 1)
+                drawn = sample(lat, kind[first[i] : first[j]], first[i : j + 1] - first[i], seeds[i:j], k)
+                yield _rows(big["key"].slice(i, j - i), drawn, lat, model.first_byte, spelled if digest or decoded else None, digest)
+                i = j
 
     return run
 
 
-def _rows(keys: pa.Array, drawn: list, lat: Lattices, model: Model | None, digest: bool) -> pa.RecordBatch:
+def _rows(keys: pa.Array, drawn: list, lat: Lattices, first_byte: int, spelled: pa.Array | None, digest: bool) -> pa.RecordBatch:
     """The drawn splits as rows; the ids of all of them, and the bytes of these, are looked up in one go."""
     row, num, logp, value, incl, paths = [], [], [], [], [], [np.zeros(0, np.int64)]
     for i, found in enumerate(drawn):
@@ -397,24 +442,22 @@ def _rows(keys: pa.Array, drawn: list, lat: Lattices, model: Model | None, diges
             incl.append(0.0 if x > 4 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))) + 0.0)
             paths.append(path)
     arcs = np.concatenate(paths)
-    width = lat.ids_off[arcs + 1] - lat.ids_off[arcs]
-    ids = lat.ids[ranges(lat.ids_off[arcs], width)].astype(np.int32)
-    at = np.concatenate([[0], np.cumsum(width)])[np.cumsum([x.size for x in paths])]
+    ids, off = _ids(lat.piece[arcs], first_byte)
+    at = off[np.cumsum([x.size for x in paths])]
     columns = [keys.take(pa.array(row, pa.int64())), pa.array(num, pa.int32()), pa.array(np.diff(at).astype(np.int32)), pa.array(logp), pa.array(value), pa.array(incl)]
     names = ["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion"]
     texts = []
-    if model is not None:
-        table, off = np.frombuffer(model.spelled, np.uint8), model.spelled_off
-        size = off[ids + 1] - off[ids]
-        spelled = table[ranges(off[ids], size)].tobytes()
-        cut = np.concatenate([[0], np.cumsum(size)])[at].tolist()
-        texts = [spelled[i + 1 : j] for i, j in zip(cut[:-1], cut[1:])]  # without the blank before every text
+    if spelled is not None:
+        _, off, data = spelled.take(pa.array(ids)).buffers()
+        cut = np.frombuffer(off, np.int64)[at].tolist()
+        data = memoryview(data) if data is not None else b""
+        texts = [data[i + 1 : j] for i, j in zip(cut[:-1], cut[1:])]  # without the blank before every text
     if digest:
         told = [[hashlib.sha256(ids[i:j]).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist())], [hashlib.sha256(x).hexdigest() for x in texts]]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(t, pa.string()) for t in told)], [*names, "ids_sha256", "text_sha256"])
     lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-    if model is not None:
-        text = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())
+    if spelled is not None:
+        text = pa.array([str(x, "utf-8", "replace") for x in texts], pa.string())
         return pa.RecordBatch.from_arrays([*columns, lists, text], [*names, "ids", "text"])
     return pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
 
@@ -429,17 +472,20 @@ def encode(
     text: str = "text",
     digest: bool = False,
     decoded: bool = False,
-    block: int = 1 << 19,
+    block: int = 1 << 18,
+    shared: int = 1 << 21,
 ) -> DataFrame:
     """Up to k distinct segmentations per row: `key`, sample (1 is the best), n_pieces, log_prob, perturbed, log_inclusion, ids.
 
     With `digest`, ids_sha256 (of the ids as 4-byte little-endian numbers) and text_sha256 (of the
     text decoded from them) stand in place of the ids. With `decoded`, a column text holds what the
     ids decode to, made by the same task.
+
+    Texts of `shared` bytes share their lattices, as chunks repeat; `block` bytes of them are drawn at a time.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     last = "ids_sha256 string, text_sha256 string" if digest else "ids array<int>" + ", text string" * decoded
-    return rows.mapInArrow(_encode(model, k, theta, seed, block, digest, decoded), HEAD + last).withColumnRenamed("key", key)
+    return rows.mapInArrow(_encode(model, k, theta, seed, block, digest, decoded, shared), HEAD + last).withColumnRenamed("key", key)
 
 
 def decoder(model: Model):

@@ -214,6 +214,23 @@ def test_draws_do_not_depend_on_batches(model):
     assert [r["ids"] for r in a] == [r["ids"] for r in b]
 
 
+def test_blocks_share_the_lattices_of_equal_chunks(model, monkeypatch):
+    rows = [(i, "one or two plain words again and again") for i in range(200)]
+    built, build = [], lattice.build
+    monkeypatch.setattr(lattice, "build", lambda points, *rest: built.append(points.size) or build(points, *rest))
+    got = draw(model, rows, 3, block=1 << 10)  # 8 blocks
+    assert built == [len("".join({" " + w for w in rows[0][1].split()}))]
+    monkeypatch.undo()
+    assert [r["ids"] for r in got] == [r["ids"] for row in rows for r in draw(model, [row], 3)]
+
+
+def test_chunks_of_any_length_decode(model):
+    text = "aé中\U0001f600▁" * 14_000  # more characters than 16 bits count
+    got = draw(model, [(1, text), (2, "short"), (3, None)], 2)
+    back = lattice.decoder(model)
+    assert [back(np.array(r["ids"], np.int64)).decode() for r in got] == [text, text, "short", "short", ""]
+
+
 # op3
 
 
