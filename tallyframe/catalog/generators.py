@@ -244,9 +244,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     p = pivot(spark, sf)
-    p = p.select("user_id", *[F.least(F.col(c) / (100000 if i < 6 else 200000), F.lit(1.0)).alias(c) for i, c in enumerate(MONTHS)])
+    p = p.select("user_id", *[F.least(F.col(c) / scale, F.lit(1.0)).alias(f"{name}_{c}") for name, scale, months in (("early", 100000, MONTHS), ("late", 200000, MONTHS[6:])) for c in months])
     bands = {"early": [(0.0, 0.3, "low"), (0.3, 0.6, "mid"), (0.6, 1.0, "high")], "late": [(0.0, 0.5, "low"), (0.5, 1.0, "high")]}
-    return g.interpret_domains(p, {"early": MONTHS, "late": MONTHS[6:]}, bands).drop(*MONTHS)
+    domains = {"early": [f"early_{c}" for c in MONTHS], "late": [f"late_{c}" for c in MONTHS[6:]]}
+    return g.interpret_domains(p, domains, bands).drop(*domains["early"], *domains["late"])
 
 
 @query(
