@@ -234,23 +234,26 @@ def fit(
     learned from the labelled texts' languages.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(known), "key")  # twelve bytes a label travel instead of all texts
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(known), "key")  # twelve bytes a label travel instead of all texts
+
+    filter_ = language.learn(texts)
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, starts = buckets(*flat(b["text"]))
+        tell, names = language.scorer(filter_), pa.array([*filter_.languages, "und"])
+        for b in slices(batches, limit=language.BLOCK):
+            data, off = flat(b["text"])
+            ids, starts = buckets(data, off)
             blocks = [ids[s : e - PAD].astype(np.uint16).tobytes() for s, e in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays([b["key"], b["y"], b["text"], b["lang"], pa.array(blocks, pa.binary())], ["key", "y", "text", "lang", "ids"])
+            told = names.take(pa.array(tell(data, off)[0] % len(names)))
+            yield pa.RecordBatch.from_arrays([b["key"], b["y"], told, pa.array(blocks, pa.binary())], ["key", "y", "told", "ids"])
 
-    kept = written(sample.select("key", "y", "text", "lang").mapInArrow(bag, "key long, y int, text string, lang string, ids binary"))
-    filter_ = language.learn(kept)
+    rows = written(texts.select("key", "y", "text").mapInArrow(bag, "key long, y int, told string, ids binary"))  # no text is stored
     none = np.zeros(len(filter_.languages) + 1)
-    n, hits, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
+    n, hits, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
     if not 0 < hits < n:
         return Model(np.zeros((BLANK + 1, DIM), np.float32), tuple(np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS), np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), -1e4, filter_, none)
     parts = max(1, min(max(-(-n // part_rows), -(-size // (4 * PART_WORDS))), min(hits, n - hits) // PART_RARE))
-    told = language.predict(filter_).getField("lang_pred").alias("told")
-    rows = written(kept.select("key", "y", told, "ids", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
     models = written(rows.repartition(parts, "part").groupBy("part").applyInPandas(_part_model, "part long, n long, model binary"))
     pieces = models.mapInPandas(_pieces, "chunk long, n long, piece binary").groupBy("chunk").applyInPandas(_sum, "chunk long, piece binary")
     total = np.concatenate([np.frombuffer(r["piece"]) for r in pieces.orderBy("chunk").collect()])
