@@ -23,6 +23,9 @@ two sketches differ never exceed the sets' symmetric difference.
    distance exceeds (n1 + n2) / 9, the largest symmetric difference of linked sets.
 5. Surviving pairs are verified on the exact sets, and the links make the components.
 
+Texts are never shuffled to be compared: a bitmap of hashed keys, a table of bounded size that travels with
+the tasks, tells the few texts whose sets are wanted, and their sets are then joined exactly.
+
 Shingles, sets and classes are compared by 64-bit hashes.
 
 Defined results: NULL and empty texts have an empty set and link with nothing; texts of 1 to 4 words
@@ -49,6 +52,8 @@ CROWD = 8
 #: Classes and shingles of one part of a group that is compared in tiles, and bytes of text in a block.
 PART, PART_SHINGLES = 1500, 1 << 20
 BLOCK = 4 << 20
+#: Bits of a bitmap for every key in it, and of all of it; past the latter it passes more keys that are not in it.
+KEY_BITS, MAP_BITS = 16, 1 << 26
 
 
 def spare(n):
@@ -149,23 +154,33 @@ def signatures(g: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a, b]), np.concatenate([ra, near[rb]])
 
 
-def _map_sets(spark_buckets: int):
+def _map_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text a row (doc, n, key, sketch)."""
+    for b in slices(batches, limit=BLOCK):
+        release()
+        g, off = shingles(*flat(b["text"]))
+        n, key = np.diff(off), set_keys(g, off)
+        # One row per class and batch carries the sketch.
+        sketch = [None] * len(n)
+        for i in _leads(n, key):
+            sketch[i] = bit_sketch(g[off[i] : off[i + 1]])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(key.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "n", "key", "sketch"])
+
+
+def _leads(n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The first text of every class of a batch, without the empty class."""
+    _, lead = np.unique(key, return_index=True)
+    return lead[n[lead] > 0]
+
+
+def _map_cells(spark_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per text a row (doc, key, n, sketch); per bucket of cells one block of (cell, class)."""
-        names = ["doc_id", "n", "key", "sketch", "bucket", "block"]
+        """Per bucket of cells one block of (cell, class)."""
         for b in slices(batches, limit=BLOCK):
             release()
             g, off = shingles(*flat(b["text"]))
             n, key = np.diff(off), set_keys(g, off)
-            rows = len(n)
-            # One row per class and batch carries the sketch.
-            _, lead = np.unique(key, return_index=True)
-            lead = lead[n[lead] > 0]
-            sketch = [None] * rows
-            for i in lead:
-                sketch[i] = bit_sketch(g[off[i] : off[i + 1]])
-            none = pa.nulls(rows)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(key.view(np.int64)), pa.array(sketch, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            lead = _leads(n, key)
             sig, own = signatures(g[ranges_of(off, lead)], np.concatenate([[0], np.cumsum(n[lead])]))
             where = (sig % U64(spark_buckets)).astype(np.int32)
             order = np.lexsort((sig, where))
@@ -175,10 +190,8 @@ def _map_sets(spark_buckets: int):
             for i, j in zip(at, np.append(at[1:], where.size)):
                 who, local = np.unique(own[i:j], return_inverse=True)
                 small = local.astype(np.uint16 if who.size < 65536 else np.uint32)
-                blocks.append(pack(np.diff(sig[i:j], prepend=U64(0)), small, key[lead[who]], (n[lead[who]] // 4).astype(np.uint32)))
-            k = len(blocks)
-            nul = pa.nulls(k)
-            yield pa.RecordBatch.from_arrays([nul.cast(pa.int64()), nul.cast(pa.int64()), nul.cast(pa.int64()), nul.cast(pa.binary()), pa.array(buckets, pa.int32()), pa.array(blocks, pa.binary())], names)
+                blocks.append(pack(np.diff(sig[i:j], prepend=U64(0)), small, key[lead[who]]))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     return run
 
@@ -265,16 +278,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[lead].view(np.int64)), pa.array([g[off[i] : off[i + 1]].tobytes() for i in lead], pa.binary())], ["key", "set"])
 
 
+def _bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(word, mask) of a bitmap of the hashed keys (a NULL key has its own hash), and its bits."""
+    keys = written(keys.select(key))
+    bits = min(MAP_BITS, 1 << (KEY_BITS * keys.count() + 64).bit_length())
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")))
+    return written(keys.groupBy(F.floor(at / 64).alias("word")).agg(mask.alias("mask"))), bits
+
+
+def _held(rows: DataFrame, key: Column, bitmap: tuple[DataFrame, int]) -> DataFrame:
+    """`rows` with `held`: false only if the key is not in the bitmap."""
+    words_, bits = bitmap
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    both = rows.withColumn("at", at).join(F.broadcast(words_), F.floor(F.col("at") / 64) == F.col("word"), "left")
+    return both.withColumn("held", F.coalesce(F.expr("getbit(mask, cast(at % 64 as int))") == 1, F.lit(False)))
+
+
 def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, key) of every text, and the verified (node, root) components of the classes."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    mapped = rows.mapInArrow(_map_sets(buckets), "doc_id long, n long, key long, sketch binary, bucket int, block binary")
-    dealt = written(mapped)
-    members = dealt.where("block is null").select("doc_id", "n", "key")
-    classes = written(dealt.where("block is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch", ignorenulls=True).alias("sketch")))
-    blocks = dealt.where("block is not null").select("bucket", "block").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = written(rows.mapInArrow(_map_sets, "doc_id long, n long, key long, sketch binary"))
+    members = dealt.select("doc_id", "n", "key")
+    classes = written(dealt.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch", ignorenulls=True).alias("sketch")))
+    blocks = rows.mapInArrow(_map_cells(buckets), "bucket int, block binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = written(blocks.mapInArrow(_join_cells, "a long, b long, crowded boolean"))
     left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -284,8 +313,8 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         return written(both.where(_near("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b"))
 
     def sets_of(need: DataFrame) -> DataFrame:
-        ids = classes.join(need, "key", "left_semi").select(F.col("doc_id").alias("id"))
-        mine = rows.join(ids, rows.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(_sets, "key long, set binary")
+        ids = classes.join(need, "key", "left_semi").select("doc_id")
+        mine = _held(rows, F.col("doc_id"), _bitmap(ids, "doc_id")).where("held").select("text").mapInArrow(_sets, "key long, set binary")
         return written(mine.join(need, "key", "left_semi").dropDuplicates(["key"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -464,13 +493,20 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     Texts without words belong to no component and stay.
     """
     rows = grouped(docs, key, text)
-    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
-    best = best.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r"))
+    one = best.select("root", F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
+    stays = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    # A key whose only row stays, or whose texts all lack words, is settled without its text.
+    told = rows.join(one, "root", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.min(stays).alias("stays"))
+    bitmap = _bitmap(told.where("not (n = 0 or (rows = 1 and stays))"), "doc_id")
+    best = one.select("_id", "_key").unionByName(rows.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    best = _held(best, F.col("_id"), bitmap).where("held").select("_id", "_key")
     twice = not rows.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = docs.select(own, F.col(f"`{key}`").cast("long").alias("_doc"), class_key(F.col(f"`{text}`")).alias("_class"))
+    dealt = _held(docs.select(own, F.col(f"`{key}`").cast("long").alias("_doc")), F.col("_doc"), bitmap)
+    marked = dealt.where("held").select("row", "_doc", class_key(F.col(f"row.`{text}`")).alias("_class"))
     out = marked.join(best, marked["_doc"].eqNullSafe(best["_id"]) & (marked["_class"] == best["_key"]), "left_semi")
     if twice:
         empty = out.where("_class = 0")
         out = out.where("_class <> 0").dropDuplicates(["_doc", "_class"]).unionByName(empty)
-    return out.select("row.*")
+    return out.select("row").unionByName(dealt.where("not held").select("row")).select("row.*")

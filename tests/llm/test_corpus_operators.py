@@ -482,6 +482,35 @@ def test_op6_equals_plain(ls, monkeypatch, crowd):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0 and jaccard.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def _recorded(monkeypatch, module):
+    """Columns of every table that the module stores."""
+    seen, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df: seen.append(df.columns) or write(df))
+    return seen
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_near_duplicates_store_and_shuffle_no_texts(ls, monkeypatch, bits):
+    """Neither the cells nor the texts are stored, texts that stay are not shuffled; a full bitmap changes nothing."""
+    monkeypatch.setattr(jaccard, "MAP_BITS", bits)
+    seen = _recorded(monkeypatch, jaccard)
+    rng = random.Random(5)
+    bodies = [[f"w{rng.randint(0, 5000)}" for _ in range(40)] for _ in range(60)]
+    near = [[*b[:-1], "other"] for b in bodies[:6]]
+    texts_ = [" ".join(b) for b in bodies + near + bodies[:3]] + [None, "", " "]
+    rows = [(None if i in (2, 63) else i, t) for i, t in enumerate(texts_)] + [(5, texts_[5]), (25, texts_[20]), (7, ""), (None, None)]
+    df = ls.createDataFrame([(*r, "a", 1, True) for r in rows], "doc_id long, text string, word string, at int, held boolean")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()), key=repr)
+    assert got == plain_components(rows)
+    out = jaccard.without_near_duplicates(df)
+    want = [(c, True) for c in {c for _, n, c in got if n}] + [(d, False) for d, t in rows if not (t or "").strip()]
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], bool((r["text"] or "").strip())) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert not [c for c in seen if {"block", "text"} & set(c)]
+    settled = out._jdf.queryExecution().optimizedPlan().children().last().toString()
+    assert "LeftSemi" not in settled and "text" in settled, settled
+
+
 def test_op6_query(ls):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in QUERIES["op6_parity_join"](ls, SF).collect()), key=repr)
     assert got == plain_components(list(texts(ls).items()))
@@ -540,6 +569,13 @@ def test_op7_learns_from_every_labelled_row(ls):
     assert [r["p"] >= 0.5 for r in seen.select(toxicity.score(model).alias("p")).collect()] == [True, True, False, False]
 
 
+def test_op7_stores_no_texts(ls, monkeypatch):
+    seen = _recorded(monkeypatch, toxicity)
+    docs, labels = ls.read.parquet(f"{SF}/documents.parquet"), ls.read.parquet(f"{SF}/labels.parquet")
+    assert len(toxicity.fit(docs, labels).languages.languages) > 1
+    assert seen and not [c for c in seen if "text" in c]
+
+
 def test_op7_odd(ls, odd):
     docs = ls.read.parquet(f"{SF}/documents.parquet")
     labels = ls.read.parquet(f"{SF}/labels.parquet")
