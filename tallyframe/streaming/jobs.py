@@ -6,10 +6,11 @@ result the stream must reach. `run_available` drives one to the end of the avail
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -56,9 +57,12 @@ def run_available(query, seconds: int = DRAIN_SECONDS) -> None:
 
 
 BREACH = "request_id long, request_type string, deadline timestamp, processed_at timestamp"
-_OPEN = "request_type string, deadline long, done long"
 #: Transforming with state needs a store that holds more than one value and timers for a key.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of requests; each has one value of state and one timer.
+BUCKETS = 4096
+#: An unknown time; below all others.
+UNKNOWN = -(1 << 63)
 
 
 def _most(*values):
@@ -67,13 +71,14 @@ def _most(*values):
 
 
 class SlaSweep(StatefulProcessor):
-    """State of one request: its type, deadline and processing time (microseconds), and one timer.
+    """State of a bucket of requests: type, deadline and processing time (microseconds) by request, and one timer.
 
-    Batches are folded by their largest values, so the order of arrival does not matter. The timer of
-    a submitted request is its deadline. A request that is processed without having been submitted
+    Batches are folded by their largest values, so the order of arrival does not matter. A submitted
+    request is due at its deadline. A request that is processed without having been submitted
     (or after its breach was told) is forgotten once the watermark is `retain_ms` beyond that time,
-    so the store holds open requests and a bounded stretch of others. A request has few rows, so they
-    come as rows: a pandas frame for each request would cost more than its work.
+    so the store holds open requests and a bounded stretch of others. The bucket's timer is the first
+    time at which one of its requests may be due. Every call to the store costs a round trip and an
+    expired timer several, so they are paid by the bucket and not by the request.
     """
 
     def __init__(self, retain_ms: int) -> None:
@@ -81,57 +86,82 @@ class SlaSweep(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("request", _OPEN)
-
-    def _timer(self, deadline: int | None, done: int | None) -> int:
-        return deadline // 1000 if deadline is not None else done // 1000 + self.retain_ms
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.open.get()  # None for a new key; every call to the store costs a round trip
-        kind, deadline, done = known if known is not None else (None, None, None)
-        for r in rows:
-            kind, deadline, done = _most(kind, r["request_type"]), _most(deadline, r["deadline"]), _most(done, r["done"])
-        now = (kind, deadline, done)
-        over = deadline is not None and done is not None and done <= deadline
-        if known is not None and (over or self._timer(*now[1:]) != self._timer(*known[1:])):
-            self.handle.deleteTimer(self._timer(*known[1:]))
-        if over:
-            if known is not None:
+        self.open = handle.getValueState("request", "timer long, requests binary")
+
+    def _due(self, deadline: int, done: int) -> int:
+        return deadline // 1000 if deadline != UNKNOWN else done // 1000 + self.retain_ms
+
+    def _keep(self, known: dict, timer: int | None, fired: bool = False) -> None:
+        """Store the bucket's requests; set its timer anew if one of them is due earlier or it has fired."""
+        first = min((self._due(deadline, done) for _, deadline, done in known.values()), default=None)
+        if timer is not None and not fired and (first is None or first < timer):
+            self.handle.deleteTimer(timer)
+        if first is None:
+            if timer is not None:
                 self.open.clear()
-        elif (deadline is not None or done is not None) and (known is None or now != tuple(known)):
-            self.open.update(now)
-            if known is None or self._timer(*now[1:]) != self._timer(*known[1:]):
-                self.handle.registerTimer(self._timer(*now[1:]))
+            return
+        if timer is None or fired or first < timer:
+            self.handle.registerTimer(timer := first)
+        self.open.update((timer, pickle.dumps(known, 5)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self.open.get()
+        timer, known = (None, {}) if state is None else (state[0], pickle.loads(state[1]))
+        new: dict[int | None, tuple[str | None, int, int]] = {}
+        for frame in rows:
+            for request, lost, kind, deadline, done in zip(*(frame[c].tolist() for c in ("id", "lost", "request_type", "deadline", "done"))):
+                request = None if lost else request
+                was = new.get(request)
+                new[request] = (kind, deadline, done) if was is None else (_most(was[0], kind), max(was[1], deadline), max(was[2], done))
+        changed = False
+        for request, (kind, deadline, done) in new.items():
+            was = known.get(request, (None, UNKNOWN, UNKNOWN))
+            now = (_most(was[0], kind), max(was[1], deadline), max(was[2], done))
+            if now[1] != UNKNOWN and UNKNOWN != now[2] <= now[1]:
+                changed |= known.pop(request, None) is not None
+            elif (now[1] != UNKNOWN or now[2] != UNKNOWN) and now != was:
+                known[request], changed = now, True
+        if changed:
+            self._keep(known, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.open.get()
-        if known is not None:
-            kind, deadline, done = known
-            self.open.clear()
-            if deadline is not None:
-                yield Row(request_id=key[0], request_type=kind, deadline=deadline, done=done)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.open.get()
+        if state is None:
+            return
+        known, end = pickle.loads(state[1]), timerValues.getCurrentWatermarkInMs()
+        due = [r for r, (_, deadline, done) in known.items() if self._due(deadline, done) < end]
+        over = [(r, *known.pop(r)) for r in due]
+        self._keep(known, state[0], fired=True)
+        if told := [r for r in over if r[2] != UNKNOWN]:
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(("request_id", "request_type", "deadline", "done"), zip(*told))})
 
     def close(self) -> None:
         pass
 
 
-def sla_breaches_stream(events: DataFrame, delay: str, retain: str = "30 days") -> DataFrame:
+def sla_breaches_stream(events: DataFrame, delay: str, retain: str = "30 days", buckets: int = BUCKETS) -> DataFrame:
     """One breach per request whose deadline passes while it is unprocessed.
 
     `events` has (request_id, kind, at, request_type, deadline): kind "submitted" opens a request,
     "processed" closes it. A breach appears as soon as the watermark is beyond the deadline. Time to
     live of state runs on the clock only, so events without a submission are dropped by an event-time
-    timer, `retain` after them. Sets the session's state store to the one that this needs.
+    timer, `retain` after them. Sets the session's state store to the one that this needs. The state
+    is kept by the bucket of the request's id (`request_id` in its key), so `buckets` is fixed for
+    the life of a checkpoint; a bucket should hold no more than some ten thousand open requests.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     sub = F.col("kind") == "submitted"
+    known = lambda c: F.coalesce(F.unix_micros(c), F.lit(UNKNOWN))
+    request = F.col("request_id").cast("long")
     shaped = events.withWatermark("at", delay).select(
-        "request_id", "at", F.when(sub, F.col("request_type")).alias("request_type"), F.when(sub, F.unix_micros("deadline")).alias("deadline"), F.when(~sub, F.unix_micros("at")).alias("done")
+        F.pmod(F.xxhash64(request), F.lit(buckets)).alias("request_id"), F.coalesce(request, F.lit(0)).alias("id"), request.isNull().alias("lost"), "at",
+        F.when(sub, F.col("request_type")).alias("request_type"), known(F.when(sub, F.col("deadline"))).alias("deadline"), known(F.when(~sub, F.col("at"))).alias("done"),
     )
     sweep = SlaSweep(int(pd.Timedelta(retain).total_seconds() * 1000))
-    told = shaped.groupBy("request_id").transformWithState(sweep, f"request_id long, {_OPEN}", "Append", "EventTime")
-    return told.select("request_id", "request_type", F.timestamp_micros("deadline").alias("deadline"), F.timestamp_micros("done").alias("processed_at"))
+    told = shaped.groupBy("request_id").transformWithStateInPandas(sweep, "request_id long, request_type string, deadline long, done long", "Append", "EventTime")
+    at = lambda c: F.timestamp_micros(F.nullif(c, F.lit(UNKNOWN)))
+    return told.select("request_id", "request_type", at(F.col("deadline")).alias("deadline"), at(F.col("done")).alias("processed_at"))
 
 
 def sla_breaches_batch(events: DataFrame, delay: str) -> DataFrame:

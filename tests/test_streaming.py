@@ -56,6 +56,24 @@ def test_sla_sweep_forgets_requests_without_submission(spark, tmp_path):
     assert [r[0] for r in left.select("key.request_id").collect()] == []
 
 
+def test_sla_state_is_kept_by_bucket(spark, log):
+    """Many open requests, one of them without an id, share a few values of state and reach the batch result."""
+    df, parts, base = log
+    lost = df.where("request_id = 3").withColumn("request_id", F.lit(None).cast("long"))
+    src, out, cp = f"{base}/src", f"{base}/out", f"{base}/cp"
+    whole, first = df.unionByName(lost), parts[0].unionByName(lost.where(F.col("at") < "2024-01-05"))
+    sizes = []
+    for p in (first, whole.exceptAll(first)):
+        p.coalesce(1).write.mode("append").parquet(src)
+        told = jobs.sla_breaches_stream(spark.readStream.schema(df.schema).parquet(src), "1 day", buckets=3)
+        jobs.run_available(told.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start(), 300)
+        sizes.append(spark.read.format("statestore").option("path", cp).option("stateVarName", "request").load().count())
+    assert 0 < sizes[0] <= 3 and sizes[1] == 0
+    got, want = spark.read.schema(jobs.BREACH).parquet(out), jobs.sla_breaches_batch(whole, "1 day")
+    assert rows(got, "request_id", "request_type", "deadline") == rows(want, "request_id", "request_type", "deadline")
+    assert got.where("request_id IS NULL").count() == want.where("request_id IS NULL").count()
+
+
 def test_metrics_restart(spark, tmp_path):
     df = spark.range(400).select((F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("ts"), F.lit("t").alias("task"), (F.col("id") % 2).cast("string").alias("version"), F.rand(1).alias("score"), F.col("id").cast("double").alias("latency"))
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
