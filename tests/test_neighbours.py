@@ -93,3 +93,26 @@ def test_weights_and_graph(spark):
     assert neighbours.recall(b, a, "qid", "id").first()["recall"] >= 0.95
     graph = latent.knn_graph(df, "id", "v", 4, find=neighbours.indexed_knn)
     assert graph.where("src = dst").count() == 300 and graph.exceptAll(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).count() == 0
+
+
+def test_exact_search_shuffles_no_pairs(spark, capsys):
+    """Blocks meet in a cartesian product; ids come twice and may be missing, as may vectors and their numbers."""
+    x = clustered(120, groups=5, dims=6)
+    rows = [(i % 100 if i else None, v.astype("float32").tolist()) for i, v in enumerate(x)] + [(200, None), (201, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (202, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    found = search.knn(df.withColumnRenamed("id", "q"), df, "q", "id", "v", 3, block=16)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    u = np.array([np.array(v, dtype="float64") / np.linalg.norm(np.array(v, dtype="float64")) for _, v in rows[:120]])
+    best = {}
+    for at, (q, _) in enumerate(rows[:120]):
+        sims = [(round(float(u[at] @ u[i]), 9), c) for i, (c, _) in enumerate(rows[:120]) if c != q or q is None] + [(0.0, 202)]
+        best[q] = sorted([*best.get(q, []), *(s for s, _ in sims)], reverse=True)[:3]
+    best[202] = [0.0] * 3
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault(r["q"], []).append(round(r["similarity"], 9))
+    assert set(got) == set(best)
+    for q in best:
+        assert np.allclose(got[q], best[q], atol=2e-9)
