@@ -510,8 +510,8 @@ def knn_graph(vectors: DataFrame, key: str, vec: str, k: int, find: Callable[...
 
     `find` is the exact search, whose work is the square of the rows, or `neighbours.indexed_knn` for large tables.
     """
-    near = find(vectors.select(F.col(key).alias("src"), vec), vectors.select(F.col(key).alias("dst"), vec), "src", "dst", vec, k).select("src", "dst")
-    both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(vectors.select(F.col(key).alias("src"), F.col(key).alias("dst"))).distinct()
+    near = written(find(vectors.select(F.col(key).alias("src"), vec), vectors.select(F.col(key).alias("dst"), vec), "src", "dst", vec, k).select("src", "dst"))
+    both = written(near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(vectors.select(F.col(key).alias("src"), F.col(key).alias("dst"))).distinct())
     deg = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     j = both.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst")
     return j.select("src", "dst", (1.0 / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w"))
