@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -517,19 +519,99 @@ def knn_graph(vectors: DataFrame, key: str, vec: str, k: int, find: Callable[...
     return j.select("src", "dst", (1.0 / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w"))
 
 
+def _padded(col: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 for missing ones) and which are known, a row for each list."""
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    there = np.arange(width) < sizes[:, None]
+    flat = col.flatten()
+    x, known = np.zeros(there.shape), there.copy()
+    x[there] = pc.fill_null(flat, pa.scalar(0, flat.type)).to_numpy(zero_copy_only=False)
+    known[there] = flat.is_valid().to_numpy(zero_copy_only=False)
+    return x, known
+
+
+def _added(b: pa.RecordBatch, least: int = 1) -> pa.RecordBatch:
+    """Rows (node, w, x, s) of a node that has `least` of them or more as one: the sum of w * x and of s, element by element.
+
+    Elements that are NULL are left out; where all are, the sum is NULL. Other rows stay as they are.
+    """
+    codes = b["node"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+    few = np.bincount(codes)[codes] < least
+    some = b.filter(pa.array(~few))
+    if not some.num_rows:
+        return b
+    codes = codes[~few]
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    size = lambda c: pc.fill_null(pc.list_value_length(some[c]), 0).to_numpy(zero_copy_only=False)
+    sizes = np.maximum(size("x"), size("s"))
+    w = some["w"].to_numpy(zero_copy_only=False)
+    lost = some["w"].is_null().to_numpy(zero_copy_only=False)
+    (x, known), (s, more) = (_padded(some[c], int(sizes.max())) for c in ("x", "s"))
+    known &= ~lost[:, None]
+    x = np.where(known, x * w[:, None], 0.0)
+    total = np.add.reduceat((x + s)[order], starts, axis=0)
+    known = np.logical_or.reduceat((known | more)[order], starts, axis=0)
+    longest = np.maximum.reduceat(sizes[order], starts)
+    there = np.arange(total.shape[1]) < longest[:, None]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longest)]), pa.int32()), pa.array(total[there], mask=~known[there]))
+    empty = pa.nulls(len(starts))
+    new = [some["node"].take(pa.array(order[starts])), empty.cast(pa.float64()), empty.cast(b.schema.field("x").type), lists.cast(b.schema.field("s").type)]
+    return pa.Table.from_batches([b.filter(pa.array(few)), pa.RecordBatch.from_arrays(new, schema=b.schema)]).combine_chunks().to_batches()[0]
+
+
+def _added_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a batch has of one node as one row, if that is shorter."""
+    for b in batches:
+        if b.num_rows:
+            yield _added(b, 3)
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their nodes as one row for each node; the last one of a batch goes with the next batch."""
+    last = None
+    for b in batches:
+        if b.num_rows:
+            b = _added(b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0])
+            yield b.slice(0, b.num_rows - 1).select(["node", "s"])
+            last = b.slice(b.num_rows - 1)
+    if last is not None:
+        yield last.select(["node", "s"])
+
+
 def propagate(edges: DataFrame, emb: DataFrame, key: str, vec: str, layers: int = 2) -> DataFrame:
     """Mean over layers 0..L of the neighbour-weighted sums of the embeddings.
 
-    Sums are grouped by (node, dimension) and combine map-side, so a hub node costs no single task.
+    Vectors travel whole and as they are given: once to the edges that end in them and from there,
+    with the weight of the edge, to the node where the sums are taken. What a batch holds of one node
+    is added before that, so a hub node costs no single task. Sets the session's bytes of an Arrow batch.
     """
-    cells = emb.select(F.col(key).alias("node"), F.posexplode(F.col(vec).cast("array<double>")).alias("d", "x"))
-    layer, total = cells, cells
-    for _ in range(layers):
-        layer = edges.join(layer.select(F.col("node").alias("dst"), "d", "x"), "dst").groupBy(F.col("src").alias("node"), "d").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        total = total.unionByName(layer)
-    mean = total.groupBy("node", "d").agg((F.sum("x") / (layers + 1)).alias("x"))
-    packed = F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"])  # one entry per dimension
-    return mean.groupBy("node").agg(packed.alias(vec)).withColumnRenamed("node", key)
+    spark = emb.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    items = "float" if emb.schema[vec].dataType == T.ArrayType(T.FloatType(), emb.schema[vec].dataType.containsNull) else "double"
+    many = T.ArrayType(T.DoubleType())
+    empty = lambda name: F.lit(None).cast(many).alias(name)
+    layer = emb.select(F.col(key).alias("node"), F.col(vec).cast(f"array<{items}>").alias("x")).where(F.size("x") > 0)
+
+    def form(x: DataFrame) -> T.StructType:
+        return T.StructType([T.StructField("node", emb.schema[key].dataType), T.StructField("w", T.DoubleType()), T.StructField("x", x.schema["x"].dataType), T.StructField("s", many)])
+
+    def added(rows: DataFrame) -> DataFrame:
+        sums = T.StructType([T.StructField("node", emb.schema[key].dataType), T.StructField("s", many)])
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_added_up, sums)
+
+    total = layer.select("node", F.lit(1.0).alias("w"), "x", empty("s"))
+    for at in range(layers):
+        sent = edges.join(layer.select(F.col("node").alias("dst"), "x"), "dst").select(F.col("src").cast(emb.schema[key].dataType).alias("node"), F.col("w").cast("double").alias("w"), "x", empty("s"))
+        sent = sent.mapInArrow(_added_before, form(layer))
+        if at + 1 < layers:  # read by the next layer and by the mean
+            layer = written(added(sent).select("node", F.col("s").alias("x")))
+            sent = layer.select("node", F.lit(1.0).alias("w"), "x", empty("s"))
+        if sent.schema["x"].dataType != total.schema["x"].dataType:
+            total = total.withColumn("x", F.col("x").cast(many))
+            sent = sent.withColumn("x", F.col("x").cast(many))
+        total = total.unionByName(sent)
+    return added(total).select(F.col("node").alias(key), F.transform("s", lambda x: x / (layers + 1)).alias(vec))
 
 
 def poincare(emb: DataFrame, vec: str, curvature: float = 1.0) -> DataFrame:

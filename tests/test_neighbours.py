@@ -116,3 +116,28 @@ def test_exact_search_shuffles_no_pairs(spark, capsys):
     assert set(got) == set(best)
     for q in best:
         assert np.allclose(got[q], best[q], atol=2e-9)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_propagation_sums_whole_vectors(spark, capsys, kind):
+    """A hub, repeated keys, vectors of other lengths, missing numbers and weights, against the sums by node and dimension."""
+    rows = [(i, [float(i + d) for d in range(3)]) for i in range(50)] + [(7, [1.0, 2.0, 3.0]), (8, [5.0]), (9, [None, 1.0, None]), (60, None), (61, []), (62, [None]), (None, [1.0, 1.0, 1.0])]
+    emb = spark.createDataFrame(rows, f"id long, v array<{kind}>").repartition(3)
+    links = [(0, i, 0.5) for i in range(50)] + [(i, 0, 0.25) for i in range(1, 50)] + [(1, 9, None), (2, 60, 1.0), (3, 62, 1.0), (70, 9, 2.0), (71, 99, 1.0), (None, 4, 1.0), (5, None, 1.0)]
+    edges = spark.createDataFrame(links, "src long, dst long, w double")
+    layer = total = emb.select(F.col("id").alias("node"), F.posexplode(F.col("v").cast("array<double>")).alias("d", "x"))
+    for _ in range(2):
+        layer = edges.join(layer.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "d").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+        total = total.unionByName(layer)
+    want = {}
+    for r in total.groupBy("node", "d").agg((F.sum("x") / 3).alias("x")).collect():
+        want.setdefault(r["node"], {})[r["d"]] = r["x"]
+    out = latent.propagate(edges, emb, "id", "v", 2)
+    out.explain()
+    assert "Generate" not in capsys.readouterr().out
+    got = {r["id"]: r["v"] for r in out.collect()}
+    assert set(got) == set(want)
+    for node, cells in want.items():
+        assert len(got[node]) == len(cells)
+        for d, x in cells.items():
+            assert (got[node][d] is None) == (x is None) and (x is None or abs(got[node][d] - x) < 1e-9), (node, d)
